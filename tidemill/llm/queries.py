@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import table
+from tidemill.llm.minhash import near_duplicates
 from tidemill.llm.secrets import secret_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_secret_scans": op8_secret_scans,
 }
 
