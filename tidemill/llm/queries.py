@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import table
+from tidemill.llm.langid import language_report
 from tidemill.llm.minhash import near_duplicates
+from tidemill.llm.mixing import label_domains, mixing_rates
+from tidemill.llm.packing import pack
 from tidemill.llm.secrets import secret_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Shares of the token total that the mixing query aims at.
+TARGET_WEIGHTS = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
+
+
+def op3_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -21,9 +35,16 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_mixing_to_targets": op3_mixing_to_targets,
+    "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_secret_scans": op8_secret_scans,
+    "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
