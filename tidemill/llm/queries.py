@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import table
+from tidemill.llm.html import page_texts
 from tidemill.llm.langid import language_report
+from tidemill.llm.media import read_back, store_texts
 from tidemill.llm.minhash import near_duplicates
 from tidemill.llm.mixing import label_domains, mixing_rates
 from tidemill.llm.packing import pack
 from tidemill.llm.secrets import secret_report
+from tidemill.llm.warc import archive_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +22,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 TARGET_WEIGHTS = {"good": 0.6, "poor": 0.3, "toxic": 0.1}
 
 
+def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(store_texts(table(spark, sf_dir, "documents")))
+
+
 def op3_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
 
 
+def op4_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -39,13 +50,36 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_lossless_webp": op1_lossless_webp,
     "op3_mixing_to_targets": op3_mixing_to_targets,
+    "op4_warc_splittable": op4_warc_splittable,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_packing": op9_packing,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Base32 of the SHA-1: each 5 hex digits are 4 digits of the result.
+    "op4_warc_splittable": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p
+), b AS (
+  SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)) AS digits FROM f
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(digits, '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+""",
+}
