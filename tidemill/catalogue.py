@@ -1,16 +1,457 @@
-"""The registered queries and, for each, DuckDB SQL with the same result."""
+"""The registered queries and, for each, DuckDB SQL with the same result.
+
+The given tables hold no nulls, NaNs or stray spaces, so queries about these
+make them first, alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import assembly, column_stats, decision, health, joins, table_view
+from tidemill.operators.health import RowFilter
+from tidemill.operators.joins import JoinSpec
+from tidemill.operators.steps import Step
+from tidemill.plans import sql_window
+from tidemill.plans.pipeline import replay
+from tidemill.sources.writers import neutralised
+from tidemill.streaming import events as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def steps(name: str, table: str, todo: list[Step], sql: str, dirty: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Register a pipeline of steps over a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read(spark, sf_dir, table)
+        return replay(dirty(df) if dirty else df, tuple(todo))
+
+    register(name, sql)(run)
+
+
+# ---------------------------------------------------------------- steps
+
+steps(
+    "pipeline_flagship",
+    "orders",
+    [
+        Step("filter_rows", {"column": "o_totalprice", "operator": "gt", "value": "1000"}),
+        Step("add_column", {"name": "net", "expression": "round(o_totalprice / 1.2, 2)"}),
+        Step("add_column", {"name": "size", "expression": "'large' if [o_totalprice] >= 100000 else 'small'"}),
+        Step("change_case", {"columns": ["o_orderpriority"], "mode": "lower"}),
+        Step("drop_columns", {"columns": ["o_orderdate"]}),
+    ],
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, lower(o_orderpriority) AS o_orderpriority,
+       round_even(o_totalprice / 1.2, 2) AS net, CASE WHEN o_totalprice >= 100000 THEN 'large' ELSE 'small' END AS size
+       FROM orders WHERE o_totalprice > 1000""",
+)
+
+
+def _holes(df: DataFrame) -> DataFrame:
+    return df.withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+
+
+_HOLES = "(SELECT * REPLACE (nullif(o_orderpriority, '5-LOW') AS o_orderpriority) FROM orders)"
+for _op, _value, _cond in (
+    ("eq", "1-URGENT", "o_orderpriority IS NOT DISTINCT FROM '1-URGENT'"),
+    ("ne", "1-URGENT", "o_orderpriority IS DISTINCT FROM '1-URGENT'"),
+    ("gt", "2-HIGH", "o_orderpriority > '2-HIGH'"),
+    ("lte", "2-HIGH", "o_orderpriority <= '2-HIGH'"),
+    ("contains", "NOT", "contains(o_orderpriority, 'NOT')"),
+    ("is_null", None, "o_orderpriority IS NULL"),
+    ("is_not_null", None, "o_orderpriority IS NOT NULL"),
+):
+    steps(f"filter_rows_{_op}", "orders", [Step("filter_rows", {"column": "o_orderpriority", "operator": _op, "value": _value})], f"SELECT * FROM {_HOLES} WHERE {_cond}", _holes)
+steps("drop_rows_keeps_null", "orders", [Step("drop_rows", {"column": "o_orderpriority", "operator": "contains", "value": "H"})], f"SELECT * FROM {_HOLES} WHERE NOT coalesce(contains(o_orderpriority, 'H'), false)", _holes)
+steps(
+    "filter_rows_nan",
+    "events",
+    [Step("filter_rows", {"column": "value", "operator": "gte", "value": "50,5"}), Step("drop_columns", {"columns": ["props"]})],
+    "SELECT * EXCLUDE (props) FROM (SELECT * REPLACE (CASE WHEN event_id % 50 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value) FROM events) WHERE value >= 50.5 AND NOT isnan(value)",
+    lambda df: df.withColumn("value", F.when(F.col("event_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value"))),
+)
+steps(
+    "columns_rename_reorder_duplicate",
+    "nation",
+    [Step("rename_column", {"column": "n_name", "to": "name"}), Step("duplicate_column", {"column": "name", "to": "copy"}), Step("reorder_columns", {"order": ["copy", "n_regionkey", "name", "n_nationkey"]})],
+    "SELECT n_name AS copy, n_regionkey, n_name AS name, n_nationkey FROM nation",
+)
+steps(
+    "cast_column_both_ways",
+    "lineitem",
+    [Step("cast_column", {"column": "l_quantity", "to": "integer"}), Step("cast_column", {"column": "l_linenumber", "to": "string"}), Step("cast_column", {"column": "l_shipdate", "to": "date"}), Step("drop_columns", {"columns": ["l_extendedprice", "l_discount", "l_tax"]})],
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::VARCHAR AS l_linenumber, trunc(l_quantity)::BIGINT AS l_quantity, l_returnflag, l_linestatus, l_shipdate::DATE AS l_shipdate FROM lineitem",
+)
+steps(
+    "cast_text_to_boolean",
+    "orders",
+    [Step("cast_column", {"column": "flag", "to": "boolean"})],
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false WHEN o_orderkey % 4 = 2 THEN true END AS flag FROM orders",
+    lambda df: df.select("o_orderkey", F.element_at(F.array(F.lit(" Yes "), F.lit("НЕТ"), F.lit("1"), F.lit("maybe")), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("flag")),
+)
+steps(
+    "replace_values_exact_and_substring",
+    "customer",
+    [Step("replace_values", {"column": "c_mktsegment", "value": "BUILDING", "to": "HOUSES"}), Step("replace_values", {"column": "c_name", "mode": "substring", "value": "#", "to": " no. "}), Step("replace_values", {"column": "c_nationkey", "value": "3", "to": "33"})],
+    "SELECT c_custkey, replace(c_name, '#', ' no. ') AS c_name, CASE WHEN c_nationkey = 3 THEN 33 ELSE c_nationkey END::INTEGER AS c_nationkey, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+)
+steps("fill_missing", "orders", [Step("fill_missing", {"column": "o_orderpriority", "value": "none"})], f"SELECT * REPLACE (coalesce(o_orderpriority, 'none') AS o_orderpriority) FROM {_HOLES}", _holes)
+steps(
+    "normalize_nulls",
+    "customer",
+    [Step("normalize_nulls", {"columns": ["c_mktsegment"]})],
+    "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    lambda df: df.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", " N/A ").when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment")),
+)
+steps(
+    "trim_and_title_case",
+    "part",
+    [Step("trim_whitespace", {"columns": ["p_type"]}), Step("change_case", {"columns": ["p_type"], "mode": "title"})],
+    "SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_type FROM part",
+    lambda df: df.select("p_partkey", F.concat(F.lit("  \t"), F.col("p_type"), F.lit("  ")).alias("p_type")),
+)
+steps(
+    "parse_number_notations",
+    "orders",
+    [Step("parse_number", {"column": "amount"})],
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 1000 + 1000000 + 0.5)::DOUBLE END AS amount FROM orders",
+    lambda df: df.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 7 == 0, "5d")
+        .when(F.col("o_orderkey") % 7 < 3, F.concat(F.lit("1.000."), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(",5")))
+        .when(F.col("o_orderkey") % 7 < 5, F.concat(F.lit("1,000,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(".5")))
+        .otherwise(F.concat(F.lit(" 1 000 "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(",5")))
+        .alias("amount"),
+    ),
+)
+steps(
+    "parse_datetime_notations",
+    "orders",
+    [Step("parse_datetime", {"column": "o_orderdate"})],
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 0 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS o_orderdate FROM orders",
+    lambda df: df.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "dd.MM.yyyy HH:mm")).when(F.col("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "d/M/yyyy")).otherwise("soon").alias("o_orderdate"),
+    ),
+)
+steps(
+    "add_column_formulas",
+    "lineitem",
+    [
+        Step("add_column", {"name": "revenue", "expression": "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2)"}),
+        Step("add_column", {"name": "half", "expression": "l_linenumber // 2 + l_linenumber % 2"}),
+        Step("add_column", {"name": "tag", "expression": "concat(upper(l_returnflag), '-', lower(l_linestatus), str(year(l_shipdate)))"}),
+        Step("add_column", {"name": "kind", "expression": "iif(0.02 < l_discount <= 0.05 and not l_tax > 0.04, 'mid', coalesce(None, 'other'))"}),
+        Step("add_column", {"name": "peak", "expression": "max(l_quantity, l_linenumber * 10)"}),
+        Step("drop_columns", {"columns": ["l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]}),
+    ],
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round_even(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS revenue,
+       (floor(l_linenumber / 2) + l_linenumber % 2)::DOUBLE AS half, concat(upper(l_returnflag), '-', lower(l_linestatus), year(l_shipdate)) AS tag,
+       CASE WHEN l_discount > 0.02 AND l_discount <= 0.05 AND NOT l_tax > 0.04 THEN 'mid' ELSE 'other' END AS kind,
+       greatest(l_quantity, (l_linenumber * 10)::DOUBLE) AS peak FROM lineitem""",
+)
+
+
+@register("deduplicate_keep_first", "SELECT * EXCLUDE (props, rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1")
+def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(read(spark, sf_dir, "events").drop("props"), (Step("sort_rows", {"column": "event_id"}), Step("deduplicate", {"columns": ["user_id", "event_type"]})))
+
+
+@register("deduplicate_whole_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def _dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"), (Step("deduplicate"),))
+
+
+# ---------------------------------------------------------------- table view and statistics
+
+
+@register("page_filter_search_sort", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 1000 AND (contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build') OR contains(c_custkey::VARCHAR, 'build')) ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 40 OFFSET 10")
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = table_view.page(read(spark, sf_dir, "customer"), 10, 40, ("c_mktsegment:asc", "c_acctbal:desc"), ("c_acctbal:gt:1000",), "Build")
+    return got.rows.drop("row")
+
+
+@register("page_row_ordinals", "SELECT n_nationkey, n_name, n_regionkey, n_nationkey::BIGINT AS row FROM nation WHERE n_regionkey <> 1 ORDER BY n_name DESC LIMIT 10")
+def _ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_view.page(read(spark, sf_dir, "nation"), 0, 10, ("n_name:desc",), ("n_regionkey:ne:1",)).rows
+
+
+@register(
+    "stats_numeric_summary",
+    """SELECT count(*) AS rows, 0::BIGINT AS nulls, count(DISTINCT l_extendedprice) AS "distinct", min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS mean,
+       round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS std, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem""",
+)
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = column_stats.numeric_summary(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return out.select(*(F.round(c, 4).alias(c) if c in ("mean", "median", "std", "q1", "q3") else F.coalesce(c, F.lit(0)).alias(c) if c == "distinct" else F.col(c) for c in out.columns))
+
+
+@register("stats_top_values", "SELECT p_brand AS value, count(*) AS count, round(count(*) / (SELECT count(*) FROM part), 6) AS ratio FROM part GROUP BY p_brand ORDER BY count DESC, value LIMIT 10")
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_stats.top_values(read(spark, sf_dir, "part"), "p_brand").withColumn("ratio", F.round("ratio", 6))
+
+
+@register(
+    "stats_histogram",
+    """WITH s AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders), b AS (SELECT least(floor((o_totalprice - low) / ((high - low) / 20)), 19)::INTEGER AS bin, low, high FROM orders, s)
+       SELECT bin, count(*) AS count, round(low + bin * ((high - low) / 20), 4) AS start, round(CASE WHEN bin = 19 THEN high ELSE low + (bin + 1) * ((high - low) / 20) END, 4) AS "end" FROM b GROUP BY bin, low, high""",
+)
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_stats.histogram(read(spark, sf_dir, "orders"), "o_totalprice").withColumn("start", F.round("start", 4)).withColumn("end", F.round("end", 4))
+
+
+@register(
+    "stats_column_profile",
+    """SELECT 's_suppkey' AS "column", count(*) AS rows, 0::BIGINT AS missing, count(DISTINCT s_suppkey) AS "unique", false AS constant, min(s_suppkey)::DOUBLE AS min, max(s_suppkey)::DOUBLE AS max, round(avg(s_suppkey), 4) AS mean FROM supplier
+       UNION ALL SELECT 's_name', count(*), 0, count(DISTINCT s_name), false, NULL, NULL, NULL FROM supplier
+       UNION ALL SELECT 's_nationkey', count(*), 0, count(DISTINCT s_nationkey), false, min(s_nationkey), max(s_nationkey), round(avg(s_nationkey), 4) FROM supplier
+       UNION ALL SELECT 's_acctbal', count(*), 0, count(DISTINCT s_acctbal), false, min(s_acctbal), max(s_acctbal), round(avg(s_acctbal), 4) FROM supplier""",
+)
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_stats.column_profile(read(spark, sf_dir, "supplier")).withColumn("mean", F.round("mean", 4))
+
+
+# ---------------------------------------------------------------- joins
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").filter("doc_id % 3 != 0")
+    return docs, read(spark, sf_dir, "labels").filter("doc_id % 2 = 0").withColumn("lang", F.lit("x"))
+
+
+_SIDES = "WITH d AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 != 0), l AS (SELECT *, 'x' AS lang FROM labels WHERE doc_id % 2 = 0) "
+for _kind, _cols in (
+    ("inner", "d.doc_id, d.lang, source, quality, toxic, l.lang AS lang_2"),
+    ("left", "d.doc_id, d.lang, source, quality, toxic, l.lang AS lang_2"),
+    ("right", "d.lang, source, l.doc_id, quality, toxic, l.lang AS lang_2"),
+    ("full", "d.doc_id, d.lang, source, l.doc_id AS doc_id_2, quality, toxic, l.lang AS lang_2"),
+):
+    register(f"join_{_kind}", f"{_SIDES} SELECT {_cols} FROM d {_kind.upper()} JOIN l ON d.doc_id = l.doc_id")(lambda spark, d, kind=_kind: joins.join(*_documents(spark, d), JoinSpec((("doc_id", "doc_id"),), kind)))
+
+
+@register("join_composite_key", "SELECT a.l_orderkey, a.l_linenumber, a.l_suppkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity < 5 AND b.l_quantity > 45")
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem")
+    a = line.filter("l_quantity < 5").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return joins.join(a, line.filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey"), JoinSpec((("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"))))
+
+
+@register(
+    "join_forecast",
+    f"""{_SIDES} SELECT (SELECT count(*) FROM d) AS left_rows, (SELECT count(*) FROM l) AS right_rows, (SELECT count(DISTINCT d.doc_id) FROM d JOIN l USING (doc_id)) AS common_keys,
+        (SELECT count(*) FROM d JOIN l USING (doc_id)) AS inner_rows, (SELECT count(*) FROM d SEMI JOIN l USING (doc_id)) AS matched_left, (SELECT count(*) FROM l SEMI JOIN d USING (doc_id)) AS matched_right,
+        (SELECT count(*) FROM d FULL JOIN l ON d.doc_id = l.doc_id) AS estimated_rows""",
+)
+def _forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.forecast(*_documents(spark, sf_dir), JoinSpec((("doc_id", "doc_id"),), "full"))
+
+
+@register("join_forecast_hot_key", "SELECT (SELECT count(*) FROM lineitem) AS left_rows, (SELECT count(*) FROM orders) AS right_rows, 3::BIGINT AS common_keys, sum(l.n * o.n)::BIGINT AS inner_rows, sum(l.n)::BIGINT AS matched_left, sum(o.n)::BIGINT AS matched_right, (sum(l.n * o.n) + (SELECT count(*) FROM lineitem) - sum(l.n))::BIGINT AS estimated_rows FROM (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1) l JOIN (SELECT o_orderkey % 3 + 1 AS k, count(*) AS n FROM orders GROUP BY 1) o USING (k)")
+def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3 + 1).alias("k"))
+    return joins.forecast(read(spark, sf_dir, "lineitem").select("l_linenumber"), orders, JoinSpec((("l_linenumber", "k"),), "left"))
+
+
+@register("join_key_suggestions")
+def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.suggest_keys(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
+
+
+# ---------------------------------------------------------------- health
+
+
+def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        "event_id",
+        F.when(F.col("event_id") % 20 == 0, None).when(F.col("event_id") % 50 == 1, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 10 == 3, F.concat(F.lit(" "), F.upper("event_type"))).when(F.col("event_id") % 100 == 7, "").when(F.col("event_id") % 25 == 0, None).otherwise(F.col("event_type")).alias("event_type"),
+        F.when(F.col("event_id") % 30 == 0, "n/a").otherwise(F.col("user_id").cast("string")).alias("user"),
+        F.when(F.col("event_id") % 500 == 0, 2).otherwise(1).alias("mostly"),
+    )
+
+
+_DIRTY = """WITH e AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 'NaN'::DOUBLE ELSE value END AS value,
+  CASE WHEN event_id % 10 = 3 THEN ' ' || upper(event_type) WHEN event_id % 100 = 7 THEN '' WHEN event_id % 25 = 0 THEN NULL ELSE event_type END AS event_type,
+  CASE WHEN event_id % 30 = 0 THEN 'n/a' ELSE user_id::VARCHAR END AS "user", CASE WHEN event_id % 500 = 0 THEN 2 ELSE 1 END::INTEGER AS mostly FROM events) """
+
+
+@register(
+    "health_findings",
+    _DIRTY
+    + """SELECT 'missing_values' AS code, 'value' AS "column", count(*) FILTER (value IS NULL) AS affected FROM e
+  UNION ALL SELECT 'missing_values', 'event_type', count(*) FILTER (event_type IS NULL) FROM e
+  UNION ALL SELECT 'nan_or_infinity', 'value', count(*) FILTER (isnan(value)) FROM e
+  UNION ALL SELECT 'whitespace_anomaly', 'event_type', count(*) FILTER (event_type <> trim(event_type)) FROM e
+  UNION ALL SELECT 'empty_string_vs_null', 'event_type', count(*) FILTER (event_type = '') FROM e
+  UNION ALL SELECT 'mixed_semantic_types', 'user', count(*) FILTER ("user" = 'n/a') FROM e
+  UNION ALL SELECT 'near_constant_column', 'mostly', count(*) FILTER (mostly <> 1) FROM e
+  UNION ALL SELECT 'case_variant_categories', 'event_type', sum(n)::BIGINT FROM (SELECT lower(trim(event_type)) AS k, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY k HAVING count(DISTINCT event_type) > 1)""",
+)
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(f.code, f.columns[0], f.affected) for f in health.analyse(_dirty_events(spark, sf_dir)) if f.affected is not None and f.code != "outlier_values" and f.columns]
+    return spark.createDataFrame(found, "code string, column string, affected bigint")
+
+
+for _name, _filter, _cond in (
+    ("is_null", RowFilter("is_null", ("value",)), "value IS NULL"),
+    ("is_nan_or_inf", RowFilter("is_nan_or_inf", ("value",)), "isnan(value)"),
+    ("is_empty_string", RowFilter("is_empty_string", ("event_type",)), "event_type = ''"),
+    ("not_equals", RowFilter("not_equals", ("mostly",), (1,)), "mostly <> 1"),
+    ("in_values", RowFilter("in_values", ("event_type",), ("view", "click")), "event_type IN ('view', 'click')"),
+    ("normalised_in_values", RowFilter("normalised_in_values", ("event_type",), ("view", "click")), "lower(trim(event_type)) IN ('view', 'click')"),
+    ("has_surrounding_whitespace", RowFilter("has_surrounding_whitespace", ("event_type",)), "event_type <> trim(event_type)"),
+    ("out_of_range", RowFilter("out_of_range", ("value",), (), 10.0, 60.0), "(value < 10 OR value > 60) AND NOT isnan(value)"),
+    ("not_parseable_as_number", RowFilter("not_parseable_as_number", ("user",)), "\"user\" = 'n/a'"),
+):
+    register(f"health_rows_{_name}", f"{_DIRTY} SELECT event_id FROM e WHERE {_cond}")(lambda spark, d, rows=_filter: health.affected_rows(_dirty_events(spark, d), rows).select("event_id"))
+
+
+@register("health_rows_duplicated_by", "SELECT event_id FROM events WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING count(*) > 1)")
+def _duplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.affected_rows(read(spark, sf_dir, "events"), RowFilter("duplicated_by", ("user_id", "event_type"))).select("event_id")
+
+
+@register(
+    "repair_canonical_spellings",
+    _DIRTY
+    + """, s AS (SELECT event_type AS spelling, lower(trim(event_type)) AS k, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY ALL), b AS (SELECT k, first(spelling ORDER BY n DESC, spelling) AS canonical, count(*) AS c FROM s GROUP BY k)
+  SELECT spelling, canonical FROM s JOIN b USING (k) WHERE c > 1 AND spelling <> canonical""",
+)
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.canonical_spellings(_dirty_events(spark, sf_dir), "event_type")
+
+
+@register("export_neutralised_formulas", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '''=' || c_name WHEN c_custkey % 3 = 1 THEN '-5' ELSE c_name END AS c_name FROM customer")
+def _neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey") % 3
+    return neutralised(read(spark, sf_dir, "customer").select("c_custkey", F.when(c == 0, F.concat(F.lit("="), F.col("c_name"))).when(c == 1, "-5").otherwise(F.col("c_name")).alias("c_name")))
+
+
+# ---------------------------------------------------------------- SQL window
+
+_SQL = {
+    "group_filter": "SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS cut, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS price FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
+    "rollup": "SELECT n_regionkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)",
+    "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "windows": "SELECT o_orderkey, rank() OVER w AS place, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)",
+    "set_operations": "(SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20 INTERSECT SELECT n_nationkey FROM nation)",
+    "correlated_exists": "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
+    "scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)",
+    "recursive_cte": "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 12) SELECT n, count(o_orderkey) AS orders FROM r LEFT JOIN orders ON month(o_orderdate) = n GROUP BY n",
+    "outer_and_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+}
+for _name, _sql in _SQL.items():
+    register(f"sql_{_name}", _sql)(lambda spark, d, sql=_sql: sql_window.query(spark, sql, {t: read(spark, d, t) for t in TABLES}))
+
+
+@register("sql_top_per_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def _qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return read(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register("sql_distinct_on", "SELECT DISTINCT ON (p_brand) p_brand, p_partkey, p_retailprice FROM part ORDER BY p_brand, p_retailprice DESC, p_partkey")
+def _distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_retailprice"), F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey")).alias("x")).select("p_brand", "x.p_partkey", "x.p_retailprice")
+
+
+@register("sql_as_of_join", "SELECT e.event_id, e.user_id, e.ts, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return sql_window.as_of_join(e.select("event_id", "user_id", "ts"), bought, "user_id", "ts", "value", "last_purchase")
+
+
+@register("sql_pivot", "PIVOT (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) ON l_linestatus IN ('O', 'F') USING sum(l_quantity) GROUP BY l_returnflag")
+def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.sum("l_quantity"))
+
+
+@register("json_extraction", "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@register("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(list_max(embedding)::DOUBLE, 6) AS peak FROM embeddings")
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.round(F.array_max(e), 6).alias("peak"))
+
+
+@register("stream_tumbling_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.windowed(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# ---------------------------------------------------------------- assembly and decisions
+
+
+@register(
+    "assembly_column_roles",
+    """SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) AS "unique", 0::BIGINT AS missing, 'identifier' AS role FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name), 0, 'identifier' FROM customer
+       UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey), 0, 'numeric' FROM customer UNION ALL SELECT 'c_acctbal', count(DISTINCT c_acctbal), 0, 'numeric' FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), 0, 'categorical' FROM customer""",
+)
+def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.column_roles(read(spark, sf_dir, "customer"))
+
+
+_ALTERNATIVES = "(SELECT s_suppkey, s_acctbal, avg(l_extendedprice) AS price, sum(l_quantity) AS volume FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY ALL)"
+
+
+def _alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("price"), F.sum("l_quantity").alias("volume"))
+    return read(spark, sf_dir, "supplier").join(line, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "s_acctbal", "price", "volume")
+
+
+_CRITERIA = {"s_acctbal": "max", "price": "min", "volume": "max"}
+_SHARES = {"s_acctbal": 0.5, "price": 0.2, "volume": 0.3}
+
+
+@register(
+    "decision_topsis",
+    f"""WITH a AS {_ALTERNATIVES}, f AS (SELECT sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM a),
+  d AS (SELECT s_suppkey, sqrt(pow(0.5 * (s_acctbal - b1) / n1, 2) + pow(0.2 * (price - a2) / n2, 2) + pow(0.3 * (volume - b3) / n3, 2)) AS p, sqrt(pow(0.5 * (s_acctbal - a1) / n1, 2) + pow(0.2 * (price - b2) / n2, 2) + pow(0.3 * (volume - a3) / n3, 2)) AS m FROM a, f)
+  SELECT s_suppkey, round(m / (m + p), 8) AS closeness, rank() OVER (ORDER BY round(m / (m + p), 12) DESC) AS rank FROM d""",
+)
+def _topsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.topsis(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES).select("s_suppkey", F.round("closeness", 8).alias("closeness"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("decision_pareto", f"WITH a AS {_ALTERNATIVES} SELECT s_suppkey FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.s_acctbal >= a.s_acctbal AND b.price <= a.price AND b.volume >= a.volume AND (b.s_acctbal > a.s_acctbal OR b.price < a.price OR b.volume > a.volume))")
+def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.pareto(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA).select("s_suppkey")
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_totalprice") > 1000)
+@register("decision_fixed_scales", f"WITH a AS {_ALTERNATIVES}, u AS (SELECT s_suppkey, greatest(least(s_acctbal, 10000), 0) / 10000 AS x, 1 - (ln(greatest(least(price, 100000), 1000)) - ln(1000)) / (ln(100000) - ln(1000)) AS y FROM a) SELECT s_suppkey, round(sqrt(pow(0.7 * x, 2) + pow(0.3 * y, 2)) / (sqrt(pow(0.7 * x, 2) + pow(0.3 * y, 2)) + sqrt(pow(0.7 * (1 - x), 2) + pow(0.3 * (1 - y), 2))), 8) AS closeness FROM u")
+def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scales = {"s_acctbal": (0, 10000, "max", "linear"), "price": (1000, 100000, "min", "log")}
+    return decision.fixed_scale_topsis(_alternatives(spark, sf_dir), "s_suppkey", scales, {"s_acctbal": 0.7, "price": 0.3}).withColumn("closeness", F.round("closeness", 8))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline_flagship": flagship}
-ORACLE_SQL: dict[str, str] = {"pipeline_flagship": "SELECT * FROM orders WHERE o_totalprice > 1000"}
+@register("decision_weight_shares")
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.weight_shares(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, 500)

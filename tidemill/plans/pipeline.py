@@ -1,0 +1,174 @@
+"""Replayable pipelines: a list of steps with undo and redo, checked on schemas,
+replayed as one lazy DataFrame."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemill.errors import PreparationError
+from tidemill.functions.expressions import quoted
+from tidemill.operators.rows import ORDER, with_order
+from tidemill.operators.steps import Effect, Step, operation
+
+MAX_STEPS, MAX_PARAM_BYTES, MAX_UNDO = 200, 64 * 1024, 50
+
+
+@dataclass(frozen=True)
+class Pipeline:
+    steps: tuple[Step, ...] = ()
+    undone: tuple[tuple[Step, ...], ...] = ()
+    done: tuple[tuple[Step, ...], ...] = ()
+
+    def with_steps(self, steps: tuple[Step, ...]) -> Pipeline:
+        """Another list of steps; the present one can be brought back."""
+        return Pipeline(tuple(steps), (), (*self.done, self.steps)[-MAX_UNDO:])
+
+    def append(self, *steps: Step) -> Pipeline:
+        return self.with_steps((*self.steps, *steps))
+
+    def undo(self) -> Pipeline:
+        if not self.done:
+            raise PreparationError("there is nothing to undo")
+        return Pipeline(self.done[-1], (*self.undone, self.steps), self.done[:-1])
+
+    def redo(self) -> Pipeline:
+        if not self.undone:
+            raise PreparationError("there is nothing to redo")
+        return Pipeline(self.undone[-1], self.undone[:-1], (*self.done, self.steps))
+
+    def fingerprint(self) -> str:
+        body = [{"kind": s.kind, "params": s.params} for s in self.steps]
+        return hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class StepPlan:
+    step: Step
+    before: T.StructType
+    after: T.StructType
+    reads: tuple[str, ...]
+    effect: Effect
+
+
+def check_limits(steps: tuple[Step, ...]) -> None:
+    if len(steps) > MAX_STEPS:
+        raise PreparationError(f"a pipeline has {MAX_STEPS} steps at most")
+    ids = [s.step_id for s in steps if s.step_id]
+    if len(ids) != len(set(ids)):
+        raise PreparationError("step ids repeat")
+    if len(json.dumps([s.params for s in steps], default=str).encode()) > MAX_PARAM_BYTES:
+        raise PreparationError("the parameters are too large")
+
+
+def _visible(schema: T.StructType) -> T.StructType:
+    return T.StructType([f for f in schema if f.name != ORDER])
+
+
+def plan(df: DataFrame, steps: tuple[Step, ...]) -> list[StepPlan]:
+    """The schema before and after each step, found by analysis alone: each step
+    is applied to an empty frame of its input schema."""
+    check_limits(steps)
+    schema, out = _visible(df.schema), []
+    for at, step in enumerate(steps, 1):
+        op = operation(step)
+        try:
+            op.validate(step.params, schema)
+            after = _visible(op.apply(df.sparkSession.createDataFrame([], schema), step.params).schema)
+            out.append(StepPlan(step, schema, after, op.reads(step.params, schema), op.effect(step.params, schema)))
+        except PreparationError as e:
+            raise PreparationError(f"step {at} ({step.kind}): {e}") from None
+        schema = after
+    return out
+
+
+def replay(df: DataFrame, steps: tuple[Step, ...], keep_order: bool = False) -> DataFrame:
+    """``df`` after all steps, lazily. An order column is carried only if a step
+    needs row order."""
+    ordered = keep_order or any(s.kind in ("sort_rows", "deduplicate") for s in steps)
+    check_limits(steps)
+    out = with_order(df) if ordered else df
+    for at, step in enumerate(steps, 1):
+        op = operation(step)
+        try:
+            op.validate(step.params, out.schema)
+        except PreparationError as e:
+            raise PreparationError(f"step {at} ({step.kind}): {e}") from None
+        out = op.apply(out, step.params)
+    return out if keep_order else out.drop(ORDER)
+
+
+@dataclass(frozen=True)
+class Impact:
+    rows_before: int
+    rows_after: int
+    columns_before: int
+    columns_after: int
+    #: Values that became null, by column (0 or more).
+    lost: dict[str, int] = field(default_factory=dict)
+
+
+def impact(df: DataFrame, steps: tuple[Step, ...], step: Step) -> Impact:
+    """What one more step would change, by one aggregate on each side."""
+    before = replay(df, steps, keep_order=True)
+    operation(step).validate(step.params, before.schema)
+    after = operation(step).apply(before, step.params)
+    old, new = _nulls(before.drop(ORDER)), _nulls(after.drop(ORDER))
+    gone = old["rows"] - new["rows"]
+    lost = {c: max(0, new[c] - old[c]) for c in new if c != "rows" and c in old and gone == 0}
+    return Impact(old["rows"], new["rows"], len(old) - 1, len(new) - 1, {c: n for c, n in lost.items() if n})
+
+
+def _nulls(df: DataFrame) -> dict[str, int]:
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(F.when(quoted(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(df.columns))).first()
+    return {"rows": row[0]} | {c: row[i + 1] for i, c in enumerate(df.columns)}
+
+
+# ---------------------------------------------------------------- lineage
+
+
+@dataclass(frozen=True)
+class History:
+    """Where a column comes from and the steps that touched it."""
+
+    sources: tuple[str, ...]
+    steps: tuple[int, ...] = ()
+
+
+def lineage(df: DataFrame, steps: tuple[Step, ...]) -> dict[str, History]:
+    """History of each column of the result, folded from the steps' effects; no
+    data is read."""
+    now = {f.name: History((f.name,)) for f in _visible(df.schema)}
+    for at, p in enumerate(plan(df, steps), 1):
+        e = p.effect
+        for c in e.mutated:
+            now[c] = replace(now[c], steps=(*now[c].steps, at))
+        for old, new in e.renamed:
+            now = {new if c == old else c: replace(h, steps=(*h.steps, at)) if c == old else h for c, h in now.items()}
+        for c, reads in e.created:
+            parents = [now[r] for r in reads]
+            now[c] = History(tuple(dict.fromkeys(s for h in parents for s in h.sources)), tuple(sorted({*(s for h in parents for s in h.steps), at})))
+        for c in e.dropped:
+            now.pop(c)
+    return now
+
+
+def required_columns(df: DataFrame, steps: tuple[Step, ...]) -> tuple[str, ...]:
+    """Source columns that the steps read or the result holds."""
+    now = {f.name: (f.name,) for f in _visible(df.schema)}
+    needed: set[str] = set()
+    for p in plan(df, steps):
+        needed |= {s for r in p.reads for s in now.get(r, ())}
+        for old, new in p.effect.renamed:
+            now[new] = now.pop(old)
+        for c, reads in p.effect.created:
+            now[c] = tuple({s for r in reads for s in now[r]})
+        for c in p.effect.dropped:
+            now.pop(c)
+    needed |= {s for sources in now.values() for s in sources}
+    return tuple(f.name for f in _visible(df.schema) if f.name in needed)
