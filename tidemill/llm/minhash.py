@@ -8,11 +8,17 @@
    as all its registers are filled, mostly after one or two rounds.
 2. Equal sets collapse to one node (a map-side minimum, so a huge group of
    copies is no hot spot).
-3. Nodes that share a band meet. In each bucket they are tested against one
-   centre, the node with the most company over all its bands; then whatever is
-   still apart inside a bucket is tested across the groups found so far. So no
-   bucket emits all its pairs, yet every pair that stays unlinked was tested or
-   lies in groups already joined.
+3. Nodes that share a band meet. Those of a bucket are tested against one centre,
+   the node with the most company over all its bands. What is then still apart is
+   found from the differences to the centre, which near copies keep short: let M
+   be the set that the members of a centre agree on by majority, D(x) the
+   symmetric difference of x and M, and u(x) = |D(x)| - |x| * (1-s)/(1+s). Two
+   members x and y are linked if and only if ``2 * |D(x) & D(y)| >= u(x) + u(y)``.
+   So each member with ``u(x) + min u <= 0`` is linked with the member that has the
+   least u, and any other one needs a partner that shares some of its differences:
+   such pairs meet by the rarest of these (a prefix filter). A difference that many
+   share names a family of its own, with a centre and another round. No bucket
+   emits all its pairs, yet no linked pair that shares a band is lost.
 4. Links are confirmed on the full sets, made anew from the whole texts, and
    grouped by distributed union-find (``graph.components``).
 """
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +38,14 @@ from tidemill.llm.common import byte_column, chunks, distinct_sets, mix, saved,
 from tidemill.llm.graph import components
 
 
+#: Ids that may be broadcast (16 bytes of key and 8 of id each).
+SMALL_IDS = 200_000
+#: Similarity in hundredths from which a member of a bucket counts as its centre's kin.
+NEAR = 50
+#: Members that share a difference are tested pair by pair up to this number.
+SMALL_GROUP = 64
+
+
 @dataclass(frozen=True)
 class NearDupRules:
     """Shingle width in words, similarity in hundredths, bands and their rows.
@@ -136,43 +150,122 @@ def signatures(docs: DataFrame, rules: NearDupRules) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough.
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` of ``wanted(node, doc_id)``. Up to SMALL_IDS ids, counted
+    first, are broadcast, so that only the texts asked for leave their scan;
+    beyond that the join shuffles."""
+    few = wanted.count() <= SMALL_IDS
+    return saved(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text"), "texts")
+
+
+def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
+    """``pairs(a, b, open)`` with ``linked`` (by full sets), the ``size`` of a's
+    set and, for open pairs, ``delta``: the shingles that only one of them has.
+    Pairs under NEAR are open no longer.
 
     Only texts of nodes in a pair travel. The side b, the centres, may be hot;
     its join is one that Spark can split, and its sets are made once in a row."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = saved(wanted.join(nodes.select("node", "doc_id"), "node").join(docs.select("doc_id", "text"), "doc_id").select("node", "text"), "texts")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = _texts(saved(wanted, "wanted"), docs)
     joined = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
+        .select("a", "b", "open", "text_a", "text_b")
     )
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("open", T.BooleanType()), T.StructField("linked", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("delta", T.ArrayType(T.LongType()))])
+    percent = rules.percent
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in chunks(batches, "text_a"):
-            starts, values = _sets(*byte_column(batch.column(2)), rules.width)
+            starts, values = _sets(*byte_column(batch.column(3)), rules.width)
             names = _fingerprints(starts, values)
-            a, b, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            a, b, wide = (batch.column(k).to_pylist() for k in range(3))
+            rows: list[tuple] = []
             for i in range(batch.num_rows):
                 if last[0] != b[i]:
-                    s, v = _sets(*byte_column(batch.column(3).slice(i, 1)), rules.width)
+                    s, v = _sets(*byte_column(batch.column(4).slice(i, 1)), rules.width)
                     if _fingerprints(s, v)[0] != b[i]:  # another text under the same doc_id
                         continue
                     last = (b[i], v)
                 if names[i] != a[i]:
                     continue
                 mine = values[starts[i] : starts[i + 1]]
-                both = len(mine) + len(last[1]) - len(np.union1d(mine, last[1]))
-                if 100 * both >= rules.percent * (len(mine) + len(last[1]) - both):
-                    ok.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.binary()), pa.array([b[i] for i in ok], pa.binary())], names=["a", "b"])
+                delta = np.setxor1d(mine, last[1], assume_unique=True)
+                both = (len(mine) + len(last[1]) - len(delta)) // 2
+                linked = 100 * both >= percent * (both + len(delta))
+                kin = wide[i] and 100 * both >= NEAR * (both + len(delta))
+                rows.append((a[i], b[i], kin, linked, len(mine), delta.view(np.int64) if kin else []))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], names=schema.names)
 
     return joined.mapInArrow(check, schema)
 
 
+def _centres(rows: DataFrame, by: list[str], company: str) -> DataFrame:
+    """For each group ``by`` the node with the largest sum of ``company`` over
+    all its rows (ties to the larger node)."""
+    rank = rows.groupBy("node").agg(F.sum(company).alias("rank"))
+    best = rows.select(*by, "node").join(rank, "node").groupBy(*by).agg(F.max(F.struct("rank", "node")).alias("best"))
+    return best.select(*by, F.col("best.node").alias("centre"))
+
+
+def _apart(tested: DataFrame, labels: DataFrame, rules: NearDupRules, large_from: int | None) -> DataFrame:
+    """Pairs ``(a, b, open)`` that the open tests leave to be tested. Groups of a
+    difference with more than ``large_from`` members get a centre, not pairs."""
+    names = labels.select(F.col("node").alias("b"), F.col("label").alias("home"))
+    seen = tested.filter("open").join(labels.withColumnRenamed("node", "a"), "a", "left").join(names, "b", "left")
+    seen = seen.select("b", F.col("a").alias("node"), "size", "delta", F.coalesce("label", "a").alias("label"), F.coalesce("home", "b").alias("home"))
+    group = seen.groupBy("b").agg(F.count("*").alias("members"), F.min(F.least("label", "home")).alias("least"), F.max(F.greatest("label", "home")).alias("most"))
+    members = saved(seen.join(group.filter("least != most and members > 1").select("b", "members"), "b").drop("home"), "members")
+
+    rows = members.select("b", "node", F.explode("delta").alias("e"))
+    often = saved(rows.groupBy("b", "e").agg(F.count("*").alias("often")).join(group.select("b", "members"), "b"), "often")
+    agreed = often.filter("2 * often > members").select("b", "e", (F.col("members") - F.col("often")).alias("rest"))
+    lacking = members.select("b", "node", "delta").join(agreed, "b").filter(~F.array_contains("delta", F.col("e"))).select("b", "node", "e", F.col("rest").alias("often"))
+    apart = rows.join(often.filter("2 * often <= members").select("b", "e", "often"), ["b", "e"]).select("b", "node", "e", "often").union(lacking)
+    width = apart.groupBy("b", "node").agg(F.count("*").alias("width"))
+    share = (100 - rules.percent) / (100 + rules.percent)
+    scored = members.select("b", "node", "size", "label").join(width, ["b", "node"], "left").withColumn("u", F.coalesce("width", F.lit(0)) - F.col("size") * F.lit(share))
+    best = scored.groupBy("b").agg(F.min(F.struct("u", "node", "label")).alias("best"))
+    scored = saved(scored.join(best, "b").withColumn("need", F.ceil((F.col("u") + F.col("best.u")) / 2 - 1e-6)).select("b", "node", "label", "size", "u", "need", F.col("best.node").alias("best"), F.col("best.label").alias("home")), "scored")
+    core = scored.filter("need <= 0 and label != home").select("node", "best")
+
+    # Differences of far members up to the prefix; of core members only those
+    # that a far one has.
+    order = Window.partitionBy("b", "node").orderBy(F.desc("often"), "e")
+    shared = apart.filter("often > 1")
+    far = shared.join(scored.filter("need > 0"), ["b", "node"]).withColumn("place", F.row_number().over(order)).filter("place >= need")
+    far = saved(far.select("b", "e", "node", "label", "size", "u", "place"), "far")
+    near = scored.filter("need <= 0").join(shared, ["b", "node"]).join(far.select("b", "e").distinct(), ["b", "e"], "left_semi").select("b", "e", "node", "label", "size", "u", F.lit(1 << 30).alias("place"))
+    told = far.withColumn("far", F.lit(True)).union(near.withColumn("far", F.lit(False)))
+    meet = told.groupBy("b", "e").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("b", "e", "n")
+    told = saved(told.join(meet, ["b", "e"]), "told")
+    small = told if large_from is None else told.filter(F.col("n") <= large_from)
+    left = small.filter("far").select("b", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px"))
+    right = small.select("b", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place")
+    alike = F.lit(100) * F.least("mine", "size") >= F.lit(rules.percent) * F.greatest("mine", "size")
+    # At the rarest shared difference, all other shared ones are more frequent.
+    enough = F.least("px", "place") >= (F.col("ux") + F.col("u")) / 2 - 1e-6
+    met = left.join(right, ["b", "e"]).filter("lx != ly").filter(alike & enough).select("x", "y").union(core)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
+    if large_from is not None:
+        large = told.filter(F.col("n") > large_from)
+        star = large.join(_centres(large, ["b", "e"], "n"), ["b", "e"]).filter("node != centre")
+        pairs = pairs.union(star.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open")))
+    return pairs.groupBy("a", "b").agg(F.bool_or("open").alias("open"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, label)`` after more links: only the labels that these tie
+    together are grouped anew."""
+    tied = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    tied = saved(tied.filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "ties")
+    if tied.isEmpty():
+        return labels
+    to = components(tied).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return saved(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -190,28 +283,17 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataF
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1")
     buckets = saved(rows.join(shared, "key"), "buckets")
-    rank = buckets.groupBy("node").agg(F.sum("company").alias("company"))
-    ranked = buckets.select("key", "node").join(rank, "node")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("centre")).select("key", F.col("centre.node").alias("centre"))
-    centred = saved(buckets.select("key", "node").join(centres, "key"), "centred")
-    first = centred.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = saved(_confirmed(saved(first, "pairs"), nodes, docs, rules), "links")
-
-    # What a bucket still holds apart: nodes outside the centre's group, against
-    # the nodes of every other group of the bucket.
-    label = saved(components(links), "labels")
-    named = centred.join(label.select("node", F.col("label")), "node", "left").select("key", "node", "centre", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
-    apart = saved(named.join(split, "key"), "apart")
-    home = apart.filter("node = centre").select("key", F.col("label").alias("home"))
-    outside = apart.join(home, "key").filter("label != home").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    others = apart.filter("node != centre").select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    second = outside.join(others, "key").filter("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = saved(second, "pairs")
-    if second.isEmpty():
-        grouped = label
-    else:
-        grouped = components(links.union(_confirmed(second, nodes, docs, rules)))
+    star = buckets.select("key", "node").join(_centres(buckets, ["key"], "company"), "key").filter("node != centre")
+    pairs = saved(star.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open")).distinct(), "pairs")
+
+    grouped, rounds = nodes.select("node", F.col("node").alias("label")), 0
+    while True:
+        rounds += 1
+        tested = saved(_tested(pairs, nodes, docs, rules), "tested")
+        grouped = _relabelled(grouped, tested.filter("linked").select("a", "b"))
+        pairs = saved(_apart(tested, grouped, rules, SMALL_GROUP if rounds < 8 else None), "pairs")
+        if pairs.isEmpty():
+            break
 
     root = nodes.select("node", "doc_id").join(grouped, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = root.groupBy("label").agg(F.min("doc_id").alias("component_id"))
