@@ -41,7 +41,6 @@ def same(df, con, sql):
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if want != got:
-        extra = [x for x in got if x not in set(want)][:2]
-        lacking = [x for x in want if x not in set(got)][:2]
+        extra, lacking = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return f"{len(got)} and {len(want)} rows; only here {extra}; only there {lacking}"
     return None

@@ -58,13 +58,13 @@ steps(
     "orders",
     [
         Step("filter_rows", {"column": "o_totalprice", "operator": "gt", "value": "1000"}),
-        Step("add_column", {"name": "net", "expression": "round(o_totalprice / 1.2, 2)"}),
+        Step("add_column", {"name": "net", "expression": "o_totalprice / 1.2"}),
         Step("add_column", {"name": "size", "expression": "'large' if [o_totalprice] >= 100000 else 'small'"}),
         Step("change_case", {"columns": ["o_orderpriority"], "mode": "lower"}),
         Step("drop_columns", {"columns": ["o_orderdate"]}),
     ],
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, lower(o_orderpriority) AS o_orderpriority,
-       round_even(o_totalprice / 1.2, 2) AS net, CASE WHEN o_totalprice >= 100000 THEN 'large' ELSE 'small' END AS size
+       o_totalprice / 1.2 AS net, CASE WHEN o_totalprice >= 100000 THEN 'large' ELSE 'small' END AS size
        FROM orders WHERE o_totalprice > 1000""",
 )
 
@@ -160,14 +160,14 @@ steps(
     "add_column_formulas",
     "lineitem",
     [
-        Step("add_column", {"name": "revenue", "expression": "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2)"}),
+        Step("add_column", {"name": "revenue", "expression": "l_extendedprice * (1 - l_discount) * (1 + l_tax)"}),
         Step("add_column", {"name": "half", "expression": "l_linenumber // 2 + l_linenumber % 2"}),
         Step("add_column", {"name": "tag", "expression": "concat(upper(l_returnflag), '-', lower(l_linestatus), str(year(l_shipdate)))"}),
         Step("add_column", {"name": "kind", "expression": "iif(0.02 < l_discount <= 0.05 and not l_tax > 0.04, 'mid', coalesce(None, 'other'))"}),
         Step("add_column", {"name": "peak", "expression": "max(l_quantity, l_linenumber * 10)"}),
         Step("drop_columns", {"columns": ["l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]}),
     ],
-    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round_even(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS revenue,
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS revenue,
        (floor(l_linenumber / 2) + l_linenumber % 2)::DOUBLE AS half, concat(upper(l_returnflag), '-', lower(l_linestatus), year(l_shipdate)) AS tag,
        CASE WHEN l_discount > 0.02 AND l_discount <= 0.05 AND NOT l_tax > 0.04 THEN 'mid' ELSE 'other' END AS kind,
        greatest(l_quantity, (l_linenumber * 10)::DOUBLE) AS peak FROM lineitem""",

@@ -154,8 +154,8 @@ def weight_shares(df: DataFrame, key: str, criteria: dict[str, str], samples: in
     scored = df.crossJoin(F.broadcast(facts)).crossJoin(F.broadcast(draws)).select("s", quoted(key), F.round(F.when(p + m == 0, 0.5).otherwise(m / F.nullif(p + m, F.lit(0.0))), 12).alias("score"))
     best = scored.groupBy("s").agg(F.max("score").alias("score"))
     won = scored.join(best, ["s", "score"])
-    ties = won.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    return won.join(ties, "s").groupBy(quoted(key)).agg((F.sum(1 / F.col("k")) / samples).alias("share"))
+    ties = won.groupBy("s").agg(F.count(F.lit(1)).alias("__ties__"))
+    return won.join(ties, "s").groupBy(quoted(key)).agg((F.sum(1 / F.col("__ties__")) / samples).alias("share"))
 
 
 def verdict(share: float, front: int) -> str:

@@ -53,25 +53,18 @@ def check_text(sql: str) -> None:
 _COMMAND = re.compile(r"Command|Create|Insert|Drop|Alter|Delete|Update|Merge|Overwrite|Append|Truncate|Cache|Set(?!OperationLike)|Show|Describe|Explain|Script|Analyze|Refresh|Load")
 
 
-def _walk(plan, seen: list) -> None:
-    """All logical nodes and expressions below ``plan``, subqueries included."""
-    stack = [plan]
+def _walk(spark: SparkSession, plan) -> list[tuple]:
+    """``(node, class name, is a plan)`` of all nodes and expressions of a parsed
+    query, subqueries and common table expressions included."""
+    query = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.QueryPlan")
+    stack, seen = [plan], []
     while stack:
         node = stack.pop()
-        seen.append(node)
-        for group in ("children", "innerChildren"):
-            items = getattr(node, group)()
-            stack += [items.apply(i) for i in range(items.size()) if hasattr(items.apply(i), "children")]
-        if hasattr(node, "expressions"):
-            items = node.expressions()
-            stack += [items.apply(i) for i in range(items.size())]
-        name = node.getClass().getSimpleName()
-        if name in ("ScalarSubquery", "Exists", "InSubquery", "ListQuery", "LateralSubquery"):
-            inner = node.query() if name == "InSubquery" else node.plan()
-            stack.append(inner)
-        if name == "UnresolvedWith":
-            relations = node.cteRelations()
-            stack += [relations.apply(i)._2() for i in range(relations.size())]
+        is_plan = query.isInstance(node)
+        seen.append((node, node.getClass().getSimpleName(), is_plan))
+        groups = [node.children(), node.innerChildren()] + ([node.expressions()] if is_plan else [])
+        stack += [items.apply(i) for items in groups for i in range(items.size())]
+    return seen
 
 
 def check(spark: SparkSession, sql: str, bound: tuple[str, ...]) -> None:
@@ -83,16 +76,14 @@ def check(spark: SparkSession, sql: str, bound: tuple[str, ...]) -> None:
         if "ParseException" in type(e).__name__ or "PARSE" in str(e) or isinstance(e, ParseException):
             raise PreparationError(f"the query cannot be read: {str(e).splitlines()[0]}") from None
         raise
-    seen: list = []
-    _walk(plan, seen)
+    seen = _walk(spark, plan)
     known, ctes, used, allowed = {b.casefold() for b in bound}, set(), 0, allowed_functions(spark)
-    for node in seen:
-        if node.getClass().getSimpleName() == "UnresolvedWith":
+    for node, name, _ in seen:
+        if name == "UnresolvedWith":
             relations = node.cteRelations()
             ctes |= {relations.apply(i)._1().casefold() for i in range(relations.size())}
-    for node in seen:
-        name = node.getClass().getSimpleName()
-        if _COMMAND.search(name) and hasattr(node, "output"):
+    for node, name, is_plan in seen:
+        if is_plan and _COMMAND.search(name):
             raise PreparationError("only SELECT queries are allowed")
         if name == "UnresolvedTableValuedFunction":
             raise PreparationError("table functions are not allowed")
@@ -106,7 +97,7 @@ def check(spark: SparkSession, sql: str, bound: tuple[str, ...]) -> None:
             function = parts.apply(parts.size() - 1).lower()
             if parts.size() != 1 or function not in allowed:
                 raise PreparationError(f"the function {parts.mkString('.')!r} is not allowed")
-        if name == "Literal" and str(node.dataType().typeName()) == "string" and str(node.value()).count("%") > MAX_PERCENTS:
+        if name == "Literal" and node.dataType().typeName() == "string" and str(node.value()).count("%") > MAX_PERCENTS:
             raise PreparationError(f"a pattern has {MAX_PERCENTS} wildcards at most")
     if not used:
         raise PreparationError("the query names no table")
@@ -114,7 +105,7 @@ def check(spark: SparkSession, sql: str, bound: tuple[str, ...]) -> None:
 
 def bind(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"`{name}`")
 
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,8 +6,11 @@ import csv
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
+from tidemill.functions.expressions import quoted
 
 PROBE, TEXT_PROBE, SEPARATORS, MAX_DEPTH = 8 * 1024, 1 << 20, ",;\t|", 100
 _BY_NAME = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "xlsx", ".feather": "arrow", ".arrow": "arrow", ".ipc": "arrow", ".orc": "orc"}
@@ -101,10 +104,10 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, schema=N
     kind = kind or detect_format(path, start)
     if kind in ("csv", "tsv"):
         encoding = detect_encoding(start)
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", encoding).option("sep", "\t" if kind == "tsv" else sniff_separator(start, encoding))
-        if schema is None:
-            return reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
-        return reader.schema(schema).csv(path)
+        single = encoding.startswith("windows")
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", "\"").option("encoding", "ISO-8859-1" if single else encoding).option("sep", "\t" if kind == "tsv" else sniff_separator(start, encoding))
+        df = reader.option("inferSchema", True).csv(path) if schema is None else reader.schema(schema).csv(path)
+        return _recoded(df, encoding, rename=schema is None) if single else df
     if kind in ("json", "jsonl"):
         if json_depth(start) > MAX_DEPTH:
             raise PreparationError("the JSON is nested too deeply")
@@ -120,6 +123,17 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, schema=N
     raise PreparationError(f"the format {kind!r} is not known")
 
 
+def _recoded(df: DataFrame, encoding: str, rename: bool) -> DataFrame:
+    """Text that was read as Latin-1, in its real single-byte encoding. Spark's
+    readers know few charsets, but each byte became one character, so a
+    translation of 128 characters does it."""
+    raw = bytes(range(0x80, 0x100))
+    there = "".join(bytes([b]).decode(encoding, "replace") for b in raw)
+    here = raw.decode("latin-1")
+    names = [c.translate(str.maketrans(here, there)) for c in df.columns] if rename else df.columns
+    return df.select(*((F.translate(quoted(f.name), here, there) if isinstance(f.dataType, T.StringType) else quoted(f.name)).alias(n) for f, n in zip(df.schema, names)))
+
+
 def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC files: each file is read in the task that holds its row of
     ``binaryFile``, batch by batch."""
