@@ -12,6 +12,7 @@ from tidemill.llm.langid import language_report
 from tidemill.llm.media import read_back, store_texts
 from tidemill.llm.minhash import near_duplicates
 from tidemill.llm.mixing import label_domains, mixing_rates
+from tidemill.llm.neighbours import nearest
 from tidemill.llm.packing import pack
 from tidemill.llm.secrets import secret_report
 from tidemill.llm.warc import archive_report
@@ -34,6 +35,10 @@ def op4_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_lossless_webp": op1_lossless_webp,
     "op3_mixing_to_targets": op3_mixing_to_targets,
     "op4_warc_splittable": op4_warc_splittable,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_secret_scans": op8_secret_scans,
