@@ -14,6 +14,7 @@ from tidemill.llm.minhash import near_duplicates
 from tidemill.llm.mixing import label_domains, mixing_rates
 from tidemill.llm.neighbours import nearest
 from tidemill.llm.packing import pack
+from tidemill.llm.passages import repeated_passages
 from tidemill.llm.secrets import secret_report
 from tidemill.llm.warc import archive_report
 
@@ -27,6 +28,10 @@ def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store_texts(table(spark, sf_dir, "documents")))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGET_WEIGHTS)
 
@@ -61,6 +66,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_lossless_webp": op1_lossless_webp,
+    "op2_compact_windows": op2_compact_windows,
     "op3_mixing_to_targets": op3_mixing_to_targets,
     "op4_warc_splittable": op4_warc_splittable,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
