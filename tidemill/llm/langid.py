@@ -35,7 +35,7 @@ class LangRules:
     cuts of each sampled text are further training rows, so that short texts are
     learned too."""
 
-    sample_docs: int = 2000
+    sample_docs: int = 1000
     max_languages: int = 256
     snippets: int = 3
     bucket_bits: int = 16
@@ -44,7 +44,7 @@ class LangRules:
     rate: float = 20.0
     seed: int = 7
     reject_share: float = 0.001
-    reject_most: float = 0.35
+    reject_most: float = 0.3
 
 
 @dataclass(frozen=True)
@@ -145,19 +145,20 @@ def _sample(labelled: DataFrame, rules: LangRules) -> tuple[list[str], list[tupl
                     found = np.concatenate(features(body[a:b], np.array([0, b - a]), bits))
                     bucket, n = np.unique(found[found < (1 << bits)], return_counts=True)
                     if len(bucket):
-                        for column, value in zip(rows, (lang, draw, doc, part, bucket.astype(np.int32).tobytes(), n.astype(np.float32).tobytes())):
+                        for column, value in zip(rows, (lang, draw, doc, part, bucket.astype(np.int32).tobytes(), (n / n.sum()).astype(np.float32).tobytes())):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=schema.names)
 
-    got = picked.select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(extract, schema).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["draw"], r["doc"], r["part"], r["buckets"]))
+    got = picked.select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(extract, schema).toArrow().combine_chunks()
+    names = list(zip(*(got.column(k).to_pylist() for k in range(4))))
+    buckets, weights = (got.column(k).combine_chunks() if got.num_rows else [] for k in (4, 5))
     rows, docs = [], {}
-    for r in got:
-        mine = docs.setdefault(r["lang"], {})
-        order = mine.setdefault((r["draw"], r["doc"]), len(mine))
-        if order < each:
-            weight = np.frombuffer(r["counts"], np.float32)
-            rows.append((r["lang"], order, r["part"], np.frombuffer(r["buckets"], np.int32), weight / weight.sum()))
+    for i in sorted(range(len(names)), key=lambda i: (*names[i], bytes(buckets[i].as_buffer()))):
+        lang, draw, doc, part = names[i]
+        mine = docs.setdefault(lang, {})
+        order = mine.setdefault((draw, doc), len(mine))
+        if order < each:  # views of the one Arrow table, no copies
+            rows.append((lang, order, part, np.frombuffer(buckets[i].as_buffer(), np.int32), np.frombuffer(weights[i].as_buffer(), np.float32)))
     return sorted(r["lang"] for r in counts), rows
 
 

@@ -3,12 +3,12 @@
 A naive Bayes classifier, trained on the labelled table, gives every document a
 probability for each domain. Documents then get rates r >= min_rate such that
 the expected domain totals ``S_d = sum_i r_i * tokens_i * p_id`` come as close to
-the targets ``T`` as they can, in least squares. Projected gradient descent runs
-in the metric of ``H = sum_i tokens_i * p_i p_i'``: a step is
-``r_i <- max(min_rate, r_i + p_i . y)`` with ``H y = T - S``, so each iteration
-needs one aggregate with as many sums as domains, and a document's rate depends
-on its posterior alone. Only DataFrame functions touch the rows; the driver sees
-the sums and the bounded lexicon.
+the targets ``T`` as they can, in least squares. Projected gradient descent runs in the metric of
+``H = sum_i tokens_i * p_i p_i'`` and projects lazily: steps ``H y = T - S`` add up
+to ``v``, and ``r_i = max(min_rate, 1 + p_i . v)``. So each iteration needs one
+aggregate with as many sums as domains, and a document's rate depends on its
+posterior alone. Only DataFrame functions touch the rows; the driver sees the sums
+and the bounded lexicon.
 """
 
 from __future__ import annotations
@@ -38,9 +38,8 @@ class MixRules:
     least_docs: int = 20
     smoothing: float = 1.0
     iterations: int = 40
-    tolerance: float = 1e-7
-    #: Iterations whose updates stay one nested expression before a table is written.
-    unroll: int = 10
+    #: Largest gap or movement of a domain's total, as a share of all tokens.
+    tolerance: float = 1e-5
 
 
 @dataclass(frozen=True)
@@ -125,14 +124,19 @@ def _dot(posterior: Column, y: list[float]) -> Column:
 
 @dataclass(frozen=True)
 class Fit:
-    """The updates ``y`` of all iterations, the targets and what was reached."""
+    """The sum ``v`` of all steps, the targets and what was reached."""
 
-    updates: tuple[tuple[float, ...], ...]
+    v: tuple[float, ...]
     target: tuple[float, ...]
     reached: tuple[float, ...]
+    iterations: int = 0
 
-    def rate(self, posterior: Column, min_rate: float, start: Column | None = None, updates: tuple | None = None) -> Column:
-        return reduce(lambda r, y: F.greatest(F.lit(float(min_rate)), r + _dot(posterior, list(y))), self.updates if updates is None else updates, F.lit(1.0) if start is None else start)
+    def rate(self, posterior: Column, min_rate: float) -> Column:
+        return _rate(posterior, self.v, min_rate)
+
+
+def _rate(posterior: Column, v: tuple[float, ...], min_rate: float) -> Column:
+    return F.greatest(F.lit(float(min_rate)), F.lit(1.0) + _dot(posterior, list(v)))
 
 
 def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], rules: MixRules, min_rate: float = 0.0, grow_only: bool = False) -> Fit:
@@ -147,28 +151,23 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     natural = [sums[f"s{i}"] for i in d]
     total, mass = sum(natural), sum(weights.get(x, 0.0) for x in domains)
     if not total:
-        return Fit((), tuple(0.0 for _ in d), tuple(0.0 for _ in d))
+        return Fit(tuple(0.0 for _ in d), tuple(0.0 for _ in d), tuple(0.0 for _ in d))
     target = [total * weights.get(x, 0.0) / mass for x in domains] if mass else list(natural)
     if grow_only:
         target = [max(a, b) for a, b in zip(target, natural)]
     ridge = 1e-9 * total
     h = [[sums[f"h{min(i, j)}_{max(i, j)}"] + ridge * (i == j) for j in d] for i in d]
-    updates, done, reached, frame, start = [], 0, natural, members, None
-    fit = Fit((), tuple(target), tuple(natural))
-    for _ in range(rules.iterations):
+    v, reached, n = [0.0 for _ in d], natural, 0
+    for n in range(1, rules.iterations + 1):
         gap = [a - b for a, b in zip(target, reached)]
         if max(map(abs, gap)) <= rules.tolerance * total:
             break
-        updates.append(tuple(_solve(h, gap)))
-        if len(updates) - done > rules.unroll:
-            frame = saved(frame.withColumn("rate", fit.rate(p, min_rate, start, tuple(updates[done:-1]))), "rates")
-            done, start = len(updates) - 1, F.col("rate")
-        now = frame.select(t, p, fit.rate(p, min_rate, start, tuple(updates[done:])).alias("now"))
-        got = now.agg(*(F.sum(F.col("now") * t * p[i]).alias(f"s{i}") for i in d)).first()
+        v = [a + b for a, b in zip(v, _solve(h, gap))]
+        got = members.agg(*(F.sum(_rate(p, tuple(v), min_rate) * t * p[i]).alias(f"s{i}") for i in d)).first()
         before, reached = reached, [got[f"s{i}"] for i in d]
         if max(abs(a - b) for a, b in zip(before, reached)) <= rules.tolerance * total:
             break
-    return Fit(tuple(updates), tuple(target), tuple(reached))
+    return Fit(tuple(v), tuple(target), tuple(reached), n)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
