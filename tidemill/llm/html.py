@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chunks, free_name
+from tidemill.llm.common import chunks, free_name, map_batches
 
 #: Frequent function words of the languages that the rules know.
 STOP_WORDS = {
@@ -191,7 +191,7 @@ def classify(found: list[Block], rules: BlockRules) -> list[bool]:
     out = []
     kin: dict[int, list[int]] = {}
     for i, b in enumerate(found):
-        if label[i] is not None and not (b.root and b.dropped):
+        if label[i] is not None and not b.dropped:
             kin.setdefault(b.root, []).append(i)
     for i, b in enumerate(found):
         if label[i] is not None:
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, rules: BlockRules | None = None, html: str = "html
             texts = [main_text(x or "", rules) for x in batch.column(batch.schema.get_field_index(html)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return pages.mapInArrow(run, schema)
+    return map_batches(pages, run, schema)
 
 
 def page_texts(pages: DataFrame, rules: BlockRules | None = None) -> DataFrame:

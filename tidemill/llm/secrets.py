@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chunks, free_name
+from tidemill.llm.common import chunks, free_name, map_batches
 
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -61,7 +61,7 @@ def hot_windows(candidate: str, width: int, bits: float) -> list[tuple[int, int]
 
     ``total`` is the sum of n*log2(n) over the window's character counts, so
     entropy is ``log2(width) - total / width``; each shift changes two terms."""
-    table = [0.0, 0.0, *(n * log2(n) for n in range(2, width + 1))]
+    table = [0.0, 0.0, *(n * log2(n) for n in range(2, width + 2))]
     counts: dict[str, int] = {}
     total, top, spans = 0.0, log2(width), []
     for at, char in enumerate(candidate):
@@ -155,7 +155,7 @@ def find_secrets(docs: DataFrame, rules: EntropyRules | None = None, text: str =
             columns += [pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.string()), pa.array(every, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def secret_report(docs: DataFrame, rules: EntropyRules | None = None) -> DataFrame:
