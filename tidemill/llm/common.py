@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes and rows that Spark hands to a Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches small enough for long texts: the session's
+    limits are lowered to BATCH_BYTES and BATCH_ROWS if they are higher."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(f, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import byte_column, chunks, free_name
+from tidemill.llm.common import byte_column, chunks, free_name, map_batches
 
 UNKNOWN = "und"
 
@@ -116,17 +116,17 @@ def logits(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return total / np.maximum(count, 1)[:, None] + model.bias
 
 
-def _sample(labelled: DataFrame, rules: LangRules) -> tuple[list[str], list[tuple]]:
-    """Languages and rows ``(language, order, part, buckets, counts)`` of the
-    bounded sample; the features are made on the executors."""
+def _sample(labelled: DataFrame, rules: LangRules) -> tuple[list[str], int, DataFrame | None]:
+    """Languages, rows for each, and the sample's features ``(lang, draw, doc,
+    part, buckets, weights)``, made where the texts are."""
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rules.max_languages).collect()
     if not counts:
-        return [], []
+        return [], 0, None
     each = max(2, -(-rules.sample_docs // len(counts)))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.1 * each / r["count"]) * (1 << 30))))])
     picked = labelled.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("doc", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.LongType()), T.StructField("doc", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("weights", T.BinaryType())])
     bits, snippets, seed = rules.bucket_bits, rules.snippets, rules.seed
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,33 +149,27 @@ def _sample(labelled: DataFrame, rules: LangRules) -> tuple[list[str], list[tupl
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=schema.names)
 
-    got = picked.select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(extract, schema).toArrow().combine_chunks()
-    names = list(zip(*(got.column(k).to_pylist() for k in range(4))))
-    buckets, weights = (got.column(k).combine_chunks() if got.num_rows else [] for k in (4, 5))
-    rows, docs = [], {}
-    for i in sorted(range(len(names)), key=lambda i: (*names[i], bytes(buckets[i].as_buffer()))):
-        lang, draw, doc, part = names[i]
-        mine = docs.setdefault(lang, {})
-        order = mine.setdefault((draw, doc), len(mine))
-        if order < each:  # views of the one Arrow table, no copies
-            rows.append((lang, order, part, np.frombuffer(buckets[i].as_buffer(), np.int32), np.frombuffer(weights[i].as_buffer(), np.float32)))
-    return sorted(r["lang"] for r in counts), rows
+    return sorted(r["lang"] for r in counts), each, map_batches(picked.select("lang", "draw", F.col("doc_id").cast("string").alias("doc"), "text"), extract, schema)
 
 
-def train(labelled: DataFrame, rules: LangRules | None = None) -> LangModel | None:
-    """A model from ``labelled(doc_id, lang, text)``; rows with a null are left
-    out, None if none remains. The same rows give the same model."""
-    rules = rules or LangRules()
-    languages, rows = _sample(labelled.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null"), rules)
-    if not languages or not rows:
+def _fit(rows: list[tuple], languages: list[str], each: int, rules: LangRules) -> LangModel | None:
+    """Stochastic gradient descent over the sample, in an order of its own."""
+    rows.sort(key=lambda r: (r[0], r[1], r[2], r[3], r[4]))
+    sample, docs = [], {}
+    for lang, draw, doc, part, buckets, weights in rows:
+        mine = docs.setdefault(lang, {})
+        order = mine.setdefault((draw, doc), len(mine))
+        if order < each:
+            sample.append((lang, order, part, np.frombuffer(buckets, np.int32), np.frombuffer(weights, np.float32)))
+    if not sample:
         return None
     code = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(rules.seed)
     size, L = 1 << rules.bucket_bits, len(languages)
     embed = rng.normal(0, rules.dims**-0.5, (size, rules.dims)).astype(np.float32)
     linear, bias = np.zeros((rules.dims, L), np.float32), np.zeros(L, np.float32)
-    fit = [r for r in rows if r[1] % 5 or r[1] == 0]
-    hold = [r for r in rows if r[1] % 5 == 0 and r[1]] or fit
+    fit = [r for r in sample if r[1] % 5 or r[1] == 0]
+    hold = [r for r in sample if r[1] % 5 == 0 and r[1]] or fit
     steps, step = rules.epochs * len(fit), 0
     for _ in range(rules.epochs):
         for k in rng.permutation(len(fit)):
@@ -202,6 +196,29 @@ def train(labelled: DataFrame, rules: LangRules | None = None) -> LangModel | No
     return LangModel(tuple(languages), table, bias, temperature, float(min(rules.reject_most, np.quantile(best, rules.reject_share, method="lower"))))
 
 
+def train(labelled: DataFrame, rules: LangRules | None = None) -> LangModel | None:
+    """A model from ``labelled(doc_id, lang, text)``; rows with a null are left
+    out, None if none remains. The same rows give the same model.
+
+    The sample is bounded, so one task trains on it; the driver gets the table."""
+    rules = rules or LangRules()
+    languages, each, sample = _sample(labelled.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null"), rules)
+    if sample is None:
+        return None
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        model = _fit(rows, languages, each, rules)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()]), pa.array([model.bias.tobytes()]), pa.array([model.temperature]), pa.array([model.reject_below])], names=["t", "b", "temperature", "reject"])
+
+    row = map_batches(sample.repartition(1), fit, "t binary, b binary, temperature double, reject double").first()
+    if row is None:
+        return None
+    table = np.frombuffer(bytes(row["t"]), np.float32).reshape(-1, len(languages))
+    return LangModel(tuple(languages), table, np.frombuffer(bytes(row["b"]), np.float32), row["temperature"], row["reject"])
+
+
 def identify(docs: DataFrame, model: LangModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_rejected`` (named with
     underscores in front where they clash).
@@ -227,7 +244,7 @@ def identify(docs: DataFrame, model: LangModel | None, text: str = "text") -> Da
                 reject |= score < model.reject_below
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score), pa.array(reject)], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(predict, schema)
+    return map_batches(docs, predict, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import byte_column, chunks, distinct_sets, mix, saved, shingles, word_hashes
+from tidemill.llm.common import byte_column, chunks, distinct_sets, map_batches, mix, saved, shingles, word_hashes
 from tidemill.llm.graph import components
 
 
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, rules: NearDupRules) -> DataFrame:
             lists = pa.array([None if e else x for e, x in zip(empty, lists.to_pylist())], pa.list_(pa.int64())) if empty.any() else lists
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(nodes, pa.binary()), lists], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    return map_batches(docs.select("doc_id", "text"), sign, schema)
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupR
                 rows.append((a[i], b[i], kin, linked, len(mine), delta.view(np.int64) if kin else []))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], names=schema.names)
 
-    return joined.mapInArrow(check, schema)
+    return map_batches(joined, check, schema)
 
 
 def _centres(rows: DataFrame, by: list[str], company: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import saved
+from tidemill.llm.common import map_batches, saved
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def _orderings(good: DataFrame, rules: CurveRules, every: int) -> DataFrame:
                 key = hilbert_keys(np.clip(np.floor(at * cells), 0, cells - 1).astype(np.int64), rules.bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(key.astype(np.int64)), ids, raw], names=["curve", "key", "vec_id", "v"])
 
-    keys = good.select("vec_id", "v").mapInArrow(keyed, "curve int, key long, vec_id long, v binary")
+    keys = map_batches(good.select("vec_id", "v"), keyed, "curve int, key long, vec_id long, v binary")
     parts = max(1, int(good.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = keys.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").withColumn("id", F.monotonically_increasing_id())
     placed = saved(placed, "curves")
@@ -198,7 +198,7 @@ def _checked(placed: DataFrame, near: DataFrame, rules: CurveRules, k: int) -> D
 
     # The stated queries against all rows, block by block (not row by row).
     pairs = blocks.crossJoin(bundles).select("q_ids", "q_rows", "bounds", "ids", "rows", "centre", "radius")
-    return pairs.mapInArrow(scan, _FOUND)
+    return map_batches(pairs, scan, _FOUND)
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, rules: CurveRules | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import chunks, saved, scratch_path
+from tidemill.llm.common import chunks, map_batches, saved, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
@@ -105,7 +105,7 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
             done.append((name, size, n))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x[0]}" for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=schema.names)
 
-    return saved(told.mapInArrow(write, schema), "manifest")
+    return saved(map_batches(told, write, schema), "manifest")
 
 
 def _unpack(file, at: int, limit: int, head_only: bool = False) -> tuple[bytes, int] | None:
@@ -209,7 +209,7 @@ def read_records(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return ranges.repartition(many).mapInArrow(read, RECORDS)
+    return map_batches(ranges.repartition(many), read, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
