@@ -180,6 +180,43 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _frequent_lines(seed, n=40):
+    """Texts whose lines all occur in other contexts in the first ones, and pairs
+    of later ones with a passage of such lines in common, one word changed."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(20000)]
+    lines = [rng.choices(words, k=8) for _ in range(60)]
+    fill = lambda k: rng.choices(words, k=k)
+    docs = [sum((line + fill(30) for line in rng.sample(lines, 60)), []) for _ in range(6)]
+    for _ in range(n):
+        passage = sum(rng.sample(lines, 7), [])
+        docs.append(fill(40) + passage + fill(40))
+        near = list(passage)
+        near[28] = "changed"
+        docs.append(fill(60) + near + fill(20))
+    return docs, [(6 + 2 * i, 7 + 2 * i) for i in range(n)]
+
+
+def test_near_passages_of_frequent_lines_are_found(spark):
+    docs, planted = _frequent_lines(5)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted({(r["other_id"], r["doc_id"]) for r in got}) == planted
+
+
+def test_overlapping_passages_in_a_chain_are_found(spark):
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(20000)]
+    rows, planted = [], []
+    for i in range(60):
+        x, p, z = (rng.choices(words, k=k) for k in (10, 45, 10))
+        a, b, d = (rng.choices(words, k=30) + part + rng.choices(words, k=30) for part in (x + p, x + p + z, p + z))
+        rows += [(3 * i + k, " ".join(text)) for k, text in enumerate((a, b, d))]
+        planted += [(3 * i, 3 * i + 1), (3 * i + 1, 3 * i + 2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted({(r["other_id"], r["doc_id"]) for r in got}) == planted
+
+
 # ---------------------------------------------------------------- mixing
 
 

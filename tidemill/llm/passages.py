@@ -5,17 +5,21 @@ Cartesian tree of the hashes cuts it into compact windows ``[l, r]`` around a
 minimum ``c``: all subsequences in ``[l, r]`` that hold c share c's min-hash. Only
 windows that can hold a passage of the least length count; about ``2 n / t`` of them
 stay. Windows of equal min-hash meet at one representative, the first document of
-the group; documents that meet it in enough hash functions by overlapping windows
-are verified on their whole texts. Windows left unverified meet again by the longer
-run of shingles around their minimum, so that two documents find each other also
-where the representative holds the minimum in another context. No group emits all
-its pairs; each round emits at most one pair for each window.
+the group, and every pair that meets is verified on its whole texts. Where a member
+of a group shares no passage with the representative (which holds the minimum in
+another context, as a frequent line has many), the run of shingles around the minimum
+that the two have in common goes to the end of the order for all members, and their
+windows around it are cut anew, until no group of several others has an unverified
+member. Windows of such groups also meet by the
+exact runs of shingles around their minimum. No group emits all its pairs; each
+round emits at most one pair for each window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,14 @@ from tidemill.llm.common import byte_column, chunks, map_batches, mix, saved, sh
 
 @dataclass(frozen=True)
 class PassageRules:
-    """Shingle width and least passage in words, similarity in hundredths, hash
-    functions, and those that must agree. A passage of similarity 0.8 agrees in two
-    or more of five with a chance of 0.993, an exact one in all."""
+    """Shingle width and least passage in words, similarity in hundredths, and hash
+    functions, of which one must agree. A passage of similarity 0.8 agrees in one
+    or more of five with a chance of 0.9997, an exact one in all."""
 
     width: int = 5
     least_words: int = 50
     percent: int = 80
     hashes: int = 5
-    need: int = 2
 
     @property
     def least(self) -> int:
@@ -95,25 +98,60 @@ def _shingled(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(doc, word, width, whole_if_short=False)
 
 
+def _hashed(value: np.ndarray, f: int) -> np.ndarray:
+    return mix(value + np.uint64((f + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+def _keys(hashed: np.ndarray, f: int) -> np.ndarray:
+    return (hashed >> np.uint64(3) << np.uint64(3) | np.uint64(f)).view(np.int64)
+
+
 def windows(docs: DataFrame, rules: PassageRules) -> DataFrame:
     """``(key, doc_id, place)``: the hash function is in the key's last 3 bits;
     ``place`` packs the minimum's position and its distances to both ends (each
-    65535 at most, which only narrows a window)."""
+    65535 at most, which only narrows a window).
+
+    Where ``docs`` has ``masked`` and ``fresh`` (arrays of keys), the masked minima
+    come last in the order, and only windows that hold a fresh one are given."""
+    anew = "masked" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             ids = batch.column(0).to_numpy()
             doc, value = _shingled(batch.column(1), rules.width)
             starts = np.searchsorted(doc, np.arange(batch.num_rows))
+            names = [_of_text(batch.column(k)) for k in (2, 3)] if anew else []
             for f in range(rules.hashes):
-                hashed = mix(value + np.uint64((f + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-                at, left, right = compact_windows(doc, hashed, rules.least)
-                owner = doc[at]
-                key = (hashed[at] >> np.uint64(3) << np.uint64(3) | np.uint64(f)).view(np.int64)
+                hashed = _hashed(value, f)
+                keys = _keys(hashed, f)
+                if anew:
+                    own = _named(doc, keys)
+                    masked, fresh = (np.isin(own, x) for x in names)
+                    if not fresh.any():
+                        continue
+                    last = np.where(masked, np.uint64(1 << 63), np.uint64(0))
+                    at, left, right = compact_windows(doc, hashed >> np.uint64(1) | last, rules.least)
+                    before = np.r_[0, np.cumsum(fresh)]
+                    keep = ~masked[at] & (before[right + 1] > before[left])
+                    at, left, right = at[keep], left[keep], right[keep]
+                else:
+                    at, left, right = compact_windows(doc, hashed, rules.least)
+                owner, key = doc[at], keys[at]
                 place = (at - starts[owner]) << 32 | np.minimum(at - left, 0xFFFF) << 16 | np.minimum(right - at, 0xFFFF)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[owner]), pa.array(place)], names=["key", "doc_id", "place"])
 
-    return map_batches(docs.select("doc_id", "text"), cut, _WINDOW)
+    return map_batches(docs.select("doc_id", "text", *(["masked", "fresh"] if anew else [])), cut, _WINDOW)
+
+
+def _named(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _of_text(column: pa.Array) -> np.ndarray:
+    """The keys in an array column, each hashed with its row."""
+    keys = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = [len(x) if x.is_valid else 0 for x in column]
+    return _named(np.repeat(np.arange(len(column)), sizes), keys)
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -126,19 +164,8 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """One row for each (doc_id, other_id) with its anchors ``(f, place, n)``."""
-    return met.groupBy("doc_id", "other_id").agg(F.collect_set(F.struct(F.col("key").bitwiseAND(7).cast("int").alias("f"), "place", "n")).alias("anchors"))
-
-
-def _agrees(k: int, f: np.ndarray, place: np.ndarray, rules: PassageRules) -> bool:
-    """Whether window k overlaps those of ``need - 1`` more hash functions by the
-    least passage."""
-    if rules.need < 2:
-        return True
-    at = place >> 32
-    left, right = at - (place >> 16 & 0xFFFF), at + (place & 0xFFFF)
-    common = np.minimum(right, right[k]) - np.maximum(left, left[k]) + 1 >= rules.least
-    return len(set(f[common].tolist())) >= rules.need
+    """One row for each (doc_id, other_id) with its anchors ``(key, place, n)``."""
+    return met.groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "place", "n")).alias("anchors"))
 
 
 def _balance(hit: np.ndarray, percent: int) -> np.ndarray:
@@ -165,6 +192,18 @@ def _run(a: np.ndarray, b: np.ndarray, at: int, other: int, least: int) -> tuple
     return (at - back, at + ahead, other - back, other + ahead, 1.0) if back + ahead >= least else None
 
 
+def _shared(a: np.ndarray, b: np.ndarray, at: int, least: int) -> np.ndarray:
+    """The longest run around ``a[at]`` that b has too, up to ``least`` either way."""
+    best = a[at : at + 1]
+    for y in np.flatnonzero(b == a[at]).tolist():
+        n, m = min(len(a) - at, len(b) - y, least), min(at, y, least)
+        ahead = np.r_[a[at : at + n] != b[y : y + n], True].argmax()
+        back = np.r_[a[at - m : at][::-1] != b[y - m : y][::-1], True].argmax()
+        if ahead + back > len(best):
+            best = a[at - back : at + ahead]
+    return best
+
+
 class _Pair:
     """Finds the passages of two shingle sequences around anchors. Stretches that
     failed once are not tried again from another anchor inside them."""
@@ -197,12 +236,13 @@ class _Pair:
         return None
 
 
-_FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double, at long, n long"
+_FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double, key long, run array<long>"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rules: PassageRules) -> DataFrame:
     """Passages of the pairs, in words; anchors that belong to none come as rows
-    with a null start. Only texts of documents in a pair leave their scan while
+    with a null start and, in a group of several others, the keys of the ``run`` of
+    shingles around them that the pair has in common. Only texts of documents in a pair leave their scan while
     their ids, counted first, are few enough to be broadcast."""
     ids = saved(pairs.select("doc_id").union(pairs.select("other_id")).distinct(), "ids")
     few = ids.count() <= SMALL_IDS
@@ -224,24 +264,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, rules: PassageRules) -> DataFra
                     last = (others[i], _shingled(batch.column(4).slice(i, 1), width)[1])
                 b = last[1]
                 anchors = batch.column(2)[i].values
-                f, place, n = (anchors.field(k).to_numpy() for k in range(3))
+                key, place, n = (anchors.field(k).to_numpy() for k in range(3))
                 order = np.argsort(place, kind="stable")
                 pair, reached = None, -1
                 for k in order:
                     x = int(place[k]) >> 32
                     if x < reached or x >= len(a):  # inside the passage before, or of another text
                         continue
-                    got = None
-                    if _agrees(k, f, place, rules):
-                        pair = pair or _Pair(a, b, rules)
-                        got = pair.passage(x)
+                    pair = pair or _Pair(a, b, rules)
+                    got = pair.passage(x)
                     if got is None:
-                        out.append((ids[i], None, None, others[i], None, None, None, x, int(n[k])))
+                        out.append((ids[i], None, None, others[i], None, None, None, int(key[k]), _keys(_hashed(_shared(a, b, x, rules.least), int(key[k]) & 7), int(key[k]) & 7) if n[k] > 2 else None))
                     else:
                         s, e, s2, e2, similarity = got
                         reached = e
-                        out.append((ids[i], s, e + width - 1, others[i], s2, e2 + width - 1, similarity, x, int(n[k])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.int64()) for k in range(9)], names=[x.split()[0] for x in _FOUND.split(", ")])
+                        out.append((ids[i], s, e + width - 1, others[i], s2, e2 + width - 1, similarity, int(key[k]), None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.list_(pa.int64()) if k == 8 else pa.int64()) for k in range(9)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     return saved(map_batches(joined.select("doc_id", "other_id", "anchors", "text", "other_text"), check, _FOUND), "passages")
 
@@ -291,14 +329,38 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     repeat one doc_id each text counts, and equal results come once."""
     rules = rules or PassageRules()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    pairs = saved(_pairs(_met(windows(docs, rules))), "pairs")
-    agree = F.size(F.array_distinct("anchors.f")) >= rules.need
-    first = _verified(pairs.filter(agree), docs, rules)
-    found = first.filter("start is not null")
-    # What is unverified in a group of more than two rows may be shared with others.
-    loose = first.filter("start is null").select("doc_id", "at", "n").union(pairs.filter(~agree).select("doc_id", F.inline("anchors")).select("doc_id", F.shiftright("place", 32), "n"))
-    left = saved(loose.filter("n > 2").groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "left")
-    alone = PassageRules(rules.width, rules.least_words, rules.percent, rules.hashes, 1)
-    again = _verified(saved(_pairs(_met(_runs(left, docs, rules))), "pairs"), docs, alone)
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity"]
-    return found.union(again.filter("start is not null")).select(*columns).distinct()
+    found, masks, ever, rounds = [], None, None, 0
+    while True:
+        rows = windows(docs, rules) if masks is None else saved(windows(_masked(docs, masks, rounds), rules), "windows")
+        pairs = saved(_pairs(_met(rows)), "pairs")
+        told = _verified(pairs, docs, rules)
+        found.append(told.filter("start is not null").select(*columns))
+        runs = told.filter("start is null and run is not null").groupBy("key").agg(F.min(F.struct(F.size("run").alias("n"), "run")).alias("least"))
+        bad = saved(runs.select("key", F.col("least.run").alias("run")), "bad")
+        # All members of a group with an unverified one, verified or not.
+        members = pairs.select("doc_id", "other_id", F.inline("anchors")).join(bad, "key")
+        held = members.select("doc_id", F.explode("run").alias("key")).union(members.select("other_id", F.explode("run")))
+        if masks is None:
+            anchors = members.select("doc_id", F.shiftright("place", 32).alias("at"))
+            left = saved(anchors.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "left")
+            exact = saved(_pairs(_met(_runs(left, docs, rules))), "pairs")
+            found.append(_verified(exact, docs, rules).filter("start is not null").select(*columns))
+        else:
+            held = held.union(rows.select("doc_id", "key").join(ever, "key", "left_semi").select("doc_id", "key")).join(masks, ["doc_id", "key"], "left_anti")
+        rounds += 1
+        fresh = saved(held.distinct().withColumn("round", F.lit(rounds)), "masks")
+        if fresh.isEmpty():
+            break
+        masks = fresh if masks is None else masks.union(fresh)
+        told_off = bad.select(F.explode("run").alias("key"))
+        ever = saved((told_off if ever is None else ever.union(told_off)).distinct(), "ever")
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _masked(docs: DataFrame, masks: DataFrame, rounds: int) -> DataFrame:
+    """Documents with a mask of the last round, with all their ``masked`` keys and
+    the ``fresh`` ones of that round."""
+    new = F.when(F.col("round") == rounds, F.col("key"))
+    keys = saved(masks.groupBy("doc_id").agg(F.collect_set("key").alias("masked"), F.collect_set(new).alias("fresh")).filter(F.size("fresh") > 0), "masked")
+    return docs.join(keys, "doc_id")
