@@ -176,3 +176,10 @@ def test_round_trips(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(b"a\0b")
     with pytest.raises(PreparationError):
         read_table(spark, str(tmp_path / "b.csv"))
+
+
+def test_key_suggestions_count_all_values(spark):
+    left = spark.range(21000).select((F.col("id") * 7).alias("ref"))
+    right = spark.range(150000).select(F.col("id").alias("key"))
+    row = joins.suggest_keys(left, right).first()
+    assert (row["left"], row["right"], row["overlap_share"], row["relation"]) == ("ref", "key", 1.0, "1:1")

@@ -14,7 +14,7 @@ from tidemill.operators.rows import ORDER, with_order
 
 KINDS = ("inner", "left", "right", "full")
 UNIQUE_ENOUGH, EXPLOSION = 0.999, 2
-MAX_PAIRS, MIN_OVERLAP, MAX_SUGGESTIONS, MAX_VALUES = 400, 0.05, 10, 20_000
+MAX_PAIRS, MIN_OVERLAP, MAX_SUGGESTIONS = 400, 0.05, 10
 
 
 @dataclass(frozen=True)
@@ -151,8 +151,7 @@ def suggest_keys(left: DataFrame, right: DataFrame) -> DataFrame:
 
     All comparable columns of a side become one long (column, value) frame of
     distinct texts, so that every pair is counted by a single join on the value.
-    A column shows MAX_VALUES distinct values at most (the smallest by hash, the same
-    on both sides), which bounds that join."""
+    All values count; the join sees each once a column."""
 
     def family(kind: T.DataType) -> str | None:
         return "n" if isinstance(kind, NUMERIC) else "s" if isinstance(kind, T.StringType) else None
@@ -166,10 +165,8 @@ def suggest_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     def side(df: DataFrame, names: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
         cells = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias(tag), quoted(n).cast("string").alias("value")) for n in names)))).filter("value is not null")
         counted = cells.groupBy(tag, "value").agg(F.count(F.lit(1)).alias("n"))
-        unique = counted.groupBy(tag).agg((F.count(F.lit(1)) / F.sum("n")).alias(f"{tag}_unique"), F.count(F.lit(1)).alias("d"))
-        draw = F.pmod(F.xxhash64("value"), F.lit(1 << 30))
-        kept = counted.join(F.broadcast(unique.select(tag, "d")), tag).filter(draw < F.lit(float(1 << 30)) * F.lit(MAX_VALUES) / F.col("d"))
-        return kept.select(tag, "value"), unique.drop("d")
+        unique = counted.groupBy(tag).agg((F.count(F.lit(1)) / F.sum("n")).alias(f"{tag}_unique"))
+        return counted.select(tag, "value"), unique
 
     ours, lu = side(left, sorted({a for a, _ in pairs}), "left")
     theirs, ru = side(right, sorted({b for _, b in pairs}), "right")
