@@ -350,6 +350,23 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs):
     assert minhash.drop_near_duplicates(odd_docs).count() == odd_docs.count()
 
 
+def test_pairs_far_from_their_bucket_centre_are_linked(spark):
+    fresh = iter(f"u{i}" for i in range(100000))
+    new = lambda k: [next(fresh) for _ in range(k)]
+    common, hub = new(40), new(10)
+    docs = [common + hub + new(1) for _ in range(10)]
+    for _ in range(20):
+        own = new(60)
+        docs += [common + own + new(2), common + own + new(2)]
+    rules = minhash.NearDupRules(width=1, percent=85, bands=1, rows=1)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    band = {r["doc_id"]: r["bands"][0] for r in minhash.signatures(frame, rules).collect()}
+    want = {b: b - 1 if band[b] == band[b - 1] else b for b in range(11, 50, 2)}
+    assert sum(band[b] == band[0] for b in want) > 3  # buckets that the hub heads
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, rules).collect()}
+    assert {b: got[b] for b in want} == want
+
+
 def test_super_minhash_estimates_similarity():
     u = np.random.default_rng(0).integers(0, 2**63, 1300).astype(np.uint64)
     sig = minhash.super_minhash(np.array([0, 1000, 2000, 2003, 2003]), np.r_[u[:1000], u[100:1100], u[:3]], 256)

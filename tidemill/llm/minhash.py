@@ -40,8 +40,6 @@ from tidemill.llm.graph import components
 
 #: Ids that may be broadcast (16 bytes of key and 8 of id each).
 SMALL_IDS = 200_000
-#: Similarity in hundredths from which a member of a bucket counts as its centre's kin.
-NEAR = 50
 #: Members that share a difference are tested pair by pair up to this number.
 SMALL_GROUP = 64
 
@@ -160,8 +158,8 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
     """``pairs(a, b, open)`` with ``linked`` (by full sets), the ``size`` of a's
-    set and, for open pairs, ``delta``: the shingles that only one of them has.
-    Pairs under NEAR are open no longer.
+    set and, for open pairs, ``delta``: the shingles that only one of them has,
+    however unlike they are.
 
     Only texts of nodes in a pair travel. The side b, the centres, may be hot;
     its join is one that Spark can split, and its sets are made once in a row."""
@@ -194,8 +192,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupR
                 delta = np.setxor1d(mine, last[1], assume_unique=True)
                 both = (len(mine) + len(last[1]) - len(delta)) // 2
                 linked = 100 * both >= percent * (both + len(delta))
-                kin = wide[i] and 100 * both >= NEAR * (both + len(delta))
-                rows.append((a[i], b[i], kin, linked, len(mine), delta.view(np.int64) if kin else []))
+                rows.append((a[i], b[i], wide[i], linked, len(mine), delta.view(np.int64) if wide[i] else []))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], names=schema.names)
 
     return map_batches(joined, check, schema)
