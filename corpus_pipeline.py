@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.common import saved, table
 from tidemill.llm.langid import keep_identified
-from tidemill.llm.minhash import drop_near_duplicates
+from tidemill.llm.minhash import NearDupRules, drop_near_duplicates
 from tidemill.llm.mixing import label_domains, mix
 from tidemill.llm.packing import pack
 from tidemill.llm.secrets import mask_secrets
 
+#: Five-word shingles at similarity 0.8; a pair there misses all bands with a chance of 3e-6.
+NEAR_DUPLICATES = NearDupRules(width=5, percent=80, bands=24)
 #: Shares of the token total that mixing aims at; it only repeats documents.
 WEIGHTS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
 
@@ -26,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR_DUPLICATES)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -367,6 +367,24 @@ def test_pairs_far_from_their_bucket_centre_are_linked(spark):
     assert {b: got[b] for b in want} == want
 
 
+def test_pipeline_drops_near_copies_at_080(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(20000)]
+    docs = []
+    for k in range(30):
+        text = rng.choices(words, k=200)
+        size = 13 + k % 10
+        docs += [text, text[:60] + rng.choices(words, k=size) + text[60 + size :]]
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    near = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(30)]
+    want = sorted([2 * k for k in range(30)] + [2 * k + 1 for k in range(30) if near[k] < 0.8])
+    assert 30 < len(want) < 60
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == want
+
+
 def test_super_minhash_estimates_similarity():
     u = np.random.default_rng(0).integers(0, 2**63, 1300).astype(np.uint64)
     sig = minhash.super_minhash(np.array([0, 1000, 2000, 2003, 2003]), np.r_[u[:1000], u[100:1100], u[:3]], 256)
