@@ -489,6 +489,21 @@ def test_main_text(page, text):
     assert html.main_text(page, html.BlockRules()) == text
 
 
+def test_main_text_of_unknown_languages():
+    first, second = ("Tämä pitkä kappale kertoo pohjoisen metsistä, järvistä sekä talvesta, " * 3).strip(), "文章" * 60
+    links = "<p><a href=x>" + "luettelo linkkejä " * 6 + "</a></p>"
+    assert html.main_text(f"<body><div>{first}</div>{links}<div>{second}</div></body>", html.BlockRules()) == f"{first}\n\n{second}"
+    assert html.main_text(f"<article><p>{first}</p>{links}<p>{second}</p></article>", html.BlockRules()) == f"{first}\n\n{second}"
+
+
+def test_blocks_of_links_do_not_empty_an_article():
+    english = "the man and the dog were at the house and it was in the end for the best of all that they had " * 3
+    code = "x1 = load(7); y2 = scan(x1, 99); print(x1 + y2, z3[4], q5[6]) # 1234567890 abcdef"
+    links = "<p><a href=x>" + "list of links " * 6 + "</a></p>"
+    page = f"<div>{english}</div><article>{links}<p>{code}</p></article>"
+    assert code in html.main_text(page, html.BlockRules())
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<article><p>é x</p></article>"), (2, "u", "")], "page_id long, url string, html string")
     assert {(r["page_id"], r["text"], r["n_chars"]) for r in html.page_texts(pages).collect()} == {(1, "", 0), (None, "é x", 3), (2, "", 0)}

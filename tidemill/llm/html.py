@@ -6,7 +6,9 @@ tag, role or class words) is no candidate. Pass one decides the other blocks by
 length, link density and stop-word density; pass two lets the undecided short ones
 inherit the label of their nearest decided neighbours. Inside an article or main
 element a block is undecided where the densities alone would reject it, and if
-nothing at all is decided around, undecided blocks are kept.
+nothing at all is decided around, undecided blocks are kept. Where no block of a page
+has the stop words of a known language, length and link density decide alone, and
+blocks of links never pass their label to long ones with few links.
 """
 
 from __future__ import annotations
@@ -172,9 +174,14 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block], rules: BlockRules) -> list[bool]:
     """Which blocks belong to the main text."""
     label: list[bool | None] = []
+    density: list[float] = []
     for b in found:
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in rules.stop_words for w in words) / len(words) if words else 0.0
+        density.append(sum(w in rules.stop_words for w in words) / len(words) if words else 0.0)
+    plain = [not b.dropped and b.linked <= rules.link_share * len(b.text) for b in found]
+    long = [p and len(b.text) >= rules.short for b, p in zip(found, plain)]
+    known = any(p and stops >= rules.stop_low for p, stops in zip(long, density))
+    for b, stops in zip(found, density):
         n = len(b.text)
         if b.dropped:
             label.append(False)
@@ -182,22 +189,24 @@ def classify(found: list[Block], rules: BlockRules) -> list[bool]:
             label.append(None if b.root and n - b.linked >= rules.short else False)
         elif n < rules.short:
             label.append(None)
-        elif stops >= rules.stop_high or stops >= rules.stop_low and n >= rules.long:
+        elif not known or stops >= rules.stop_high or stops >= rules.stop_low and n >= rules.long:
             label.append(True)
         elif stops >= rules.stop_low or b.root:
             label.append(None)
         else:
             label.append(False)
     out = []
-    kin: dict[int, list[int]] = {}
+    kin: dict[tuple[int, bool], list[int]] = {}
     for i, b in enumerate(found):
         if label[i] is not None and not b.dropped:
-            kin.setdefault(b.root, []).append(i)
+            kin.setdefault((b.root, False), []).append(i)
+            if plain[i]:
+                kin.setdefault((b.root, True), []).append(i)
     for i, b in enumerate(found):
         if label[i] is not None:
             out.append(bool(label[i]))
             continue
-        near = kin.get(b.root, ())
+        near = kin.get((b.root, long[i]), ())
         k = bisect(near, i)
         back = near[k - 1] if k else None
         ahead = near[k] if k < len(near) else None
