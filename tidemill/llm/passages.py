@@ -5,8 +5,9 @@ Cartesian tree of the hashes cuts it into compact windows ``[l, r]`` around a
 minimum ``c``: all subsequences in ``[l, r]`` that hold c share c's min-hash. Only
 windows that can hold a passage of the least length count; about ``2 n / t`` of them
 stay. Windows of equal min-hash meet at one representative, the first document of
-the group, and every pair that meets is verified on its whole texts. Where a member
-of a group shares no passage with the representative (which holds the minimum in
+the group. Pairs that meet in several hash functions, or in a group of their own, are
+verified on their whole texts. Where a member
+of another group is not found to share a passage with the representative (which holds the minimum in
 another context, as a frequent line has many), the run of shingles around the minimum
 that the two have in common goes to the end of the order for all members, and their
 windows around it are cut anew, until no group of several others has an unverified
@@ -31,14 +32,17 @@ from tidemill.llm.common import byte_column, chunks, map_batches, mix, saved, sh
 
 @dataclass(frozen=True)
 class PassageRules:
-    """Shingle width and least passage in words, similarity in hundredths, and hash
-    functions, of which one must agree. A passage of similarity 0.8 agrees in one
-    or more of five with a chance of 0.9997, an exact one in all."""
+    """Shingle width and least passage in words, similarity in hundredths, hash
+    functions, and those that must agree at first if others hold the minimum too;
+    what agrees in fewer meets again by the next minima, where one is enough. A
+    passage of similarity 0.8 agrees in one or more of five with a chance of
+    0.9997, in two or more with 0.993, an exact one in all."""
 
     width: int = 5
     least_words: int = 50
     percent: int = 80
     hashes: int = 5
+    need: int = 2
 
     @property
     def least(self) -> int:
@@ -334,9 +338,13 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     while True:
         rows = windows(docs, rules) if masks is None else saved(windows(_masked(docs, masks, rounds), rules), "windows")
         pairs = saved(_pairs(_met(rows)), "pairs")
-        told = _verified(pairs, docs, rules)
+        # At first a pair in few hash functions, all in groups of more, waits for the next minima.
+        functions = F.size(F.array_distinct(F.transform("anchors", lambda x: x["key"].bitwiseAND(7))))
+        now = F.lit(True) if masks is not None else (functions >= rules.need) | F.exists("anchors", lambda x: x["n"] == 2)
+        told = _verified(pairs.filter(now), docs, rules)
+        waits = pairs.filter(~now).select(F.inline("anchors")).select("key", F.array("key").alias("run"))
         found.append(told.filter("start is not null").select(*columns))
-        runs = told.filter("start is null and run is not null").groupBy("key").agg(F.min(F.struct(F.size("run").alias("n"), "run")).alias("least"))
+        runs = told.filter("start is null and run is not null").select("key", "run").union(waits).groupBy("key").agg(F.min(F.struct(F.size("run").alias("n"), "run")).alias("least"))
         bad = saved(runs.select("key", F.col("least.run").alias("run")), "bad")
         # All members of a group with an unverified one, verified or not.
         members = pairs.select("doc_id", "other_id", F.inline("anchors")).join(bad, "key")
