@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from compare import connect, same
 from tidemill.llm import html, langid, media, minhash, mixing, neighbours, packing, passages, secrets, warc, webp
-from tidemill.llm.common import scratch_path
+from tidemill.llm.common import Scratch, scratch_path
 from tidemill.llm.graph import components
 from tidemill.llm.queries import ORACLE_SQL, QUERIES
 
@@ -394,7 +394,7 @@ def test_super_minhash_estimates_similarity():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
 
 

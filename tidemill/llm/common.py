@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,15 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 #: Bytes and rows that Spark hands to a Python worker at once.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+#: Files that a core writes, at most, of a table between two steps of an operator.
+FILES_A_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and set."""
+    Only in local mode (tests, one machine) a session may name none: then a
+    temporary folder is made and set. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -42,6 +47,33 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator saves, to drop those that its result no longer needs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, label: str, merge: bool = True) -> DataFrame:
+        """As ``saved``, and remembered under ``label``. With ``merge`` the partitions
+        of a shuffle are written one after another by FILES_A_CORE tasks a core at
+        most, which spares a small table many files."""
+        if merge:
+            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
+        path = scratch_path(self.spark, label)
+        self.paths.append((label, path))
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, but: tuple[str, ...] = ()) -> None:
+        """Delete all saved tables but those of the labels ``but``."""
+        path_of, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for label, path in self.paths:
+            if label not in but:
+                at = path_of(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.paths = [x for x in self.paths if x[0] in but]
+
+
 def map_batches(df: DataFrame, f, schema) -> DataFrame:
     """``df.mapInArrow`` with batches small enough for long texts: the session's
     limits are lowered to BATCH_BYTES and BATCH_ROWS if they are higher."""

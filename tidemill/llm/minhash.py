@@ -8,25 +8,28 @@
    as all its registers are filled, mostly after one or two rounds.
 2. Equal sets collapse to one node (a map-side minimum, so a huge group of
    copies is no hot spot).
-3. Nodes that share a band meet. Those of a bucket are tested against one centre,
-   the node with the most company over all its bands. What is then still apart is
+3. Nodes that share a band meet. Those of a bucket are compared, on their full sets,
+   with one centre, the least node. What is then still apart is
    found from the differences to the centre, which near copies keep short: let M
    be the set that the members of a centre agree on by majority, D(x) the
    symmetric difference of x and M, and u(x) = |D(x)| - |x| * (1-s)/(1+s). Two
    members x and y are linked if and only if ``2 * |D(x) & D(y)| >= u(x) + u(y)``.
    So each member with ``u(x) + min u <= 0`` is linked with the member that has the
    least u, and any other one needs a partner that shares some of its differences:
-   such pairs meet by the rarest of these (a prefix filter). A difference that many
-   share names a family of its own, with a centre and another round. No bucket
+   such pairs meet by the rarest of these (a prefix filter; what no other member has
+   cannot be shared, and too much of it rules a member out). A difference that many
+   share names a family, a part of its group, which gets a centre of its own and
+   another round; differences to that follow from those to M. A family lacks its
+   centre and is smaller than its group, so the rounds end. No bucket
    emits all its pairs, yet no linked pair that shares a band is lost.
-4. Links are confirmed on the full sets, made anew from the whole texts, and
-   grouped by distributed union-find (``graph.components``).
+4. Links are grouped once, at the end, by distributed union-find (``graph.components``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import byte_column, chunks, distinct_sets, map_batches, mix, saved, shingles, word_hashes
+from tidemill.llm.common import Scratch, byte_column, chunks, distinct_sets, map_batches, mix, shingles, word_hashes
 from tidemill.llm.graph import components
 
 
 #: Ids that may be broadcast (16 bytes of key and 8 of id each).
 SMALL_IDS = 200_000
-#: Members that share a difference are tested pair by pair up to this number.
-SMALL_GROUP = 64
+#: Pairs of the members that share a difference, up to which they are compared
+#: pair by pair; beyond that they are a family with a centre.
+SMALL_GROUP = 1024
 
 
 @dataclass(frozen=True)
@@ -148,119 +152,85 @@ def signatures(docs: DataFrame, rules: NearDupRules) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), sign, schema)
 
 
-def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(node, text)`` of ``wanted(node, doc_id)``. Up to SMALL_IDS ids, counted
-    first, are broadcast, so that only the texts asked for leave their scan;
-    beyond that the join shuffles."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
+    """``(node, size, delta)``: the full sets of ``wanted(node, doc_id)``, made anew
+    from the whole texts. Up to SMALL_IDS ids, counted first, are broadcast (24 bytes
+    each), so that only the texts asked for leave their scan; beyond that the join
+    shuffles."""
     few = wanted.count() <= SMALL_IDS
-    return saved(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text"), "texts")
-
-
-def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
-    """``pairs(a, b, open)`` with ``linked`` (by full sets), the ``size`` of a's
-    set and, for open pairs, ``delta``: the shingles that only one of them has,
-    however unlike they are.
-
-    Only texts of nodes in a pair travel. The side b, the centres, may be hot;
-    its join is one that Spark can split, and its sets are made once in a row."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = _texts(saved(wanted, "wanted"), docs)
-    joined = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "open", "text_a", "text_b")
-    )
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("open", T.BooleanType()), T.StructField("linked", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("delta", T.ArrayType(T.LongType()))])
-    percent = rules.percent
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in chunks(batches, "text_a"):
-            starts, values = _sets(*byte_column(batch.column(3)), rules.width)
-            names = _fingerprints(starts, values)
-            a, b, wide = (batch.column(k).to_pylist() for k in range(3))
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                if last[0] != b[i]:
-                    s, v = _sets(*byte_column(batch.column(4).slice(i, 1)), rules.width)
-                    if _fingerprints(s, v)[0] != b[i]:  # another text under the same doc_id
-                        continue
-                    last = (b[i], v)
-                if names[i] != a[i]:
-                    continue
-                mine = values[starts[i] : starts[i + 1]]
-                delta = np.setxor1d(mine, last[1], assume_unique=True)
-                both = (len(mine) + len(last[1]) - len(delta)) // 2
-                linked = 100 * both >= percent * (both + len(delta))
-                rows.append((a[i], b[i], wide[i], linked, len(mine), delta.view(np.int64) if wide[i] else []))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], names=schema.names)
-
-    return map_batches(joined, check, schema)
-
-
-def _centres(rows: DataFrame, by: list[str], company: str) -> DataFrame:
-    """For each group ``by`` the node with the largest sum of ``company`` over
-    all its rows (ties to the larger node)."""
-    rank = rows.groupBy("node").agg(F.sum(company).alias("rank"))
-    best = rows.select(*by, "node").join(rank, "node").groupBy(*by).agg(F.max(F.struct("rank", "node")).alias("best"))
-    return best.select(*by, F.col("best.node").alias("centre"))
-
-
-def _apart(tested: DataFrame, labels: DataFrame, rules: NearDupRules, large_from: int | None) -> DataFrame:
-    """Pairs ``(a, b, open)`` that the open tests leave to be tested. Groups of a
-    difference with more than ``large_from`` members get a centre, not pairs."""
-    names = labels.select(F.col("node").alias("b"), F.col("label").alias("home"))
-    seen = tested.filter("open").join(labels.withColumnRenamed("node", "a"), "a", "left").join(names, "b", "left")
-    seen = seen.select("b", F.col("a").alias("node"), "size", "delta", F.coalesce("label", "a").alias("label"), F.coalesce("home", "b").alias("home"))
-    group = seen.groupBy("b").agg(F.count("*").alias("members"), F.min(F.least("label", "home")).alias("least"), F.max(F.greatest("label", "home")).alias("most"))
-    members = saved(seen.join(group.filter("least != most and members > 1").select("b", "members"), "b").drop("home"), "members")
-
-    rows = members.select("b", "node", F.explode("delta").alias("e"))
-    often = saved(rows.groupBy("b", "e").agg(F.count("*").alias("often")).join(group.select("b", "members"), "b"), "often")
-    agreed = often.filter("2 * often > members").select("b", "e", (F.col("members") - F.col("often")).alias("rest"))
-    lacking = members.select("b", "node", "delta").join(agreed, "b").filter(~F.array_contains("delta", F.col("e"))).select("b", "node", "e", F.col("rest").alias("often"))
-    apart = rows.join(often.filter("2 * often <= members").select("b", "e", "often"), ["b", "e"]).select("b", "node", "e", "often").union(lacking)
-    width = apart.groupBy("b", "node").agg(F.count("*").alias("width"))
-    share = (100 - rules.percent) / (100 + rules.percent)
-    scored = members.select("b", "node", "size", "label").join(width, ["b", "node"], "left").withColumn("u", F.coalesce("width", F.lit(0)) - F.col("size") * F.lit(share))
-    best = scored.groupBy("b").agg(F.min(F.struct("u", "node", "label")).alias("best"))
-    scored = saved(scored.join(best, "b").withColumn("need", F.ceil((F.col("u") + F.col("best.u")) / 2 - 1e-6)).select("b", "node", "label", "size", "u", "need", F.col("best.node").alias("best"), F.col("best.label").alias("home")), "scored")
-    core = scored.filter("need <= 0 and label != home").select("node", "best")
-
-    # Differences of far members up to the prefix; of core members only those
-    # that a far one has.
-    order = Window.partitionBy("b", "node").orderBy(F.desc("often"), "e")
-    shared = apart.filter("often > 1")
-    far = shared.join(scored.filter("need > 0"), ["b", "node"]).withColumn("place", F.row_number().over(order)).filter("place >= need")
-    far = saved(far.select("b", "e", "node", "label", "size", "u", "place"), "far")
-    near = scored.filter("need <= 0").join(shared, ["b", "node"]).join(far.select("b", "e").distinct(), ["b", "e"], "left_semi").select("b", "e", "node", "label", "size", "u", F.lit(1 << 30).alias("place"))
-    told = far.withColumn("far", F.lit(True)).union(near.withColumn("far", F.lit(False)))
-    meet = told.groupBy("b", "e").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("b", "e", "n")
-    told = saved(told.join(meet, ["b", "e"]), "told")
-    small = told if large_from is None else told.filter(F.col("n") <= large_from)
-    left = small.filter("far").select("b", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px"))
-    right = small.select("b", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            starts, values = _sets(*byte_column(batch.column(1)), rules.width)
+            # Another text under the same doc_id has another fingerprint.
+            own = pa.array([x is not None and x == y for x, y in zip(_fingerprints(starts, values), batch.column(0).to_pylist())], pa.bool_())
+            sets = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), sets], names=["node", "size", "delta"]).filter(own)
+
+    return map_batches(texts, make, "node binary, size long, delta array<long>").dropDuplicates(["node"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, by: list[str], rules: NearDupRules) -> DataFrame:
+    """``pairs(*by, a, b)`` with a's ``size``, whether they are ``linked``, and
+    ``delta``, the elements that only one of them has. ``sets(*by, node, size,
+    delta)`` holds sets, or their differences to a set that all of ``by`` share:
+    the result is the same. A centre b may be hot; both sides of its join are
+    scanned or shuffled as they are, so Spark can split it."""
+    mine = sets.select(*by, F.col("node").alias("a"), "size", F.col("delta").alias("mine"))
+    theirs = sets.select(*by, F.col("node").alias("b"), F.col("size").alias("other"), F.col("delta").alias("theirs"))
+    joined = pairs.join(mine, [*by, "a"]).join(theirs, [*by, "b"])
+    delta = F.concat(F.array_except("mine", "theirs"), F.array_except("theirs", "mine"))
+    linked = F.lit(100 + rules.percent) * F.size("delta") <= F.lit(100 - rules.percent) * (F.col("size") + F.col("other"))
+    return joined.withColumn("delta", delta).withColumn("linked", linked).drop("mine", "theirs", "other")
+
+
+def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Links inside groups ``members(g, node, label, size, delta)``, and the members
+    of the families that are left for another round; None if no group holds two
+    labels. delta is the difference to the centre of g."""
+    groups = members.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    groups = keep.saved(groups.filter("n > 1 and least != most").select("g", "n"), "groups")
+    if groups.isEmpty():
+        return None
+    seen = members.join(groups, "g").select("g", "n", F.explode("delta").alias("e"))
+    often = keep.saved(seen.groupBy("g", "e").agg(F.count("*").alias("often"), F.max("n").alias("n")), "often")
+    agreed = keep.saved(often.groupBy("g").agg(F.collect_list(F.when(F.expr("2 * often > n"), F.col("e"))).alias("agreed")), "agreed")
+    # From here on delta is the difference to the majority's set, and u is scaled to whole numbers.
+    up, down = 100 + rules.percent, 100 - rules.percent
+    delta = F.concat(F.array_except("delta", "agreed"), F.array_except("agreed", "delta"))
+    scored = members.join(agreed, "g").withColumn("delta", delta).withColumn("u", F.lit(up) * F.size("delta") - F.lit(down) * F.col("size"))
+    scored = keep.saved(scored.select("g", "node", "label", "size", "u", "delta"), "scored")
+    best = keep.saved(scored.groupBy("g").agg(F.min(F.struct("u", "node", "label")).alias("best")), "best")
+    # Differences that a partner must share: by the least u, and since only ``spare`` may be left unshared.
+    spare = F.floor(F.col("size") * F.lit(down * (100 + rules.percent)) / F.lit(up * rules.percent))
+    need = F.ceil((F.col("u") + F.col("best.u")) / F.lit(2 * up))
+    need = F.when(need > 0, F.greatest(need, F.size("delta") - spare)).otherwise(need)
+    known = scored.join(best, "g").withColumn("need", need)
+    core = known.filter("need <= 0 and label != best.label").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+
+    # Differences of far members up to the prefix, those of core members whole.
+    share = F.when(F.expr("2 * often > n"), F.expr("n - often")).otherwise(F.col("often"))
+    rows = known.select("g", "node", "label", "size", "u", "need", F.explode("delta").alias("e")).join(often, ["g", "e"]).withColumn("share", share).filter("share > 1")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.desc("share"), "e"))).filter("need <= 0 or place >= need")
+    told = keep.saved(rows.select("g", "e", "node", "label", "size", "u", F.when(F.col("need") > 0, F.col("place")).alias("place")), "told")
+    meet = told.groupBy("g", "e").agg(F.count("*").alias("n"), F.count("place").alias("far"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
+    meet = keep.saved(meet.filter("far > 0 and least != most").select("g", "e", (F.col("n") * F.col("far") <= SMALL_GROUP).alias("small"), F.col("first.node").alias("centre")), "meet")
+    if meet.isEmpty():
+        return core, None
+    left = told.filter("place is not null").select("g", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px")).join(meet.filter("small").select("g", "e"), ["g", "e"])
+    right = told.select("g", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place")
     alike = F.lit(100) * F.least("mine", "size") >= F.lit(rules.percent) * F.greatest("mine", "size")
     # At the rarest shared difference, all other shared ones are more frequent.
-    enough = F.least("px", "place") >= (F.col("ux") + F.col("u")) / 2 - 1e-6
-    met = left.join(right, ["b", "e"]).filter("lx != ly").filter(alike & enough).select("x", "y").union(core)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
-    if large_from is not None:
-        large = told.filter(F.col("n") > large_from)
-        star = large.join(_centres(large, ["b", "e"], "n"), ["b", "e"]).filter("node != centre")
-        pairs = pairs.union(star.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open")))
-    return pairs.groupBy("a", "b").agg(F.bool_or("open").alias("open"))
-
-
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels(node, label)`` after more links: only the labels that these tie
-    together are grouped anew."""
-    tied = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    tied = saved(tied.filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "ties")
-    if tied.isEmpty():
-        return labels
-    to = components(tied).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return saved(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    enough = F.lit(2 * up) * F.least("px", "place") >= F.col("ux") + F.col("u")
+    met = left.join(right, ["g", "e"]).filter("lx != ly").filter(alike & enough)
+    met = met.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
+    star = told.join(meet.filter("not small"), ["g", "e"]).filter("node != centre").select("g", F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open"))
+    pairs = keep.saved(met.union(star).groupBy("g", "a", "b").agg(F.bool_or("open").alias("open")), "pairs")
+    tested = _compared(pairs, scored, ["g"], rules).withColumn("delta", F.when(F.col("open"), F.col("delta")))
+    tested = keep.saved(tested.join(scored.select("g", F.col("node").alias("a"), "label"), ["g", "a"]), "tested")
+    further = tested.filter("open").select(F.unhex(F.md5(F.concat("g", "b"))).alias("g"), F.col("a").alias("node"), "label", "size", "delta")
+    return core.union(tested.filter("linked").select("a", "b")), further
 
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataFrame:
@@ -270,31 +240,36 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataF
     blank text has no shingle and is linked with nothing, nor is a row whose
     doc_id is null (component_id null, kept true). Repeated rows give repeated
     rows. Texts of any length count whole; ties cannot arise, since the smallest
-    doc_id decides."""
+    doc_id decides. An empty table gives an empty result; other columns are not read."""
     rules = rules or NearDupRules()
     docs = docs.select("doc_id", "text")
-    signed = saved(signatures(docs, rules), "signed")
+    keep = Scratch(docs.sparkSession)
+    signed = keep.saved(signatures(docs, rules), "signed", merge=False)
     known = signed.filter("doc_id is not null and node is not null")
-    nodes = saved(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = keep.saved(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1")
-    buckets = saved(rows.join(shared, "key"), "buckets")
-    star = buckets.select("key", "node").join(_centres(buckets, ["key"], "company"), "key").filter("node != centre")
-    pairs = saved(star.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open")).distinct(), "pairs")
-
-    grouped, rounds = nodes.select("node", F.col("node").alias("label")), 0
-    while True:
-        rounds += 1
-        tested = saved(_tested(pairs, nodes, docs, rules), "tested")
-        grouped = _relabelled(grouped, tested.filter("linked").select("a", "b"))
-        pairs = saved(_apart(tested, grouped, rules, SMALL_GROUP if rounds < 8 else None), "pairs")
-        if pairs.isEmpty():
-            break
-
-    root = nodes.select("node", "doc_id").join(grouped, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    buckets = keep.saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("key", "centre"), "buckets")
+    star = rows.join(buckets, "key").filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    pairs = keep.saved(star.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = keep.saved(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
+    sets = keep.saved(_sets_of(wanted, docs, rules), "sets")
+    tested = keep.saved(_compared(pairs, sets, [], rules), "tested")
+    # The least centre that a node is linked with; what shares it need not meet again.
+    label = tested.groupBy("a").agg(F.min(F.when(F.col("linked"), F.col("b"))).alias("label"))
+    members = keep.saved(tested.join(label, "a").select(F.col("b").alias("g"), F.col("a").alias("node"), F.coalesce("label", "a").alias("label"), "size", "delta"), "members")
+    links = [tested.filter("linked").select("a", "b")]
+    while members is not None and (found := _apart(members, rules, keep)):
+        links.append(found[0])
+        members = found[1]
+
+    named = components(reduce(DataFrame.union, links), keep)
+    root = nodes.select("node", "doc_id").join(named, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = root.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named_nodes = saved(root.join(least, "label").select("node", "component_id"), "components")
+    least = keep.saved(least, "least")
+    named_nodes = keep.saved(root.join(least, "label").select("node", "component_id"), "components")
+    keep.drop(but=("signed", "components"))
     return (
         signed.select("doc_id", "n_shingles", "node")
         .join(named_nodes, "node", "left")
