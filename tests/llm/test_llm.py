@@ -5,8 +5,10 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -504,6 +506,83 @@ def test_blocks_of_links_do_not_empty_an_article():
     assert code in html.main_text(page, html.BlockRules())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title=it's>one</p><p>two</p><p>it's three</p></article>", "one\n\ntwo\n\nit's three"),
+        ('<div class="article-with-sidebar"><p>kept text here</p><p class="side-effects">mild</p><p class="alert-free">calm</p><p class="social-history">old</p></div>', "kept text here\n\nmild\n\ncalm\n\nold"),
+        ('<div class="widget"><article><p>the wrapper holds it all</p></article></div><div class="site-footer">f</div>', "the wrapper holds it all"),
+        ('<article><p>short</p></article><div class="post-comments"><p>' + "a reader says so " * 20 + "</p></div>", "short"),
+        ("<article><p>end is cut<b", "end is cut"),
+        ("<article><p>end is cut</p><p class='x", "end is cut"),
+        ("<article><p>a < b and 3<4 </ p> c</p><!--> d<!-- x --!> e</article>", "a < b and 3<4 c\n\nd e"),
+        ("<article><p data-x='class=ad'>kept</p><script>if (a</b/) '</scriptx>'</script ><p>two</p></article>", "kept\n\ntwo"),
+    ],
+)
+def test_markup_that_is_odd(page, text):
+    assert html.main_text(page, html.BlockRules()) == text
+
+
+def test_broken_tags_take_linear_time():
+    for piece in ('<a "', "<a x='", "<a b ", "<b>", "</q>", "<div>", "<p ", "<!-", "<li><b>"):
+        start = time.process_time()
+        html.main_text(piece * 100_000, html.BlockRules())
+        assert time.process_time() - start < 6, piece
+
+
+class _Reader(HTMLParser):
+    """Blocks by the standard library's parser: what paragraphs and headings hold."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.found, self.parts, self.out = [], [], 0
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        if (text := " ".join("".join(self.parts).split())) and not self.out:
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "i", "a"):
+            self.cut()
+            self.out += tag in ("nav", "footer", "form") or dict(attrs).get("class") in ("ad", "site-footer")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a"):
+            self.cut()
+            self.out = max(0, self.out - 1) if tag in ("nav", "footer", "form", "aside") else self.out
+
+    def handle_data(self, data):
+        if self.cdata_elem is None:
+            self.parts.append(data)
+
+
+def test_blocks_agree_with_another_parser():
+    rng = random.Random(3)
+    words = ["it's", "a&amp;b", "x &lt; y", "caf&eacute;", "&#8364;", "plain", "1 < 2", "say \"so\"", "&nbsp;", "d&eacute;j&agrave;"]
+    attrs = ["", " title=it's", " data-a='x>y'", ' data-b="<p>"', " hidden-not", " class=side-effects", " a=b/c", " = x", " class='article-with-sidebar'"]
+    say = lambda: " ".join(rng.choices(words, k=rng.randint(1, 6)))
+    for _ in range(300):
+        body = []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.choice(["p", "div", "h2", "section", "nav", "footer", "script", "comment", "aside"])
+            if kind == "script":
+                body.append("<script>var a = '<p>no</p>';</script>")
+            elif kind == "comment":
+                body.append("<!-- <p>no</p> -->")
+            elif kind == "aside":
+                body.append("<form><b>no</b></form>")
+            else:
+                body.append(f"<{kind}{rng.choice(attrs)}>{say()}<{rng.choice('bi')}{rng.choice(attrs)}>{say()}</b><br>{say()}</{kind}>")
+        page = f"<html><body><article>{''.join(body)}</article></body></html>"
+        assert [b.text for b in html.blocks(page) if not b.dropped] == _Reader(page).found, page
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<article><p>é x</p></article>"), (2, "u", "")], "page_id long, url string, html string")
     assert {(r["page_id"], r["text"], r["n_chars"]) for r in html.page_texts(pages).collect()} == {(1, "", 0), (None, "é x", 3), (2, "", 0)}

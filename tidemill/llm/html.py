@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -47,11 +48,20 @@ _MARKS = frozenset(
     "sidebar side aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended recommendations subscribe subscription newsletter signup login register widget widgets pagination pager copyright disclaimer".split()
 )
+#: Marks that void themselves on no page, however much of its text they hold.
+_REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that a class may add to a mark; any other makes it a class of its own (article-with-sidebar).
+_PLACES = frozenset(
+    "site main page global primary secondary left right top bottom sticky fixed inner outer box block area wrap wrapper container bar list section slot unit zone panel group "
+    "button buttons link links post posts article articles story stories item items icon icons text label title form thread count row col column info message the my js".split()
+)
+# A tag ends at ">" outside quoted values or with the page; possessive, so that time is linear.
+_REST = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z))?+)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>]){_REST}(?:\Z|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})(?P<done>>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)|'([^']*+)|([^\s>"'][^\s>]*+)|(?=>)|\Z))?+["']?""")
 _STYLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -78,35 +88,55 @@ class Block:
     root: int  # number of the article or main element, 0 outside
 
 
-def _marked(rest: str) -> bool:
-    if "display" in rest and _STYLE.search(rest):
-        return True
+#: What _drops tells: a certain drop, a mark that a page may void, or none.
+HIDDEN, MARKED, PLAIN = 2, 1, 0
+
+
+def _token_marked(token: str) -> frozenset[str]:
+    """The marks of a class or id, if it consists of them and places only."""
+    parts = [x for x in re.split(r"[^a-z]+", _CAMEL.sub("-", token).lower()) if x]
+    return frozenset(parts) & _MARKS if all(x in _MARKS or x in _PLACES for x in parts) else frozenset()
+
+
+def _drops(rest: str) -> int:
+    """What an element's attributes say of it."""
+    out = PLAIN
     for m in _ATTRIBUTE.finditer(rest):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and any(w in _MARKS for w in re.split(r"[^a-z]+", _CAMEL.sub("-", value).lower())):
-            return True
-    return False
+        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES or name == "style" and _STYLE.search(value):
+            return HIDDEN
+        if name in ("class", "id"):
+            for token in value.split():
+                if marks := _token_marked(token):
+                    out = max(out, HIDDEN if marks & _REMARKS else MARKED)
+    return out
+
+
+_ENDS = frozenset("p li td th tr dt dd option h1 h2 h3 h4 h5 h6".split())
+_BARRIERS = frozenset("ul ol table dl div section article".split())
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty blocks in order."""
+    """The page's non-empty blocks in order, in time linear in the page.
+
+    An element that a class or id marks for dropping is kept all the same if it holds
+    more than half of the page's text outside links: then it is a wrapper."""
     out: list[Block] = []
+    inside: list[tuple[int, ...]] = []  # for each block, the marked elements around it
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, root
-    link = roots = 0
+    stack: list[tuple[str, bool, tuple[int, ...], int]] = []  # name, dropped, marked elements, root
+    opened: Counter[str] = Counter()
+    outside = ("", False, (), 0)
+    link = roots = marks = 0
     tag = "body"
 
     def flush() -> None:
-        nonlocal link
         text = " ".join("".join(parts).split())
         if text:
-            dropped, root = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            _, dropped, marked, root = stack[-1] if stack else outside
             out.append(Block(text, tag, len(" ".join("".join(linked).split())), dropped, root))
+            inside.append(marked)
         parts.clear()
         linked.clear()
 
@@ -117,6 +147,11 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked.append(text)
 
+    def cut(k: int) -> None:
+        """Close the elements from the k-th on."""
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
@@ -126,48 +161,68 @@ def blocks(page: str) -> list[Block]:
             if m["raw"]:
                 parts.append(" ")
             continue
+        if not m["done"]:  # a tag that the page's end cuts off
+            continue
         name, closing, rest = name.lower(), bool(m["end"]), m["rest"] or ""
         block = name in _BLOCK
         if name == "br":
             parts.append(" ")
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name == "a":
                 link = 0
-            if k is None:
+            if opened[name] < 1:
                 if block:
                     flush()
                 continue
-            if block or any(s[0] in _BLOCK for s in stack[k:]) or stack[k][1] != (stack[k - 1][1] if k else False):
-                flush()
-            del stack[k:]
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+            flush()
+            cut(k)
             continue
-        above = stack[-1] if stack else ("", False, 0)
-        drop = name in _DROP or bool(rest) and name not in ("html", "body", "article", "main") and _marked(rest)
-        if name == "header" and above[2] and not above[1] and not _marked(rest):
-            drop = False  # an article's own header holds its title
+        above = stack[-1] if stack else outside
+        says = _drops(rest) if rest and name not in ("html", "body", "article", "main") else PLAIN
+        hidden = name in _DROP or says == HIDDEN
+        if name == "header" and above[3] and not above[1] and says == PLAIN:
+            hidden = False  # an article's own header holds its title
+        drop = hidden or says == MARKED
         if block or drop:
             flush()
             tag = name
-            if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or re.fullmatch("h[1-6]", name):
+            if name in _ENDS:
                 # an open paragraph or heading ends here, as may an item of the same kind
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, "p")), None)
-                if k is not None and not any(s[0] in ("ul", "ol", "table", "dl", "div", "section", "article") for s in stack[k + 1 :]):
-                    if not (stack[k][0] == "p" and name in ("td", "th", "tr")):
-                        del stack[k:]
-            above = stack[-1] if stack else ("", False, 0)
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in (name, "p"):
+                        if not (stack[k][0] == "p" and name in ("td", "th", "tr")):
+                            cut(k)
+                        break
+                    if stack[k][0] in _BARRIERS:
+                        break
+            above = stack[-1] if stack else outside
         if name == "a":
             link = 1
-        if name in _VOID or rest.endswith("/") and not block:
+        if name in _VOID or rest.endswith("/") and not block or not (block or drop):
             continue
-        root = above[2]
-        if name in ("article", "main") and not above[2]:
+        root = above[3]
+        if name in ("article", "main") and not root:
             roots += 1
             root = roots
-        stack.append((name, above[1] or drop, root))
+        marked = above[2]
+        if not hidden and drop:
+            marks += 1
+            marked = (*marked, marks)
+        opened[name] += 1
+        stack.append((name, above[1] or hidden, marked, root))
     say(page[at:])
     flush()
+
+    size = [0 if b.dropped else len(b.text) - b.linked for b in out]
+    held: Counter[int] = Counter()
+    for n, marked in zip(size, inside):
+        for x in marked:
+            held[x] += n
+    wrappers = {x for x, n in held.items() if 2 * n > sum(size)}
+    for b, marked in zip(out, inside):
+        b.dropped = b.dropped or not wrappers.issuperset(marked)
     return out
 
 
