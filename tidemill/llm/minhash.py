@@ -223,7 +223,7 @@ def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[Data
     alike = F.lit(100) * F.least("mine", "size") >= F.lit(rules.percent) * F.greatest("mine", "size")
     # At the rarest shared difference, all other shared ones are more frequent.
     enough = F.lit(2 * up) * F.least("px", "place") >= F.col("ux") + F.col("u")
-    met = left.join(right, ["g", "e"]).filter("lx != ly").filter(alike & enough)
+    met = left.join(right, ["g", "e"]).filter("lx != ly and (place is null or x < y)").filter(alike & enough)
     met = met.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
     star = told.join(meet.filter("not small"), ["g", "e"]).filter("node != centre").select("g", F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open"))
     pairs = keep.saved(met.union(star).groupBy("g", "a", "b").agg(F.bool_or("open").alias("open")), "pairs")
