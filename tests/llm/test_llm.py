@@ -227,7 +227,7 @@ def test_rates_meet_reachable_targets(spark, odd_docs):
     rows = [(i, " ".join(rng.choices(["good", "fine", "nice"] if i % 3 else ["awful", "bad", "ugly"], k=20) + ["the"] * 5)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, "up" if i % 3 else "down") for i in range(0, 600, 2)] + [(None, "up"), (3, None)], "doc_id long, domain string")
-    got = mixing.mixing_rates(docs, labels, {"up": 0.25, "down": 0.75}, mixing.MixRules(least_docs=5))
+    got = mixing.mixing_rates(docs, labels, {"up": 0.25, "down": 0.75})
     sums = {r["domain"]: r["t"] for r in got.groupBy("domain").agg(F.sum("expected_tokens").alias("t")).collect()}
     assert sums["down"] / sum(sums.values()) == pytest.approx(0.75, abs=0.01)
     assert got.filter("rate < 0").count() == 0 and got.filter((F.col("domain") == "up") != (F.col("doc_id") % 3 != 0)).count() == 0
@@ -235,10 +235,57 @@ def test_rates_meet_reachable_targets(spark, odd_docs):
     assert mixing.mixing_rates(odd_docs.limit(0), labels, {"up": 1.0}).count() == 0
     mixed = mixing.mix(odd_docs, labels, {"up": 1.0})
     assert mixed.columns == odd_docs.columns and mixed.count() >= odd_docs.count()
+    assert {r["converged"] for r in got.select("converged").distinct().collect()} == {True}
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def _least_squares(tokens, p, target, lowest=0.0, steps=20000):
+    """Nonnegative least squares by coordinate descent over documents."""
+    a = (tokens[:, None] * p).T
+    r = np.full(len(tokens), max(1.0, lowest))
+    s = a @ r
+    for _ in range(steps // len(r)):
+        for i in range(len(r)):
+            if norm := a[:, i] @ a[:, i]:
+                new = max(lowest, r[i] - a[:, i] @ (s - target) / norm)
+                s += a[:, i] * (new - r[i])
+                r[i] = new
+    return np.abs(s - target).max() / tokens.sum(), float(((s - target) ** 2).sum() ** 0.5 / tokens.sum())
+
+
+@pytest.mark.parametrize(
+    ("case", "weights", "lowest"),
+    [("narrow", (0.3, 0.7), 0.0), ("narrow", (0.05, 0.95), 1.0), ("absent", (0.5, 0.3, 0.2), 0.0)],
+)
+def test_rates_are_the_least_squares_optimum(spark, case, weights, lowest):
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(1, 400, 200).astype(float)
+    if case == "narrow":
+        one = rng.uniform(0.5, 0.9, 200)
+        p = np.stack([one, 1 - one], axis=1)
+    else:
+        p = rng.dirichlet([2.0, 3.0, 1.0], 200)
+        if case == "absent":
+            p = np.c_[p[:, 0] + p[:, 2], p[:, 1], np.zeros(200)]
+    names = tuple("abc"[: p.shape[1]])
+    members = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "tokens long, posterior array<double>").coalesce(1)
+    target = np.array(weights) * tokens.sum()
+    want, loss = _least_squares(tokens, p, target, lowest)
+    fit = mixing.fit_rates(members, names, dict(zip(names, weights)), mixing.MixRules(steps=70), Scratch(spark), lowest)
+    got = float(((np.array(fit.reached) - target) ** 2).sum() ** 0.5 / tokens.sum())
+    assert got <= loss + 0.02 and fit.gap == pytest.approx(np.abs(np.array(fit.reached) - target).max() / tokens.sum())
+    rates = [r[0] for r in members.select(fit.rate(F.col("posterior"), lowest)).collect()]
+    assert min(rates) >= lowest and (tokens * rates) @ p == pytest.approx(np.array(fit.reached))
+    assert fit.gap == pytest.approx(want, abs=0.03)
+
+
+def test_domains_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit_domains(docs, mixing.label_domains(labels), mixing.MixRules(), Scratch(spark))
+    assert model.accuracy > max(math.exp(x) for x in model.prior) - 0.1
+
+
 # ---------------------------------------------------------------- WARC
 
 
