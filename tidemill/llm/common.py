@@ -65,13 +65,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, but: tuple[str, ...] = ()) -> None:
-        """Delete all saved tables but those of the labels ``but``."""
+        """Delete all saved tables but those of the labels ``but``; shuffles of plans
+        that nothing refers to any more go as well."""
         path_of, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsparkSession.sessionState().newHadoopConf()
         for label, path in self.paths:
             if label not in but:
                 at = path_of(path)
                 at.getFileSystem(conf).delete(at, True)
         self.paths = [x for x in self.paths if x[0] in but]
+        self.spark._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, f, schema) -> DataFrame:

@@ -5,36 +5,36 @@ Cartesian tree of the hashes cuts it into compact windows ``[l, r]`` around a
 minimum ``c``: all subsequences in ``[l, r]`` that hold c share c's min-hash. Only
 windows that can hold a passage of the least length count; about ``2 n / t`` of them
 stay. Windows of equal min-hash meet at one representative, the first document of
-the group. Pairs that meet in several hash functions, or in a group of their own, are
-verified on their whole texts. Where a member
-of another group is not found to share a passage with the representative (which holds the minimum in
-another context, as a frequent line has many), the run of shingles around the minimum
-that the two have in common goes to the end of the order for all members, and their
-windows around it are cut anew, until no group of several others has an unverified
-member. Windows of such groups also meet by the
-exact runs of shingles around their minimum. No group emits all its pairs; each
-round emits at most one pair for each window.
+the group. A pair is verified on its whole sequences if in two hash functions or more
+its windows overlap by the least length, or if a group has no other members.
+
+A representative may hold the minimum in another context, as a frequent line has
+many. So all members of a group with an unverified one meet again under more special
+keys, at the same minima: the exact runs around the minimum that any exact passage
+there holds one of (who shares such a run shares a passage of the required similarity,
+so each member is verified with whichever is first), and the minimum together with
+the least hashes of the stretch before or after it, which bear edits. No group emits
+all its pairs; each key of a window emits one pair at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import byte_column, chunks, map_batches, mix, saved, shingles, word_hashes
+from tidemill.llm.common import Scratch, byte_column, chunks, map_batches, mix, shingles, word_hashes
 
 
 @dataclass(frozen=True)
 class PassageRules:
     """Shingle width and least passage in words, similarity in hundredths, hash
     functions, and those that must agree at first if others hold the minimum too;
-    what agrees in fewer meets again by the next minima, where one is enough. A
+    what agrees in fewer meets again. A
     passage of similarity 0.8 agrees in one or more of five with a chance of
     0.9997, in two or more with 0.993, an exact one in all."""
 
@@ -50,9 +50,10 @@ class PassageRules:
         return self.least_words - self.width + 1
 
 
-#: Ids up to this number are broadcast to fetch texts; more are shuffled.
-SMALL_IDS = 200_000
-_PLACE = 26
+#: Ids up to this number are broadcast to fetch sequences; more are shuffled.
+SMALL_IDS = 1_000_000
+#: Hash functions of the stretches beside a minimum, where it meets again.
+BESIDE = 3
 
 
 def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +67,16 @@ def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none
-    low = (value >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(n, dtype=np.uint64)
+    # The lowest bits, as many as the length asks for, give way to the position.
+    bits = np.uint64(int(n).bit_length())
+    low = (value >> bits << bits) | np.arange(n, dtype=np.uint64)
     best, span = low, 1
     while span < least:
         step = min(span, least - span)
         best = np.minimum(best[: len(best) - step], best[step:])
         span += step
     inside = doc[: n - least + 1] == doc[least - 1 :]
-    place = np.unique((best[inside] & np.uint64((1 << _PLACE) - 1)).astype(np.int64))
+    place = np.unique((best[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
     if not len(place):
         return none, none, none
     edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -94,7 +97,9 @@ def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.
     return place, np.array(left), np.array(right)
 
 
-_WINDOW = "key long, doc_id long, place long"
+_WINDOW = "key long, doc_id long, at int, left int, right int"
+#: Rows of one Arrow batch of windows.
+_WINDOWS = 200_000
 
 
 def _shingled(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,65 +116,47 @@ def _keys(hashed: np.ndarray, f: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """``(key, doc_id, place)``: the hash function is in the key's last 3 bits;
-    ``place`` packs the minimum's position and its distances to both ends (each
-    65535 at most, which only narrows a window).
-
-    Where ``docs`` has ``masked`` and ``fresh`` (arrays of keys), the masked minima
-    come last in the order, and only windows that hold a fresh one are given."""
-    anew = "masked" in docs.columns
+    """``(key, doc_id, at, left, right)``: the hash function is in the key's last 3
+    bits; the minimum and both ends are shingles of the text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             ids = batch.column(0).to_numpy()
             doc, value = _shingled(batch.column(1), rules.width)
             starts = np.searchsorted(doc, np.arange(batch.num_rows))
-            names = [_of_text(batch.column(k)) for k in (2, 3)] if anew else []
             for f in range(rules.hashes):
                 hashed = _hashed(value, f)
-                keys = _keys(hashed, f)
-                if anew:
-                    own = _named(doc, keys)
-                    masked, fresh = (np.isin(own, x) for x in names)
-                    if not fresh.any():
-                        continue
-                    last = np.where(masked, np.uint64(1 << 63), np.uint64(0))
-                    at, left, right = compact_windows(doc, hashed >> np.uint64(1) | last, rules.least)
-                    before = np.r_[0, np.cumsum(fresh)]
-                    keep = ~masked[at] & (before[right + 1] > before[left])
-                    at, left, right = at[keep], left[keep], right[keep]
-                else:
-                    at, left, right = compact_windows(doc, hashed, rules.least)
-                owner, key = doc[at], keys[at]
-                place = (at - starts[owner]) << 32 | np.minimum(at - left, 0xFFFF) << 16 | np.minimum(right - at, 0xFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[owner]), pa.array(place)], names=["key", "doc_id", "place"])
-
-    return map_batches(docs.select("doc_id", "text", *(["masked", "fresh"] if anew else [])), cut, _WINDOW)
+                at, left, right = compact_windows(doc, hashed, rules.least)
+                for k in range(0, len(at), _WINDOWS):
+                    part = slice(k, k + _WINDOWS)
+                    owner = doc[at[part]]
+                    places = [pa.array((x[part] - starts[owner]).astype(np.int32)) for x in (at, left, right)]
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(hashed[at[part]], f)), pa.array(ids[owner]), *places], names=["key", "doc_id", "at", "left", "right"])
 
+    return map_batches(docs.select("doc_id", "text"), cut, _WINDOW)
 
-def _named(text: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return mix(key.view(np.uint64) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+def _met(rows: DataFrame, keep: Scratch) -> DataFrame:
+    """``rows(key, doc_id, ...)`` of groups of several documents, with the first
+    document ``other_id`` of their group and the number ``n`` of its rows. Groups are
+    aggregated on the map side and saved, so that Spark can split the join back at a
+    key that a third of the documents share."""
+    group = rows.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("other_id < last")
+    return rows.join(keep.saved(group.select("key", "other_id", "n"), "groups"), "key")
 
-def _of_text(column: pa.Array) -> np.ndarray:
-    """The keys in an array column, each hashed with its row."""
-    keys = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = [len(x) if x.is_valid else 0 for x in column]
-    return _named(np.repeat(np.arange(len(column)), sizes), keys)
 
+def _sequences(docs: DataFrame, ids: DataFrame, rules: PassageRules) -> DataFrame:
+    """``(doc_id, shingles)`` of the documents ``ids``; of rows that repeat a doc_id each."""
 
-def _met(rows: DataFrame) -> DataFrame:
-    """``rows(key, doc_id, place)`` with the first document of their group and the
-    number of its rows, for groups of several documents; the first one's own rows
-    are left out. Groups are aggregated on the map side, and the join back is one
-    that Spark can split at a key that a third of the documents share."""
-    group = rows.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("other_id < last")
-    return rows.join(group.select("key", "other_id", "n"), "key").filter("doc_id != other_id")
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            owner, value = _shingled(batch.column(1), rules.width)
+            offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """One row for each (doc_id, other_id) with its anchors ``(key, place, n)``."""
-    return met.groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "place", "n")).alias("anchors"))
+    # Ids are 8 bytes each; up to SMALL_IDS, counted first, they are broadcast.
+    few = ids.count() <= SMALL_IDS
+    return map_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text"), cut, "doc_id long, shingles array<long>")
 
 
 def _balance(hit: np.ndarray, percent: int) -> np.ndarray:
@@ -196,25 +183,16 @@ def _run(a: np.ndarray, b: np.ndarray, at: int, other: int, least: int) -> tuple
     return (at - back, at + ahead, other - back, other + ahead, 1.0) if back + ahead >= least else None
 
 
-def _shared(a: np.ndarray, b: np.ndarray, at: int, least: int) -> np.ndarray:
-    """The longest run around ``a[at]`` that b has too, up to ``least`` either way."""
-    best = a[at : at + 1]
-    for y in np.flatnonzero(b == a[at]).tolist():
-        n, m = min(len(a) - at, len(b) - y, least), min(at, y, least)
-        ahead = np.r_[a[at : at + n] != b[y : y + n], True].argmax()
-        back = np.r_[a[at - m : at][::-1] != b[y - m : y][::-1], True].argmax()
-        if ahead + back > len(best):
-            best = a[at - back : at + ahead]
-    return best
-
-
 class _Pair:
     """Finds the passages of two shingle sequences around anchors. Stretches that
     failed once are not tried again from another anchor inside them."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, rules: PassageRules):
         self.a, self.b, self.rules = a, b, rules
-        self.score, self.order = _balance(np.isin(a, b), rules.percent), np.argsort(b, kind="stable")
+        self.order = np.argsort(b, kind="stable")
+        place = np.searchsorted(b, a, "left", self.order)
+        self.hit = (b[self.order[np.minimum(place, len(b) - 1)]] == a) if len(b) else np.zeros(len(a), bool)
+        self.score = _balance(self.hit, rules.percent)
         self.tried: dict[tuple[int, int], tuple[np.ndarray, list]] = {}
 
     def passage(self, at: int) -> tuple | None:
@@ -240,86 +218,97 @@ class _Pair:
         return None
 
 
-_FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double, key long, run array<long>"
+_FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double, failed array<long>"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """Passages of the pairs, in words; anchors that belong to none come as rows
-    with a null start and, in a group of several others, the keys of the ``run`` of
-    shingles around them that the pair has in common. Only texts of documents in a pair leave their scan while
-    their ids, counted first, are few enough to be broadcast."""
-    ids = saved(pairs.select("doc_id").union(pairs.select("other_id")).distinct(), "ids")
-    few = ids.count() <= SMALL_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
-    texts = texts if few else saved(texts, "texts")
-    joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")), "other_id")
+def _list_of(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy().view(np.uint64)
+
+
+def _verified(pairs: DataFrame, sequences: DataFrame, rules: PassageRules) -> DataFrame:
+    """Passages of ``pairs(doc_id, other_id, anchors(key, at))``, in words; the keys
+    of anchors that belong to none come as rows with a null start."""
+    theirs = sequences.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"))
+    joined = pairs.join(sequences, "doc_id").join(theirs, "other_id")
     width = rules.width
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in chunks(batches, "text"):
+        for batch in batches:
             ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            owner, value = _shingled(batch.column(3), width)
-            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             out: list[tuple] = []
+            failed: list[np.ndarray] = []
             for i in range(batch.num_rows):
-                a = value[starts[i] : starts[i + 1]]
-                if last[0] != others[i]:
-                    last = (others[i], _shingled(batch.column(4).slice(i, 1), width)[1])
-                b = last[1]
+                a, b = _list_of(batch.column(3), i), _list_of(batch.column(4), i)
                 anchors = batch.column(2)[i].values
-                key, place, n = (anchors.field(k).to_numpy() for k in range(3))
-                order = np.argsort(place, kind="stable")
-                pair, reached = None, -1
-                for k in order:
-                    x = int(place[k]) >> 32
-                    if x < reached or x >= len(a):  # inside the passage before, or of another text
+                key, at = (anchors.field(k).to_numpy() for k in range(2))
+                order = np.argsort(at, kind="stable")
+                order = order[at[order] < len(a)]  # others are of another text under this doc_id
+                pair = _Pair(a, b, rules)
+                # Around an anchor in a passage at least half as many shingles are shared as it must have.
+                hits = np.r_[0, np.cumsum(pair.hit)]
+                x = at[order]
+                near = hits[np.minimum(x + rules.least, len(a))] - hits[np.maximum(x - rules.least + 1, 0)] >= rules.least // 2
+                reached, lost = -1, list(key[order[~near]])
+                for k in order[near]:
+                    x = int(at[k])
+                    if x < reached:  # inside the passage before
                         continue
-                    pair = pair or _Pair(a, b, rules)
                     got = pair.passage(x)
                     if got is None:
-                        out.append((ids[i], None, None, others[i], None, None, None, int(key[k]), _keys(_hashed(_shared(a, b, x, rules.least), int(key[k]) & 7), int(key[k]) & 7) if n[k] > 2 else None))
+                        lost.append(key[k])
                     else:
                         s, e, s2, e2, similarity = got
                         reached = e
-                        out.append((ids[i], s, e + width - 1, others[i], s2, e2 + width - 1, similarity, int(key[k]), None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.list_(pa.int64()) if k == 8 else pa.int64()) for k in range(9)], names=[x.split()[0] for x in _FOUND.split(", ")])
+                        out.append((ids[i], s, e + width - 1, others[i], s2, e2 + width - 1, similarity, None))
+                failed.append(np.array(lost, np.int64))
+            if failed:
+                out.append((None, None, None, None, None, None, None, np.unique(np.concatenate(failed))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.list_(pa.int64()) if k == 7 else pa.int64()) for k in range(8)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return map_batches(joined.select("doc_id", "other_id", "anchors", "shingles", "other"), check, _FOUND)
 
-    return saved(map_batches(joined.select("doc_id", "other_id", "anchors", "text", "other_text"), check, _FOUND), "passages")
 
+def _again(members: DataFrame, sequences: DataFrame, rules: PassageRules) -> DataFrame:
+    """Windows ``members(doc_id, ats)`` under more special keys ``(key, doc_id, at)``.
 
-def _runs(left: DataFrame, docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """Windows ``left(doc_id, ats)`` keyed anew: by the runs of ``least - 5``
-    shingles that hold the minimum, one for every fifth offset. Any exact passage
-    around the minimum holds one of them whole."""
-    size, step = rules.least - 5, 5
+    Runs of ``least - 5`` shingles that hold the minimum, one for every fifth offset:
+    any exact passage around the minimum holds one of them whole, and two texts that
+    share one have 41 of 51 shingles in common at least. And for either side of the
+    minimum, half the least passage long, its least hashes."""
+    size, step, half = rules.least - 5, 5, rules.least // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            ids, ats = batch.column(0).to_pylist(), batch.column(1)
-            owner, value = _shingled(batch.column(2), rules.width)
-            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            # Rolling hash of a run: sums of value * odd**position, brought to one scale.
-            odd, n = 0xD1342543DE82EF95, len(value)
-            inverse = pow(odd, -1, 1 << 64)
-            up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-            up[1:], down[1:] = np.multiply.accumulate(np.full(n, odd, np.uint64)), np.multiply.accumulate(np.full(n, inverse, np.uint64))
-            total = np.r_[np.uint64(0), np.cumsum(value * up[:n], dtype=np.uint64)]
-            keys, docs_, at_ = [], [], []
+        odd = 0xD1342543DE82EF95
+        inverse = pow(odd, -1, 1 << 64)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
             for i in range(batch.num_rows):
-                at = np.unique(ats[i].values.to_numpy()) + starts[i]
+                value = _list_of(batch.column(2), i)
+                at = np.unique(batch.column(1)[i].values.to_numpy()).astype(np.int64)
+                n, at = len(value), at[at < len(value)]
+                # Rolling hash of a run: sums of value * odd**position, brought to one scale.
+                up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+                up[1:], down[1:] = np.multiply.accumulate(np.full(n, odd, np.uint64)), np.multiply.accumulate(np.full(n, inverse, np.uint64))
+                total = np.r_[np.uint64(0), np.cumsum(value * up[:n], dtype=np.uint64)]
+                keys, places = [], []
                 for back in range(0, size, step):
                     s = at - back
-                    ok = (s >= starts[i]) & (s + size <= starts[i + 1])
-                    s = s[ok]
-                    keys.append(mix((total[s + size] - total[s]) * down[s]))
-                    at_.append(at[ok] - starts[i])
-                    docs_.append(np.full(len(s), ids[i], np.int64))
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(3) << np.uint64(3)).view(np.int64)), pa.array(np.concatenate(docs_) if docs_ else np.zeros(0, np.int64)), pa.array((np.concatenate(at_) if at_ else np.zeros(0, np.int64)) << 32)], names=["key", "doc_id", "place"])
-
-    few = left.count() <= SMALL_IDS
-    return map_batches(docs.join(F.broadcast(left) if few else left, "doc_id").select("doc_id", "ats", "text"), cut, _WINDOW)
+                    ok = (s >= 0) & (s + size <= n)
+                    keys.append(mix((total[s[ok] + size] - total[s[ok]]) * down[s[ok]]))
+                    places.append(at[ok])
+                # A passage reaches half its length beyond the minimum on one side at least.
+                for side, ok in ((-half, at >= half), (1, at + half < n)):
+                    span = at[ok][:, None] + side + np.arange(half)
+                    for f in range(BESIDE):
+                        least = _hashed(value[span], f + 8).min(axis=1) if ok.any() else np.zeros(0, np.uint64)
+                        keys.append(mix(mix(value[at[ok]] + np.uint64(f + 1)) ^ least))
+                        places.append(at[ok])
+                key, place = np.concatenate(keys).view(np.int64), np.concatenate(places)
+                for k in range(0, len(key), _WINDOWS):
+                    part = slice(k, k + _WINDOWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), ids[i], np.int64)), pa.array(place[part].astype(np.int32))], names=["key", "doc_id", "at"])
+
+    return map_batches(members.join(sequences, "doc_id").select("doc_id", "ats", "shingles"), cut, "key long, doc_id long, at int")
 
 
 def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
@@ -330,45 +319,33 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     A group of documents with one passage gives one row for each but the first.
     Texts are lower-cased and cut at ASCII white space, whole. Rows with null
     doc_id or text, and texts shorter than a passage, give nothing; of rows that
-    repeat one doc_id each text counts, and equal results come once."""
-    rules = rules or PassageRules()
+    repeat one doc_id each text counts, and equal results come once. An empty table
+    gives no rows; other columns are not read."""
+    rules, keep = rules or PassageRules(), Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity"]
-    found, masks, ever, rounds = [], None, None, 0
-    while True:
-        rows = windows(docs, rules) if masks is None else saved(windows(_masked(docs, masks, rounds), rules), "windows")
-        pairs = saved(_pairs(_met(rows)), "pairs")
-        # At first a pair in few hash functions, all in groups of more, waits for the next minima.
-        functions = F.size(F.array_distinct(F.transform("anchors", lambda x: x["key"].bitwiseAND(7))))
-        now = F.lit(True) if masks is not None else (functions >= rules.need) | F.exists("anchors", lambda x: x["n"] == 2)
-        told = _verified(pairs.filter(now), docs, rules)
-        waits = pairs.filter(~now).select(F.inline("anchors")).select("key", F.array("key").alias("run"))
-        found.append(told.filter("start is not null").select(*columns))
-        runs = told.filter("start is null and run is not null").select("key", "run").union(waits).groupBy("key").agg(F.min(F.struct(F.size("run").alias("n"), "run")).alias("least"))
-        bad = saved(runs.select("key", F.col("least.run").alias("run")), "bad")
-        # All members of a group with an unverified one, verified or not.
-        members = pairs.select("doc_id", "other_id", F.inline("anchors")).join(bad, "key")
-        held = members.select("doc_id", F.explode("run").alias("key")).union(members.select("other_id", F.explode("run")))
-        if masks is None:
-            anchors = members.select("doc_id", F.shiftright("place", 32).alias("at"))
-            left = saved(anchors.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "left")
-            exact = saved(_pairs(_met(_runs(left, docs, rules))), "pairs")
-            found.append(_verified(exact, docs, rules).filter("start is not null").select(*columns))
-        else:
-            held = held.union(rows.select("doc_id", "key").join(ever, "key", "left_semi").select("doc_id", "key")).join(masks, ["doc_id", "key"], "left_anti")
-        rounds += 1
-        fresh = saved(held.distinct().withColumn("round", F.lit(rounds)), "masks")
-        if fresh.isEmpty():
-            break
-        masks = fresh if masks is None else masks.union(fresh)
-        told_off = bad.select(F.explode("run").alias("key"))
-        ever = saved((told_off if ever is None else ever.union(told_off)).distinct(), "ever")
-    return reduce(DataFrame.union, found).distinct()
-
-
-def _masked(docs: DataFrame, masks: DataFrame, rounds: int) -> DataFrame:
-    """Documents with a mask of the last round, with all their ``masked`` keys and
-    the ``fresh`` ones of that round."""
-    new = F.when(F.col("round") == rounds, F.col("key"))
-    keys = saved(masks.groupBy("doc_id").agg(F.collect_set("key").alias("masked"), F.collect_set(new).alias("fresh")).filter(F.size("fresh") > 0), "masked")
-    return docs.join(keys, "doc_id")
+    met = keep.saved(_met(keep.saved(windows(docs, rules), "windows", merge=False), keep), "met")
+    keep.drop(but=("met",))
+    anchor = F.struct("key", "at", "left", "right", "n")
+    pairs = met.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_list(anchor).alias("anchors"))
+    # Windows of two hash functions that overlap by the least length.
+    overlap = F.exists("anchors", lambda x: F.exists("anchors", lambda y: (x["key"].bitwiseAND(7) < y["key"].bitwiseAND(7)) & (F.least(x["right"], y["right"]) - F.greatest(x["left"], y["left"]) + 1 >= rules.least)))
+    now = overlap if rules.need > 1 else F.lit(True)
+    pairs = keep.saved(pairs.withColumn("now", F.exists("anchors", lambda x: x["n"] == 2) | now), "pairs")
+    slim = F.transform("anchors", lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at")))
+    ready = pairs.filter("now").select("doc_id", "other_id", slim.alias("anchors"))
+    waiting = pairs.filter("not now").select(F.inline("anchors")).select("key")
+
+    ids = keep.saved(ready.select("doc_id").union(ready.select("other_id")).union(pairs.filter("not now").select("doc_id")).union(pairs.filter("not now").select("other_id")).distinct(), "ids")
+    sequences = keep.saved(_sequences(docs, ids, rules), "sequences", merge=False)
+    told = keep.saved(_verified(ready, sequences, rules), "told")
+    # All members of groups with an unverified one, verified or not, meet again.
+    failed = told.filter("start is null").select(F.explode("failed").alias("key")).union(waiting).distinct()
+    failed = keep.saved(failed, "failed")
+    members = met.filter("n > 2").join(failed, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    rows = keep.saved(_again(keep.saved(members, "members"), sequences, rules), "again", merge=False)
+    more = _met(rows, keep).filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "at")).alias("anchors"))
+    more = keep.saved(_verified(keep.saved(more, "more"), sequences, rules), "told")
+    found = told.union(more).filter("start is not null").select(*columns).distinct()
+    keep.drop(but=("told",))
+    return found
