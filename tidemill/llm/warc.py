@@ -81,8 +81,11 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
     leave nothing double."""
     payload = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("key"), F.octet_length(payload).alias("size"))
+    # Only ids and digests meet at a payload that many pages share; the payloads themselves
+    # meet their revisits by page, and stay where they are if Spark finds these small enough to send.
     repeated = keyed.filter(F.col("size") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    told = keyed.join(repeated, "key", "left").select("page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+    revisits = keyed.select("page_id", "key").join(saved(repeated, "repeated"), "key").filter("first < page_id").distinct()
+    told = keyed.join(saved(revisits, "revisits"), ["page_id", "key"], "left").select("page_id", "url", "payload", "first")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("records", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,58 +111,66 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, date: str =
     return saved(map_batches(told, write, schema), "manifest")
 
 
-def _unpack(file, at: int, limit: int, head_only: bool = False) -> tuple[bytes, int] | None:
-    """The member that starts at ``at`` and the offset behind it; None if there
-    is none. With ``head_only`` just its beginning."""
-    unpack, out, here = zlib.decompressobj(31), [], at
-    try:
-        while here < limit and not unpack.eof:
-            file.seek(here)
-            raw = file.read(4096 if head_only else _BLOCK)
-            here += len(raw)
-            out.append(unpack.decompress(raw, 64 if head_only else 0))
-            if head_only:
-                return b"".join(out), here
-            if not raw:
-                break
-    except zlib.error:
-        return None
-    return (b"".join(out), here - len(unpack.unused_data)) if unpack.eof else None
+class _Forward:
+    """A file read forward through one buffer: each byte is fetched once, unless a
+    damaged member sends the reader back."""
 
+    def __init__(self, file):
+        self.file, self.base, self.data = file, 0, b""
 
-def members(file, start: int, end: int, limit: int) -> Iterator[tuple[int, int, bytes]]:
+    def piece(self, at: int, n: int) -> bytes:
+        """Up to n bytes from ``at`` on, fewer at the end of the file."""
+        if not self.base <= at <= self.base + len(self.data):
+            self.base, self.data = at, b""
+        while len(self.data) < at - self.base + n:
+            self.file.seek(self.base + len(self.data))
+            if not (raw := self.file.read(max(_BLOCK, n))):
+                break
+            self.base, self.data = at, self.data[at - self.base :] + raw
+        return self.data[at - self.base : at - self.base + n]
+
+    def find(self, at: int, end: int) -> int:
+        """Where the gzip magic starts next in [at, end); ``end`` if nowhere."""
+        while at < end:
+            raw = self.piece(at, 1 << 16)
+            if (k := raw.find(MAGIC)) >= 0:
+                return min(at + k, end)
+            if len(raw) < len(MAGIC):
+                break
+            at += len(raw) - len(MAGIC) + 1
+        return end
+
+    def unpack(self, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+        """The member that starts at ``at`` and the offset behind it; None if there
+        is none. With ``head_only`` just its beginning."""
+        unpack, out, here, n = zlib.decompressobj(31), [], at, 4096
+        try:
+            while not unpack.eof:
+                if not (raw := self.piece(here, n)):
+                    return None
+                here, n = here + len(raw), min(2 * n, _BLOCK)
+                out.append(unpack.decompress(raw, 64 if head_only else 0))
+                if head_only:
+                    break
+        except zlib.error:
+            return None
+        return b"".join(out), here - len(unpack.unused_data)
+
+
+def members(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
     """(offset, end, content) of the WARC members that start in [start, end)."""
-    at, buffer, base = start, b"", start
-    synced = False
+    source, at, synced = _Forward(file), start, False
     while at < end:
         if not synced:
-            k = buffer.find(MAGIC, at - base)
-            if k < 0:  # keep what may be the beginning of a magic
-                base = max(base + len(buffer) - 2, at) if buffer else at
-                if base >= end:
-                    return
-                file.seek(base)
-                buffer = file.read(_BLOCK)
-                if len(buffer) < len(MAGIC):
-                    return
-                at = base
-                if buffer.find(MAGIC) < 0:
-                    at = base + len(buffer) - 2
-                    buffer = b""
-                    base = at
-                continue
-            at = base + k
-            if at >= end:
-                return
-            head = _unpack(file, at, limit, head_only=True)
+            at = source.find(at, end)
+            head = source.unpack(at, head_only=True) if at < end else None
             if head is None or not head[0].startswith(b"WARC/"):
                 at += 1
                 continue
-        whole = _unpack(file, at, limit)
+        whole = source.unpack(at)
         if whole is None or not whole[0].startswith(b"WARC/"):
             synced = False  # damaged: look for the next one
             at += 1
-            base, buffer = at, b""
             continue
         yield at, whole[1], whole[0]
         at, synced = whole[1], True
@@ -190,7 +201,7 @@ def read_records(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     list of files gives no rows; a damaged member is passed over."""
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = saved(ranges, "ranges")
-    many = max(1, min(ranges.count(), 10_000))
+    many = max(1, ranges.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +210,7 @@ def read_records(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 with store.open_input_file(inner) as file:
-                    for at, after, content in members(file, start, min(start + split_bytes, size), size):
+                    for at, after, content in members(file, start, min(start + split_bytes, size)):
                         fields, block = parse(content)
                         payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
                         rows.append((path, at, after - at, fields.get("warc-type"), list(fields.items()), payload, digest(payload)))
