@@ -1,11 +1,13 @@
 import base64
 import hashlib
+import io
 import itertools
 import math
 import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -135,6 +137,15 @@ def test_media_of_texts(spark, odd_docs):
 # ---------------------------------------------------------------- passages
 
 
+def test_long_texts_are_stored_in_bounded_memory():
+    data = np.tile(np.frombuffer(b"some words of a long text, over and over: 0123456789 ", np.uint8), 170_000)[: 8 << 20]
+    tracemalloc.start()
+    assert (media.from_pictures(media.to_pictures(media.pad(data))) == data).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(0)
 
@@ -307,6 +318,32 @@ def test_archives_read_alike_at_any_split(spark):
 # ---------------------------------------------------------------- neighbours
 
 
+class _Counted(io.BytesIO):
+    fetched = 0
+
+    def read(self, *n):
+        raw = super().read(*n)
+        self.fetched += len(raw)
+        return raw
+
+
+def test_archives_are_read_forward_once():
+    rng = random.Random(8)
+    bodies = [rng.randbytes(rng.choice((0, 10, 300, 5000, 200_000))) for _ in range(3000)]
+    data = b"".join(warc._record(i, f"http://x/{i}", body, None, "1970-01-01T00:00:00Z", 1) for i, body in enumerate(bodies))
+    for split in (len(data), 8 << 20):
+        found, fetched = [], 0
+        for start in range(0, len(data), split):
+            file = _Counted(data)
+            found += [warc.parse(x[2])[1].partition(b"\r\n\r\n")[2] for x in warc.members(file, start, min(start + split, len(data)))]
+            fetched += file.fetched
+        assert found == bodies and fetched <= 1.2 * len(data)
+    damaged = bytearray(data)
+    at = [x[0] for x in warc.members(io.BytesIO(data), 0, len(data))]
+    damaged[at[5] + 30 : at[5] + 60] = bytes(30)
+    assert [x[0] for x in warc.members(io.BytesIO(bytes(damaged)), 0, len(data))] == at[:5] + at[6:]
+
+
 def test_hilbert_curve_steps_by_one():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     keys = neighbours.hilbert_keys(cells, 3)
