@@ -554,9 +554,27 @@ def test_batches_are_full_and_whole(spark, odd_docs):
         most = max(1, 256 // max(1, got[0][1]))
         last = max(b for k, b in slots if k == bucket)
         assert sorted(s for s, _ in got) == list(range(len(got))) and len(got) <= most and (batch == last or len(got) == most)
+    lengths, counts = map(np.array, zip(*sorted(Counter(r["n_tokens"] for r in rows).items())))
+    best = min(sum(n * (next(e for e in (*ends, lengths[-1]) if e >= x) - x) for x, n in zip(lengths, counts)) for ends in itertools.combinations(lengths[:-1].tolist(), min(3, len(lengths) - 1)))
+    assert sum(r["padding"] for r in rows) == best
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_many_lengths_are_taken_together():
+    lengths, counts = packing._grouped(np.arange(1, 1002), np.ones(1001), 100)
+    assert len(lengths) <= 100 and lengths[-1] == 1001 and counts.sum() == 1001 and (np.diff(lengths) <= 11).all()
+
+
+def test_sums_of_embeddings_in_parts():
+    rng = np.random.default_rng(0)
+    table, bucket, at = rng.normal(size=(50, 3)), rng.integers(0, 50, 1000), np.array([0, 1, 400, 401, 990])
+    before, langid._AT_ONCE = langid._AT_ONCE, 21
+    try:
+        assert np.allclose(langid._sums(table, bucket, at), np.add.reduceat(table[bucket], at, axis=0))
+    finally:
+        langid._AT_ONCE = before
+
+
 # ---------------------------------------------------------------- HTML
 
 

@@ -30,13 +30,11 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangRules:
     """``sample_docs`` bounds the labelled rows that training reads (shared out
-    equally among at most ``max_languages`` languages, the most frequent ones,
-    ties to the smaller name), however large the corpus is. ``snippets`` short
+    equally among the languages, two each at least), however large the corpus is. ``snippets`` short
     cuts of each sampled text are further training rows, so that short texts are
     learned too."""
 
     sample_docs: int = 1000
-    max_languages: int = 256
     snippets: int = 3
     bucket_bits: int = 16
     dims: int = 16
@@ -103,6 +101,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+#: Numbers that a sum of embeddings holds at once.
+_AT_ONCE = 1 << 23
+
+
+def _sums(table: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``table[bucket]`` between the starts ``at``, a bounded part at a time."""
+    out = np.zeros((len(at), table.shape[1]))
+    step = max(1, _AT_ONCE // table.shape[1])
+    for p in range(0, len(bucket), step):
+        part = bucket[p : p + step]
+        first, last = int(np.searchsorted(at, p, "right")) - 1, int(np.searchsorted(at, p + len(part), "left"))
+        out[first:last] += np.add.reduceat(table[part], np.maximum(at[first:last], p) - p, axis=0)
+    return out
+
+
 def logits(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x languages, before the temperature."""
     n, bits = len(offsets) - 1, int(np.log2(len(model.table) - 1))
@@ -111,7 +124,7 @@ def logits(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     if len(full):
         at = offsets[:-1][full]
         for bucket in features(data, offsets, bits):
-            total[full] += np.add.reduceat(model.table[bucket], at, axis=0)
+            total[full] += _sums(model.table, bucket, at)
             count[full] += np.add.reduceat(bucket != len(model.table) - 1, at, dtype=np.int64)
     return total / np.maximum(count, 1)[:, None] + model.bias
 
@@ -119,7 +132,7 @@ def logits(model: LangModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def _sample(labelled: DataFrame, rules: LangRules) -> tuple[list[str], int, DataFrame | None]:
     """Languages, rows for each, and the sample's features ``(lang, draw, doc,
     part, buckets, weights)``, made where the texts are."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rules.max_languages).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return [], 0, None
     each = max(2, -(-rules.sample_docs // len(counts)))
