@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -65,14 +66,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, but: tuple[str, ...] = ()) -> None:
-        """Delete all saved tables but those of the labels ``but``; shuffles of plans
-        that nothing refers to any more go as well."""
+        """Delete all saved tables but those of the labels ``but``."""
         path_of, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsparkSession.sessionState().newHadoopConf()
         for label, path in self.paths:
             if label not in but:
                 at = path_of(path)
                 at.getFileSystem(conf).delete(at, True)
         self.paths = [x for x in self.paths if x[0] in but]
+        self.forget()
+
+    def forget(self) -> None:
+        """Spark's cleaner deletes shuffle files once nothing refers to their plans;
+        collecting garbage now keeps steps from adding up on the executors' disks."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 

@@ -10,11 +10,10 @@ its windows overlap by the least length, or if a group has no other members.
 
 A representative may hold the minimum in another context, as a frequent line has
 many. So all members of a group with an unverified one meet again under more special
-keys, at the same minima: the exact runs around the minimum that any exact passage
-there holds one of (who shares such a run shares a passage of the required similarity,
-so each member is verified with whichever is first), and the minimum together with
-the least hashes of the stretch before or after it, which bear edits. No group emits
-all its pairs; each key of a window emits one pair at most.
+keys, at the same minima: the minimum together with the least hashes, by several
+functions, of the stretch before or after it, half the least passage long. A passage
+covers one of the two stretches whatever its minimum's place, and least hashes bear
+edits. No group emits all its pairs; each key of a window emits one pair at most.
 """
 
 from __future__ import annotations
@@ -52,8 +51,8 @@ class PassageRules:
 
 #: Ids up to this number are broadcast to fetch sequences; more are shuffled.
 SMALL_IDS = 1_000_000
-#: Hash functions of the stretches beside a minimum, where it meets again.
-BESIDE = 3
+#: Lengths of the stretches beside a minimum, in halves of the least passage; one hash function each.
+BESIDE = (1, 2, 2, 2)
 
 
 def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +96,10 @@ def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.
     return place, np.array(left), np.array(right)
 
 
-_WINDOW = "key long, doc_id long, at int, left int, right int"
+_WINDOW, _WINDOW_NAMES = "key long, doc_id long, place long", ["key", "doc_id", "place"]
+#: Bits of a distance in ``place``. Windows of minima so far apart are told not to overlap;
+#: a passage that long has other minima in between.
+_NEAR = 16
 #: Rows of one Arrow batch of windows.
 _WINDOWS = 200_000
 
@@ -116,8 +118,8 @@ def _keys(hashed: np.ndarray, f: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, rules: PassageRules) -> DataFrame:
-    """``(key, doc_id, at, left, right)``: the hash function is in the key's last 3
-    bits; the minimum and both ends are shingles of the text."""
+    """``(key, doc_id, place)``: the hash function is in the key's last 3 bits;
+    ``place`` packs the minimum's shingle and its distances to both ends."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -127,36 +129,39 @@ def windows(docs: DataFrame, rules: PassageRules) -> DataFrame:
             for f in range(rules.hashes):
                 hashed = _hashed(value, f)
                 at, left, right = compact_windows(doc, hashed, rules.least)
+                owner = doc[at]
+                far = (1 << _NEAR) - 1
+                place = (at - starts[owner]) << 2 * _NEAR | np.minimum(at - left, far) << _NEAR | np.minimum(right - at, far)
                 for k in range(0, len(at), _WINDOWS):
                     part = slice(k, k + _WINDOWS)
-                    owner = doc[at[part]]
-                    places = [pa.array((x[part] - starts[owner]).astype(np.int32)) for x in (at, left, right)]
-                    yield pa.RecordBatch.from_arrays([pa.array(_keys(hashed[at[part]], f)), pa.array(ids[owner]), *places], names=["key", "doc_id", "at", "left", "right"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(hashed[at[part]], f)), pa.array(ids[owner[part]]), pa.array(place[part])], names=_WINDOW_NAMES)
 
     return map_batches(docs.select("doc_id", "text"), cut, _WINDOW)
 
 
 def _met(rows: DataFrame, keep: Scratch) -> DataFrame:
     """``rows(key, doc_id, ...)`` of groups of several documents, with the first
-    document ``other_id`` of their group and the number ``n`` of its rows. Groups are
+    document ``other_id`` of their group and whether it is a ``couple``: two rows. Groups are
     aggregated on the map side and saved, so that Spark can split the join back at a
     key that a third of the documents share."""
     group = rows.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("other_id < last")
-    return rows.join(keep.saved(group.select("key", "other_id", "n"), "groups"), "key")
+    return rows.join(keep.saved(group.select("key", "other_id", (F.col("n") == 2).alias("couple")), "groups"), "key")
 
 
 def _sequences(docs: DataFrame, ids: DataFrame, rules: PassageRules) -> DataFrame:
-    """``(doc_id, shingles)`` of the documents ``ids``; of rows that repeat a doc_id each."""
+    """``(doc_id, first, shingles)`` of the documents ``ids(doc_id, first)``; of rows
+    that repeat a doc_id each. 32 bits of a shingle's hash tell those of two texts apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             owner, value = _shingled(batch.column(1), rules.width)
             offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
+            short = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short))], names=["doc_id", "first", "shingles"])
 
-    # Ids are 8 bytes each; up to SMALL_IDS, counted first, they are broadcast.
+    # Ids are 9 bytes each; up to SMALL_IDS, counted first, they are broadcast.
     few = ids.count() <= SMALL_IDS
-    return map_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text"), cut, "doc_id long, shingles array<long>")
+    return map_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "first"), cut, "doc_id long, first boolean, shingles array<int>")
 
 
 def _balance(hit: np.ndarray, percent: int) -> np.ndarray:
@@ -222,25 +227,40 @@ _FOUND = "doc_id long, start long, end long, other_id long, other_start long, ot
 
 
 def _list_of(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy().view(np.uint64)
+    return column[i].values.to_numpy().view(np.uint32)
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, rules: PassageRules) -> DataFrame:
-    """Passages of ``pairs(doc_id, other_id, anchors(key, at))``, in words; the keys
-    of anchors that belong to none come as rows with a null start."""
-    theirs = sequences.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"))
-    joined = pairs.join(sequences, "doc_id").join(theirs, "other_id")
-    width = rules.width
+def _overlap(function: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> bool:
+    """Whether windows of two functions overlap by ``least``; of many windows it is
+    taken for granted, for it only spares a verification."""
+    if len(function) > 64:
+        return True
+    both = np.minimum.outer(right, right) - np.maximum.outer(left, left) + 1 >= least
+    return bool((both & (function[:, None] != function)).any())
+
+
+def _verified(pairs: DataFrame, sequences: DataFrame, firsts: DataFrame, rules: PassageRules) -> DataFrame:
+    """Passages of ``pairs(doc_id, other_id, anchors(key, place), couple)``, in words; the
+    keys of anchors that belong to none come as rows with a null start. ``firsts`` has the
+    sequences of other_id. Unless a pair is a couple, windows of two hash functions
+    must overlap by the least length."""
+    theirs = firsts.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"))
+    joined = pairs.join(sequences.select("doc_id", "shingles"), "doc_id").join(theirs, "other_id")
+    width, far = rules.width, (1 << _NEAR) - 1
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, others, couples = (batch.column(k).to_pylist() for k in (0, 1, 5))
             out: list[tuple] = []
             failed: list[np.ndarray] = []
             for i in range(batch.num_rows):
                 a, b = _list_of(batch.column(3), i), _list_of(batch.column(4), i)
                 anchors = batch.column(2)[i].values
-                key, at = (anchors.field(k).to_numpy() for k in range(2))
+                key, place = (anchors.field(k).to_numpy() for k in range(2))
+                at = place >> 2 * _NEAR
+                if not couples[i] and not _overlap(key & 7, at - (place >> _NEAR & far), at + (place & far), rules.least):
+                    failed.append(np.unique(key))
+                    continue
                 order = np.argsort(at, kind="stable")
                 order = order[at[order] < len(a)]  # others are of another text under this doc_id
                 pair = _Pair(a, b, rules)
@@ -265,50 +285,37 @@ def _verified(pairs: DataFrame, sequences: DataFrame, rules: PassageRules) -> Da
                 out.append((None, None, None, None, None, None, None, np.unique(np.concatenate(failed))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.list_(pa.int64()) if k == 7 else pa.int64()) for k in range(8)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
-    return map_batches(joined.select("doc_id", "other_id", "anchors", "shingles", "other"), check, _FOUND)
+    return map_batches(joined.select("doc_id", "other_id", "anchors", "shingles", "other", "couple"), check, _FOUND)
 
 
 def _again(members: DataFrame, sequences: DataFrame, rules: PassageRules) -> DataFrame:
-    """Windows ``members(doc_id, ats)`` under more special keys ``(key, doc_id, at)``.
+    """Windows ``members(doc_id, ats)`` under more special keys ``(key, doc_id, place)``.
 
-    Runs of ``least - 5`` shingles that hold the minimum, one for every fifth offset:
-    any exact passage around the minimum holds one of them whole, and two texts that
-    share one have 41 of 51 shingles in common at least. And for either side of the
-    minimum, half the least passage long, its least hashes."""
-    size, step, half = rules.least - 5, 5, rules.least // 2
+    The minimum with the least hash of stretches on either side, of BESIDE lengths:
+    a passage reaches half its length on one side at least."""
+    half = rules.least // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = 0xD1342543DE82EF95
-        inverse = pow(odd, -1, 1 << 64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i in range(batch.num_rows):
-                value = _list_of(batch.column(2), i)
+                value = mix(_list_of(batch.column(2), i).astype(np.uint64))
                 at = np.unique(batch.column(1)[i].values.to_numpy()).astype(np.int64)
                 n, at = len(value), at[at < len(value)]
-                # Rolling hash of a run: sums of value * odd**position, brought to one scale.
-                up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-                up[1:], down[1:] = np.multiply.accumulate(np.full(n, odd, np.uint64)), np.multiply.accumulate(np.full(n, inverse, np.uint64))
-                total = np.r_[np.uint64(0), np.cumsum(value * up[:n], dtype=np.uint64)]
                 keys, places = [], []
-                for back in range(0, size, step):
-                    s = at - back
-                    ok = (s >= 0) & (s + size <= n)
-                    keys.append(mix((total[s[ok] + size] - total[s[ok]]) * down[s[ok]]))
-                    places.append(at[ok])
-                # A passage reaches half its length beyond the minimum on one side at least.
-                for side, ok in ((-half, at >= half), (1, at + half < n)):
-                    span = at[ok][:, None] + side + np.arange(half)
-                    for f in range(BESIDE):
+                for f, halves in enumerate(BESIDE):
+                    size = halves * half
+                    for side, ok in ((-size, at >= size), (1, at + size < n)):
+                        span = at[ok][:, None] + side + np.arange(size)
                         least = _hashed(value[span], f + 8).min(axis=1) if ok.any() else np.zeros(0, np.uint64)
                         keys.append(mix(mix(value[at[ok]] + np.uint64(f + 1)) ^ least))
                         places.append(at[ok])
                 key, place = np.concatenate(keys).view(np.int64), np.concatenate(places)
                 for k in range(0, len(key), _WINDOWS):
                     part = slice(k, k + _WINDOWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), ids[i], np.int64)), pa.array(place[part].astype(np.int32))], names=["key", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), ids[i], np.int64)), pa.array(place[part] << 2 * _NEAR)], names=_WINDOW_NAMES)
 
-    return map_batches(members.join(sequences, "doc_id").select("doc_id", "ats", "shingles"), cut, "key long, doc_id long, at int")
+    return map_batches(members.join(sequences, "doc_id").select("doc_id", "ats", "shingles"), cut, _WINDOW)
 
 
 def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> DataFrame:
@@ -326,26 +333,27 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity"]
     met = keep.saved(_met(keep.saved(windows(docs, rules), "windows", merge=False), keep), "met")
     keep.drop(but=("met",))
-    anchor = F.struct("key", "at", "left", "right", "n")
-    pairs = met.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_list(anchor).alias("anchors"))
-    # Windows of two hash functions that overlap by the least length.
-    overlap = F.exists("anchors", lambda x: F.exists("anchors", lambda y: (x["key"].bitwiseAND(7) < y["key"].bitwiseAND(7)) & (F.least(x["right"], y["right"]) - F.greatest(x["left"], y["left"]) + 1 >= rules.least)))
-    now = overlap if rules.need > 1 else F.lit(True)
-    pairs = keep.saved(pairs.withColumn("now", F.exists("anchors", lambda x: x["n"] == 2) | now), "pairs")
-    slim = F.transform("anchors", lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at")))
-    ready = pairs.filter("now").select("doc_id", "other_id", slim.alias("anchors"))
+    anchor = F.struct("key", "place")
+    pairs = met.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_list(anchor).alias("anchors"), F.bool_or("couple").alias("couple"), F.bit_or(F.expr("shiftleft(1, CAST(key & 7 AS INT))")).alias("functions"))
+    pairs = keep.saved(pairs.withColumn("now", F.col("couple") | (F.bit_count("functions") >= rules.need)).drop("functions"), "pairs")
+    ready = pairs.filter("now").select("doc_id", "other_id", "anchors", "couple")
     waiting = pairs.filter("not now").select(F.inline("anchors")).select("key")
 
-    ids = keep.saved(ready.select("doc_id").union(ready.select("other_id")).union(pairs.filter("not now").select("doc_id")).union(pairs.filter("not now").select("other_id")).distinct(), "ids")
-    sequences = keep.saved(_sequences(docs, ids, rules), "sequences", merge=False)
-    told = keep.saved(_verified(ready, sequences, rules), "told")
+    ids = met.select("doc_id", F.lit(False).alias("first")).union(met.select("other_id", F.lit(True))).groupBy("doc_id").agg(F.bool_or("first").alias("first"))
+    sequences = keep.saved(_sequences(docs, keep.saved(ids, "ids"), rules), "sequences", merge=False)
+    keep.forget()
+    told = keep.saved(_verified(ready, sequences, sequences.filter("first"), rules), "told")
+    keep.forget()
     # All members of groups with an unverified one, verified or not, meet again.
     failed = told.filter("start is null").select(F.explode("failed").alias("key")).union(waiting).distinct()
     failed = keep.saved(failed, "failed")
-    members = met.filter("n > 2").join(failed, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    rows = keep.saved(_again(keep.saved(members, "members"), sequences, rules), "again", merge=False)
-    more = _met(rows, keep).filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "at")).alias("anchors"))
-    more = keep.saved(_verified(keep.saved(more, "more"), sequences, rules), "told")
+    members = met.filter("not couple").join(failed, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 2 * _NEAR).cast("int")).alias("ats"))
+    rows = keep.saved(_again(keep.saved(members, "members"), sequences.select("doc_id", "shingles"), rules), "again", merge=False)
+    again = keep.saved(_met(rows, keep), "met")
+    keep.forget()
+    more = again.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "place")).alias("anchors"), F.lit(True).alias("couple"))
+    firsts = again.select(F.col("other_id").alias("doc_id")).distinct()
+    more = keep.saved(_verified(keep.saved(more, "more"), sequences, sequences.join(firsts, "doc_id", "left_semi"), rules), "told")
     found = told.union(more).filter("start is not null").select(*columns).distinct()
     keep.drop(but=("told",))
     return found
