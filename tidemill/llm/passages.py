@@ -351,7 +351,7 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     rows = keep.saved(_again(keep.saved(members, "members"), sequences.select("doc_id", "shingles"), rules), "again", merge=False)
     again = keep.saved(_met(rows, keep), "met")
     keep.forget()
-    more = again.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct("key", "place")).alias("anchors"), F.lit(True).alias("couple"))
+    more = again.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("key"), "place")).alias("anchors"), F.lit(True).alias("couple"))
     firsts = again.select(F.col("other_id").alias("doc_id")).distinct()
     more = keep.saved(_verified(keep.saved(more, "more"), sequences, sequences.join(firsts, "doc_id", "left_semi"), rules), "told")
     found = told.union(more).filter("start is not null").select(*columns).distinct()
