@@ -37,15 +37,17 @@ class MixRules:
     sample_docs: int = 5000
     buckets: int = 4096
     smoothing: float = 0.5
-    #: Steps in the metric of H, then plain ones; Fit tells whether they were enough.
-    fast_steps: int = 30
-    steps: int = 120
+    #: Steps in the metric of H, then plain ones; Fit tells whether they were enough. Plain
+    #: steps end, too, where STALL of them lower the distance to the targets by less than PROGRESS.
+    fast_steps: int = 15
+    steps: int = 60
     #: Largest gap of a domain's total, or breach of an optimality condition, as a share of all tokens.
     tolerance: float = 1e-4
 
 
 #: What the mean log odds of a document's words may be multiplied with.
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
+STALL, PROGRESS = 10, 0.01
 #: Steps after which rates are written, so that expressions stay short.
 WRITE_EVERY = 15
 
@@ -251,11 +253,14 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     taken: list = []  # all steps
     recent: list = []  # those since rates were last written
     metric, reached, last, momentum, best = inverse, natural, natural, 1.0, math.inf
+    away: list[float] = []  # the distance after each plain step
     while gap(reached) > rules.tolerance and len(taken) < rules.steps:
         if len(taken) == rules.fast_steps:
             metric, momentum, last, best = plain, 1.0, reached, math.inf
         if metric is plain and not recent and breach(reached) <= rules.tolerance:
             break
+        if len(away) > STALL and min(away[-STALL:]) > (1 - PROGRESS) * min(away[:-STALL]):
+            break
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         m = (momentum - 1) / after
         step = m, tuple(_times(metric, off([a + m * (a - b) for a, b in zip(reached, last)])))
@@ -265,6 +270,8 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
         got = state.select("tokens", "posterior", rate["rate"].alias("rate")).agg(*(F.sum(F.col("rate") * t * p[i]).alias(f"s{i}") for i in d)).first()
         last, reached = reached, [got[f"s{i}"] for i in d]
         loss = sum(a * b for a, b in zip(_times(metric, off(reached)), off(reached)))
+        if metric is plain:
+            away.append(math.dist(reached, target))
         momentum, best = after if loss <= best else 1.0, loss  # momentum that overshot starts anew
         if len(recent) == WRITE_EVERY:
             state, recent = keep.saved(state.select("tokens", "posterior", rate.alias("s")), "rates", merge=False), []
