@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.errors import PreparationError
+from tidemill.functions.expressions import parse_number
 from tidemill.functions.formula import compile_formula
 from tidemill.operators import decision, health, joins
 from tidemill.operators.health import RowFilter
@@ -183,3 +184,46 @@ def test_key_suggestions_count_all_values(spark):
     right = spark.range(150000).select(F.col("id").alias("key"))
     row = joins.suggest_keys(left, right).first()
     assert (row["left"], row["right"], row["overlap_share"], row["relation"]) == ("ref", "key", 1.0, "1:1")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1 200,50", 1200.5), ("1.234,5", 1234.5), ("1,234.5", 1234.5), ("1.234.567", 1234567.0), ("1,234,567", 1234567.0), ("-1.234,56", -1234.56), ("+7", 7.0), ("12,5", 12.5), ("1.234", 1.234),
+        ("1,234", 1.234), ("1\u00a0000", 1000.0), ("12.34,5", None), ("1,23,456", None), ("1.2.3", None), ("1.234,", None), (",5", 0.5), ("5.", 5.0), ("1,5e3", 1500.0), ("1.234,5e3", None), ("", None),
+        ("abc", None), ("--5", None), ("1234.567,8", None), ("1.234,567.8", None), ("nan", float("nan")), ("5d", None), (None, None),
+    ],
+)
+def test_parse_number(spark, text, want):
+    got = spark.createDataFrame([(text,)], "s string").select(parse_number(F.col("s")).alias("v")).first()["v"]
+    assert got == want or want != want and got != got
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT current_user FROM t", "SELECT session_user FROM t", "SELECT user FROM t", "SELECT current_database FROM t", "SELECT current_user() FROM t", "SELECT a.id FROM t a POSITIONAL JOIN t b", "SELECT * FROM t ASOF JOIN t b ON true",
+        "SELECT 2 ^ 3 FROM t", "SELECT * FROM other", "DROP TABLE t", "SELECT * FROM range(3)", "SELECT input_file_name() FROM t", "SELECT 1", "", "SELECT * FROM t; SELECT * FROM t", "SELECT java_method('java.lang.System', 'exit', 1) FROM t",
+        "SELECT * FROM parquet.`/etc`", "SELECT (SELECT current_user) FROM t", "WITH x AS (SELECT session_user AS s FROM t) SELECT * FROM x",
+    ],
+)
+def test_sql_window_refuses(spark, sql):
+    with pytest.raises(PreparationError):
+        sql_window.query(spark, sql, {"t": spark.range(3)})
+
+
+def test_sql_window_time_limit(spark):
+    with pytest.raises(PreparationError, match="took more"):
+        sql_window.run(spark, "SELECT count(*) FROM t WHERE sha2(CAST(id AS STRING), 256) < '0'", {"t": spark.range(10**11)}, seconds=2)
+
+
+def test_findings_do_not_depend_on_the_number_of_columns(spark):
+    df = spark.range(1000).select(*((F.when(F.col("id") % 500 == 0, 2).otherwise(1)).alias(f"c{i}") for i in range(3)), *(F.when(F.col("id") % 9 == 0, F.lit("Ab ")).otherwise("ab").alias(f"t{i}") for i in range(3)), *((F.col("id") % 10 + F.when(F.col("id") == 7, 1000).otherwise(0)).alias(f"n{i}") for i in range(3)))
+    found = {(f.code, f.columns[0] if f.columns else ""): f for f in health.analyse(df)}
+    for i in range(3):
+        assert found["near_constant_column", f"c{i}"].affected == 2 and found["near_constant_column", f"c{i}"].rows.values == (1,)
+        assert found["case_variant_categories", f"t{i}"].affected == 1000
+        assert found["outlier_values", f"n{i}"].affected == 1
+    for f in found.values():
+        if f.rows and f.affected is not None:
+            assert health.count_affected(df, f.rows) == f.affected

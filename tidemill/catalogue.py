@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import assembly, column_stats, decision, health, joins, table_view
 from tidemill.operators.health import RowFilter
 from tidemill.operators.joins import JoinSpec
+from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
 from tidemill.plans import sql_window
 from tidemill.plans.pipeline import replay
@@ -237,11 +238,12 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").filter("doc_id % 3 != 0")
-    return docs, read(spark, sf_dir, "labels").filter("doc_id % 2 = 0").withColumn("lang", F.lit("x"))
+    """Whole tables; every third document's and every second label's key has no partner."""
+    docs = read(spark, sf_dir, "documents").select(F.expr("CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END").alias("doc_id"), "lang", "source")
+    return docs, read(spark, sf_dir, "labels").withColumn("doc_id", F.expr("CASE WHEN doc_id % 2 = 1 THEN doc_id + 1000000000000 ELSE doc_id END")).withColumn("lang", F.lit("x"))
 
 
-_SIDES = "WITH d AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 != 0), l AS (SELECT *, 'x' AS lang FROM labels WHERE doc_id % 2 = 0) "
+_SIDES = "WITH d AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, lang, source FROM documents), l AS (SELECT CASE WHEN doc_id % 2 = 1 THEN doc_id + 1000000000000 ELSE doc_id END AS doc_id, quality, toxic, 'x' AS lang FROM labels) "
 for _kind, _cols in (
     ("inner", "d.doc_id, d.lang, source, quality, toxic, l.lang AS lang_2"),
     ("left", "d.doc_id, d.lang, source, quality, toxic, l.lang AS lang_2"),
@@ -274,9 +276,25 @@ def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.forecast(read(spark, sf_dir, "lineitem").select("l_linenumber"), orders, JoinSpec((("l_linenumber", "k"),), "left"))
 
 
-@register("join_key_suggestions")
+def _suggestions_sql(left: str, right: str, pairs: list[tuple[str, str]]) -> str:
+    """All pairs of comparable columns, from their distinct texts."""
+    one = "SELECT '{a}' AS \"left\", '{b}' AS \"right\", (SELECT count(*) FROM (SELECT DISTINCT {a}::VARCHAR FROM {l} INTERSECT SELECT DISTINCT {b}::VARCHAR FROM {r})) AS shared, (SELECT count(DISTINCT {a}::VARCHAR) FROM {l}) AS nl, (SELECT count(DISTINCT {b}::VARCHAR) FROM {r}) AS nr, (SELECT count(DISTINCT {a}::VARCHAR) / count({a}) FROM {l}) AS left_unique, (SELECT count(DISTINCT {b}::VARCHAR) / count({b}) FROM {r}) AS right_unique"
+    every = " UNION ALL ".join(one.format(a=a, b=b, l=left, r=right) for a, b in pairs)
+    return f"""WITH p AS ({every}), s AS (SELECT *, shared / least(nl, nr) AS overlap_share FROM p WHERE shared / least(nl, nr) >= 0.05)
+      SELECT "left", "right", round(overlap_share, 9) AS overlap_share, round(left_unique, 9) AS left_unique, round(right_unique, 9) AS right_unique,
+        CASE WHEN left_unique >= 0.999 AND right_unique >= 0.999 THEN '1:1' WHEN left_unique >= 0.999 THEN '1:N' WHEN right_unique >= 0.999 THEN 'N:1' ELSE 'N:M' END AS relation,
+        round(least(1.0, 0.6 * overlap_share + CASE WHEN lower("left") = lower("right") THEN 0.2 ELSE 0 END + CASE WHEN left_unique >= 0.999 OR right_unique >= 0.999 THEN 0.2 ELSE 0 END), 9) AS confidence
+      FROM s ORDER BY confidence DESC, "left", "right" LIMIT 10"""
+
+
+_ORDERS_KEYS, _CUSTOMER_KEYS = {"n": ("o_orderkey", "o_custkey"), "s": ("o_orderstatus", "o_orderpriority")}, {"n": ("c_custkey", "c_nationkey"), "s": ("c_name", "c_mktsegment")}
+
+
+@register("join_key_suggestions", _suggestions_sql("orders", "customer", [(a, b) for k in "ns" for a in _ORDERS_KEYS[k] for b in _CUSTOMER_KEYS[k]]))
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.suggest_keys(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
+    orders, customer = read(spark, sf_dir, "orders").drop("o_totalprice"), read(spark, sf_dir, "customer").drop("c_acctbal")
+    found = joins.suggest_keys(orders, customer)
+    return found.select("left", "right", "relation", *(F.round(c, 9).alias(c) for c in ("overlap_share", "left_unique", "right_unique", "confidence")))
 
 
 # ---------------------------------------------------------------- health
@@ -315,6 +333,39 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "code string, column string, affected bigint")
 
 
+_MORE = """WITH e AS (SELECT event_id, NULL::VARCHAR AS nothing, 1 AS one, 'n' || event_id AS note, CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id END AS code, event_id % 10 + CASE WHEN event_id % 250 = 0 THEN 10000 ELSE 0 END AS step FROM events) """
+
+
+@register(
+    "health_structure",
+    _MORE
+    + """SELECT 'all_null_column' AS code, 'nothing' AS "column", count(*) FILTER (nothing IS NULL) AS affected FROM e HAVING count(nothing) = 0
+  UNION ALL SELECT 'constant_column', 'one', -1 FROM e HAVING count(DISTINCT one) = 1
+  UNION ALL SELECT 'potential_identifier', 'event_id', -1 FROM e HAVING count(DISTINCT event_id) >= 0.999 * count(event_id)
+  UNION ALL SELECT 'potential_identifier', 'note', -1 FROM e HAVING count(DISTINCT note) >= 0.999 * count(note)
+  UNION ALL SELECT 'outlier_values', 'step', count(*) FILTER (step < q1 - 1.5 * (q3 - q1) OR step > q3 + 1.5 * (q3 - q1)) FROM e, (SELECT quantile_disc(step, 0.25) AS q1, quantile_disc(step, 0.75) AS q3 FROM e)""",
+)
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.expr("event_id % 10 + CASE WHEN event_id % 250 = 0 THEN 10000 ELSE 0 END").alias("step")
+    code = F.expr("CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id END").alias("code")
+    e = read(spark, sf_dir, "events").select("event_id", F.lit(None).cast("string").alias("nothing"), F.lit(1).alias("one"), F.concat(F.lit("n"), "event_id").alias("note"), code, step)
+    found = [(f.code, f.columns[0], -1 if f.affected is None else f.affected) for f in health.analyse(e)]
+    return spark.createDataFrame(found, "code string, column string, affected bigint")
+
+
+@register("health_duplicates", "WITH e AS (SELECT user_id, event_type FROM events), n AS (SELECT count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1) SELECT 'duplicate_rows' AS code, sum(n)::BIGINT AS affected FROM n UNION ALL SELECT 'high_cardinality', -1 FROM (SELECT count(DISTINCT 'u' || (event_id // 2)) AS u, count(*) AS n FROM events) WHERE u >= 0.5 * n AND u >= 100 AND u < 0.999 * n")
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    found = health.analyse(events.select("user_id", "event_type")) + health.analyse(events.select(F.expr("'u' || (event_id div 2)").alias("pair"), "event_id"))
+    return spark.createDataFrame([(f.code, -1 if f.affected is None else f.affected) for f in found if f.code in ("duplicate_rows", "high_cardinality")], "code string, affected bigint")
+
+
+@register("sort_rows_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = (Step("sort_rows", {"column": "o_orderkey"}), Step("sort_rows", {"column": "o_totalprice", "descending": True}))
+    return ordinals(replay(read(spark, sf_dir, "orders"), steps, keep_order=True), "place").select("o_orderkey", "place")
+
+
 for _name, _filter, _cond in (
     ("is_null", RowFilter("is_null", ("value",)), "value IS NULL"),
     ("is_nan_or_inf", RowFilter("is_nan_or_inf", ("value",)), "isnan(value)"),
@@ -360,7 +411,7 @@ _SQL = {
     "windows": "SELECT o_orderkey, rank() OVER w AS place, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)",
     "set_operations": "(SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20 INTERSECT SELECT n_nationkey FROM nation)",
     "correlated_exists": "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
-    "scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)",
+    "scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.02 FROM part)",
     "recursive_cte": "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 12) SELECT n, count(o_orderkey) AS orders FROM r LEFT JOIN orders ON month(o_orderdate) = n GROUP BY n",
     "outer_and_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
 }
@@ -410,13 +461,16 @@ def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- assembly and decisions
 
 
-@register(
-    "assembly_column_roles",
-    """SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) AS "unique", 0::BIGINT AS missing, 'identifier' AS role FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name), 0, 'identifier' FROM customer
-       UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey), 0, 'numeric' FROM customer UNION ALL SELECT 'c_acctbal', count(DISTINCT c_acctbal), 0, 'numeric' FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), 0, 'categorical' FROM customer""",
-)
+def _role_sql(table: str, columns: dict[str, str]) -> str:
+    """Roles from counts; the kind of a column is n (whole numbers), d (fractions), s or t."""
+    rest = {"n": "'numeric'", "d": "'numeric'", "t": "'datetime'", "s": "CASE WHEN u <= 50 OR u / f <= 0.2 THEN 'categorical' ELSE 'text' END"}
+    one = "SELECT '{c}' AS \"column\", u AS \"unique\", m AS missing, CASE WHEN u <= 1 THEN 'constant' {key} ELSE {rest} END AS role FROM (SELECT count(DISTINCT {c}) AS u, count({c}) AS f, count(*) - count({c}) AS m FROM {t})"
+    return " UNION ALL ".join(one.format(c=c, t=table, key="WHEN u / f >= 0.98 THEN 'identifier'" if k in "ns" else "", rest=rest[k]) for c, k in columns.items())
+
+
+@register("assembly_column_roles", _role_sql("orders", {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"}))
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.column_roles(read(spark, sf_dir, "customer"))
+    return assembly.column_roles(read(spark, sf_dir, "orders"))
 
 
 _ALTERNATIVES = "(SELECT s_suppkey, s_acctbal, avg(l_extendedprice) AS price, sum(l_quantity) AS volume FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY ALL)"
@@ -454,4 +508,4 @@ def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("decision_weight_shares")
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.weight_shares(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, 500)
+    return decision.weight_shares(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA)

@@ -1,8 +1,10 @@
 """Data-quality checks. A finding carries a row predicate, and its count and the
 rows shown come from that same predicate.
 
-One wide aggregate per batch of columns finds the facts; the few checks that need
-grouping run only for columns that call for them.
+One wide aggregate per batch of columns finds the facts. Checks that need values
+count those of all columns that call for it in one grouped pass each, and all
+outliers in one more aggregate: the number of scans does not grow with the columns.
+Beyond EXACT_CELLS cells distinct counts are approximate and findings say so.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import hashlib
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,11 +154,56 @@ def canonical_spellings(df: DataFrame, column: str) -> DataFrame:
     return v.join(best, "normal").filter("spelling != canonical").select("spelling", "canonical")
 
 
+def _counted(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, value, n)`` of the values, as texts, of all ``names`` in one pass."""
+    cells = F.inline(F.array(*(F.struct(F.lit(n).alias("column"), quoted(n).cast("string").alias("value")) for n in names)))
+    return df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _value_facts(df: DataFrame, facts: dict[str, dict]) -> None:
+    """Adds to the facts: ``top`` (most frequent value and its count) and ``variants``
+    (normal spellings with several forms, FILTER_VALUES at most, their number and rows)."""
+    few = [n for n, f in facts.items() if 2 <= f["unique"] <= FILTER_VALUES and not isinstance(f["type"], T.BinaryType)]
+    texts = [n for n, f in facts.items() if isinstance(f["type"], T.StringType) and 1 < f["unique"] <= CASE_UNIQUE]
+    if few:
+        for r in _counted(df, few).groupBy("column").agg(F.max(F.struct("n", "value")).alias("top")).collect():
+            facts[r["column"]]["top"] = r["top"]["value"], r["top"]["n"]
+    if texts:
+        groups = _counted(df, texts).groupBy("column", F.lower(strip(F.col("value"))).alias("normal")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        # At most CASE_UNIQUE groups of a column.
+        by = Window.partitionBy("column")
+        shown = groups.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "normal"))).withColumn("groups", F.count(F.lit(1)).over(by)).withColumn("rows", F.sum("n").over(by)).filter(F.col("place") <= FILTER_VALUES)
+        for r in shown.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("place", "normal"))).alias("shown"), F.max("groups").alias("groups"), F.max("rows").alias("rows")).collect():
+            facts[r["column"]]["variants"] = tuple(x["normal"] for x in r["shown"]), r["groups"], r["rows"]
+
+
+def _outlier_facts(df: DataFrame, total: int, facts: dict[str, dict]) -> None:
+    """Adds ``reach`` and ``outside``, the filter and its rows, for all numeric columns."""
+    asked = []
+    for i, (name, f) in enumerate(facts.items()):
+        if f.get("quartiles") and total >= MIN_ROWS:
+            low, high = map(float, f["quartiles"])
+            if high > low:
+                f["reach"] = RowFilter("out_of_range", (name,), (), low - IQR_TIMES * (high - low), high + IQR_TIMES * (high - low))
+                asked.append((name, F.count(F.when(row_predicate(df.schema, f["reach"]), 1)).alias(f"o{i}")))
+    for at in range(0, len(asked), BATCH):
+        for (name, _), n in zip(asked[at : at + BATCH], df.agg(*(c for _, c in asked[at : at + BATCH])).first()):
+            facts[name]["outside"] = n
+
+
+def _typed(value: str, kind: T.DataType) -> Any:
+    if isinstance(kind, T.IntegralType):
+        return int(value)
+    return float(value) if isinstance(kind, FLOATING) else value == "true" if isinstance(kind, T.BooleanType) else value
+
+
 def analyse(df: DataFrame) -> list[Finding]:
     """All findings, the gravest first; none for an empty frame."""
     total, facts = column_facts(df)
     if not total:
         return []
+    _value_facts(df, facts)
+    _outlier_facts(df, total, facts)
     found: list[Finding] = []
     repeats = count_affected(df, RowFilter("duplicated_by"))
     if repeats:
@@ -189,10 +236,9 @@ def _column_findings(df: DataFrame, name: str, f: dict, total: int, repeats: boo
         say("empty_string_vs_null", "notice", f["empty"], rows("is_empty_string"), nulls=nulls)
     if text and filled and 0 < f["words"] < filled and f["words"] / filled <= MINORITY:
         say("mixed_semantic_types", "warning", f["words"], rows("not_parseable_as_number"), filled=filled)
-    if text and 1 < unique <= CASE_UNIQUE:
-        groups = case_variants(df, name).groupBy("normal").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "normal").limit(FILTER_VALUES).collect()
-        if groups:
-            say("case_variant_categories", "warning", sum(g["n"] for g in groups), rows("normalised_in_values", values=tuple(g["normal"] for g in groups)), groups=len(groups))
+    if "variants" in f:
+        shown, groups, n = f["variants"]
+        say("case_variant_categories", "warning", n, rows("normalised_in_values", values=shown), groups=groups)
     if total < MIN_ROWS or not filled:
         return out
     sampled = not f["exact"]
@@ -206,17 +252,11 @@ def _column_findings(df: DataFrame, name: str, f: dict, total: int, repeats: boo
             say("duplicate_keys", "warning", count_affected(df, rows("duplicated_by")), rows("duplicated_by"))
     elif text and share >= HIGH_SHARE and unique >= HIGH_UNIQUE:
         say("high_cardinality", "notice", None, sampled=sampled, unique=unique)
-    if 2 <= unique <= FILTER_VALUES:
-        top = df.filter(quoted(name).isNotNull()).groupBy(quoted(name).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
-        if top["n"] / total >= NEAR_CONSTANT:
-            say("near_constant_column", "notice", total - top["n"], rows("not_equals", values=(top["v"],)), dominant=top["n"])
-    if f.get("quartiles"):
-        low, high = map(float, f["quartiles"])
-        if high > low:
-            reach = RowFilter("out_of_range", (name,), (), low - IQR_TIMES * (high - low), high + IQR_TIMES * (high - low))
-            n = count_affected(df, reach)
-            if n:
-                say("outlier_values", "notice", n, reach, sampled, low=reach.low, high=reach.high)
+    if "top" in f and f["top"][1] / total >= NEAR_CONSTANT:
+        value, n = f["top"]
+        say("near_constant_column", "notice", total - n, rows("not_equals", values=(_typed(value, f["type"]),)), dominant=n)
+    if f.get("outside"):
+        say("outlier_values", "notice", f["outside"], f["reach"], sampled, low=f["reach"].low, high=f["reach"].high)
     return out
 
 

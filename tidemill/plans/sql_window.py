@@ -1,7 +1,10 @@
 """A guarded, read-only SQL window over named DataFrames.
 
 Spark's own parser reads the query; the guard walks the parsed plan. Only a single
-query over bound names passes, with functions from an allow-list.
+query over bound names passes, with the built-in functions but for BANNED ones.
+Results are Spark's: ascending order puts nulls first unless the query says NULLS LAST.
+Forms that Spark reads in silence as something else are refused: POSITIONAL and ASOF
+joins (taken for an alias) and ``^`` (bitwise here, a power elsewhere).
 """
 
 from __future__ import annotations
@@ -24,6 +27,11 @@ BANNED = frozenset(
     "version spark_partition_id raise_error monotonically_increasing_id uuid getbit python_worker_logs".split()
 )
 
+#: Names that tell about the session without parentheses, too.
+SESSION_NAMES = frozenset("current_user session_user user current_catalog current_database current_schema".split())
+#: Join words of other dialects that Spark takes for a table's alias.
+JOIN_WORDS = frozenset({"positional", "asof"})
+
 
 @dataclass(frozen=True)
 class SqlResult:
@@ -97,6 +105,14 @@ def check(spark: SparkSession, sql: str, bound: tuple[str, ...]) -> None:
             function = parts.apply(parts.size() - 1).lower()
             if parts.size() != 1 or function not in allowed:
                 raise PreparationError(f"the function {parts.mkString('.')!r} is not allowed")
+        if name == "UnresolvedAttribute":
+            parts = node.nameParts()
+            if parts.size() == 1 and parts.apply(0).casefold() in SESSION_NAMES:
+                raise PreparationError(f"the name {parts.apply(0)!r} is not allowed")
+        if name == "SubqueryAlias" and node.alias().casefold() in JOIN_WORDS:
+            raise PreparationError(f"{node.alias()} joins are not offered")
+        if name == "BitwiseXor":
+            raise PreparationError("write power(a, b) or bit_xor, not a ^ b")
         if name == "Literal" and node.dataType().typeName() == "string" and str(node.value()).count("%") > MAX_PERCENTS:
             raise PreparationError(f"a pattern has {MAX_PERCENTS} wildcards at most")
     if not used:
@@ -120,8 +136,9 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rows: int =
     for is fetched to tell whether the result was cut."""
     rows, began, tag = max(1, min(rows, MAX_ROWS)), time.monotonic(), f"sql-{uuid.uuid4().hex}"
     df = query(spark, sql, tables)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    spark.addTag(tag)
+    # The context's tags hold in all threads; a session's are known to the thread that set them only.
+    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         got = [tuple(r) for r in df.limit(rows + 1).collect()]
@@ -131,7 +148,7 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rows: int =
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
     cut = "rows" if len(got) > rows else None
     size, out = 0, []
     for row in got[:rows]:
