@@ -15,6 +15,7 @@ from tidemill.llm.mixing import label_domains, mixing_rates
 from tidemill.llm.neighbours import nearest
 from tidemill.llm.packing import pack
 from tidemill.llm.passages import repeated_passages
+from tidemill.llm.repeats import repeat_report
 from tidemill.llm.secrets import secret_report
 from tidemill.llm.warc import archive_report
 
@@ -64,6 +65,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_lossless_webp": op1_lossless_webp,
     "op2_compact_windows": op2_compact_windows,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_packing": op9_packing,
     "op10_html_main_text": op10_html_main_text,
+    "op12_run_length_index": op12_run_length_index,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -93,5 +99,30 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(digits, '
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM b
+""",
+    # Two hex digits are a byte.
+    "op12_run_length_index": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS t(i)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), hit AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS begins FROM w JOIN f USING (s) WHERE doc_id > first
+), run AS (
+  SELECT doc_id, i, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit
+), span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, g
+), piece AS (
+  SELECT doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS s FROM span JOIN d USING (doc_id)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+), cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(s, '' ORDER BY a) AS kept, max(b) AS tail,
+         string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM piece GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, 2 * tail + 1), h))) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN cut USING (doc_id)
 """,
 }
