@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.centroids import ClusterRules, cluster_report
 from tidemill.llm.common import table
 from tidemill.llm.html import page_texts
 from tidemill.llm.langid import language_report
@@ -69,6 +70,41 @@ def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(rules: ClusterRules) -> str:
+    """All rounds, one after another: plain nearest centroids and floored means."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{rules.seed}:' || vec_id)) - 1 AS cluster, v AS c FROM kept
+  QUALIFY cluster < {rules.clusters}
+)""",
+    ]
+    for r in range(rules.rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, min(struct_pack(d := {gap}::BIGINT, cluster := cluster)) AS best FROM kept, c{r} GROUP BY vec_id, v
+)""")
+        if r < rules.rounds:
+            steps.append(f"""m{r} AS (
+  SELECT best.cluster AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(mean, c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END ORDER BY i) AS mean FROM m{r} GROUP BY cluster) USING (cluster)
+)""")
+    last = rules.rounds
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.cluster::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON c{last}.cluster = best.cluster"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_lossless_webp": op1_lossless_webp,
     "op2_compact_windows": op2_compact_windows,
@@ -81,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_html_main_text": op10_html_main_text,
     "op12_run_length_index": op12_run_length_index,
+    "op13_sort_means": op13_sort_means,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -125,4 +162,5 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
        sha256(unhex(coalesce(kept || substr(h, 2 * tail + 1), h))) AS kept_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN cut USING (doc_id)
 """,
+    "op13_sort_means": _cluster_sql(ClusterRules()),
 }
