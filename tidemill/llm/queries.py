@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.centroids import ClusterRules, cluster_report
 from tidemill.llm.common import table
@@ -13,6 +14,7 @@ from tidemill.llm.langid import language_report
 from tidemill.llm.media import read_back, store_texts
 from tidemill.llm.minhash import near_duplicates
 from tidemill.llm.mixing import label_domains, mixing_rates
+from tidemill.llm.negatives import hard_negatives
 from tidemill.llm.neighbours import nearest
 from tidemill.llm.packing import pack
 from tidemill.llm.passages import repeated_passages
@@ -66,6 +68,11 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def op12_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -116,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_packing": op9_packing,
     "op10_html_main_text": op10_html_main_text,
+    "op11_radix_negatives": op11_radix_negatives,
     "op12_run_length_index": op12_run_length_index,
     "op13_sort_means": op13_sort_means,
 }
@@ -136,6 +144,26 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(digits, '
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM b
+""",
+    "op11_radix_negatives": """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, a.label AS own, b.r AS other, b.vec_id, b.label,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM kept a, kept b WHERE a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)
+), positive AS (
+  SELECT r, anchor_id, own, other, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY r, p.other ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored n USING (r)
+WHERE n.label <> p.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
 """,
     # Two hex digits are a byte.
     "op12_run_length_index": """
