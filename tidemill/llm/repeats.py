@@ -42,16 +42,18 @@ class RepeatRules:
     the sample for common grams has, in how many of them a gram is common, and how
     many common grams are used at most (these only choose among keys that are all
     right); bytes of text that a task gathers before it sends, and that go to a
-    bucket; contents of a key beyond which its windows are dealt out by themselves."""
+    bucket; bytes of pieces in an index, about; contents of a key beyond which its
+    windows are dealt out by themselves."""
 
     least: int = 50
     gram: int = 20
     sample: int = 1024
     common: int = 8
     most_common: int = 1 << 16
-    gather_bytes: int = 16 << 20
-    bucket_bytes: int = 16 << 20
-    split: int = 1 << 14
+    gather_bytes: int = 8 << 20
+    bucket_bytes: int = 8 << 20
+    index_bytes: int = 1 << 19
+    split: int = 1 << 12
 
     def __post_init__(self):
         if not 0 < self.gram <= self.least or not WORD < self.least <= 8 * WORD:
@@ -394,7 +396,7 @@ def _spans(documents: DataFrame, rules: RepeatRules, doc_id: str, text: str) ->
     pieces = found.filter("key is not null")
     asked = pieces.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "windows", "split", "starts")).alias("asked"))
     with_text = docs.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
-    parts = max(1, -(-pieces.count() * 2 * rules.least // (2 << 20)))
+    parts = max(1, -(-pieces.count() * 2 * rules.least // rules.index_bytes))
     fetched = map_batches(with_text, _fetcher(rules), _ASKED).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts)))
     matched = scratch.saved(fetched.groupBy("bucket").applyInArrow(_matcher(rules), _FOUND), "matched", merge=False)
     scratch.forget()
