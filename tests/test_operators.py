@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import parse_number
 from tidemill.functions.formula import compile_formula
-from tidemill.operators import decision, health, joins
+from tidemill.operators import decision, health, joins, robust, skyline
 from tidemill.operators.health import RowFilter
 from tidemill.operators.joins import JoinSpec
 from tidemill.operators.rows import ORDER, ordinals, with_order
@@ -123,11 +123,11 @@ def test_topsis_by_hand(spark):
     df = spark.createDataFrame([(1, 0.9, 10.0), (2, 0.8, 5.0), (3, 0.7, 20.0)], "k int, q double, ms double")
     got = {r["k"]: (round(r["closeness"], 6), r["rank"]) for r in decision.topsis(df, "k", {"q": "max", "ms": "min"}, {"q": 0.6, "ms": 0.4}).collect()}
     assert got == {1: (0.690431, 2), 2: (0.860346, 1), 3: (0.0, 3)}
-    assert sum(r["share"] for r in decision.weight_shares(df, "k", {"q": "max", "ms": "min"}, 200).collect()) == pytest.approx(1)
+    assert sum(r["share"] for r in robust.weight_shares(df, "k", {"q": "max", "ms": "min"}, samples=200).collect()) == pytest.approx(1)
     many = spark.range(3000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
     rows = [tuple(r) for r in many.collect()]
     want = {i for i, a, b in rows if not any(c >= a and d <= b and (c > a or d < b) for _, c, d in rows)}
-    assert {r["id"] for r in decision.pareto(spark.createDataFrame(rows, "id long, a double, b double"), "id", {"a": "max", "b": "min"}).collect()} == want
+    assert {r["id"] for r in skyline.pareto(spark.createDataFrame(rows, "id long, a double, b double"), "id", {"a": "max", "b": "min"}).collect()} == want
 
 
 def test_sql_guard(spark):

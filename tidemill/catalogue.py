@@ -6,12 +6,13 @@ make them first, alike on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import assembly, column_stats, decision, health, joins, table_view
+from tidemill.operators import assembly, column_stats, decision, health, joins, robust, skyline, table_view
 from tidemill.operators.health import RowFilter
 from tidemill.operators.joins import JoinSpec
 from tidemill.operators.rows import ordinals
@@ -485,27 +486,131 @@ _CRITERIA = {"s_acctbal": "max", "price": "min", "volume": "max"}
 _SHARES = {"s_acctbal": 0.5, "price": 0.2, "volume": 0.3}
 
 
+# Every 13th supplier lacks a price, every 17th has none that is a number, every 11th no rating.
+_DIRTY = f"""(SELECT s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'NaN'::DOUBLE ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE price END AS price, volume,
+  CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_suppkey % 10 END AS rating, 400.0::DOUBLE AS spread, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 300.0 END AS slack FROM {_ALTERNATIVES})"""
+_COMPLETE = "price IS NOT NULL AND isfinite(s_acctbal)"
+_DOMINATES = "(y.s_acctbal >= x.s_acctbal AND y.price <= x.price AND y.volume >= x.volume AND (y.s_acctbal > x.s_acctbal OR y.price < x.price OR y.volume > x.volume))"
+
+
+def _dirty_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return _alternatives(spark, sf_dir).select(
+        key, F.when(key % 17 == 0, float("nan")).otherwise(F.col("s_acctbal")).alias("s_acctbal"), F.when(key % 13 != 0, F.col("price")).alias("price"), "volume", F.when(key % 11 != 0, key % 10).alias("rating"), F.lit(400.0).alias("spread"), F.when(key % 3 != 0, 300.0).alias("slack")
+    )
+
+
+def _topsis_sql(rows: str, weights: tuple = (0.5, 0.2, 0.3)) -> str:
+    """``(s_suppkey, m, p)`` of complete rows."""
+    w = [str(x) for x in weights]
+    return f"""(SELECT s_suppkey, sqrt(pow({w[0]} * (s_acctbal - b1) / n1, 2) + pow({w[1]} * (price - a2) / n2, 2) + pow({w[2]} * (volume - b3) / n3, 2)) AS p, sqrt(pow({w[0]} * (s_acctbal - a1) / n1, 2) + pow({w[1]} * (price - b2) / n2, 2) + pow({w[2]} * (volume - a3) / n3, 2)) AS m
+  FROM {rows}, (SELECT sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM {rows}))"""
+
+
 @register(
     "decision_topsis",
-    f"""WITH a AS {_ALTERNATIVES}, f AS (SELECT sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM a),
-  d AS (SELECT s_suppkey, sqrt(pow(0.5 * (s_acctbal - b1) / n1, 2) + pow(0.2 * (price - a2) / n2, 2) + pow(0.3 * (volume - b3) / n3, 2)) AS p, sqrt(pow(0.5 * (s_acctbal - a1) / n1, 2) + pow(0.2 * (price - b2) / n2, 2) + pow(0.3 * (volume - a3) / n3, 2)) AS m FROM a, f)
-  SELECT s_suppkey, round(m / (m + p), 8) AS closeness, rank() OVER (ORDER BY round(m / (m + p), 12) DESC) AS rank FROM d""",
+    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), d AS {_topsis_sql("c")}
+  SELECT s_suppkey, round(m / (m + p), 8) AS closeness, CASE WHEN m IS NOT NULL THEN rank() OVER (ORDER BY round(m / (m + p), 12) DESC NULLS LAST) END AS rank FROM a LEFT JOIN d USING (s_suppkey)""",
 )
 def _topsis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.topsis(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES).select("s_suppkey", F.round("closeness", 8).alias("closeness"), F.col("rank").cast("bigint").alias("rank"))
+    return decision.topsis(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES).select("s_suppkey", F.round("closeness", 8).alias("closeness"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("decision_pareto", f"WITH a AS {_ALTERNATIVES} SELECT s_suppkey FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.s_acctbal >= a.s_acctbal AND b.price <= a.price AND b.volume >= a.volume AND (b.s_acctbal > a.s_acctbal OR b.price < a.price OR b.volume > a.volume))")
+@register("decision_pareto", f"WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}) SELECT s_suppkey FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE {_DOMINATES})")
 def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.pareto(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA).select("s_suppkey")
+    return skyline.pareto(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA).select("s_suppkey")
+
+
+# A front of many rows: parts by price, size and a mixed value, large against small.
+@register(
+    "decision_dominated_parts",
+    """WITH a AS (SELECT p_partkey, p_size, p_retailprice, (p_partkey * 7919) % 1009 AS mixed FROM part), f AS (SELECT * FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.p_size >= x.p_size AND y.p_retailprice <= x.p_retailprice AND y.mixed >= x.mixed AND (y.p_size > x.p_size OR y.p_retailprice < x.p_retailprice OR y.mixed > x.mixed)))
+  SELECT x.p_partkey, min(y.p_partkey) AS dominated_by FROM a x LEFT JOIN f y ON y.p_size >= x.p_size AND y.p_retailprice <= x.p_retailprice AND y.mixed >= x.mixed AND (y.p_size > x.p_size OR y.p_retailprice < x.p_retailprice OR y.mixed > x.mixed) GROUP BY x.p_partkey""",
+)
+def _dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", ((F.col("p_partkey") * 7919) % 1009).alias("mixed"))
+    return skyline.dominated(parts, "p_partkey", {"p_size": "max", "p_retailprice": "min", "mixed": "max"})
+
+
+_LIMITS = [robust.Constraint("rating", ">=", 2), robust.Constraint("s_acctbal", ">=", 0)]
+_STATES = f"""a AS {_DIRTY}, st AS (SELECT *, CASE WHEN NOT ({_COMPLETE}) THEN 'incomplete' WHEN rating < 2 OR s_acctbal < 0 THEN 'infeasible' WHEN rating IS NULL THEN 'unverified' ELSE 'feasible' END AS status FROM a),
+  ok AS (SELECT * FROM st WHERE status = 'feasible'), front AS (SELECT * FROM ok x WHERE NOT EXISTS (SELECT 1 FROM ok y WHERE {_DOMINATES}))"""
+
+
+@register(
+    "decision_robust_ranking",
+    f"""WITH {_STATES}, t AS {_topsis_sql("front")}, beaten AS (SELECT x.s_suppkey, min(y.s_suppkey) AS dominated_by FROM ok x JOIN front y ON {_DOMINATES} GROUP BY x.s_suppkey)
+  SELECT s_suppkey, CASE WHEN status <> 'feasible' THEN status WHEN dominated_by IS NULL THEN 'pareto' ELSE 'dominated' END AS status, dominated_by,
+         concat_ws(',', CASE WHEN NOT isfinite(s_acctbal) THEN 's_acctbal' END, CASE WHEN price IS NULL THEN 'price' END) AS missing, concat_ws(',', CASE WHEN rating < 2 THEN 'rating >= 2' END, CASE WHEN s_acctbal < 0 THEN 's_acctbal >= 0' END) AS violated,
+         concat_ws(',', CASE WHEN rating IS NULL THEN 'rating >= 2' END, CASE WHEN NOT isfinite(s_acctbal) THEN 's_acctbal >= 0' END) AS unverified,
+         round(m / (m + p), 8) AS closeness, CASE WHEN m IS NOT NULL THEN rank() OVER (ORDER BY round(m / (m + p), 12) DESC NULLS LAST) END AS rank
+  FROM st LEFT JOIN beaten USING (s_suppkey) LEFT JOIN t USING (s_suppkey)""",
+)
+def _robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robust.robust_ranking(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES, _LIMITS)
+    return out.select("s_suppkey", "status", "dominated_by", *(F.concat_ws(",", c).alias(c) for c in ("missing", "violated", "unverified")), F.round("closeness", 8).alias("closeness"), F.col("rank").cast("long").alias("rank"))
+
+
+_UNITS = """u AS (SELECT c.*, n1, n2, n3, a1, b1, a2, b2, a3, b3 FROM c, (SELECT sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM c))"""
+_SCORED = """scored AS (SELECT {keys}, s_suppkey, sqrt(pow(w1 * (s_acctbal - b1) / n1, 2) + pow(w2 * (price - a2) / n2, 2) + pow(w3 * (volume - b3) / n3, 2)) AS p, sqrt(pow(w1 * (s_acctbal - a1) / n1, 2) + pow(w2 * (price - b2) / n2, 2) + pow(w3 * (volume - a3) / n3, 2)) AS m FROM u, g)"""
+
+
+@register(
+    "decision_weight_intervals",
+    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, w(criterion, j, cur) AS (VALUES ('s_acctbal', 1, 0.5::DOUBLE), ('price', 2, 0.2::DOUBLE), ('volume', 3, 0.3::DOUBLE)),
+  t AS (SELECT criterion, j, cur, k / 50.0::DOUBLE AS t FROM w, range(0, 51) AS r(k) UNION SELECT criterion, j, cur, cur FROM w),
+  g AS (SELECT criterion, cur, t, CASE j WHEN 1 THEN t ELSE 0.5::DOUBLE * (1 - t) / (1 - cur) END AS w1, CASE j WHEN 2 THEN t ELSE 0.2::DOUBLE * (1 - t) / (1 - cur) END AS w2, CASE j WHEN 3 THEN t ELSE 0.3::DOUBLE * (1 - t) / (1 - cur) END AS w3 FROM t),
+  {_SCORED.format(keys="criterion, cur, t")}, best AS (SELECT criterion, cur, t, s_suppkey AS winner FROM scored QUALIFY row_number() OVER (PARTITION BY criterion, t ORDER BY round(m / (m + p), 12) DESC, s_suppkey) = 1),
+  i AS (SELECT *, coalesce((lag(winner) OVER o <> winner)::INTEGER, 1) AS fresh FROM best WINDOW o AS (PARTITION BY criterion ORDER BY t)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY criterion ORDER BY t)::INTEGER AS segment FROM i)
+  SELECT criterion, round(cur, 6) AS "current", segment, round(min(t), 6) AS start, round(max(t), 6) AS "end", winner, min(t) <= cur AND cur <= max(t) AS holds FROM s GROUP BY criterion, cur, segment, winner""",
+)
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robust.weight_intervals(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES, step=0.02)
+    return out.select("criterion", "segment", "winner", "holds", *(F.round(c, 6).alias(c) for c in ("current", "start", "end")))
+
+
+def _draw_sql(digits: str, at: int) -> str:
+    return f"((('0x' || substr({digits}, {at}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
+_SHARE_SQL = """best AS (SELECT s, s_suppkey, round(m / (m + p), 12) AS score FROM scored QUALIFY score = max(score) OVER (PARTITION BY s)), ties AS (SELECT s, count(*) AS n FROM best GROUP BY s)
+  SELECT s_suppkey, round(sum(1.0::DOUBLE / n) / 500, 8) AS share FROM best JOIN ties USING (s) GROUP BY s_suppkey"""
+
+
+@register(
+    "decision_weight_shares",
+    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, e AS (SELECT s, {", ".join(f"-ln({_draw_sql(f"md5('42:' || s || ':{x}')", 1)}) AS e{i}" for i, x in enumerate(("s_acctbal", "price", "volume"), 1))} FROM range(0, 500) AS r(s)),
+  g AS (SELECT s, e1 / (e1 + e2 + e3) AS w1, e2 / (e1 + e2 + e3) AS w2, e3 / (e1 + e2 + e3) AS w3 FROM e), {_SCORED.format(keys="s")}, {_SHARE_SQL}""",
+)
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.weight_shares(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, samples=500).withColumn("share", F.round("share", 8))
+
+
+def _noisy_sql(column: str, std: str) -> str:
+    digits = f"md5('44:' || s || ':' || s_suppkey || ':{column}')"
+    return f"CASE WHEN coalesce({std}, 0) > 0 THEN {column} + {std} * (sqrt(-2 * ln({_draw_sql(digits, 1)})) * cos({2 * math.pi!r} * {_draw_sql(digits, 14)})) ELSE {column} END AS {column}"
+
+
+@register(
+    "decision_noise_shares",
+    f"""WITH a AS {_DIRTY}, c AS (SELECT s, s_suppkey, {_noisy_sql("s_acctbal", "spread")}, {_noisy_sql("price", "slack")}, volume FROM a, range(0, 500) AS r(s) WHERE {_COMPLETE}),
+  g AS (SELECT s, sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM c GROUP BY s),
+  scored AS (SELECT s, s_suppkey, sqrt(pow(0.5 * (s_acctbal - b1) / n1, 2) + pow(0.2 * (price - a2) / n2, 2) + pow(0.3 * (volume - b3) / n3, 2)) AS p, sqrt(pow(0.5 * (s_acctbal - a1) / n1, 2) + pow(0.2 * (price - b2) / n2, 2) + pow(0.3 * (volume - a3) / n3, 2)) AS m FROM c JOIN g USING (s)), {_SHARE_SQL}""",
+)
+def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.noise_shares(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, {"s_acctbal": "spread", "price": "slack"}, _SHARES, samples=500).withColumn("share", F.round("share", 8))
+
+
+@register(
+    "decision_influence",
+    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), s AS (SELECT 0.5 * (max(s_acctbal) - min(s_acctbal)) / sqrt(sum(s_acctbal * s_acctbal)) AS x, 0.2 * (max(price) - min(price)) / sqrt(sum(price * price)) AS y, 0.3 * (max(volume) - min(volume)) / sqrt(sum(volume * volume)) AS z FROM c)
+  SELECT 's_acctbal' AS criterion, 0.5::DOUBLE AS declared, round(x / (x + y + z), 8) AS influence FROM s UNION ALL SELECT 'price', 0.2, round(y / (x + y + z), 8) FROM s UNION ALL SELECT 'volume', 0.3, round(z / (x + y + z), 8) FROM s""",
+)
+def _influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.influence(_dirty_alternatives(spark, sf_dir), _CRITERIA, _SHARES).withColumn("influence", F.round("influence", 8))
 
 
 @register("decision_fixed_scales", f"WITH a AS {_ALTERNATIVES}, u AS (SELECT s_suppkey, greatest(least(s_acctbal, 10000), 0) / 10000 AS x, 1 - (ln(greatest(least(price, 100000), 1000)) - ln(1000)) / (ln(100000) - ln(1000)) AS y FROM a) SELECT s_suppkey, round(sqrt(pow(0.7 * x, 2) + pow(0.3 * y, 2)) / (sqrt(pow(0.7 * x, 2) + pow(0.3 * y, 2)) + sqrt(pow(0.7 * (1 - x), 2) + pow(0.3 * (1 - y), 2))), 8) AS closeness FROM u")
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scales = {"s_acctbal": (0, 10000, "max", "linear"), "price": (1000, 100000, "min", "log")}
     return decision.fixed_scale_topsis(_alternatives(spark, sf_dir), "s_suppkey", scales, {"s_acctbal": 0.7, "price": 0.3}).withColumn("closeness", F.round("closeness", 8))
-
-
-@register("decision_weight_shares")
-def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.weight_shares(_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA)

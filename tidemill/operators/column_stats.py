@@ -8,27 +8,28 @@ from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import finite, quoted
+from tidemill.functions.staging import staged
+from tidemill.operators.ranked import percentiles, value_counts
 from tidemill.operators.rows import ORDER, with_order
 
 TOP, BINS, EXAMPLES = 10, 20, 5
 
 
-def numeric_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
+def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: rows, nulls, distinct (null counts as a value), min, max, mean,
-    median, std (sample), q1, q3 with linear interpolation.
+    median, std (sample), q1, q3 with linear interpolation; NaN counts as the largest.
 
-    Values are counted first, so the exact percentiles read one row for each
-    distinct value; their buffer still grows with those. For columns with very many
-    of them ``exact=False`` takes the quantile sketch and nearest ranks."""
+    Values are counted, and the percentiles picked by running totals over ranges of
+    the counts (``ranked``): exact, with no buffer that grows with the values."""
     c = quoted(column)
-    counted = df.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     moments = df.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(c.isNull(), 1)).alias("nulls"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if exact:
-        spread = counted.agg(F.count(F.lit(1)).alias("distinct"), F.percentile("v", points, F.col("n")).alias("q"))
-    else:
-        spread = df.agg(F.approx_count_distinct(c).alias("distinct"), F.percentile_approx(c, points, 10_000).cast("array<double>").alias("q"))
-    return moments.crossJoin(spread).select("rows", "nulls", "distinct", "min", "max", "mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    counted = staged(value_counts(df, {"v": c}))
+    picked = percentiles(counted, [0.25, 0.5, 0.75])
+    at = lambda f: F.max(F.when(F.col("fraction") == f, F.col("value")))
+    spread = picked.agg(at(0.5).alias("median"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    # Three tables of one row each.
+    one = moments.join(F.broadcast(counted.agg(F.count(F.lit(1)).alias("values")))).join(F.broadcast(spread))
+    return one.select("rows", "nulls", (F.col("values") + F.when(F.col("nulls") > 0, 1).otherwise(0)).alias("distinct"), "min", "max", "mean", "median", "std", "q1", "q3")
 
 
 def top_values(df: DataFrame, column: str, k: int = TOP) -> DataFrame:

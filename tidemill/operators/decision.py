@@ -1,5 +1,5 @@
-"""Multi-criteria decisions over DataFrames: TOPSIS, Pareto filter, utilities,
-weight sensitivity."""
+"""Multi-criteria decisions over DataFrames: TOPSIS, the primary metric, utilities on
+fixed scales. ``robust`` has constraints, the Pareto front and sensitivity."""
 
 from __future__ import annotations
 
@@ -7,63 +7,71 @@ import math
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import quoted
+from tidemill.operators.ranked import competition_ranks
+from tidemill.operators.skyline import complete
 
 TIE = 1e-12
 STABLE, CONDITIONAL = 0.6, 0.3
-#: Alternatives that a dominance comparison takes; every row is held against
-#: every other, as its definition asks.
-MAX_ALTERNATIVES = 200
 
 
 def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _weights(weights: dict[str, float]) -> dict[str, float]:
+def unit_weights(weights: dict[str, float]) -> dict[str, float]:
     total = sum(weights.values())
     if not weights or total <= 0 or min(weights.values()) < 0:
         raise PreparationError("weights must be at least 0 and not all 0")
     return {c: w / total for c, w in weights.items()}
 
 
+def scaled_distances(df: DataFrame, key: str, names: list[str], ways: list[str], normalization: str = "vector") -> DataFrame:
+    """``(__key__, p_0, m_0, p_1, ...)``: how far each row lies from the best and from
+    the worst value of each criterion, normalised and not yet weighted. Norms and
+    ranges do not depend on the weights: one aggregate gives them all."""
+    v = [quoted(c).cast("double") for c in names]
+    facts = df.agg(*(F.sqrt(F.sum(x * x)).alias(f"n_{i}") for i, x in enumerate(v)), *(F.min(x).alias(f"a_{i}") for i, x in enumerate(v)), *(F.max(x).alias(f"b_{i}") for i, x in enumerate(v)))
+    out = []
+    for i, way in enumerate(ways):
+        unit = F.col(f"n_{i}") if normalization == "vector" else F.col(f"b_{i}") - F.col(f"a_{i}")
+        best, worst = (F.col(f"b_{i}"), F.col(f"a_{i}")) if way == "max" else (F.col(f"a_{i}"), F.col(f"b_{i}"))
+        for side, end in (("p", best), ("m", worst)):
+            out.append(F.coalesce((v[i] - end) / F.nullif(unit, F.lit(0.0)), F.lit(0.0)).alias(f"{side}_{i}"))
+    # Facts are one row.
+    return df.join(F.broadcast(facts)).select(quoted(key).alias("__key__"), *out)
+
+
+def weighted_distance(side: str, weights: list[Column], names: list[str]) -> Column:
+    return F.sqrt(_sum([F.pow(F.col(f"{side}_{i}") * weights[i], F.lit(2)) for i in range(len(names))]))
+
+
+def shares_of(weights: list[Column], names: list[str]) -> Column:
+    """Closeness from ``scaled_distances``; 0.5 where both distances are 0."""
+    p, m = weighted_distance("p", weights, names), weighted_distance("m", weights, names)
+    return F.when(p + m == 0, 0.5).otherwise(m / F.nullif(p + m, F.lit(0.0)))
+
+
 def topsis(df: DataFrame, key: str, criteria: dict[str, str], weights: dict[str, float], normalization: str = "vector") -> DataFrame:
-    """``(key, closeness, d_plus, d_minus, rank)``.
+    """``(key, closeness, d_plus, d_minus, rank)`` of every row.
 
     Criteria map to ``max`` or ``min``. One aggregate gives the norms and ranges of
     all criteria, and closeness is then an expression of each row; closeness is 0.5
-    where both distances are 0. Ranks are competition ranks (1, 1, 3)."""
-    w = _weights({c: weights[c] for c in criteria})
-    v = {c: quoted(c).cast("double") for c in criteria}
-    facts = df.agg(*(F.sqrt(F.sum(x * x)).alias(f"n_{i}") for i, x in enumerate(v.values())), *(F.min(x).alias(f"a_{i}") for i, x in enumerate(v.values())), *(F.max(x).alias(f"b_{i}") for i, x in enumerate(v.values())))
-
-    def scaled(i: int, x: Column) -> Column:
-        if normalization == "vector":
-            return F.when(F.col(f"n_{i}") == 0, 0.0).otherwise(x / F.nullif(F.col(f"n_{i}"), F.lit(0.0)))
-        span = F.col(f"b_{i}") - F.col(f"a_{i}")
-        return F.when(span == 0, 0.0).otherwise((x - F.col(f"a_{i}")) / F.nullif(span, F.lit(0.0)))
-
-    plus, minus = [], []
-    for i, (c, way) in enumerate(criteria.items()):
-        here = scaled(i, v[c]) * w[c]
-        high, low = scaled(i, F.col(f"b_{i}")) * w[c], scaled(i, F.col(f"a_{i}")) * w[c]
-        best, worst = (high, low) if way == "max" else (low, high)
-        plus.append(F.pow(here - best, F.lit(2)))
-        minus.append(F.pow(here - worst, F.lit(2)))
-    scored = df.crossJoin(F.broadcast(facts)).select(quoted(key), F.sqrt(_sum(plus)).alias("d_plus"), F.sqrt(_sum(minus)).alias("d_minus"))
-    both = F.col("d_plus") + F.col("d_minus")
-    scored = scored.withColumn("closeness", F.when(both == 0, 0.5).otherwise(F.col("d_minus") / F.nullif(both, F.lit(0.0))))
-    # Ranks: closeness values are counted, and the running total over the distinct
-    # ones gives each its place.
-    level = F.round("closeness", 12)
-    steps = scored.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    above = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    places = steps.select("level", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("rank"))
-    return scored.withColumn("level", level).join(places, "level").select(quoted(key), "closeness", "d_plus", "d_minus", "rank")
+    where both distances are 0. Ranks are competition ranks (1, 1, 3) of closeness to
+    twelve digits, from running totals over ranges of its values. Rows with a missing
+    or infinite criterion do not count and have no closeness and no rank."""
+    w, names = unit_weights({c: weights[c] for c in criteria}), list(criteria)
+    shares = [F.lit(w[c]) for c in names]
+    scored = scaled_distances(df.filter(complete(criteria)), key, names, list(criteria.values()), normalization)
+    p, m = weighted_distance("p", shares, names), weighted_distance("m", shares, names)
+    scored = scored.select("__key__", shares_of(shares, names).alias("closeness"), p.alias("d_plus"), m.alias("d_minus"))
+    ranked = competition_ranks(scored.withColumn("__level__", F.round("closeness", 12)), "__level__").drop("__level__")
+    rest = df.filter(~complete(criteria)).select(quoted(key).alias("__key__"), *(F.lit(None).cast("double").alias(c) for c in ("closeness", "d_plus", "d_minus")), F.lit(None).cast("long").alias("rank"))
+    return ranked.unionByName(rest).withColumnRenamed("__key__", key)
 
 
 def primary_metric(df: DataFrame, key: str, metric: str, way: str = "max", std: str | None = None) -> DataFrame:
@@ -75,37 +83,6 @@ def primary_metric(df: DataFrame, key: str, metric: str, way: str = "max", std:
     return df.crossJoin(F.broadcast(best)).filter(F.abs(quoted(metric) - F.col("__best__")) <= noise).drop("__best__", "__std__")
 
 
-def pareto(df: DataFrame, key: str, criteria: dict[str, str]) -> DataFrame:
-    """Rows that no other row dominates (as good everywhere, better somewhere).
-
-    A skyline has no equi-key. Up to MAX_ALTERNATIVES rows are compared directly;
-    a larger frame is first reduced: each task drops the rows that some row of its
-    own batch dominates, which cannot lose a member of the front, and the survivors
-    are compared against each other in blocks of the best first criterion."""
-    names = list(criteria)
-    sign = [1.0 if criteria[c] == "max" else -1.0 for c in names]
-
-    def thin(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            x = np.column_stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) * s for c, s in zip(names, sign)])
-            keep = np.ones(len(x), bool)
-            for i in np.argsort(-x.sum(axis=1), kind="stable"):
-                if keep[i]:
-                    worse = (x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1)
-                    keep &= ~worse
-            yield batch.filter(pa.array(keep))
-
-    complete = df.filter(reduce(lambda a, b: a & b, (quoted(c).isNotNull() for c in names)))
-    left = complete.mapInArrow(thin, complete.schema) if complete.limit(MAX_ALTERNATIVES + 1).count() > MAX_ALTERNATIVES else complete
-    a, b = left.alias("a"), left.select(*(quoted(c).alias(f"__{i}__") for i, c in enumerate(names))).distinct().alias("b")
-    as_good = reduce(lambda x, y: x & y, ((F.col(f"__{i}__") >= quoted(c)) if criteria[c] == "max" else (F.col(f"__{i}__") <= quoted(c)) for i, c in enumerate(names)))
-    better = reduce(lambda x, y: x | y, ((F.col(f"__{i}__") > quoted(c)) if criteria[c] == "max" else (F.col(f"__{i}__") < quoted(c)) for i, c in enumerate(names)))
-    return a.join(b, as_good & better, "left_anti")
-
-
 def utility(value: Column, low: float, high: float, way: str = "max", scale: str = "linear") -> Column:
     """A fixed-scale utility from 0 to 1; values beyond the scale are clamped."""
     if high <= low or scale == "log" and low <= 0:
@@ -118,45 +95,22 @@ def utility(value: Column, low: float, high: float, way: str = "max", scale: str
 def fixed_scale_topsis(df: DataFrame, key: str, criteria: dict[str, tuple[float, float, str, str]], weights: dict[str, float]) -> DataFrame:
     """Closeness to the all-ones ideal on fixed utility scales
     ``{criterion: (low, high, way, scale)}``: adding rows changes no score."""
-    w = _weights({c: weights[c] for c in criteria})
+    w = unit_weights({c: weights[c] for c in criteria})
     u = {c: utility(quoted(c), *spec) for c, spec in criteria.items()}
     plus = F.sqrt(_sum([F.pow(F.lit(w[c]) * (1 - x), F.lit(2)) for c, x in u.items()]))
     minus = F.sqrt(_sum([F.pow(F.lit(w[c]) * x, F.lit(2)) for c, x in u.items()]))
     return df.select(quoted(key), F.when(plus + minus == 0, 0.5).otherwise(minus / F.nullif(plus + minus, F.lit(0.0))).alias("closeness"))
 
 
-def dirichlet(n: int, dims: int, seed: int) -> list[list[float]]:
+def dirichlet(n: int, alphas: list[float], seed: int) -> list[list[float]]:
     rng = random.Random(seed)
     out = []
     for _ in range(n):
-        draw = [rng.gammavariate(1.0, 1.0) for _ in range(dims)]
-        out.append([x / sum(draw) for x in draw])
+        draw = [rng.gammavariate(a, 1.0) for a in alphas]
+        total = sum(draw)
+        out.append([x / total for x in draw] if total > 0 else [1 / len(alphas)] * len(alphas))
     return out
 
 
-def weight_shares(df: DataFrame, key: str, criteria: dict[str, str], samples: int = 2000, seed: int = 42) -> DataFrame:
-    """``(key, share)``: the share of random weight vectors under which each
-    alternative scores best by TOPSIS (ties share alike).
-
-    Norms and ranges do not depend on the weights, so each alternative meets the
-    samples (a fixed number of them) once, and one aggregate picks the winners."""
-    names = list(criteria)
-    draws = df.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(dirichlet(samples, len(names), seed))], "s int, " + ", ".join(f"w_{i} double" for i in range(len(names))))
-    v = [quoted(c).cast("double") for c in names]
-    facts = df.agg(*(F.sqrt(F.sum(x * x)).alias(f"n_{i}") for i, x in enumerate(v)), *(F.min(x).alias(f"a_{i}") for i, x in enumerate(v)), *(F.max(x).alias(f"b_{i}") for i, x in enumerate(v)))
-    plus, minus = [], []
-    for i, c in enumerate(names):
-        norm = F.nullif(F.col(f"n_{i}"), F.lit(0.0))
-        best, worst = (F.col(f"b_{i}"), F.col(f"a_{i}")) if criteria[c] == "max" else (F.col(f"a_{i}"), F.col(f"b_{i}"))
-        plus.append(F.pow(F.coalesce((v[i] - best) / norm, F.lit(0.0)) * F.col(f"w_{i}"), F.lit(2)))
-        minus.append(F.pow(F.coalesce((v[i] - worst) / norm, F.lit(0.0)) * F.col(f"w_{i}"), F.lit(2)))
-    p, m = F.sqrt(_sum(plus)), F.sqrt(_sum(minus))
-    scored = df.crossJoin(F.broadcast(facts)).crossJoin(F.broadcast(draws)).select("s", quoted(key), F.round(F.when(p + m == 0, 0.5).otherwise(m / F.nullif(p + m, F.lit(0.0))), 12).alias("score"))
-    best = scored.groupBy("s").agg(F.max("score").alias("score"))
-    won = scored.join(best, ["s", "score"])
-    ties = won.groupBy("s").agg(F.count(F.lit(1)).alias("__ties__"))
-    return won.join(ties, "s").groupBy(quoted(key)).agg((F.sum(1 / F.col("__ties__")) / samples).alias("share"))
-
-
 def verdict(share: float, front: int) -> str:
     return "stable" if front == 1 or share >= STABLE else "conditional" if share >= CONDITIONAL else "unstable"
