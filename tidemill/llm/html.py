@@ -55,6 +55,12 @@ _PLACES = frozenset(
     "site main page global primary secondary left right top bottom sticky fixed inner outer box block area wrap wrapper container bar list section slot unit zone panel group "
     "button buttons link links post posts article articles story stories item items icon icons text label title form thread count row col column info message the my js".split()
 )
+#: Marks that too many classes end with for other reasons (right-side, read-and-share).
+_FAINT = frozenset("side aside alert notice related social share sharing register login foot header consent modal respond reply".split())
+#: Marks that a class may begin with, whatever follows (comment-body, ad-300x250).
+_LEADS = frozenset("ad ads adbox adslot advert adverts advertisement sponsored comment comments commentlist disqus reply replies newsletter sidebar breadcrumb breadcrumbs pagination".split())
+#: Words that make a class tell about what is around it, or be none of a mark's.
+_ABOUT = frozenset("no not non with without has have and free hoc open opened closed enabled disabled allowed layout theme template".split())
 # A tag ends at ">" outside quoted values or with the page; possessive, so that time is linear.
 _REST = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z))?+)*+"""
 _TOKEN = re.compile(
@@ -88,14 +94,23 @@ class Block:
     root: int  # number of the article or main element, 0 outside
 
 
-#: What _drops tells: a certain drop, a mark that a page may void, or none.
-HIDDEN, MARKED, PLAIN = 2, 1, 0
+#: What _drops tells: a certain drop, a mark of comments or another mark that a page may
+#: void, or none.
+HIDDEN, REMARKED, MARKED, PLAIN = 3, 2, 1, 0
 
 
-def _token_marked(token: str) -> frozenset[str]:
-    """The marks of a class or id, if it consists of them and places only."""
+def _token_says(token: str) -> int:
+    """What one class or id says. A class of marks and places only is sure about
+    comments; else its last word counts, or its first if that is one to begin with."""
     parts = [x for x in re.split(r"[^a-z]+", _CAMEL.sub("-", token).lower()) if x]
-    return frozenset(parts) & _MARKS if all(x in _MARKS or x in _PLACES for x in parts) else frozenset()
+    if not parts or not _MARKS.intersection(parts):
+        return PLAIN
+    if all(x in _MARKS or x in _PLACES for x in parts):
+        return HIDDEN if _REMARKS.intersection(parts) else MARKED
+    if _ABOUT.intersection(parts):
+        return PLAIN
+    ends = {parts[-1]} & (_MARKS - _FAINT) | {parts[0]} & _LEADS
+    return REMARKED if ends & _REMARKS else MARKED if ends else PLAIN
 
 
 def _drops(rest: str) -> int:
@@ -106,9 +121,7 @@ def _drops(rest: str) -> int:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES or name == "style" and _STYLE.search(value):
             return HIDDEN
         if name in ("class", "id"):
-            for token in value.split():
-                if marks := _token_marked(token):
-                    out = max(out, HIDDEN if marks & _REMARKS else MARKED)
+            out = max([out, *map(_token_says, value.split())])
     return out
 
 
@@ -120,7 +133,8 @@ def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order, in time linear in the page.
 
     An element that a class or id marks for dropping is kept all the same if it holds
-    more than half of the page's text outside links: then it is a wrapper."""
+    more than half of the page's text outside links: then it is a wrapper. One marked as
+    comments must hold an article or main element, too."""
     out: list[Block] = []
     inside: list[tuple[int, ...]] = []  # for each block, the marked elements around it
     parts: list[str] = []
@@ -129,6 +143,8 @@ def blocks(page: str) -> list[Block]:
     opened: Counter[str] = Counter()
     outside = ("", False, (), 0)
     link = roots = marks = 0
+    remarks: set[int] = set()  # elements marked as comments; those that hold an article
+    holders: set[int] = set()
     tag = "body"
 
     def flush() -> None:
@@ -180,11 +196,13 @@ def blocks(page: str) -> list[Block]:
             cut(k)
             continue
         above = stack[-1] if stack else outside
-        says = _drops(rest) if rest and name not in ("html", "body", "article", "main") else PLAIN
+        says = _drops(rest) if rest and name not in ("html", "body", "main") else PLAIN
+        if name == "article":  # a comment may be one; no other mark tells of an article
+            says = HIDDEN if says >= REMARKED else PLAIN
         hidden = name in _DROP or says == HIDDEN
         if name == "header" and above[3] and not above[1] and says == PLAIN:
             hidden = False  # an article's own header holds its title
-        drop = hidden or says == MARKED
+        drop = hidden or says in (MARKED, REMARKED)
         if block or drop:
             flush()
             tag = name
@@ -203,13 +221,16 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID or rest.endswith("/") and not block or not (block or drop):
             continue
         root = above[3]
-        if name in ("article", "main") and not root:
+        if name in ("article", "main") and not root and not hidden:
             roots += 1
             root = roots
+            holders.update(above[2])
         marked = above[2]
         if not hidden and drop:
             marks += 1
             marked = (*marked, marks)
+            if says == REMARKED:
+                remarks.add(marks)
         opened[name] += 1
         stack.append((name, above[1] or hidden, marked, root))
     say(page[at:])
@@ -220,7 +241,7 @@ def blocks(page: str) -> list[Block]:
     for n, marked in zip(size, inside):
         for x in marked:
             held[x] += n
-    wrappers = {x for x, n in held.items() if 2 * n > sum(size)}
+    wrappers = {x for x, n in held.items() if 2 * n > sum(size) and (x not in remarks or x in holders)}
     for b, marked in zip(out, inside):
         b.dropped = b.dropped or not wrappers.issuperset(marked)
     return out

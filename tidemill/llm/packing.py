@@ -21,17 +21,14 @@ from tidemill.llm.common import saved
 
 @dataclass(frozen=True)
 class PackRules:
-    """Buckets, tokens in a batch (padding included), the distinct lengths up to
-    which boundaries are exact, and rows in a shard.
-
-    Beyond ``exact_lengths`` distinct lengths, neighbouring ones are taken together, so
-    many that half of that number are left or more; a row's padding then exceeds the
-    optimum's by less than the width of such a group."""
+    """Buckets, tokens in a batch (padding included), rows in a shard, and, only if
+    asked for, the number of lengths to which neighbouring ones are taken together
+    (boundaries are then optimal among these)."""
 
     buckets: int = 12
     budget: int = 65536
-    exact_lengths: int = 50_000
     shard_rows: int = 20000
+    grouped_lengths: int | None = None
 
 
 def token_count(text: Column) -> Column:
@@ -81,9 +78,9 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return ends[::-1]
 
 
-def _grouped(lengths: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(lengths: np.ndarray, counts: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` lengths: each the longest of equally many neighbours."""
-    each = -(-len(lengths) // most)
+    each = -(-len(lengths) // most) if most else 1
     if each <= 1:
         return lengths, counts
     first = np.arange(0, len(lengths), each)
@@ -103,7 +100,7 @@ def pack(docs: DataFrame, rules: PackRules | None = None) -> DataFrame:
     rules = rules or PackRules()
     sized = saved(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens")), "sized")
     histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n")).toArrow().sort_by("length")
-    ends = best_boundaries(*_grouped(histogram["length"].to_numpy(), histogram["n"].to_numpy(), rules.exact_lengths), rules.buckets)
+    ends = best_boundaries(*_grouped(histogram["length"].to_numpy(), histogram["n"].to_numpy(), rules.grouped_lengths), rules.buckets)
     total = int(histogram["n"].to_numpy().sum()) if len(ends) else 0
     bounds = F.array(*(F.lit(x).cast("long") for x in ends)) if ends else F.array(F.lit(0).cast("long"))
     bucket = F.size(F.filter(bounds, lambda x: x < F.col("n_tokens"))).cast("int")
