@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import assembly, column_stats, decision, health, joins, robust, skyline, table_view
+from tidemill.operators.as_of import as_of_join
 from tidemill.operators.health import RowFilter
 from tidemill.operators.joins import JoinSpec
 from tidemill.operators.rows import ordinals
@@ -431,11 +432,15 @@ def _distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_retailprice"), F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey")).alias("x")).select("p_brand", "x.p_partkey", "x.p_retailprice")
 
 
-@register("sql_as_of_join", "SELECT e.event_id, e.user_id, e.ts, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+# A third of the events belong to one user; some have no user, some purchases no value.
+_AS_OF = "(SELECT event_id, CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events)"
+
+
+@register("sql_as_of_join", f"WITH e AS {_AS_OF} SELECT e.event_id, e.user_id, e.ts, p.value AS last_purchase FROM e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM e WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return sql_window.as_of_join(e.select("event_id", "user_id", "ts"), bought, "user_id", "ts", "value", "last_purchase")
+    i = F.col("event_id")
+    e = read(spark, sf_dir, "events").withColumn("user_id", F.when(i % 19 == 0, F.lit(None)).when(i % 3 == 0, 0).otherwise(F.col("user_id"))).withColumn("value", F.when(i % 7 != 0, F.col("value")))
+    return as_of_join(e.select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'"), "user_id", "ts", "value", "last_purchase")
 
 
 @register("sql_pivot", "PIVOT (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) ON l_linestatus IN ('O', 'F') USING sum(l_quantity) GROUP BY l_returnflag")

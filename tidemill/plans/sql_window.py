@@ -242,16 +242,3 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rows: int =
             break
         out.append(row)
     return SqlResult(df.columns, out, cut, time.monotonic() - began)
-
-
-def as_of_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, into: str) -> DataFrame:
-    """For each left row the ``value`` of the latest right row of the same ``by`` with
-    ``on`` not after it. A union and one window replace the range join."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    l = left.withColumn("__side__", F.lit(1)).withColumn("__v__", F.lit(None).cast(right.schema[value].dataType))
-    r = right.select(F.col(by), F.col(on), F.lit(0).alias("__side__"), F.col(value).alias("__v__"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(on, "__side__").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(into, F.last("__v__", ignorenulls=True).over(w)).filter("__side__ = 1").drop("__side__", "__v__")
