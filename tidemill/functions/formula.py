@@ -101,7 +101,8 @@ class _Compiler:
             return F.concat(self.need(left, TEXT), self.need(right, TEXT)), TEXT
         a, b = self.need(left, NUM), self.need(right, NUM)
         if op in (ast.Add, ast.Sub, ast.Mult):
-            return (a + b if op is ast.Add else a - b if op is ast.Sub else a * b), NUM
+            # What a long cannot hold is null, as in all that may fail on data.
+            return (F.try_add if op is ast.Add else F.try_subtract if op is ast.Sub else F.try_multiply)(a, b), NUM
         x, y = a.cast("double"), b.cast("double")
         if op is ast.Div:  # as IEEE: a zero divisor gives an infinity or NaN
             return _divide(x, y), NUM
@@ -118,7 +119,7 @@ class _Compiler:
         if isinstance(node.op, ast.Not):
             return ~self.need(value, BOOL), BOOL
         if isinstance(node.op, ast.USub):
-            return -self.need(value, NUM), NUM
+            return _negated(self.need(value, NUM)), NUM
         if isinstance(node.op, ast.UAdd):
             return self.need(value, NUM), NUM
         raise PreparationError("~ is not part of the formula language")
@@ -197,6 +198,11 @@ class _Compiler:
         return make(self.need(args[0], *kinds) if kinds else args[0][0]), result
 
 
+def _negated(x: Column) -> Column:
+    """Null for the one whole number whose opposite does not fit."""
+    return F.try_multiply(x, F.lit(-1))
+
+
 def _divide(x: Column, y: Column) -> Column:
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     at_zero = F.when(x > 0, inf).when(x < 0, -inf).when(x.isNotNull(), nan)
@@ -210,7 +216,7 @@ def _log(x: Column) -> Column:
 
 _TEXTS = ()
 _ONE = {
-    "abs": (F.abs, (NUM,), NUM),
+    "abs": (lambda c: F.when(c < 0, _negated(c)).otherwise(c), (NUM,), NUM),
     "sqrt": (lambda c: F.sqrt(c.cast("double")), (NUM,), NUM),
     "log": (_log, (NUM,), NUM),
     "exp": (lambda c: F.exp(c.cast("double")), (NUM,), NUM),

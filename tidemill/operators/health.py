@@ -1,10 +1,9 @@
 """Data-quality checks. A finding carries a row predicate, and its count and the
 rows shown come from that same predicate.
 
-One wide aggregate per batch of columns finds the facts. Checks that need values
-count those of all columns that call for it in one grouped pass each, and all
-outliers in one more aggregate: the number of scans does not grow with the columns.
-Beyond EXACT_CELLS cells distinct counts are approximate and findings say so.
+One wide aggregate per batch of columns finds the facts, one grouped pass counts the
+values of all columns, and all outliers take one more aggregate: the number of scans
+grows with neither columns nor values (identifiers that repeat are counted one by one).
 """
 
 from __future__ import annotations
@@ -13,20 +12,21 @@ import hashlib
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import FLOATING, number, quoted, strip, truthy
-from tidemill.operators.rows import ORDER, free_name
+from tidemill.functions.staging import staged
+from tidemill.operators.ranked import percentiles
+from tidemill.operators.rows import ORDER
 from tidemill.operators.steps import Step
 
 # Thresholds of the checks.
 MIN_ROWS, NEAR_CONSTANT, HIGH_SHARE, HIGH_UNIQUE = 20, 0.99, 0.5, 100
 IDENTIFIER, IQR_TIMES, MINORITY = 0.999, 1.5, 0.2
 BATCH, CASE_UNIQUE, FILTER_VALUES = 100, 50_000, 200
-EXACT_CELLS = 20_000_000
 CANONICAL_LIMIT = 40
 SEVERITIES = ("problem", "warning", "notice")
 
@@ -49,7 +49,6 @@ class Finding:
     share: float | None
     rows: RowFilter | None = None
     counts: dict[str, float] = field(default_factory=dict)
-    sampled: bool = False
 
     @property
     def finding_id(self) -> str:
@@ -61,9 +60,9 @@ def _nan_or_inf(c: Column) -> Column:
 
 
 def row_predicate(schema: T.StructType, rows: RowFilter) -> Column:
-    """The condition of every filter kind but ``duplicated_by``."""
-    if rows.kind == "duplicated_by":
-        raise PreparationError("duplicated_by needs the whole frame; use affected_rows")
+    """The condition of every filter kind but ``duplicated_by`` and ``case_variants``."""
+    if rows.kind in ("duplicated_by", "case_variants"):
+        raise PreparationError(f"{rows.kind} needs the whole frame; use affected_rows")
     name = rows.columns[0]
     c, kind = quoted(name), schema[name].dataType
     text = c.cast("string")
@@ -89,23 +88,42 @@ def row_predicate(schema: T.StructType, rows: RowFilter) -> Column:
     raise PreparationError(f"there is no row filter {rows.kind!r}")
 
 
+def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(k0, k1, ..., n)`` of the key values that several rows share; nulls and NaNs
+    are equal to themselves, and -0.0 to 0.0."""
+    return df.groupBy(*(quoted(c).alias(f"k{i}") for i, c in enumerate(keys))).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def _keys(df: DataFrame, rows: RowFilter) -> list[str]:
+    return list(rows.columns) or [c for c in df.columns if c != ORDER]
+
+
+def _several(df: DataFrame, column: str) -> DataFrame:
+    """``(normal, forms, rows)`` of the normal spellings that have several forms."""
+    spelled = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
+    return spelled.groupBy(F.lower(strip(F.col("spelling"))).alias("normal")).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows")).filter("forms > 1")
+
+
 def affected_rows(df: DataFrame, rows: RowFilter) -> DataFrame:
-    """The rows that a filter describes. Repeats are found by grouping with
-    map-side counts and a join back (one Spark may split), not by a window, so one
+    """The rows that a filter describes. Repeats and spellings are found by grouping
+    with map-side counts and a join back (one Spark may split), not by a window, so one
     key with a third of the rows does not land in one task."""
-    if rows.kind != "duplicated_by":
-        return df.filter(row_predicate(df.schema, rows))
-    keys = list(rows.columns) or [c for c in df.columns if c != ORDER]
-    mark = free_name(df, "__key__")
-    keyed = df.withColumn(mark, F.to_json(F.struct(*(quoted(c) for c in keys)), {"ignoreNullFields": "false"}))
-    repeated = keyed.groupBy(mark).agg(F.count(F.lit(1)).alias("__n__")).filter("__n__ > 1").select(mark)
-    return keyed.join(repeated, mark, "left_semi").drop(mark)
+    if rows.kind == "duplicated_by":
+        keys = _keys(df, rows)
+        repeated = _repeated(df, keys)
+        same = [quoted(c).eqNullSafe(repeated[f"k{i}"]) for i, c in enumerate(keys)]
+        return df.join(repeated, same, "left_semi")
+    if rows.kind == "case_variants":
+        several = _several(df, rows.columns[0])
+        return df.join(several, F.lower(strip(quoted(rows.columns[0]))) == several["normal"], "left_semi")
+    return df.filter(row_predicate(df.schema, rows))
 
 
 def count_affected(df: DataFrame, rows: RowFilter) -> int:
     if rows.kind == "duplicated_by":
-        keys = list(rows.columns) or [c for c in df.columns if c != ORDER]
-        return df.groupBy(*(quoted(c) for c in keys)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return _repeated(df, _keys(df, rows)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if rows.kind == "case_variants":
+        return _several(df, rows.columns[0]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return df.filter(row_predicate(df.schema, rows)).count()
 
 
@@ -115,30 +133,67 @@ def _plain(df: DataFrame) -> list[T.StructField]:
 
 def column_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
     """Rows, and for each plain column: nulls, filled, unique, and by type empty,
-    padded, odd (NaN or infinite), words (not numbers), q1, q3."""
-    fields, total, facts = _plain(df), df.count(), {}
-    exact = total * max(1, len(fields)) <= EXACT_CELLS
-    for at in range(0, len(fields), BATCH):
-        parts = []
+    padded, odd (NaN or infinite), words (not numbers), quartiles; of columns with few
+    values ``top`` (the most frequent and its count), of texts ``variants`` (normal
+    spellings with several forms, their number and rows).
+
+    One wide aggregate a batch of columns, and one grouped pass over the values of all
+    columns, whose counts give the rest. All figures are exact."""
+    fields, facts, total = _plain(df), {}, 0
+    for at in range(0, max(len(fields), 1), BATCH):
+        parts = [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(fields[at : at + BATCH]):
             c = quoted(f.name)
-            parts += [F.count(c).alias(f"filled_{i}"), (F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"unique_{i}")]
+            parts.append(F.count(c).alias(f"filled_{i}"))
             if isinstance(f.dataType, T.StringType):
                 for name, kind in (("empty", "is_empty_string"), ("padded", "has_surrounding_whitespace"), ("words", "not_parseable_as_number")):
                     parts.append(F.count(F.when(row_predicate(df.schema, RowFilter(kind, (f.name,))), 1)).alias(f"{name}_{i}"))
             if isinstance(f.dataType, FLOATING):
                 parts.append(F.count(F.when(_nan_or_inf(c), 1)).alias(f"odd_{i}"))
-            if isinstance(f.dataType, T.NumericType):
-                v = F.when(~_nan_or_inf(c), c) if isinstance(f.dataType, FLOATING) else c
-                q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), 1_000_000 if exact else 10_000)
-                parts.append(q.alias(f"quartiles_{i}"))
         row = df.agg(*parts).first().asDict()
+        total = row.pop("rows")
         for i, f in enumerate(fields[at : at + BATCH]):
             mine = {k.rpartition("_")[0]: v for k, v in row.items() if k.endswith(f"_{i}") and k.rpartition("_")[2] == str(i)}
-            facts[f.name] = mine | {"nulls": total - mine["filled"], "type": f.dataType, "exact": exact}
+            facts[f.name] = mine | {"nulls": total - mine["filled"], "unique": 0, "type": f.dataType}
+    if total and fields:
+        _value_facts(df, fields, facts)
     return total, facts
 
 
+def _as_text(f: T.StructField) -> Column:
+    """A text that tells the values of a column apart as grouping does."""
+    c = quoted(f.name)
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    if isinstance(f.dataType, FLOATING):
+        c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+    return c.cast("string")
+
+
+def _value_facts(df: DataFrame, fields: list[T.StructField], facts: dict[str, dict]) -> None:
+    cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), _as_text(f).alias("value")) for f in fields)))
+    counted = staged(df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max(F.struct("n", "value")).alias("top")).collect():
+        mine = facts[r["column"]]
+        mine["unique"] = r["unique"]
+        if 2 <= r["unique"] <= FILTER_VALUES and not isinstance(mine["type"], T.BinaryType):
+            mine["top"] = r["top"]["value"], r["top"]["n"]
+    numbers = [n for n, f in facts.items() if isinstance(f["type"], T.NumericType)]
+    if numbers:
+        value = F.col("value").cast("double")
+        values = counted.filter(F.col("column").isin(numbers)).select("column", value.alias("value"), "n").filter(~_nan_or_inf(F.col("value")))
+        for r in percentiles(values, [0.25, 0.75], nearest_rank=True).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect():
+            facts[r["column"]]["quartiles"] = r["low"], r["high"]
+    texts = [n for n, f in facts.items() if isinstance(f["type"], T.StringType) and 1 < f["unique"] <= CASE_UNIQUE]
+    if texts:
+        groups = counted.filter(F.col("column").isin(texts)).groupBy("column", F.lower(strip(F.col("value"))).alias("normal")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        # At most CASE_UNIQUE groups of a column; names are shown only where there are few.
+        for r in groups.groupBy("column").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).collect():
+            few = r["groups"] <= FILTER_VALUES
+            shown = groups.filter(F.col("column") == r["column"]).orderBy(F.desc("n"), "normal").limit(FILTER_VALUES).collect() if few else []
+            facts[r["column"]]["variants"] = tuple(x["normal"] for x in shown), r["groups"], r["rows"]
+
+
 def case_variants(df: DataFrame, column: str) -> DataFrame:
     """``(normal, spelling, n)`` of values that differ in case or outer spaces only."""
     spelled = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("spelling")).agg(F.count(F.lit(1)).alias("n")).withColumn("normal", F.lower(strip(F.col("spelling"))))
@@ -154,29 +209,6 @@ def canonical_spellings(df: DataFrame, column: str) -> DataFrame:
     return v.join(best, "normal").filter("spelling != canonical").select("spelling", "canonical")
 
 
-def _counted(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(column, value, n)`` of the values, as texts, of all ``names`` in one pass."""
-    cells = F.inline(F.array(*(F.struct(F.lit(n).alias("column"), quoted(n).cast("string").alias("value")) for n in names)))
-    return df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _value_facts(df: DataFrame, facts: dict[str, dict]) -> None:
-    """Adds to the facts: ``top`` (most frequent value and its count) and ``variants``
-    (normal spellings with several forms, FILTER_VALUES at most, their number and rows)."""
-    few = [n for n, f in facts.items() if 2 <= f["unique"] <= FILTER_VALUES and not isinstance(f["type"], T.BinaryType)]
-    texts = [n for n, f in facts.items() if isinstance(f["type"], T.StringType) and 1 < f["unique"] <= CASE_UNIQUE]
-    if few:
-        for r in _counted(df, few).groupBy("column").agg(F.max(F.struct("n", "value")).alias("top")).collect():
-            facts[r["column"]]["top"] = r["top"]["value"], r["top"]["n"]
-    if texts:
-        groups = _counted(df, texts).groupBy("column", F.lower(strip(F.col("value"))).alias("normal")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        # At most CASE_UNIQUE groups of a column.
-        by = Window.partitionBy("column")
-        shown = groups.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "normal"))).withColumn("groups", F.count(F.lit(1)).over(by)).withColumn("rows", F.sum("n").over(by)).filter(F.col("place") <= FILTER_VALUES)
-        for r in shown.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("place", "normal"))).alias("shown"), F.max("groups").alias("groups"), F.max("rows").alias("rows")).collect():
-            facts[r["column"]]["variants"] = tuple(x["normal"] for x in r["shown"]), r["groups"], r["rows"]
-
-
 def _outlier_facts(df: DataFrame, total: int, facts: dict[str, dict]) -> None:
     """Adds ``reach`` and ``outside``, the filter and its rows, for all numeric columns."""
     asked = []
@@ -202,7 +234,6 @@ def analyse(df: DataFrame) -> list[Finding]:
     total, facts = column_facts(df)
     if not total:
         return []
-    _value_facts(df, facts)
     _outlier_facts(df, total, facts)
     found: list[Finding] = []
     repeats = count_affected(df, RowFilter("duplicated_by"))
@@ -216,8 +247,8 @@ def analyse(df: DataFrame) -> list[Finding]:
 def _column_findings(df: DataFrame, name: str, f: dict, total: int, repeats: bool) -> list[Finding]:
     out: list[Finding] = []
 
-    def say(code: str, severity: str, n: int | None, rows: RowFilter | None = None, sampled: bool = False, **counts: float) -> None:
-        out.append(Finding(code, severity, (name,), n, None if n is None else n / total, rows, counts, sampled))
+    def say(code: str, severity: str, n: int | None, rows: RowFilter | None = None, **counts: float) -> None:
+        out.append(Finding(code, severity, (name,), n, None if n is None else n / total, rows, counts))
 
     def rows(kind: str, **more) -> RowFilter:
         return RowFilter(kind, (name,), **more)
@@ -238,25 +269,25 @@ def _column_findings(df: DataFrame, name: str, f: dict, total: int, repeats: boo
         say("mixed_semantic_types", "warning", f["words"], rows("not_parseable_as_number"), filled=filled)
     if "variants" in f:
         shown, groups, n = f["variants"]
-        say("case_variant_categories", "warning", n, rows("normalised_in_values", values=shown), groups=groups)
+        # With many groups the filter is the grouping itself, so that it shows what is counted.
+        say("case_variant_categories", "warning", n, rows("normalised_in_values", values=shown) if shown else rows("case_variants"), groups=groups)
     if total < MIN_ROWS or not filled:
         return out
-    sampled = not f["exact"]
     share = unique / filled
     if unique == 1:
-        say("constant_column", "notice", None, sampled=sampled)
+        say("constant_column", "notice", None)
         return out
     if not nulls and share >= IDENTIFIER:
-        say("potential_identifier", "notice", None, sampled=sampled, unique=unique)
+        say("potential_identifier", "notice", None, unique=unique)
         if repeats and unique < filled:
             say("duplicate_keys", "warning", count_affected(df, rows("duplicated_by")), rows("duplicated_by"))
     elif text and share >= HIGH_SHARE and unique >= HIGH_UNIQUE:
-        say("high_cardinality", "notice", None, sampled=sampled, unique=unique)
+        say("high_cardinality", "notice", None, unique=unique)
     if "top" in f and f["top"][1] / total >= NEAR_CONSTANT:
         value, n = f["top"]
         say("near_constant_column", "notice", total - n, rows("not_equals", values=(_typed(value, f["type"]),)), dominant=n)
     if f.get("outside"):
-        say("outlier_values", "notice", f["outside"], f["reach"], sampled, low=f["reach"].low, high=f["reach"].high)
+        say("outlier_values", "notice", f["outside"], f["reach"], low=f["reach"].low, high=f["reach"].high)
     return out
 
 

@@ -16,7 +16,7 @@ from tidemill.functions.expressions import quoted
 from tidemill.operators.rows import ORDER, with_order
 from tidemill.operators.steps import Effect, Step, operation
 
-MAX_STEPS, MAX_PARAM_BYTES, MAX_UNDO = 200, 64 * 1024, 50
+MAX_STEPS, MAX_PARAM_CHARS, MAX_UNDO = 200, 64 * 1024, 50
 
 
 @dataclass(frozen=True)
@@ -62,8 +62,9 @@ def check_limits(steps: tuple[Step, ...]) -> None:
     ids = [s.step_id for s in steps if s.step_id]
     if len(ids) != len(set(ids)):
         raise PreparationError("step ids repeat")
-    if len(json.dumps([s.params for s in steps], default=str).encode()) > MAX_PARAM_BYTES:
-        raise PreparationError("the parameters are too large")
+    for s in steps:
+        if len(json.dumps(s.params, default=str, ensure_ascii=False)) > MAX_PARAM_CHARS:
+            raise PreparationError(f"the parameters of {s.kind!r} are too large")
 
 
 def _visible(schema: T.StructType) -> T.StructType:
