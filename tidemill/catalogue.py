@@ -319,19 +319,19 @@ _DIRTY = """WITH e AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL WH
   CASE WHEN event_id % 30 = 0 THEN 'n/a' ELSE user_id::VARCHAR END AS "user", CASE WHEN event_id % 500 = 0 THEN 2 ELSE 1 END::INTEGER AS mostly FROM events) """
 
 
-_DIRTY_EVENTS = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' + to_microseconds(event_id // 2 % 3000) END AS at, CASE WHEN event_id % 2 = 0 THEN -0.0::DOUBLE ELSE 0.0::DOUBLE END AS zero, 'N' || (event_id % 4) AS tag FROM events)"
+_DIRTY_EVENTS = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' + to_microseconds(event_id // 2 % 3000) END AS moment, CASE WHEN event_id % 2 = 0 THEN -0.0::DOUBLE ELSE 0.0::DOUBLE END AS zero, 'N' || (event_id % 4) AS tag FROM events)"
 
 
 def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     at = F.lit(datetime.datetime(2020, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.floor(i / 2) % 3000) / 1_000_000).cast("decimal(18,6)"))
-    return read(spark, sf_dir, "events").select("event_id", F.when(i % 5 != 0, at).alias("at"), F.when(i % 2 == 0, -0.0).otherwise(0.0).alias("zero"), F.concat(F.lit("N"), (i % 4).cast("string")).alias("tag"))
+    return read(spark, sf_dir, "events").select("event_id", F.when(i % 5 != 0, at).alias("moment"), F.when(i % 2 == 0, -0.0).otherwise(0.0).alias("zero"), F.concat(F.lit("N"), (i % 4).cast("string")).alias("tag"))
 
 
-@register("health_rows_duplicated_dirt", f"WITH e AS {_DIRTY_EVENTS} SELECT event_id FROM e QUALIFY count(*) OVER (PARTITION BY at, zero + 0.0, tag) > 1")
+@register("health_rows_duplicated_dirt", f"WITH e AS {_DIRTY_EVENTS} SELECT event_id FROM e QUALIFY count(*) OVER (PARTITION BY moment, zero + 0.0, tag) > 1")
 def _duplicated_dirt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times a microsecond apart, nulls, and both zeros in the key."""
-    return health.affected_rows(_dirty_events(spark, sf_dir), RowFilter("duplicated_by", ("at", "zero", "tag"))).select("event_id")
+    return health.affected_rows(_dirty_events(spark, sf_dir), RowFilter("duplicated_by", ("moment", "zero", "tag"))).select("event_id")
 
 
 _SPELLED = "(SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN upper('name' || (c_custkey // 2)) WHEN 1 THEN 'name' || (c_custkey // 2) ELSE ' Name' || (c_custkey // 2) END AS spelled FROM customer)"
