@@ -51,7 +51,7 @@ def test_whole_numbers_that_do_not_fit_are_null(spark, formula, want):
 
 
 def test_limits_are_per_step():
-    many = tuple(Step("rename_columns", {"names": {f"a{i}": "b" * 440}}) for i in range(190))
+    many = tuple(Step("rename_column", {"column": f"a{i}", "to": "b" * 440}) for i in range(190))
     check_limits(many)
     with pytest.raises(Exception, match="too large"):
-        check_limits((Step("rename_columns", {"names": {"a": "b" * 70_000}}),))
+        check_limits((Step("rename_column", {"column": "a", "to": "b" * 70_000}),))

@@ -8,12 +8,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import quoted
+from tidemill.sources import arrow_scan
 
 PROBE, TEXT_PROBE, SEPARATORS, MAX_DEPTH = 8 * 1024, 1 << 20, ",;\t|", 100
 _BY_NAME = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "xlsx", ".feather": "arrow", ".arrow": "arrow", ".ipc": "arrow", ".orc": "orc"}
+#: Stores whose files pyarrow opens by itself.
+ARROW_STORES = ("/", "file:", "s3://", "gs://", "hdfs://")
 _BY_MAGIC = ((b"PAR1", "parquet"), (b"ARROW1", "arrow"), (b"PK\x03\x04", "xlsx"), (b"ORC", "orc"))
 
 
@@ -135,21 +139,32 @@ def _recoded(df: DataFrame, encoding: str, rename: bool) -> DataFrame:
 
 
 def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files: each file is read in the task that holds its row of
-    ``binaryFile``, batch by batch."""
+    """Arrow IPC files, one partition a record batch (``arrow_scan``). From a store
+    that pyarrow does not know each file is read in the task that holds its row."""
+    files = spark.read.format("binaryFile").load(path)
+    paths = sorted(r["path"] for r in files.select("path").collect())
+    if not paths:
+        raise PreparationError(f"there is no Arrow file in {path}")
+    if all(p.startswith(ARROW_STORES) for p in paths):
+        return arrow_scan.scan(spark, paths)
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").load(path)
-    with pa.BufferReader(bytes(files.select("content").first()[0])) as first:
-        empty = pa.ipc.open_file(first).schema.empty_table()
-    shape = spark.createDataFrame(empty).schema
+    def footer_schema(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                source = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array([arrow_scan.plain_schema(source.schema).serialize().to_pybytes()])], names=["s"])
+
+    first = files.orderBy("path").limit(1).select("content").mapInArrow(footer_schema, "s binary").first()["s"]
+    plain = pa.ipc.read_schema(pa.py_buffer(bytes(first)))
+    shape = from_arrow_schema(plain, prefer_timestamp_ntz=True)
 
     def read(batches):
         for batch in batches:
             for content in batch.column(0):
                 source = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
                 for i in range(source.num_record_batches):
-                    yield source.get_batch(i)
+                    yield from arrow_scan.conformed(source.get_batch(i), plain)
 
     return files.select("content").mapInArrow(read, shape)
 
