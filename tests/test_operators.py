@@ -15,7 +15,8 @@ from tidemill.operators.steps import OPERATIONS, Step
 from tidemill.plans import sql_window
 from tidemill.plans.pipeline import Pipeline, impact, lineage, plan, replay, required_columns
 from tidemill.sources.readers import read_table
-from tidemill.sources.writers import export, fingerprint, write_package
+from tidemill.sources.package import write_package
+from tidemill.sources.writers import export, fingerprint
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,4 @@
-"""Writing tables: exports, packages and their content fingerprint."""
+"""Writing tables: exports and their content fingerprint (``package`` has packages)."""
 
 from __future__ import annotations
 
@@ -12,13 +12,12 @@ from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import quoted
-from tidemill.operators.column_stats import column_profile
 from tidemill.operators.rows import ORDER, with_order
 
 # Fixed value: text that a spreadsheet would run as a formula.
 FORMULA = r"^([=@\t\r]|[+-].*[^0-9\s.,()/+\-])"
 STREAMED, GATHERED = ("csv", "tsv", "parquet", "jsonl", "orc"), ("json", "xlsx", "feather", "arrow")
-GATHER_LIMIT, PART_ROWS = 1_000_000, 250_000
+GATHER_LIMIT = 1_000_000
 
 
 def neutralised(df: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def _gather(df: DataFrame, path: str, kind: str) -> None:
         feather.write_feather(df.toArrow(), path, compression="zstd")
 
 
-def _canonical(c: Column, kind: T.DataType) -> Column:
+def canonical(c: Column, kind: T.DataType) -> Column:
     """A value as text that is equal for equal content: NaN is one value, -0 is 0."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         d = c.cast("double")
@@ -90,7 +89,7 @@ def fingerprint(df: DataFrame, block_rows: int = 100_000) -> str:
     ``block_rows`` rows)."""
     full = with_order(df)
     fields = [f for f in full.schema if f.name != ORDER]
-    cells = [F.coalesce(F.concat(F.lit("="), _canonical(quoted(f.name), f.dataType)), F.lit("-")) for f in fields]
+    cells = [F.coalesce(F.concat(F.lit("="), canonical(quoted(f.name), f.dataType)), F.lit("-")) for f in fields]
     hashed = full.select(quoted(ORDER).alias("o"), F.sha2(F.to_json(F.array(*cells)), 256).alias("h"))
     part = F.shiftright("o", 33)
     place = F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1
@@ -98,21 +97,3 @@ def fingerprint(df: DataFrame, block_rows: int = 100_000) -> str:
     digests = blocks.select("p", "b", "n", F.sha2(F.array_join(F.col("rows.h"), ""), 256).alias("d")).orderBy("p", "b").collect()
     head = [[unicodedata.normalize("NFC", f.name), f.dataType.simpleString()] for f in fields]
     return hashlib.sha256(json.dumps([sum(r["n"] for r in digests), head, [r["d"] for r in digests]], ensure_ascii=False).encode()).hexdigest()
-
-
-def write_package(df: DataFrame, folder: str, recipe: list[dict] | None = None) -> dict:
-    """A package: Parquet parts of PART_ROWS rows in ``data``, and a manifest with
-    schema, profile, recipe and fingerprint beside it."""
-    body = df.drop(ORDER)
-    body.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", PART_ROWS).parquet(f"{folder}/data")
-    stored = df.sparkSession.read.parquet(f"{folder}/data")
-    manifest = {
-        "format": 1,
-        "rows": stored.count(),
-        "schema": json.loads(body.schema.json()),
-        "profile": [r.asDict() for r in column_profile(body).collect()],
-        "recipe": recipe or [],
-        "fingerprint": fingerprint(stored),
-    }
-    df.sparkSession.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
-    return manifest
