@@ -193,13 +193,16 @@ def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[Data
     groups = keep.saved(groups.filter("n > 1 and least != most").select("g", "n"), "groups")
     if groups.isEmpty():
         return None
-    seen = members.join(groups, "g").select("g", "n", F.explode("delta").alias("e"))
-    often = keep.saved(seen.groupBy("g", "e").agg(F.count("*").alias("often"), F.max("n").alias("n")), "often")
+    members = members.join(groups, "g", "left_semi")
+    # What one member alone has is no majority's (n > 1), nor can it be shared.
+    often = members.select("g", F.explode("delta").alias("e")).groupBy("g", "e").agg(F.count("*").alias("often")).filter("often > 1")
+    often = keep.saved(often.join(groups, "g"), "often")
     agreed = keep.saved(often.groupBy("g").agg(F.collect_list(F.when(F.expr("2 * often > n"), F.col("e"))).alias("agreed")), "agreed")
     # From here on delta is the difference to the majority's set, and u is scaled to whole numbers.
     up, down = 100 + rules.percent, 100 - rules.percent
-    delta = F.concat(F.array_except("delta", "agreed"), F.array_except("agreed", "delta"))
-    scored = members.join(agreed, "g").withColumn("delta", delta).withColumn("u", F.lit(up) * F.size("delta") - F.lit(down) * F.col("size"))
+    common = F.coalesce("agreed", F.array().cast("array<long>"))
+    delta = F.concat(F.array_except("delta", common), F.array_except(common, "delta"))
+    scored = members.join(agreed, "g", "left").withColumn("delta", delta).withColumn("u", F.lit(up) * F.size("delta") - F.lit(down) * F.col("size"))
     scored = keep.saved(scored.select("g", "node", "label", "size", "u", "delta"), "scored")
     best = keep.saved(scored.groupBy("g").agg(F.min(F.struct("u", "node", "label")).alias("best")), "best")
     # Differences that a partner must share: by the least u, and since only ``spare`` may be left unshared.
