@@ -494,16 +494,25 @@ def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- assembly and decisions
 
 
-def _role_sql(table: str, columns: dict[str, str]) -> str:
-    """Roles from counts; the kind of a column is n (whole numbers), d (fractions), s or t."""
-    rest = {"n": "'numeric'", "d": "'numeric'", "t": "'datetime'", "s": "CASE WHEN u <= 50 OR u / f <= 0.2 THEN 'categorical' ELSE 'text' END"}
-    one = "SELECT '{c}' AS \"column\", u AS \"unique\", m AS missing, CASE WHEN u <= 1 THEN 'constant' {key} ELSE {rest} END AS role FROM (SELECT count(DISTINCT {c}) AS u, count({c}) AS f, count(*) - count({c}) AS m FROM {t})"
-    return " UNION ALL ".join(one.format(c=c, t=table, key="WHEN u / f >= 0.98 THEN 'identifier'" if k in "ns" else "", rest=rest[k]) for c, k in columns.items())
+def _role_sql(rows: str, columns: dict[str, tuple[str, bool]]) -> str:
+    """Roles from counts. The kind of a column is n (number), t (time), b or s; with it,
+    whether its name tells of an identifier."""
+    rest = {"n": "CASE WHEN u > 20 THEN 'numeric' ELSE 'categorical' END", "t": "'datetime'", "b": "'boolean'", "s": "CASE WHEN u <= greatest(50, r // 20) THEN 'categorical' ELSE 'text' END"}
+    one = "SELECT '{c}' AS \"column\", u AS \"unique\", r - f AS missing, CASE WHEN u <= 1 THEN 'constant' {key} ELSE {rest} END AS role FROM (SELECT count(DISTINCT {c}) AS u, count({c}) AS f, count(*) AS r FROM {t})"
+    key = "WHEN u / greatest(f, 1) >= 0.95 AND r > 20 {hint} THEN 'identifier'"
+    return " UNION ALL ".join(one.format(c=c, t=rows, key=key.format(hint="OR u / greatest(f, 1) > 0.5" if hint else "") if k in "ns" else "", rest=rest[k]) for c, (k, hint) in columns.items())
 
 
-@register("assembly_column_roles", _role_sql("orders", {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"}))
+# Numbers of few values, a key that only its name tells, missing values, a constant.
+_ROLE_ROWS = """(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, o_orderkey % 5 AS grade, o_orderkey * 6 // 10 AS batch_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS paid, 'x' AS fixed,
+  'note ' || (o_orderkey % 1500) AS note, NULL::VARCHAR AS nothing FROM orders)"""
+
+
+@register("assembly_column_roles", _role_sql(_ROLE_ROWS, {"o_orderkey": ("n", False), "o_custkey": ("n", False), "o_orderstatus": ("s", False), "o_totalprice": ("n", False), "o_orderdate": ("t", False), "o_orderpriority": ("s", False), "grade": ("n", False), "batch_id": ("n", True), "paid": ("b", False), "fixed": ("s", False), "note": ("s", False), "nothing": ("s", False)}))
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.column_roles(read(spark, sf_dir, "orders"))
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", (k % 5).alias("grade"), F.floor(k * 6 / 10).alias("batch_id"), F.when(k % 3 != 0, k % 2 == 0).alias("paid"), F.lit("x").alias("fixed"), F.concat(F.lit("note "), (k % 1500).cast("string")).alias("note"), F.lit(None).cast("string").alias("nothing"))
+    return assembly.column_roles(rows).select("column", "unique", "missing", "role")
 
 
 _ALTERNATIVES = "(SELECT s_suppkey, s_acctbal, avg(l_extendedprice) AS price, sum(l_quantity) AS volume FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY ALL)"

@@ -160,7 +160,7 @@ def column_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
     return total, facts
 
 
-def _as_text(f: T.StructField) -> Column:
+def as_text(f: T.StructField) -> Column:
     """A text that tells the values of a column apart as grouping does."""
     c = quoted(f.name)
     if isinstance(f.dataType, T.BinaryType):
@@ -171,7 +171,7 @@ def _as_text(f: T.StructField) -> Column:
 
 
 def _value_facts(df: DataFrame, fields: list[T.StructField], facts: dict[str, dict]) -> None:
-    cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), _as_text(f).alias("value")) for f in fields)))
+    cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in fields)))
     counted = staged(df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max(F.struct("n", "value")).alias("top")).collect():
         mine = facts[r["column"]]
