@@ -195,3 +195,21 @@ def test_run_length_index_finds_what_search_finds():
         want = {(i, s) for i, t in enumerate(texts) for s in range(len(t) - least + 1)
                 if any(t[s : s + least] in u for j, u in enumerate(texts) if group[j] == group[i] and rank[j] < rank[i])}
         assert got == want
+
+
+def test_recall_of_the_curves_alone(spark):
+    """Without the exact check, on the given vectors (2000 of 64 dimensions)."""
+    from tidemill.llm.common import table
+    from tidemill.llm.neighbours import CurveRules, nearest
+
+    given = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = given.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    found = {(r["query_id"], r["vec_id"]) for r in nearest(given, rules=CurveRules(exact=False)).collect()}
+    true = set()
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = [k for k in np.lexsort((ids, d)) if k != i][:10]
+        true |= {(int(ids[i]), int(ids[k])) for k in order}
+    assert len(true & found) >= 0.9 * len(true), len(true & found) / len(true)
+    assert {(r["query_id"], r["vec_id"]) for r in nearest(given).collect()} == true

@@ -1,16 +1,18 @@
 """Nearest neighbours by shifted space-filling curves, then an exact check.
 
-1. Vectors are projected to a few dimensions by several seeded orthonormal
-   projections, shifted at random, and each gets the Hilbert key of its cell: one
-   ordering a curve. Spark range-partitions rows by (curve, key).
+1. Vectors are turned by a seeded rotation, whose axes the curves take in turn, a few
+   each, so that together they see every dimension; cells are shifted at random, and
+   each vector gets the Hilbert key of its cell: one ordering a curve. Spark
+   range-partitions rows by (curve, key).
 2. Every row has a position in its ordering. Blocks of consecutive positions meet
    the queries whose window reaches into them; windows of all curves merge, and
    candidates are reranked by their true distance. Equal vectors are spread by
    position, so a vector that a third of the rows share is no hot spot.
 3. The k-th distance found bounds an exact check of the stated queries against all
-   rows, in blocks: a block is passed over if its ball lies beyond the bound of
-   all queries. On data without structure in its many dimensions windows alone find
-   too little, and this check brings the recall to 1.
+   rows: every task holds a bounded group of queries and passes over stretches of its
+   rows whose ball lies beyond the bound of all of them; no row is shuffled. On data
+   without structure in its many dimensions windows find what share of the rows they
+   cover, and this check brings the recall to 1. ``exact=False`` leaves it out.
 """
 
 from __future__ import annotations
@@ -29,15 +31,16 @@ from tidemill.llm.common import map_batches, saved
 @dataclass(frozen=True)
 class CurveRules:
     """Curves, projected dimensions and bits of each (63 bits at most together),
-    window half-width, rows in a block (at least the half-width), and the bounded
-    sample (smallest hashes of vec_id) that sets the keys' scale."""
+    window half-width, rows in a block (at least the half-width), queries that a task
+    checks at once, and the bounded sample (smallest hashes of vec_id) that sets the
+    keys' scale."""
 
-    curves: int = 4
+    curves: int = 12
     dims: int = 6
     bits: int = 10
     window: int = 256
     block: int = 2048
-    query_block: int = 512
+    queries: int = 4096
     sample: int = 4096
     seed: int = 17
     exact: bool = True
@@ -117,7 +120,8 @@ def _orderings(good: DataFrame, rules: CurveRules, every: int) -> DataFrame:
     n = points.shape[1] if points.ndim == 2 else 1
     dims = min(rules.dims, n)
     rng = np.random.default_rng(rules.seed)
-    frames, shifts = [np.linalg.qr(rng.normal(size=(n, dims)))[0] for _ in range(rules.curves)], rng.random((rules.curves, dims))
+    turned = np.concatenate([np.linalg.qr(rng.normal(size=(n, n)))[0] for _ in range(-(-rules.curves * dims // n))], axis=1)
+    frames, shifts = [turned[:, c * dims : (c + 1) * dims] for c in range(rules.curves)], rng.random((rules.curves, dims))
     centre = points.mean(axis=0) if len(points) else np.zeros(n)
     reach = max((float(np.abs((points - centre) @ f).max()) for f in frames), default=1.0) if len(points) else 1.0
     reach = reach or 1.0
@@ -166,39 +170,45 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _checked(placed: DataFrame, near: DataFrame, rules: CurveRules, k: int) -> DataFrame:
-    """All rows within each query's bound, by blocks of the first ordering."""
-    first = placed.filter("curve = 0")
-
-    def ball(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _matrix(pdf["v"])
-        centre = rows.mean(axis=0)
-        return pd.DataFrame({"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()], "centre": [centre.tobytes()], "radius": [float(np.sqrt(norms_of(rows - centre).max()))]})
-
-    blocks = first.groupBy(F.floor(F.col("position") / rules.block).alias("block")).applyInPandas(ball, "ids binary, rows binary, centre binary, radius double")
+def _checked(placed: DataFrame, near: DataFrame, rules: CurveRules, k: int) -> list[DataFrame]:
+    """All rows within each query's bound, one frame a group of queries. Groups are
+    ranges of the first ordering, so their bounds lie together."""
+    rows = placed.filter("curve = 0").select("vec_id", "v")
     bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    asked = first.filter("is_query").join(bound, "vec_id", "left").select("vec_id", "v", "position", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pdf.iloc[a : a + rules.query_block] for a in range(0, len(pdf), rules.query_block)]
-        return pd.DataFrame({"q_ids": [x["vec_id"].to_numpy(np.int64).tobytes() for x in out], "q_rows": [_matrix(x["v"]).tobytes() for x in out], "bounds": [x["bound"].to_numpy(np.float64).tobytes() for x in out]})
-
-    # Queries of 16 neighbouring blocks are bundled: a bounded group.
-    bundles = asked.groupBy(F.floor(F.col("position") / (16 * rules.block)).alias("g")).applyInPandas(bundle, "q_ids binary, q_rows binary, bounds binary")
-
+    asking = saved(placed.filter("curve = 0 and is_query").join(bound, "vec_id", "left").select("position", "vec_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "asking")
+    out, low = [], -1
+    while True:
+        group = asking.filter(F.col("position") > low).orderBy("position").limit(rules.queries).toArrow()
+        if not group.num_rows:
+            return out
+        low = group.column("position")[-1].as_py()
+        ids, bounds = group.column("vec_id").to_numpy(), group.column("bound").to_numpy()
+        queries = np.stack([np.frombuffer(v, np.float64) for v in group.column("v").to_pylist()])
+        out.append(map_batches(rows, _scanner(ids, queries, bounds, k), _FOUND))
+
+
+def _scanner(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
     def scan(batches):
         for batch in batches:
-            for q_ids, q_rows, bounds, ids, rows, centre, radius in zip(*(c.to_pylist() for c in batch.columns)):
-                q_ids, bounds, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(bounds, np.float64), np.frombuffer(ids, np.int64)
-                q_rows, rows, centre = np.frombuffer(q_rows, np.float64).reshape(len(q_ids), -1), np.frombuffer(rows, np.float64).reshape(len(ids), -1), np.frombuffer(centre, np.float64)
-                gap = np.sqrt(norms_of(q_rows - centre)) - radius
-                reach = gap <= bounds * (1 + 1e-9) + 1e-9
-                got = _best(q_ids[reach], q_rows[reach], ids, rows, k, bound=bounds[reach])
-                yield pa.RecordBatch.from_pandas(got, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), preserve_index=False)
-
-    # The stated queries against all rows, block by block (not row by row).
-    pairs = blocks.crossJoin(bundles).select("q_ids", "q_rows", "bounds", "ids", "rows", "centre", "radius")
-    return map_batches(pairs, scan, _FOUND)
+            ids, vectors = batch.column(0).to_numpy(), [np.frombuffer(v, np.float64) for v in batch.column(1).to_pylist()]
+            for a in range(0, len(ids), 512):
+                some, rows = ids[a : a + 512], np.stack(vectors[a : a + 512])
+                centre = rows.mean(axis=0)
+                gap = np.sqrt(norms_of(queries - centre)) - np.sqrt(norms_of(rows - centre).max())
+                reach = np.flatnonzero(gap <= bounds * (1 + 1e-9) + 1e-9)
+                # A product tells roughly which rows may lie within a bound; those are measured.
+                size = norms_of(queries[reach])[:, None] + 1
+                rough = norms_of(rows)[None] - 2 * queries[reach] @ rows.T + size - 1
+                i, j = np.nonzero((rough <= (bounds[reach, None] ** 2) * (1 + 1e-9) + 1e-9 * (size + norms_of(rows)[None])) & (some[None] != q_ids[reach, None]))
+                gaps = rows[j] - queries[reach[i]]
+                score = np.sqrt((gaps * gaps).sum(axis=1))
+                order = np.lexsort((some[j], score, i))
+                i, j, score = i[order], j[order], score[order]
+                begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+                kept = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)])) < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[reach[i[kept]]]), pa.array(some[j[kept]]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
+
+    return scan
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, rules: CurveRules | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -215,5 +225,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, rules: CurveRules
     found = saved(_windows(placed, rules, k), "windows")
     best = _top(found, k)
     if rules.exact:
-        best = _top(found.union(_checked(placed, saved(best, "near"), rules, k)), k)
+        for more in _checked(placed, saved(best, "near"), rules, k):
+            found = found.union(more)
+        best = _top(found, k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
