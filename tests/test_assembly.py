@@ -41,7 +41,7 @@ def test_targets_and_leaks(spark):
 
 def test_purposes(spark, sales):
     assert assembly.purposes(sales) == ["analytics", "classification", "forecasting"]
-    assert assembly.purposes(sales.limit(50)) == ["analytics", "forecasting"]
+    assert assembly.purposes(sales.limit(50)) == []  # too few rows, and no number of many values
     assert assembly.purposes(spark.range(300).select((F.col("id") % 100).alias("a"), (F.col("id") % 90).alias("b"))) == ["regression", "clustering"]
 
 
