@@ -13,14 +13,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.staging import scratch_path
 from tidemill.operators import assembly, column_stats, decision, health, joins, robust, skyline, table_view
 from tidemill.operators.as_of import as_of_join
 from tidemill.operators.health import RowFilter
 from tidemill.operators.joins import JoinSpec
 from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
-from tidemill.plans import sql_window
-from tidemill.plans.pipeline import replay
+from tidemill.plans import repair_flow, sql_window
+from tidemill.plans.pipeline import Pipeline, replay
+from tidemill.plans.workspace import Workspace
+from tidemill.sources import versions
+from tidemill.sources.package import read_package, write_package
 from tidemill.sources.writers import neutralised
 from tidemill.streaming import events as stream
 
@@ -655,3 +659,65 @@ def _influence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scales = {"s_acctbal": (0, 10000, "max", "linear"), "price": (1000, 100000, "min", "log")}
     return decision.fixed_scale_topsis(_alternatives(spark, sf_dir), "s_suppkey", scales, {"s_acctbal": 0.7, "price": 0.3}).withColumn("closeness", F.round("closeness", 8))
+
+
+# ---------------------------------------------------------------- repairs, joins and packages as a whole
+
+_PRIORITIES = "(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN lower(o_orderpriority) WHEN 2 THEN ' ' || o_orderpriority WHEN 3 THEN NULL ELSE o_orderpriority END AS p FROM orders)"
+
+
+@register(
+    "repair_preview",
+    f"""WITH s AS (SELECT p, lower(trim(p)) AS g, count(*) AS n FROM {_PRIORITIES} WHERE p IS NOT NULL GROUP BY p), b AS (SELECT *, first(p) OVER (PARTITION BY g ORDER BY n DESC, p) AS best FROM s),
+  c AS (SELECT p AS before, best AS after, n AS rows FROM b WHERE p <> best) SELECT before, after, rows, (SELECT sum(rows) FROM c)::BIGINT AS changed_rows FROM c ORDER BY rows DESC, before, after LIMIT 8""",
+)
+def _repair_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent changes of a repair, by a diff of rows before and after."""
+    k, p = F.col("o_orderkey") % 5, F.col("o_orderpriority")
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, F.upper(p)).when(k == 1, F.lower(p)).when(k == 2, F.concat(F.lit(" "), p)).when(k == 4, p).alias("p"))
+    found = health.Finding("case_variant_categories", "warning", ("p",), None, None)
+    seen = repair_flow.preview(df, Pipeline(), found, "most frequent spelling")
+    return spark.createDataFrame([(*s, seen.changed_rows) for s in seen.samples], "before string, after string, rows long, changed_rows long")
+
+
+@register("join_as_dataset", "SELECT o_orderkey, o_custkey, o_totalprice * 2 AS doubled, c_mktsegment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0")
+def _join_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join that was written as a dataset of its own, after its parents' pipelines."""
+    space = Workspace(spark, scratch_path(spark, "workspace"))
+    space.add("orders", read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    space.add("customer", read(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment", "c_nationkey"))
+    space.set_steps("orders", Step("add_column", {"name": "doubled", "expression": "o_totalprice * 2"}), Step("drop_columns", {"columns": ["o_totalprice"]}))
+    space.materialise("orders", "customer", JoinSpec((("o_custkey", "c_custkey"),)), "orders of customers")
+    return space.frame("orders of customers")
+
+
+@register("join_column_origins", "SELECT * FROM (VALUES ('o_orderkey', 'orders.o_orderkey'), ('o_custkey', 'orders.o_custkey'), ('doubled', 'orders.o_totalprice'), ('c_nationkey', 'customer.c_nationkey'), ('n_name', 'nation.n_name'), ('mixed', 'customer.c_nationkey, orders.o_totalprice')) t(\"column\", origins)")
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the columns of a join of a join come from, by its frozen history."""
+    space = Workspace(spark, scratch_path(spark, "workspace"))
+    space.add("orders", read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    space.add("customer", read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+    space.add("nation", read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    space.set_steps("orders", Step("add_column", {"name": "doubled", "expression": "o_totalprice * 2"}), Step("drop_columns", {"columns": ["o_totalprice"]}))
+    space.materialise("orders", "customer", JoinSpec((("o_custkey", "c_custkey"),)), "one")
+    space.set_steps("one", Step("add_column", {"name": "mixed", "expression": "doubled + c_nationkey"}))
+    space.materialise("one", "nation", JoinSpec((("c_nationkey", "n_nationkey"),)), "two")
+    rows = [(c, ", ".join(sorted(f"{o.dataset}.{o.column}" for o in origins))) for c, origins in space.origins("two").items()]
+    return spark.createDataFrame(rows, "column string, origins string")
+
+
+@register("source_normalised", "SELECT * FROM orders")
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source written as the current version of a table, and read by its commit."""
+    table = scratch_path(spark, "normalised")
+    versions.normalise(spark, f"{sf_dir}/orders.parquet", table, "parquet")
+    return versions.read_current(spark, table)
+
+
+@register("package_rows", "SELECT o_orderkey, o_totalprice, upper(o_orderpriority) AS o_orderpriority FROM orders WHERE o_totalprice > 1000")
+def _package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package's rows, after all its digests were checked."""
+    folder = scratch_path(spark, "package")
+    todo = (Step("change_case", {"columns": ["o_orderpriority"], "mode": "upper"}), Step("filter_rows", {"column": "o_totalprice", "operator": "gt", "value": "1000"}))
+    write_package(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), folder, todo)
+    return read_package(spark, folder)
