@@ -100,7 +100,9 @@ def decode_pixels(pictures: DataFrame, media: str = "media") -> DataFrame:
     """``pictures`` with ``width``, ``height`` and ``pixels`` (ARGB as signed
     ints, row by row); underscores in front of names that clash.
 
-    Null media, and bytes that are no lossless WebP file, give nulls."""
+    Several files of one width, one after another (as ``store_texts`` makes of long
+    texts), are one picture, the rows of one below those of the other. Null media, bytes
+    that are no lossless WebP file, and what has anything else behind give nulls."""
     names = [free_name(pictures, x) for x in ("width", "height", "pixels")]
     schema = T.StructType([*pictures.schema.fields, T.StructField(names[0], T.IntegerType()), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.ArrayType(T.IntegerType()))])
 
@@ -109,8 +111,8 @@ def decode_pixels(pictures: DataFrame, media: str = "media") -> DataFrame:
             width, height, pixels = [], [], []
             for value in batch.column(batch.schema.get_field_index(media)).to_pylist():
                 try:
-                    picture = None if value is None else webp.decode(value)
-                except (ValueError, IndexError):  # broken streams too
+                    picture = None if value is None else np.concatenate([webp.decode(x) for x in _files(value)])
+                except (ValueError, IndexError, struct.error):  # broken streams too
                     picture = None
                 width.append(None if picture is None else picture.shape[1])
                 height.append(None if picture is None else picture.shape[0])
