@@ -323,19 +323,19 @@ _DIRTY = """WITH e AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL WH
   CASE WHEN event_id % 30 = 0 THEN 'n/a' ELSE user_id::VARCHAR END AS "user", CASE WHEN event_id % 500 = 0 THEN 2 ELSE 1 END::INTEGER AS mostly FROM events) """
 
 
-_DIRTY_EVENTS = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' + to_microseconds(event_id // 2 % 3000) END AS moment, CASE WHEN event_id % 2 = 0 THEN -0.0::DOUBLE ELSE 0.0::DOUBLE END AS zero, 'N' || (event_id % 4) AS tag FROM events)"
+_REPEATING_EVENTS = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' + to_microseconds(event_id // 2 % 3000) END AS moment, CASE WHEN event_id % 2 = 0 THEN -0.0::DOUBLE ELSE 0.0::DOUBLE END AS zero, 'N' || (event_id % 4) AS tag FROM events)"
 
 
-def _dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _repeating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     at = F.lit(datetime.datetime(2020, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.floor(i / 2) % 3000) / 1_000_000).cast("decimal(18,6)"))
     return read(spark, sf_dir, "events").select("event_id", F.when(i % 5 != 0, at).alias("moment"), F.when(i % 2 == 0, -0.0).otherwise(0.0).alias("zero"), F.concat(F.lit("N"), (i % 4).cast("string")).alias("tag"))
 
 
-@register("health_rows_duplicated_dirt", f"WITH e AS {_DIRTY_EVENTS} SELECT event_id FROM e QUALIFY count(*) OVER (PARTITION BY moment, zero + 0.0, tag) > 1")
+@register("health_rows_duplicated_dirt", f"WITH e AS {_REPEATING_EVENTS} SELECT event_id FROM e QUALIFY count(*) OVER (PARTITION BY moment, zero + 0.0, tag) > 1")
 def _duplicated_dirt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times a microsecond apart, nulls, and both zeros in the key."""
-    return health.affected_rows(_dirty_events(spark, sf_dir), RowFilter("duplicated_by", ("moment", "zero", "tag"))).select("event_id")
+    return health.affected_rows(_repeating_events(spark, sf_dir), RowFilter("duplicated_by", ("moment", "zero", "tag"))).select("event_id")
 
 
 _SPELLED = "(SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN upper('name' || (c_custkey // 2)) WHEN 1 THEN 'name' || (c_custkey // 2) ELSE ' Name' || (c_custkey // 2) END AS spelled FROM customer)"
@@ -532,7 +532,7 @@ _SHARES = {"s_acctbal": 0.5, "price": 0.2, "volume": 0.3}
 
 
 # Every 13th supplier lacks a price, every 17th has none that is a number, every 11th no rating.
-_DIRTY = f"""(SELECT s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'NaN'::DOUBLE ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE price END AS price, volume,
+_INCOMPLETE = f"""(SELECT s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'NaN'::DOUBLE ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE price END AS price, volume,
   CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_suppkey % 10 END AS rating, 400.0::DOUBLE AS spread, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 300.0 END AS slack FROM {_ALTERNATIVES})"""
 _COMPLETE = "price IS NOT NULL AND isfinite(s_acctbal)"
 _DOMINATES = "(y.s_acctbal >= x.s_acctbal AND y.price <= x.price AND y.volume >= x.volume AND (y.s_acctbal > x.s_acctbal OR y.price < x.price OR y.volume > x.volume))"
@@ -554,14 +554,14 @@ def _topsis_sql(rows: str, weights: tuple = (0.5, 0.2, 0.3)) -> str:
 
 @register(
     "decision_topsis",
-    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), d AS {_topsis_sql("c")}
+    f"""WITH a AS {_INCOMPLETE}, c AS (SELECT * FROM a WHERE {_COMPLETE}), d AS {_topsis_sql("c")}
   SELECT s_suppkey, round(m / (m + p), 8) AS closeness, CASE WHEN m IS NOT NULL THEN rank() OVER (ORDER BY round(m / (m + p), 12) DESC NULLS LAST) END AS rank FROM a LEFT JOIN d USING (s_suppkey)""",
 )
 def _topsis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.topsis(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA, _SHARES).select("s_suppkey", F.round("closeness", 8).alias("closeness"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("decision_pareto", f"WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}) SELECT s_suppkey FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE {_DOMINATES})")
+@register("decision_pareto", f"WITH a AS {_INCOMPLETE}, c AS (SELECT * FROM a WHERE {_COMPLETE}) SELECT s_suppkey FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE {_DOMINATES})")
 def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skyline.pareto(_dirty_alternatives(spark, sf_dir), "s_suppkey", _CRITERIA).select("s_suppkey")
 
@@ -578,7 +578,7 @@ def _dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIMITS = [robust.Constraint("rating", ">=", 2), robust.Constraint("s_acctbal", ">=", 0)]
-_STATES = f"""a AS {_DIRTY}, st AS (SELECT *, CASE WHEN NOT ({_COMPLETE}) THEN 'incomplete' WHEN rating < 2 OR s_acctbal < 0 THEN 'infeasible' WHEN rating IS NULL THEN 'unverified' ELSE 'feasible' END AS status FROM a),
+_STATES = f"""a AS {_INCOMPLETE}, st AS (SELECT *, CASE WHEN NOT ({_COMPLETE}) THEN 'incomplete' WHEN rating < 2 OR s_acctbal < 0 THEN 'infeasible' WHEN rating IS NULL THEN 'unverified' ELSE 'feasible' END AS status FROM a),
   ok AS (SELECT * FROM st WHERE status = 'feasible'), front AS (SELECT * FROM ok x WHERE NOT EXISTS (SELECT 1 FROM ok y WHERE {_DOMINATES}))"""
 
 
@@ -602,7 +602,7 @@ _SCORED = """scored AS (SELECT {keys}, s_suppkey, sqrt(pow(w1 * (s_acctbal - b1)
 
 @register(
     "decision_weight_intervals",
-    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, w(criterion, j, cur) AS (VALUES ('s_acctbal', 1, 0.5::DOUBLE), ('price', 2, 0.2::DOUBLE), ('volume', 3, 0.3::DOUBLE)),
+    f"""WITH a AS {_INCOMPLETE}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, w(criterion, j, cur) AS (VALUES ('s_acctbal', 1, 0.5::DOUBLE), ('price', 2, 0.2::DOUBLE), ('volume', 3, 0.3::DOUBLE)),
   t AS (SELECT criterion, j, cur, k / 50.0::DOUBLE AS t FROM w, range(0, 51) AS r(k) UNION SELECT criterion, j, cur, cur FROM w),
   g AS (SELECT criterion, cur, t, CASE j WHEN 1 THEN t ELSE 0.5::DOUBLE * (1 - t) / (1 - cur) END AS w1, CASE j WHEN 2 THEN t ELSE 0.2::DOUBLE * (1 - t) / (1 - cur) END AS w2, CASE j WHEN 3 THEN t ELSE 0.3::DOUBLE * (1 - t) / (1 - cur) END AS w3 FROM t),
   {_SCORED.format(keys="criterion, cur, t")}, best AS (SELECT criterion, cur, t, s_suppkey AS winner FROM scored QUALIFY row_number() OVER (PARTITION BY criterion, t ORDER BY round(m / (m + p), 12) DESC, s_suppkey) = 1),
@@ -624,7 +624,7 @@ _SHARE_SQL = """best AS (SELECT s, s_suppkey, round(m / (m + p), 12) AS score FR
 
 @register(
     "decision_weight_shares",
-    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, e AS (SELECT s, {", ".join(f"-ln({_draw_sql(f"md5('42:' || s || ':{x}')", 1)}) AS e{i}" for i, x in enumerate(("s_acctbal", "price", "volume"), 1))} FROM range(0, 500) AS r(s)),
+    f"""WITH a AS {_INCOMPLETE}, c AS (SELECT * FROM a WHERE {_COMPLETE}), {_UNITS}, e AS (SELECT s, {", ".join(f"-ln({_draw_sql(f"md5('42:' || s || ':{x}')", 1)}) AS e{i}" for i, x in enumerate(("s_acctbal", "price", "volume"), 1))} FROM range(0, 500) AS r(s)),
   g AS (SELECT s, e1 / (e1 + e2 + e3) AS w1, e2 / (e1 + e2 + e3) AS w2, e3 / (e1 + e2 + e3) AS w3 FROM e), {_SCORED.format(keys="s")}, {_SHARE_SQL}""",
 )
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -638,7 +638,7 @@ def _noisy_sql(column: str, std: str) -> str:
 
 @register(
     "decision_noise_shares",
-    f"""WITH a AS {_DIRTY}, c AS (SELECT s, s_suppkey, {_noisy_sql("s_acctbal", "spread")}, {_noisy_sql("price", "slack")}, volume FROM a, range(0, 500) AS r(s) WHERE {_COMPLETE}),
+    f"""WITH a AS {_INCOMPLETE}, c AS (SELECT s, s_suppkey, {_noisy_sql("s_acctbal", "spread")}, {_noisy_sql("price", "slack")}, volume FROM a, range(0, 500) AS r(s) WHERE {_COMPLETE}),
   g AS (SELECT s, sqrt(sum(s_acctbal * s_acctbal)) AS n1, sqrt(sum(price * price)) AS n2, sqrt(sum(volume * volume)) AS n3, min(s_acctbal) AS a1, max(s_acctbal) AS b1, min(price) AS a2, max(price) AS b2, min(volume) AS a3, max(volume) AS b3 FROM c GROUP BY s),
   scored AS (SELECT s, s_suppkey, sqrt(pow(0.5 * (s_acctbal - b1) / n1, 2) + pow(0.2 * (price - a2) / n2, 2) + pow(0.3 * (volume - b3) / n3, 2)) AS p, sqrt(pow(0.5 * (s_acctbal - a1) / n1, 2) + pow(0.2 * (price - b2) / n2, 2) + pow(0.3 * (volume - a3) / n3, 2)) AS m FROM c JOIN g USING (s)), {_SHARE_SQL}""",
 )
@@ -648,7 +648,7 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "decision_influence",
-    f"""WITH a AS {_DIRTY}, c AS (SELECT * FROM a WHERE {_COMPLETE}), s AS (SELECT 0.5 * (max(s_acctbal) - min(s_acctbal)) / sqrt(sum(s_acctbal * s_acctbal)) AS x, 0.2 * (max(price) - min(price)) / sqrt(sum(price * price)) AS y, 0.3 * (max(volume) - min(volume)) / sqrt(sum(volume * volume)) AS z FROM c)
+    f"""WITH a AS {_INCOMPLETE}, c AS (SELECT * FROM a WHERE {_COMPLETE}), s AS (SELECT 0.5 * (max(s_acctbal) - min(s_acctbal)) / sqrt(sum(s_acctbal * s_acctbal)) AS x, 0.2 * (max(price) - min(price)) / sqrt(sum(price * price)) AS y, 0.3 * (max(volume) - min(volume)) / sqrt(sum(volume * volume)) AS z FROM c)
   SELECT 's_acctbal' AS criterion, 0.5::DOUBLE AS declared, round(x / (x + y + z), 8) AS influence FROM s UNION ALL SELECT 'price', 0.2, round(y / (x + y + z), 8) FROM s UNION ALL SELECT 'volume', 0.3, round(z / (x + y + z), 8) FROM s""",
 )
 def _influence(spark: SparkSession, sf_dir: str) -> DataFrame:
