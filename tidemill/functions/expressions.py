@@ -138,3 +138,13 @@ def title_case(c: Column) -> Column:
     """The first letter of each run of letters in upper case, the rest in lower."""
     words = F.regexp_extract_all(c, F.lit(r"(?U)(\p{L}+|\P{L}+)"), 1)
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def as_text(f: T.StructField) -> Column:
+    """A text that tells the values of a column apart as grouping does."""
+    c = quoted(f.name)
+    if isinstance(f.dataType, T.BinaryType):
+        return F.hex(c)
+    if isinstance(f.dataType, FLOATING):
+        c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+    return c.cast("string")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemill.errors import PreparationError
 from tidemill.functions.expressions import FLOATING, TEMPORAL, quoted
 from tidemill.functions.staging import staged
-from tidemill.operators.health import as_text
+from tidemill.operators.column_stats import distinct_facts
 from tidemill.operators.joins import UNIQUE_ENOUGH, JoinSpec, forecast, key_type, suggest_keys
 from tidemill.operators.rows import ORDER
 
@@ -34,14 +34,6 @@ def _fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if f.name != ORDER and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
-def _value_facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """``(column, unique, filled, least)``: distinct values, rows that have one, and the
-    rows of the rarest; all columns in one grouped pass."""
-    cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in fields)))
-    counted = df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("filled"), F.min("n").alias("least"))
-
-
 def _role(kind: str, hinted: Column) -> Column:
     unique, rows = F.col("unique"), F.col("rows")
     ratio = unique / F.greatest(rows - F.col("missing"), F.lit(1))
@@ -65,7 +57,7 @@ def column_roles(df: DataFrame) -> DataFrame:
     # One row a column on either side.
     names = df.sparkSession.createDataFrame([(i, n, k, bool(ID_HINTS.search(n))) for i, (n, k) in enumerate(kinds.items())], "place int, column string, kind string, hinted boolean")
     total = df.agg(F.count(F.lit(1)).alias("rows"))
-    facts = names.join(_value_facts(df, fields), "column", "left").join(F.broadcast(total))
+    facts = names.join(distinct_facts(df, fields), "column", "left").join(F.broadcast(total))
     facts = facts.withColumn("unique", F.coalesce("unique", F.lit(0))).withColumn("missing", F.col("rows") - F.coalesce("filled", F.lit(0)))
     role = None
     for kind in ("datetime", "boolean", "number", "text"):
@@ -241,7 +233,7 @@ def relation(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> Relat
     if bad:
         shared = [(a, b) for a in left.columns for b in right.columns if ORDER not in (a, b) and _same_name(a, b) and key_type(*kinds(a, b)) is not None]
         fields = [f for f in _fields(left) if f.name in {a for a, _ in shared}]
-        spread = {r["column"]: r["unique"] for r in _value_facts(left, fields).collect()} if fields else {}
+        spread = {r["column"]: r["unique"] for r in distinct_facts(left, fields).collect()} if fields else {}
         tries, seen = 0, {c.keys for c in candidates}
         for base in bad:
             extra = sorted((p for p in shared if p != base.keys[0]), key=lambda p: -spread.get(p[0], 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
-from tidemill.functions.expressions import finite, quoted
+from tidemill.functions.expressions import as_text, finite, quoted
 from tidemill.functions.staging import staged
 from tidemill.operators.ranked import percentiles, value_counts
 from tidemill.operators.rows import ORDER, with_order
@@ -60,19 +60,29 @@ def examples(df: DataFrame, column: str, k: int = EXAMPLES) -> DataFrame:
     return with_order(df).filter(quoted(column).isNotNull()).orderBy(ORDER).limit(k).select(quoted(column))
 
 
+def distinct_facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """``(column, unique, filled, least)``: distinct values, rows that have one, and the
+    rows of the rarest; all columns in one grouped pass."""
+    cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in fields)))
+    counted = df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("filled"), F.min("n").alias("least"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row for each plain column: rows, missing, unique, constant, and min,
-    max, mean of the finite values of numeric ones. One wide aggregate."""
+    max, mean of the finite values of numeric ones. One aggregate and one grouped pass."""
     plain = [f for f in df.schema if f.name != ORDER and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    schema = "column string, rows long, missing long, unique long, constant boolean, min double, max double, mean double"
+    if not plain:
+        return df.sparkSession.createDataFrame([], schema)
     parts = []
     for i, f in enumerate(plain):
         c = quoted(f.name)
-        number = isinstance(f.dataType, T.NumericType)
-        v = finite(c, f.dataType).cast("double") if number else F.lit(None).cast("double")
-        parts += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), F.count_distinct(c).alias(f"u{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.avg(v).alias(f"m{i}")]
+        v = finite(c, f.dataType).cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
+        parts += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.avg(v).alias(f"m{i}")]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *parts)
-    each = [
-        F.struct(F.lit(f.name).alias("column"), F.col("rows"), F.col(f"n{i}").alias("missing"), F.col(f"u{i}").alias("unique"), (F.col(f"u{i}") <= 1).alias("constant"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"m{i}").alias("mean"))
-        for i, f in enumerate(plain)
-    ]
-    return row.select(F.inline(F.array(*each)))
+    each = [F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), F.col("rows"), F.col(f"n{i}").alias("missing"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"m{i}").alias("mean")) for i, f in enumerate(plain)]
+    # One row a column on either side.
+    told = row.select(F.inline(F.array(*each))).join(distinct_facts(df, plain).select("column", "unique"), "column", "left")
+    unique = F.coalesce("unique", F.lit(0))
+    return told.orderBy("place").select("column", "rows", "missing", unique.alias("unique"), (unique <= 1).alias("constant"), "min", "max", "mean")

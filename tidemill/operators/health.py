@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.errors import PreparationError
-from tidemill.functions.expressions import FLOATING, number, quoted, strip, truthy
+from tidemill.functions.expressions import FLOATING, as_text, number, quoted, strip, truthy
 from tidemill.functions.staging import staged
 from tidemill.operators.ranked import percentiles
 from tidemill.operators.rows import ORDER
@@ -160,16 +160,6 @@ def column_facts(df: DataFrame) -> tuple[int, dict[str, dict]]:
     return total, facts
 
 
-def as_text(f: T.StructField) -> Column:
-    """A text that tells the values of a column apart as grouping does."""
-    c = quoted(f.name)
-    if isinstance(f.dataType, T.BinaryType):
-        return F.hex(c)
-    if isinstance(f.dataType, FLOATING):
-        c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
-    return c.cast("string")
-
-
 def _value_facts(df: DataFrame, fields: list[T.StructField], facts: dict[str, dict]) -> None:
     cells = F.inline(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("value")) for f in fields)))
     counted = staged(df.select(cells).filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
