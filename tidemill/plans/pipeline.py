@@ -110,18 +110,22 @@ class Impact:
     rows_after: int
     columns_before: int
     columns_after: int
-    #: Values that became null, by column (0 or more).
+    #: By how much the nulls of a column that stays grow (columns where they do).
     lost: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def values_lost(self) -> int:
+        return sum(self.lost.values())
+
 
 def impact(df: DataFrame, steps: tuple[Step, ...], step: Step) -> Impact:
-    """What one more step would change, by one aggregate on each side."""
+    """What one more step would change, by one aggregate on each side. A step that a
+    pipeline would refuse is refused here, too."""
+    plan(df, (*steps, step))
     before = replay(df, steps, keep_order=True)
-    operation(step).validate(step.params, before.schema)
     after = operation(step).apply(before, step.params)
     old, new = _nulls(before.drop(ORDER)), _nulls(after.drop(ORDER))
-    gone = old["rows"] - new["rows"]
-    lost = {c: max(0, new[c] - old[c]) for c in new if c != "rows" and c in old and gone == 0}
+    lost = {c: max(0, new[c] - old[c]) for c in new if c != "rows" and c in old}
     return Impact(old["rows"], new["rows"], len(old) - 1, len(new) - 1, {c: n for c, n in lost.items() if n})
 
 
