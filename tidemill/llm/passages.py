@@ -43,6 +43,10 @@ class PassageRules:
     hashes: int = 5
     need: int = 2
 
+    def __post_init__(self):
+        if not 1 <= self.need <= self.hashes <= 8:
+            raise ValueError("1 to 8 hash functions (a key names its own in 3 bits), and no more of them needed than there are")
+
     @property
     def least(self) -> int:
         """Least passage in shingles."""
