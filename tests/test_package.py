@@ -26,10 +26,18 @@ def small_parts(monkeypatch):
     monkeypatch.setattr(package, "PART_ROWS", 300)
 
 
+@pytest.fixture(scope="module")
+def whole(table, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("package") / "p"
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(package, "PART_ROWS", 300)
+        write_package(table, str(folder), STEPS)
+    return folder
+
+
 @pytest.fixture
-def made(table, tmp_path, small_parts):
-    write_package(table, str(tmp_path / "p"), STEPS)
-    return tmp_path / "p"
+def made(whole, tmp_path, small_parts):
+    return shutil.copytree(whole, tmp_path / "p")
 
 
 def test_round_trip(spark, table, tmp_path, small_parts):
@@ -118,17 +126,17 @@ def test_damage_is_refused(spark, made, damage):
 
 
 def test_damaged_archives_are_refused(spark, made):
-    whole = archive(spark, str(made))
+    archived = archive(spark, str(made))
 
     def with_members(change):
         out = io.BytesIO()
-        with zipfile.ZipFile(io.BytesIO(whole)) as z, zipfile.ZipFile(out, "w") as to:
+        with zipfile.ZipFile(io.BytesIO(archived)) as z, zipfile.ZipFile(out, "w") as to:
             for name, content in change({n: z.read(n) for n in z.namelist()}).items():
                 to.writestr(name, content)
         return out.getvalue()
 
-    bad = [b"", whole[:-40], b"PK\x03\x04" + b"x" * 100, with_members(lambda m: {k: v for k, v in m.items() if "00001" not in k}), with_members(lambda m: m | {"data/part-00009.parquet": b"x"}), with_members(lambda m: m | {"../evil": b"x"}), with_members(lambda m: m | {"data/part-00001.parquet": b"x"}), with_members(lambda m: {k: v for k, v in m.items() if k != "manifest.json"})]
+    bad = [b"", archived[:-40], b"PK\x03\x04" + b"x" * 100, with_members(lambda m: {k: v for k, v in m.items() if "00001" not in k}), with_members(lambda m: m | {"data/part-00009.parquet": b"x"}), with_members(lambda m: m | {"../evil": b"x"}), with_members(lambda m: m | {"data/part-00001.parquet": b"x"}), with_members(lambda m: {k: v for k, v in m.items() if k != "manifest.json"})]
     for data in bad:
         with pytest.raises(PackageError):
             verify_archive(data)
-    assert verify_archive(whole) == manifest_of(spark, str(made)) and isinstance(made, Path)
+    assert verify_archive(archived) == manifest_of(spark, str(made)) and isinstance(made, Path)
