@@ -125,6 +125,17 @@ def finite(c: Column, kind: T.DataType) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c) if isinstance(kind, FLOATING) else c
 
 
+def steady_sum(c: Column) -> Column:
+    """The sum of doubles, the same for any order of rows: whole parts and fractions (in
+    units of 2^-30) are summed as longs. What is not finite or is 2^32 and beyond is
+    summed as it is."""
+    small = F.abs(c) < F.lit(float(1 << 32))
+    whole = F.floor(c)
+    units = F.floor((c - whole) * float(1 << 30) + 0.5)
+    parts = F.sum(F.when(small, whole)).cast("double"), F.sum(F.when(small, units)) / float(1 << 30), F.sum(F.when(~small, c))
+    return F.when(F.count(c) > 0, reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0.0)) for p in parts)))
+
+
 def truthy(predicate: Column) -> Column:
     """Null counts as false."""
     return F.coalesce(predicate, F.lit(False))
