@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 import compare
 from tidemill import catalogue
 from tidemill.functions.expressions import steady_sum
+from tidemill.operators.rows import ordinals
+from tidemill.operators.steps import Step
+from tidemill.plans.pipeline import replay
 
 
 def test_equal_alternatives_tie_whatever_the_order_of_their_rows(spark, tmp_path):
@@ -39,3 +42,16 @@ def test_repeated_events_are_one_row_of_the_answer(spark, tmp_path):
     con = compare.duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert compare.same(got, con, catalogue.ORACLE_SQL["health_duplicates"]) is None
+
+
+def test_places_after_two_sorts_over_many_partitions(spark):
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(100_000).select("id", ((F.col("id") * 7919) % 1009).alias("x"))
+        steps = (Step("sort_rows", {"column": "id"}), Step("sort_rows", {"column": "x", "descending": True}))
+        got = ordinals(replay(df, steps, keep_order=True), "place").select("id", "x", "place").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    want = sorted(range(100_000), key=lambda i: (-(i * 7919 % 1009), i))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(100_000))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.staging import staged
+
 ORDER = "__row__"
 
 
@@ -29,7 +31,10 @@ def ordinals(df: DataFrame, name: str, order: str = ORDER) -> DataFrame:
 
     Ids of ``monotonically_increasing_id`` hold the partition in their upper 31
     bits, so the running total over partitions gives each one its offset. One row
-    for each partition is what the driver's side of the join holds."""
+    for each partition is what the driver's side of the join holds. Rows are counted
+    and numbered in two passes, so ``df`` is staged: after a sort or a shuffle each
+    pass would deal them, and their ids, anew."""
+    df = staged(df)
     part = F.shiftright(F.col(order), 33)
     sizes = df.groupBy(part.alias("__part__")).agg(F.count("*").alias("__n__"), F.min(order).alias("__low__"))
     before = Window.orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1)

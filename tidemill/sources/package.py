@@ -76,7 +76,7 @@ def write_package(source: DataFrame, folder: str, steps: tuple[Step, ...] = ())
     for f in replay(source, steps).schema:
         canonical(F.lit(None), f.dataType)
     spark = source.sparkSession
-    body = staged(ordinals(staged(with_order(replay(source, steps, keep_order=True))), "__number__").drop(ORDER).withColumnRenamed("__number__", ORDER))
+    body = staged(ordinals(with_order(replay(source, steps, keep_order=True)), "__number__").drop(ORDER).withColumnRenamed("__number__", ORDER))
     parted = body.withColumn(PART, F.floor(F.col(ORDER) / PART_ROWS).cast("int"))
     parted.repartition(PART).sortWithinPartitions(PART, ORDER).write.option("compression", "zstd").partitionBy(PART).parquet(f"{folder}/data")
     plain = body.drop(ORDER)
