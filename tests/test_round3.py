@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import compare
 from tidemill import catalogue
 from tidemill.functions.expressions import steady_sum
+from tidemill.operators import robust
 from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
 from tidemill.plans.pipeline import replay
@@ -55,3 +56,26 @@ def test_places_after_two_sorts_over_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
     want = sorted(range(100_000), key=lambda i: (-(i * 7919 % 1009), i))
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(100_000))
+
+
+def test_noise_meets_rows_inside_tasks_with_the_same_draws(spark):
+    """Rows are not multiplied by samples before the leaders are known, and equal rows share."""
+    rows = [(i, float(i % 7 + 1), 10.0 + i % 5, None if i % 4 == 0 else 0.5) for i in range(40)] + [(None, 3.0, 10.0, 0.5)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, sd double")
+    samples = 30
+    shares = robust.noise_shares(df, "id", {"a": "max", "b": "min"}, {"a": "sd"}, {"a": 1, "b": 1}, samples)
+    draws = df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    x = F.when(F.col("sd") > 0, F.col("a") + F.col("sd") * robust.normal_draw(44, F.col("s"), F.col("id"), "a")).otherwise(F.col("a"))
+    want: dict = {}
+    at = draws.select("s", "id", x.alias("a"), "b").toPandas()
+    for _, g in at.groupby("s"):
+        a, b = g["a"].to_numpy() / np.sqrt((g["a"] ** 2).sum()) / 2, g["b"].to_numpy() / np.sqrt((g["b"] ** 2).sum()) / 2
+        p, m = np.hypot(a - a.max(), b - b.min()), np.hypot(a - a.min(), b - b.max())
+        score = np.round(m / (p + m), 12)
+        won = np.flatnonzero(score == score.max())
+        for j in won:
+            k = None if np.isnan(g["id"].iloc[j]) else int(g["id"].iloc[j])
+            want[k] = want.get(k, 0) + 1 / len(won) / samples
+    got = {r["id"]: r["share"] for r in shares.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "explode" not in shares._jdf.queryExecution().toString().lower()

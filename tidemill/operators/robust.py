@@ -7,8 +7,12 @@ under any partitioning; scenarios are bounded by their parameters."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from tidemill.operators.skyline import complete, dominated
 MAX_CRITERIA, MAX_SAMPLES = 30, 20_000
 #: Least and largest step of a weight grid.
 GRID = 0.001, 0.25
+#: Rows times samples of noise that a task draws, twice.
+TASK_DRAWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -176,25 +182,79 @@ def weight_shares(df: DataFrame, key: str, criteria: dict[str, str], weights: di
 def noise_shares(df: DataFrame, key: str, criteria: dict[str, str], stds: dict[str, str], weights: dict[str, float], samples: int = 2000, seed: int = 44) -> DataFrame:
     """``(key, share)``: how often each alternative is first if every value is drawn
     anew around itself with its own deviation (column ``stds[criterion]``; a missing
-    one counts as exact). Vector normalisation is of each sample's own values."""
+    one counts as exact). Vector normalisation is of each sample's own values.
+
+    Rows stay as they are and meet their samples inside tasks: one pass finds each
+    sample's norms and ends, another the rows that lead a batch, and only those are
+    ranked together. A task holds one sample of one batch."""
     if not 0 < samples <= MAX_SAMPLES:
         raise PreparationError(f"a share takes 1 to {MAX_SAMPLES} samples")
     names, w = list(criteria), unit_weights({c: weights[c] for c in criteria})
-    rows = df.filter(complete(criteria)).select(quoted(key).alias("__key__"), *(quoted(c).cast("double").alias(f"v_{i}") for i, c in enumerate(names)), *((F.coalesce(quoted(stds[c]).cast("double"), F.lit(0.0)) if c in stds else F.lit(0.0)).alias(f"d_{i}") for i, c in enumerate(names)))
-    drawn = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    noisy = [F.when(F.col(f"d_{i}") > 0, F.col(f"v_{i}") + F.col(f"d_{i}") * normal_draw(seed, F.col("s"), F.col("__key__"), c)).otherwise(F.col(f"v_{i}")).alias(f"x_{i}") for i, c in enumerate(names)]
-    drawn = drawn.select("s", "__key__", *noisy)
-    facts = drawn.groupBy("s").agg(*(f(F.col(f"x_{i}")).alias(f"{n}_{i}") for i in range(len(names)) for n, f in (("n", lambda x: F.sqrt(F.sum(x * x))), ("a", F.min), ("b", F.max))))
-    plus = minus = F.lit(0.0)
-    for i, c in enumerate(names):
-        best, worst = (F.col(f"b_{i}"), F.col(f"a_{i}")) if criteria[c] == "max" else (F.col(f"a_{i}"), F.col(f"b_{i}"))
-        unit = lambda gap: F.coalesce(gap / F.nullif(F.col(f"n_{i}"), F.lit(0.0)), F.lit(0.0)) * w[c]  # noqa: B023, E731
-        plus, minus = plus + F.pow(unit(F.col(f"x_{i}") - best), F.lit(2)), minus + F.pow(unit(F.col(f"x_{i}") - worst), F.lit(2))
-    p, m = F.sqrt(plus), F.sqrt(minus)
-    scored = drawn.join(facts, "s").select("s", "__key__", F.round(F.when(p + m == 0, 0.5).otherwise(m / F.nullif(p + m, F.lit(0.0))), 12).alias("score"))
+    rows = df.filter(complete(criteria)).select(quoted(key).alias("__key__"), quoted(key).cast("string").alias("__text__"), *(quoted(c).cast("double").alias(f"v_{i}") for i, c in enumerate(names)), *((F.coalesce(quoted(stds[c]).cast("double"), F.lit(0.0)) if c in stds else F.lit(0.0)).alias(f"d_{i}") for i, c in enumerate(names)))
+    rows = staged(rows)
+    rows = rows.repartition(max(1, -(-rows.count() * samples // TASK_DRAWS)))
+    kind, k = rows.schema["__key__"].dataType.simpleString(), len(names)
+
+    def spans(batches):
+        """Of each sample, over the rows of a task: squared length, least and largest value."""
+        sums, low, high = np.zeros((samples, k)), np.full((samples, k), np.nan), np.full((samples, k), -np.inf)
+        seen = False
+        for batch in batches:
+            if batch.num_rows:
+                seen = True
+                for s, x in enumerate(_noisy(batch, names, samples, seed)):
+                    sums[s] += (x * x).sum(axis=1)
+                    low[s], high[s] = np.fmin(low[s], np.fmin.reduce(x, axis=1)), np.maximum(high[s], x.max(axis=1))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples, dtype=np.int32)), *(pa.array(np.ascontiguousarray(y[:, i])) for i in range(k) for y in (sums, low, high))], names=["s", *(f"{n}_{i}" for i in range(k) for n in "nab")])
+
+    facts = rows.mapInArrow(spans, "s int, " + ", ".join(f"n_{i} double, a_{i} double, b_{i} double" for i in range(k)))
+    # One row a sample, MAX_SAMPLES at most.
+    facts = facts.groupBy("s").agg(*(f(F.col(f"{n}_{i}")).alias(f"{n}_{i}") for i in range(k) for n, f in (("n", lambda x: F.sqrt(F.sum(x))), ("a", F.min), ("b", F.max))))
+    table = np.array([r[1:] for r in sorted(facts.collect())]).reshape(-1, k, 3)
+    n, least, most = table[:, :, 0], table[:, :, 1], table[:, :, 2]
+    up = np.array([criteria[c] == "max" for c in names])
+    best, worst, share = np.where(up, most, least), np.where(up, least, most), np.array([w[c] for c in names])
+
+    def leaders(batches):
+        """The rows of a batch that no other one beats in a sample, by more than rounding may hide."""
+        for batch in batches:
+            for s, x in enumerate(_noisy(batch, names, samples, seed) if batch.num_rows else ()):
+                plus, minus = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    for i in range(k):
+                        if n[s, i] != 0:
+                            plus += ((x[i] - best[s, i]) / n[s, i] * share[i]) ** 2
+                            minus += ((x[i] - worst[s, i]) / n[s, i] * share[i]) ** 2
+                    p, m = np.sqrt(plus), np.sqrt(minus)
+                    score = np.where(p + m == 0, 0.5, m / (p + m))
+                odd = np.isnan(score)  # above all numbers, as in Spark
+                lead = np.flatnonzero(odd if odd.any() else score >= score.max() - 1e-11)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lead), s, np.int32)), batch.column(0).take(pa.array(lead)), pa.array(score[lead])], names=["s", "__key__", "score"])
+
+    scored = staged(rows.mapInArrow(leaders, f"s int, __key__ {kind}, score double").withColumn("score", F.round("score", 12)))
     return _winners(scored, samples, key)
 
 
+def _noisy(batch: pa.RecordBatch, names: list[str], samples: int, seed: int) -> Iterator[np.ndarray]:
+    """For each sample the values (criteria x rows) of ``batch``, drawn as ``normal_draw`` does."""
+    column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy()
+    fixed, spread = (np.array([column(f"{x}_{i}") for i in range(len(names))]) for x in "vd")
+    texts = [b"" if t is None else b":" + t.encode() for t in batch.column(1).to_pylist()]
+    drawn = [np.flatnonzero(~(d <= 0)) for d in spread]
+    tails = [[texts[j] + f":{c}".encode() for j in rows] for c, rows in zip(names, drawn)]
+    for s in range(samples):
+        start, x = f"{seed}:{s}".encode(), fixed.copy()
+        for i, rows in enumerate(drawn):
+            if len(rows):
+                high, low = np.frombuffer(b"".join([md5(start + t).digest() for t in tails[i]]), ">u8").reshape(-1, 2).T.astype(np.uint64)
+                # The first 13 hex digits, and the next 13.
+                u = ((high >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+                v = (((high & np.uint64(0xFFF)) << np.uint64(40) | low >> np.uint64(24)).astype(float) + 0.5) / float(1 << 52)
+                x[i, rows] += spread[i, rows] * (np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v))
+        yield x
+
+
 def influence(df: DataFrame, criteria: dict[str, str], weights: dict[str, float]) -> DataFrame:
     """``(criterion, declared, influence)``: each criterion's share of the weighted,
     vector-normalised spans, beside the weight that it was given."""
