@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import compare
 from tidemill import catalogue
 from tidemill.functions.expressions import steady_sum
+from tidemill.llm import minhash
 from tidemill.operators import robust
 from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
@@ -79,3 +80,21 @@ def test_noise_meets_rows_inside_tasks_with_the_same_draws(spark):
     got = {r["id"]: r["share"] for r in shares.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "explode" not in shares._jdf.queryExecution().toString().lower()
+
+
+def test_differences_that_no_far_member_needs_are_not_joined(spark, monkeypatch):
+    """Members that are linked through the best one alone meet nobody by their differences."""
+    seen = {}
+    saved = minhash.Scratch.saved
+
+    def counted(self, df, name, **more):
+        out = saved(self, df, name, **more)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "saved", counted)
+    rows = [(b"g", bytes([i]), bytes([i]), 100, d) for i, d in enumerate(([1, 2], [1, 2], [3], [3]))]
+    members = spark.createDataFrame(rows, "g binary, node binary, label binary, size long, delta array<long>")
+    links, further = minhash._apart(members, minhash.NearDupRules(width=5, percent=80), minhash.Scratch(spark))
+    assert links.count() == 3 and further is None
+    assert sum(seen.get(name, 0) for name in ("told", "far", "near")) == 0

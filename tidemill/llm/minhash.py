@@ -212,11 +212,15 @@ def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[Data
     known = scored.join(best, "g").withColumn("need", need)
     core = known.filter("need <= 0 and label != best.label").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
 
-    # Differences of far members up to the prefix, those of core members whole.
+    # Differences of far members up to the prefix; of core members only what such a prefix holds.
     share = F.when(F.expr("2 * often > n"), F.expr("n - often")).otherwise(F.col("often"))
-    rows = known.select("g", "node", "label", "size", "u", "need", F.explode("delta").alias("e")).join(often, ["g", "e"]).withColumn("share", share).filter("share > 1")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.desc("share"), "e"))).filter("need <= 0 or place >= need")
-    told = keep.saved(rows.select("g", "e", "node", "label", "size", "u", "place", (F.col("need") > 0).alias("far")), "told")
+    each = ["g", "node", "label", "size", "u", "need", F.size("delta").alias("place"), F.explode("delta").alias("e")]
+    rows = known.filter("need > 0").select(*each).join(often, ["g", "e"]).withColumn("share", share).filter("share > 1")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.desc("share"), "e"))).filter("place >= need")
+    told = ["g", "e", "node", "label", "size", "u", "place"]
+    far = keep.saved(rows.select(*told, F.lit(True).alias("far")), "far")
+    rows = known.filter("need <= 0").select(*each).join(far.select("g", "e").distinct(), ["g", "e"], "left_semi")
+    told = far.union(keep.saved(rows.select(*told, F.lit(False).alias("far")), "near"))
     meet = told.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if("far").alias("far"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
     meet = keep.saved(meet.filter("far > 0 and least != most").select("g", "e", (F.col("n") * F.col("far") <= SMALL_GROUP).alias("small"), F.col("first.node").alias("centre")), "meet")
     if meet.isEmpty():
@@ -224,7 +228,8 @@ def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[Data
     left = told.filter("far").select("g", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px")).join(meet.filter("small").select("g", "e"), ["g", "e"])
     right = told.select("g", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place", "far")
     alike = F.lit(100) * F.least("mine", "size") >= F.lit(rules.percent) * F.greatest("mine", "size")
-    # At the rarest shared difference, all other shared ones are more frequent in either's order.
+    # At the rarest shared difference, all other shared ones are more frequent in a far one's order;
+    # a core one shares all of its differences at most.
     enough = F.lit(2 * up) * F.least("px", "place") >= F.col("ux") + F.col("u")
     met = left.join(right, ["g", "e"]).filter("lx != ly and (not far or x < y)").filter(alike & enough)
     met = met.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
