@@ -98,3 +98,48 @@ def test_differences_that_no_far_member_needs_are_not_joined(spark, monkeypatch)
     links, further = minhash._apart(members, minhash.NearDupRules(width=5, percent=80), minhash.Scratch(spark))
     assert links.count() == 3 and further is None
     assert sum(seen.get(name, 0) for name in ("told", "far", "near")) == 0
+
+
+def test_differences_of_one_label_alone_are_not_told(spark, monkeypatch):
+    """Far members that are linked already share most differences only with each other."""
+    seen = {}
+    saved = minhash.Scratch.saved
+
+    def counted(self, df, name, **more):
+        out = saved(self, df, name, **more)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "saved", counted)
+    far = [(b"g", bytes([i]), b"f", 100, [99, *range(1000, 1060)]) for i in (1, 2)]
+    core = [(b"g", bytes([i]), b"c", 100, [99, i]) for i in range(10, 30)]
+    members = spark.createDataFrame(far + core, "g binary, node binary, label binary, size long, delta array<long>")
+    links, further = minhash._apart(members, minhash.NearDupRules(width=5, percent=80), minhash.Scratch(spark))
+    assert links.count() == 0 and further is None
+    assert sum(seen.get(name, 0) for name in ("told", "far", "near")) == 0
+
+
+@pytest.mark.parametrize("small", [4, 1024])
+def test_links_of_a_group_over_rounds_are_those_of_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL_GROUP", small)
+    draw = np.random.default_rng(5)
+    base, rules = set(range(40)), minhash.NearDupRules(width=5, percent=80)
+    families = [set(draw.choice(40, k, replace=False)) | set(draw.choice(np.arange(100, 130), k, replace=False)) for k in (0, 4, 5, 6, 7, 8)]
+    sets = {bytes([i]): base ^ families[i % 6] ^ set(draw.choice(np.r_[0:40, 100:160], int(draw.integers(0, 6)), replace=False)) for i in range(72)}
+    rows = [(b"g", k, k, len(x), [int(e) for e in x ^ base]) for k, x in sets.items()]
+    members = spark.createDataFrame(rows, "g binary, node binary, label binary, size long, delta array<long>")
+    keep, found, rounds = minhash.Scratch(spark), [], 0
+    while members is not None and (got := minhash._apart(members, rules, keep)):
+        found += [(bytes(r["a"]), bytes(r["b"])) for r in got[0].collect()]
+        members, rounds = got[1], rounds + 1
+
+    def parts(edges):
+        of = {k: k for k in sets}
+        for a, b in edges:
+            of = {k: min(of[a], of[b]) if v in (of[a], of[b]) else v for k, v in of.items()}
+        return of
+
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    want = parts([(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert parts(found) == want and len(set(want.values())) > 3
+    assert rounds > 1 or small > 4

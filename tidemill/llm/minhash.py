@@ -15,14 +15,16 @@
    symmetric difference of x and M, and u(x) = |D(x)| - |x| * (1-s)/(1+s). Two
    members x and y are linked if and only if ``2 * |D(x) & D(y)| >= u(x) + u(y)``.
    So each member with ``u(x) + min u <= 0`` is linked with the member that has the
-   least u, and any other one needs a partner that shares some of its differences:
-   such pairs meet by the rarest of these (a prefix filter; what no other member has
-   cannot be shared, and too much of it rules a member out). A difference that many
-   share names a family, a part of its group, which gets a centre of its own and
-   another round; differences to that follow from those to M. A family lacks its
-   centre and is smaller than its group, so the rounds end. No bucket
-   emits all its pairs, yet no linked pair that shares a band is lost.
-4. Links are grouped once, at the end, by distributed union-find (``graph.components``).
+   least u. What is tied together by now has one label and need not meet. Any other
+   link has ends of two labels, which share some differences: such pairs meet by the
+   rarest of these (a prefix filter; what one label alone has cannot be shared, and the
+   least u among the other labels' members that have a difference tells how many must
+   be). A difference that many share names a family, a part of its group, which gets a
+   centre of its own and another round; differences to that follow from those to M. A
+   family lacks its centre and is smaller than its group, so the rounds end. No bucket
+   emits all its pairs, yet no linked pair that shares a band is lost, unless its ends
+   are tied together otherwise.
+4. Links are grouped after each round, and once at the end, by distributed union-find (``graph.components``).
 """
 
 from __future__ import annotations
@@ -185,19 +187,35 @@ def _compared(pairs: DataFrame, sets: DataFrame, by: list[str], rules: NearDupRu
     return joined.withColumn("delta", delta).withColumn("linked", linked).drop("mine", "theirs", "other")
 
 
-def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[DataFrame, DataFrame] | None:
-    """Links inside groups ``members(g, node, label, size, delta)``, and the members
-    of the families that are left for another round; None if no group holds two
-    labels. delta is the difference to the centre of g."""
+def _relabelled(rows: DataFrame, edges: DataFrame, keep: Scratch, *columns: str) -> DataFrame:
+    """``rows`` with the labels in ``columns`` replaced by the least of those that
+    ``edges(a, b)`` of labels tie together."""
+    if edges.isEmpty():
+        return rows
+    tied = keep.saved(components(edges, keep), "tied")
+    for column in columns:
+        new = tied.select(F.col("node").alias(column), F.col("label").alias("tied"))
+        rows = rows.join(new, column, "left").withColumn(column, F.coalesce("tied", column)).drop("tied")
+    return rows
+
+
+def _divided(members: DataFrame, keep: Scratch) -> DataFrame:
+    """``(g, n)`` of the groups that hold two labels."""
     groups = members.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    groups = keep.saved(groups.filter("n > 1 and least != most").select("g", "n"), "groups")
+    return keep.saved(groups.filter("n > 1 and least != most").select("g", "n"), "groups")
+
+
+def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[DataFrame, DataFrame | None] | None:
+    """Links between the labels of groups ``members(g, node, label, size, delta)``, and the
+    members of the families that are left for another round; None if no group holds two
+    labels. A label names what is linked already; delta is the difference to the centre of g."""
+    groups = _divided(members, keep)
     if groups.isEmpty():
         return None
     members = members.join(groups, "g", "left_semi")
-    # What one member alone has is no majority's (n > 1), nor can it be shared.
+    # What one member alone has is no majority's (n > 1).
     often = members.select("g", F.explode("delta").alias("e")).groupBy("g", "e").agg(F.count("*").alias("often")).filter("often > 1")
-    often = keep.saved(often.join(groups, "g"), "often")
-    agreed = keep.saved(often.groupBy("g").agg(F.collect_list(F.when(F.expr("2 * often > n"), F.col("e"))).alias("agreed")), "agreed")
+    agreed = keep.saved(often.join(groups, "g").filter("2 * often > n").groupBy("g").agg(F.collect_list("e").alias("agreed")), "agreed")
     # From here on delta is the difference to the majority's set, and u is scaled to whole numbers.
     up, down = 100 + rules.percent, 100 - rules.percent
     common = F.coalesce("agreed", F.array().cast("array<long>"))
@@ -205,40 +223,49 @@ def _apart(members: DataFrame, rules: NearDupRules, keep: Scratch) -> tuple[Data
     scored = members.join(agreed, "g", "left").withColumn("delta", delta).withColumn("u", F.lit(up) * F.size("delta") - F.lit(down) * F.col("size"))
     scored = keep.saved(scored.select("g", "node", "label", "size", "u", "delta"), "scored")
     best = keep.saved(scored.groupBy("g").agg(F.min(F.struct("u", "node", "label")).alias("best")), "best")
-    # Differences that a partner must share: by the least u, and since only ``spare`` may be left unshared.
+    known = scored.join(best, "g").withColumn("best", F.col("best.label"))
+    core = known.join(best.select("g", F.col("best.u").alias("least")), "g").filter("u + least <= 0 and label != best")
+    core = keep.saved(core.select(F.col("label").alias("a"), F.col("best").alias("b")).distinct(), "core")
+    # What the best member ties together need not meet; often that is the whole group.
+    known = keep.saved(_relabelled(known, core, keep, "label", "best").withColumn("top", F.expr("label = best")).drop("best"), "known")
+    known = known.join(_divided(known, keep), "g", "left_semi")
+
+    # Only differences that two labels share can link them. A partner of the top label's members has
+    # another label, so what must be shared follows from the least u among the others that hold e.
+    each = ["g", "node", "label", "size", "u", "top", F.size("delta").alias("many"), F.explode("delta").alias("e")]
+    lows = [F.min(F.when(F.col("top") == x, F.col("u"))).alias(name) for x, name in ((True, "low"), (False, "rest"))]
+    labels = [F.min("label").alias("least"), F.max("label").alias("most")]
+    held = known.select(*each).groupBy("g", "e").agg(F.count("*").alias("share"), *lows, *labels).filter("least != most")
+    held = keep.saved(held.select("g", "e", "share", "low", "rest"), "held")
+    most = F.when(F.col("top"), F.col("rest")).otherwise(F.least("low", "rest"))
+    rows = known.select(*each).join(held, ["g", "e"]).filter(F.lit(2 * up) * F.col("many") >= F.col("u") + most)
+    # At the rarest difference that two linked members share, the others are more frequent; and
+    # only ``spare`` of a member's may be left unshared.
     spare = F.floor(F.col("size") * F.lit(down * (100 + rules.percent)) / F.lit(up * rules.percent))
-    need = F.ceil((F.col("u") + F.col("best.u")) / F.lit(2 * up))
-    need = F.when(need > 0, F.greatest(need, F.size("delta") - spare)).otherwise(need)
-    known = scored.join(best, "g").withColumn("need", need)
-    core = known.filter("need <= 0 and label != best.label").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
-
-    # Differences of far members up to the prefix; of core members only what such a prefix holds.
-    share = F.when(F.expr("2 * often > n"), F.expr("n - often")).otherwise(F.col("often"))
-    each = ["g", "node", "label", "size", "u", "need", F.size("delta").alias("place"), F.explode("delta").alias("e")]
-    rows = known.filter("need > 0").select(*each).join(often, ["g", "e"]).withColumn("share", share).filter("share > 1")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.desc("share"), "e"))).filter("place >= need")
-    told = ["g", "e", "node", "label", "size", "u", "place"]
-    far = keep.saved(rows.select(*told, F.lit(True).alias("far")), "far")
-    rows = known.filter("need <= 0").select(*each).join(far.select("g", "e").distinct(), ["g", "e"], "left_semi")
-    told = far.union(keep.saved(rows.select(*told, F.lit(False).alias("far")), "near"))
-    meet = told.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if("far").alias("far"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
-    meet = keep.saved(meet.filter("far > 0 and least != most").select("g", "e", (F.col("n") * F.col("far") <= SMALL_GROUP).alias("small"), F.col("first.node").alias("centre")), "meet")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("g", "node").orderBy(F.desc("share"), "e")))
+    rows = rows.filter((F.lit(2 * up) * F.col("place") >= F.col("u") + most) & (F.col("place") >= F.col("many") - spare))
+    told = keep.saved(rows.select("g", "e", "node", "label", "size", "u", "top", "place"), "told")
+    meet = told.groupBy("g", "e").agg(F.count("*").alias("n"), F.count_if(~F.col("top")).alias("others"), *lows, *labels, F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
+    meet = keep.saved(meet.filter("least != most").select("g", "e", "low", "rest", (F.col("n") * F.col("others") <= SMALL_GROUP).alias("small"), F.col("first.node").alias("centre")), "meet")
     if meet.isEmpty():
         return core, None
-    left = told.filter("far").select("g", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px")).join(meet.filter("small").select("g", "e"), ["g", "e"])
-    right = told.select("g", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place", "far")
+    enough = F.lit(2 * up) * F.col("place") >= F.col("u") + most
+    told = keep.saved(told.join(meet, ["g", "e"]).filter(enough).drop("low", "rest"), "enough")
+    left = told.filter("small and not top").select("g", "e", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("mine"), F.col("u").alias("ux"), F.col("place").alias("px"))
+    right = told.filter("small").select("g", "e", F.col("node").alias("y"), F.col("label").alias("ly"), "size", "u", "place", "top")
     alike = F.lit(100) * F.least("mine", "size") >= F.lit(rules.percent) * F.greatest("mine", "size")
-    # At the rarest shared difference, all other shared ones are more frequent in a far one's order;
-    # a core one shares all of its differences at most.
     enough = F.lit(2 * up) * F.least("px", "place") >= F.col("ux") + F.col("u")
-    met = left.join(right, ["g", "e"]).filter("lx != ly and (not far or x < y)").filter(alike & enough)
+    met = left.join(right, ["g", "e"]).filter("lx != ly and (top or x < y)").filter(alike & enough)
     met = met.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("open"))
-    star = told.join(meet.filter("not small"), ["g", "e"]).filter("node != centre").select("g", F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open"))
+    star = told.filter("not small and node != centre").select("g", F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("open"))
     pairs = keep.saved(met.union(star).groupBy("g", "a", "b").agg(F.bool_or("open").alias("open")), "pairs")
-    tested = _compared(pairs, scored, ["g"], rules).withColumn("delta", F.when(F.col("open"), F.col("delta")))
-    tested = keep.saved(tested.join(scored.select("g", F.col("node").alias("a"), "label"), ["g", "a"]), "tested")
+    tested = _compared(pairs, known.select("g", "node", "size", "delta"), ["g"], rules).withColumn("delta", F.when(F.col("open"), F.col("delta")))
+    for end, name in (("a", "label"), ("b", "other")):
+        tested = tested.join(known.select("g", F.col("node").alias(end), F.col("label").alias(name)), ["g", end])
+    tested = keep.saved(tested, "tested")
+    links = keep.saved(tested.filter("linked and label != other").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct(), "links")
     further = tested.filter("open").select(F.unhex(F.md5(F.concat("g", "b"))).alias("g"), F.col("a").alias("node"), "label", "size", "delta")
-    return core.union(tested.filter("linked").select("a", "b")), further
+    return core.union(links), keep.saved(_relabelled(further, links, keep, "label"), "members")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataFrame:
@@ -264,10 +291,11 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules | None = None) -> DataF
     wanted = keep.saved(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
     sets = keep.saved(_sets_of(wanted, docs, rules), "sets")
     tested = keep.saved(_compared(pairs, sets, [], rules), "tested")
-    # The least centre that a node is linked with; what shares it need not meet again.
-    label = tested.groupBy("a").agg(F.min(F.when(F.col("linked"), F.col("b"))).alias("label"))
-    members = keep.saved(tested.join(label, "a").select(F.col("b").alias("g"), F.col("a").alias("node"), F.coalesce("label", "a").alias("label"), "size", "delta"), "members")
-    links = [tested.filter("linked").select("a", "b")]
+    # What is linked already need not meet again.
+    label = keep.saved(components(tested.filter("linked").select("a", "b"), keep), "label")
+    label = label.select(F.col("node").alias("a"), "label")
+    members = tested.join(label, "a", "left").select(F.col("b").alias("g"), F.col("a").alias("node"), F.coalesce("label", "a").alias("label"), "size", "delta")
+    links, members = [label.toDF("a", "b")], keep.saved(members, "members")
     while members is not None and (found := _apart(members, rules, keep)):
         links.append(found[0])
         members = found[1]
