@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import compare
 from tidemill import catalogue
 from tidemill.functions.expressions import steady_sum
-from tidemill.llm import minhash
+from tidemill.llm import minhash, passages
 from tidemill.operators import robust
 from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
@@ -143,3 +143,21 @@ def test_links_of_a_group_over_rounds_are_those_of_brute_force(spark, monkeypatc
     want = parts([(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     assert parts(found) == want and len(set(want.values())) > 3
     assert rounds > 1 or small > 4
+
+
+def test_passages_that_meet_again_find_the_tables_before_deleted(spark, monkeypatch):
+    """What the second meeting no longer needs must not take up disk beside it."""
+    held = {}
+    saved = passages.Scratch.saved
+
+    def watched(self, df, name, **more):
+        held.setdefault(name, []).append({label for label, _ in self.paths})
+        return saved(self, df, name, **more)
+
+    monkeypatch.setattr(passages.Scratch, "saved", watched)
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {line} c{i}") for i in range(5)], "doc_id long, text string")
+    got = passages.repeated_passages(docs).collect()
+    assert sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got) == [(i, 0, 2, 62) for i in range(1, 5)]
+    assert held["again"] == [{"sequences", "told", "members"}]
+    assert held["met"][1] == {"sequences", "told", "again", "groups"}

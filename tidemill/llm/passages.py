@@ -347,14 +347,17 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     sequences = keep.saved(_sequences(docs, keep.saved(ids, "ids"), rules), "sequences", merge=False)
     keep.forget()
     told = keep.saved(_verified(ready, sequences, sequences.filter("first"), rules), "told")
-    keep.forget()
     # All members of groups with an unverified one, verified or not, meet again.
     failed = told.filter("start is null").select(F.explode("failed").alias("key")).union(waiting).distinct()
     failed = keep.saved(failed, "failed")
+    keep.drop(but=("met", "sequences", "told", "failed"))
     members = met.filter("not couple").join(failed, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 2 * _NEAR).cast("int")).alias("ats"))
-    rows = keep.saved(_again(keep.saved(members, "members"), sequences.select("doc_id", "shingles"), rules), "again", merge=False)
+    members = keep.saved(members, "members")
+    keep.drop(but=("sequences", "told", "members"))
+    rows = keep.saved(_again(members, sequences.select("doc_id", "shingles"), rules), "again", merge=False)
+    keep.drop(but=("sequences", "told", "again"))
     again = keep.saved(_met(rows, keep), "met")
-    keep.forget()
+    keep.drop(but=("sequences", "told", "met"))
     more = again.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("key"), "place")).alias("anchors"), F.lit(True).alias("couple"))
     firsts = again.select(F.col("other_id").alias("doc_id")).distinct()
     more = keep.saved(_verified(keep.saved(more, "more"), sequences, sequences.join(firsts, "doc_id", "left_semi"), rules), "told")
