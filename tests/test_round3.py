@@ -1,5 +1,8 @@
 """Ties, repeats and row numbers that must not depend on how Spark deals the rows."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ import compare
 from tidemill import catalogue
 from tidemill.functions.expressions import steady_sum
 from tidemill.llm import minhash, passages
+from tidemill.llm.common import Scratch
 from tidemill.operators import robust
 from tidemill.operators.rows import ordinals
 from tidemill.operators.steps import Step
@@ -161,3 +165,40 @@ def test_passages_that_meet_again_find_the_tables_before_deleted(spark, monkeypa
     assert sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got) == [(i, 0, 2, 62) for i in range(1, 5)]
     assert held["again"] == [{"sequences", "told", "members"}]
     assert held["met"][1] == {"sequences", "told", "again", "groups"}
+
+
+def test_shuffle_files_of_the_last_step_are_gone_before_the_next(spark):
+    """The files of the job just ended outlived a collection, so a step's shuffle lay beside the next one's."""
+    keep = Scratch(spark)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in manager.localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+    keep.forget()
+    time.sleep(1)
+    before = files()
+    keep.saved(spark.range(100_000).groupBy(F.xxhash64("id").alias("id")).count(), "counts")
+    step = files() - before
+    assert step
+    keep.forget()
+    for _ in range(50):
+        if not files() & step:
+            break
+        time.sleep(0.1)
+    assert not files() & step
+    keep.drop()
+
+
+def test_a_pair_full_of_repeated_lines_is_verified_by_few_comparisons(monkeypatch):
+    """Every occurrence of an anchor in the other text was compared on its own, shingle by shingle."""
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, 1 << 32, 40, dtype=np.uint32)
+    fill = lambda k: rng.integers(0, 1 << 32, k, dtype=np.uint32)
+    a = np.concatenate([np.concatenate([line, fill(60)]) for _ in range(40)])
+    b = np.concatenate([np.concatenate([line, fill(60)]) for _ in range(200)])
+    run = fill(50)
+    a, b = np.concatenate([a, run[:25], line[:1], run[25:]]), np.concatenate([b, run[:25], line[:1], run[25:]])
+    runs, plain = [], passages._run
+    monkeypatch.setattr(passages, "_run", lambda *given: runs.append(given) or plain(*given))
+    pair = passages._Pair(a, b, passages.PassageRules())
+    assert all(pair.passage(k) is None for k in range(0, 4000, 100))  # 40 of 46 shingles are no passage
+    assert pair.passage(4025)[:4] == (4000, 4051, 20000, 20051)
+    assert len(runs) <= 1

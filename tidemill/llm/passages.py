@@ -20,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,35 @@ class PassageRules:
 
 #: Ids up to this number are broadcast to fetch sequences; more are shuffled.
 SMALL_IDS = 1_000_000
+#: Parts, by the representative, in which the pairs of the first meeting are verified; their sequences are on the disks one part at a time.
+PARTS = 2
 #: Lengths of the stretches beside a minimum, in halves of the least passage; one hash function each.
 BESIDE = (1, 2, 2, 2)
 
 
+def _least(value: np.ndarray, size: int) -> np.ndarray:
+    """The least value of each stretch of ``size``."""
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        value = np.minimum(value[: max(len(value) - step, 0)], value[step:])
+        span += step
+    return value
+
+
+def _smaller(value: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """For each place ``at`` of the values the next one with a smaller value before it
+    (``step`` -1) or after it (1); other places hold a value below all. What a larger
+    value has passed over is larger, too, so its pointer is taken on."""
+    to = np.arange(len(value)) + step
+    i, mine, other = at, value[at], at + step
+    while len(i):
+        larger = value[other] > mine
+        i, mine, other = i[larger], mine[larger], to[other[larger]]
+        to[i] = other
+    return to[at]
+
+
 def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimum, left and right end (indexes into ``value``) of each compact window
     of ``least`` or more elements; ``doc`` tells the sequences apart.
@@ -73,31 +100,24 @@ def compact_windows(doc: np.ndarray, value: np.ndarray, least: int) -> tuple[np.
     # The lowest bits, as many as the length asks for, give way to the position.
     bits = np.uint64(int(n).bit_length())
     low = (value >> bits << bits) | np.arange(n, dtype=np.uint64)
-    best, span = low, 1
-    while span < least:
-        step = min(span, least - span)
-        best = np.minimum(best[: len(best) - step], best[step:])
-        span += step
+    best = _least(low, least)
     inside = doc[: n - least + 1] == doc[least - 1 :]
-    place = np.unique((best[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+    chosen = np.zeros(n, bool)
+    chosen[(best[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+    place = np.flatnonzero(chosen)
     if not len(place):
         return none, none, none
     edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     begin = edge[np.searchsorted(edge, place, side="right") - 1]
     following = np.r_[edge[1:], n]
     end = following[np.searchsorted(edge, place, side="right") - 1] - 1
-    left, right = begin.tolist(), end.tolist()
-    at, key, home = place.tolist(), low[place].tolist(), begin.tolist()
-    stack: list[int] = []
-    for i in range(len(at)):
-        while stack and (home[stack[-1]] != home[i] or key[stack[-1]] > key[i]):
-            j = stack.pop()
-            if home[j] == home[i]:
-                right[j] = at[i] - 1
-        if stack:
-            left[i] = at[stack[-1]] + 1
-        stack.append(i)
-    return place, np.array(left), np.array(right)
+    # The minima with a value below all around those of each sequence.
+    at = np.arange(1, len(place) + 1)
+    at[1:] += np.cumsum(begin[1:] != begin[:-1])
+    spaced, spot = np.zeros(at[-1] + 2, np.uint64), np.full(at[-1] + 2, -1)
+    spaced[at], spot[at] = low[place], np.arange(len(place))
+    before, after = (spot[_smaller(spaced, at, step)] for step in (-1, 1))
+    return place, np.where(before < 0, begin, place[before] + 1), np.where(after < 0, end, place[after] - 1)
 
 
 _WINDOW, _WINDOW_NAMES = "key long, doc_id long, place long", ["key", "doc_id", "place"]
@@ -149,11 +169,13 @@ def _met(rows: DataFrame, keep: Scratch) -> DataFrame:
     aggregated on the map side and saved, so that Spark can split the join back at a
     key that a third of the documents share."""
     group = rows.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("other_id < last")
-    return rows.join(keep.saved(group.select("key", "other_id", (F.col("n") == 2).alias("couple")), "groups"), "key")
+    group = keep.saved(group.select("key", "other_id", (F.col("n") == 2).alias("couple")), "groups")
+    keep.forget()  # the rows are not shuffled twice on the disks
+    return rows.join(group.hint("shuffle_hash"), "key")  # the rows need no sorting
 
 
 def _sequences(docs: DataFrame, ids: DataFrame, rules: PassageRules) -> DataFrame:
-    """``(doc_id, first, shingles)`` of the documents ``ids(doc_id, first)``; of rows
+    """``(doc_id, mine, theirs, shingles)`` of the documents ``ids(doc_id, mine, theirs)``; of rows
     that repeat a doc_id each. 32 bits of a shingle's hash tell those of two texts apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,16 +183,18 @@ def _sequences(docs: DataFrame, ids: DataFrame, rules: PassageRules) -> DataFram
             owner, value = _shingled(batch.column(1), rules.width)
             offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             short = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short))], names=["doc_id", "first", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(short))], names=["doc_id", "mine", "theirs", "shingles"])
 
-    # Ids are 9 bytes each; up to SMALL_IDS, counted first, they are broadcast.
+    # Ids are 16 bytes each; up to SMALL_IDS, counted first, they are broadcast.
     few = ids.count() <= SMALL_IDS
-    return map_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "first"), cut, "doc_id long, first boolean, shingles array<int>")
+    return map_batches(docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "mine", "theirs"), cut, "doc_id long, mine int, theirs int, shingles array<int>")
 
 
 def _balance(hit: np.ndarray, percent: int) -> np.ndarray:
     """Running balance of hits against misses, from 0."""
-    return np.r_[0, np.cumsum(np.where(hit, 100 - percent, -percent))]
+    out = np.zeros(len(hit) + 1, np.int64)
+    np.cumsum(np.where(hit, 100 - percent, -percent), out=out[1:])
+    return out
 
 
 def _segment(score: np.ndarray, at: int) -> tuple[int, int]:
@@ -181,9 +205,6 @@ def _segment(score: np.ndarray, at: int) -> tuple[int, int]:
 
 def _run(a: np.ndarray, b: np.ndarray, at: int, other: int, least: int) -> tuple | None:
     """The exact run through an anchor, if it has ``least`` shingles."""
-    half = least // 2  # a run so long reaches this far on one side
-    if not (at + half < len(a) and other + half < len(b) and a[at + half] == b[other + half] or at >= half and other >= half and a[at - half] == b[other - half]):
-        return None
     n, m = min(len(a) - at, len(b) - other), min(at, other)
     ahead = a[at : at + n] != b[other : other + n]
     ahead = int(ahead.argmax()) if ahead.any() else n
@@ -192,39 +213,106 @@ def _run(a: np.ndarray, b: np.ndarray, at: int, other: int, least: int) -> tuple
     return (at - back, at + ahead, other - back, other + ahead, 1.0) if back + ahead >= least else None
 
 
+def _blocks(value: np.ndarray, least: int) -> np.ndarray:
+    """A hash of each stretch of ``least`` shingles."""
+    out, span = mix(value.astype(np.uint64) + np.uint64(1)), 1
+    while span < least:
+        step = min(span, least - span)
+        out = out[: max(len(out) - step, 0)] * np.uint64(0xD6E8FEB86659FD93) + out[step:]
+        span += step
+    return mix(out)
+
+
+def _distinct(value: np.ndarray) -> np.ndarray:
+    value = np.sort(value)
+    first = np.ones(len(value), bool)
+    first[1:] = value[1:] != value[:-1]
+    return value[first]
+
+
+def _among(value: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``distinct`` ones."""
+    if not len(distinct):
+        return np.zeros(len(value), bool)
+    return distinct[np.minimum(np.searchsorted(distinct, value), len(distinct) - 1)] == value
+
+
 class _Pair:
     """Finds the passages of two shingle sequences around anchors. Stretches that
     failed once are not tried again from another anchor inside them."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, rules: PassageRules):
         self.a, self.b, self.rules = a, b, rules
-        self.order = np.argsort(b, kind="stable")
-        place = np.searchsorted(b, a, "left", self.order)
-        self.hit = (b[self.order[np.minimum(place, len(b) - 1)]] == a) if len(b) else np.zeros(len(a), bool)
-        self.score = _balance(self.hit, rules.percent)
-        self.tried: dict[tuple[int, int], tuple[np.ndarray, list]] = {}
+        both = np.sort(b.astype(np.uint64) << np.uint64(32) | np.arange(len(b), dtype=np.uint64))
+        self.order, self.sorted = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32)
+        self.hit = _among(a, self.sorted)
+        self.tried: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, list]] = {}
+        self.blocks: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @cached_property
+    def score(self) -> np.ndarray:
+        return _balance(self.hit, self.rules.percent)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the stretch of a with the best balance around each shingle starts."""
+        score = self.score
+        return np.maximum.accumulate(np.where(score == np.minimum.accumulate(score), np.arange(len(score)), 0))
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where it ends."""
+        score = self.score[:0:-1]
+        best = np.where(score == np.maximum.accumulate(score), np.arange(len(score)), 0)
+        return len(score) - np.maximum.accumulate(best)[::-1]
+
+    def exact(self, at: int, places: np.ndarray) -> int | None:
+        """The first of ``places`` in b that has an exact run of ``least`` shingles with
+        ``a[at]`` in it: a stretch so long around them is the same in both."""
+        least = self.rules.least
+        if self.blocks is None:
+            mine, theirs = _blocks(self.a, least), _blocks(self.b, least)
+            self.blocks = mine, theirs, _among(mine, np.sort(theirs))
+        mine, theirs, held = self.blocks
+        back = at - max(at - least + 1, 0) - np.flatnonzero(held[max(at - least + 1, 0) : at + 1])
+        if not len(back):
+            return None
+        begin = places[:, None] - back
+        same = (begin >= 0) & (begin < len(theirs))
+        same &= theirs[np.where(same, begin, 0)] == mine[at - back]
+        found = same.any(axis=1)
+        return int(places[found.argmax()]) if found.any() else None
 
     def passage(self, at: int) -> tuple | None:
         """(start, end, other start, other end, similarity) of the passage around
         ``a[at]``, in shingles; None if there is none."""
         a, b, rules = self.a, self.b, self.rules
-        s, e = _segment(self.score, at)
+        s, e = int(self.starts[at]), int(self.ends[at])
         if e - s < rules.least:
             return None
         if (s, e) not in self.tried:
-            self.tried[s, e] = _balance(np.isin(b, a[s:e]), rules.percent), []
-        score, failed = self.tried[s, e]
-        for y in self.order[np.searchsorted(b, a[at], "left", self.order) : np.searchsorted(b, a[at], "right", self.order)].tolist():
-            if not any(s2 <= y < e2 for s2, e2 in failed):
-                s2, e2 = _segment(score, y)
-                if e2 - s2 >= rules.least:
-                    both, every = len(np.intersect1d(a[s:e], b[s2:e2])), len(np.union1d(a[s:e], b[s2:e2]))
-                    if 100 * both >= rules.percent * every:
-                        return s, e, s2, e2, both / every
-                failed.append((s2, e2))
-            if run := _run(a, b, at, y, rules.least):
-                return run
-        return None
+            mine = _distinct(a[s:e])
+            self.tried[s, e] = mine, _balance(_among(b, mine), rules.percent), []
+        mine, score, failed = self.tried[s, e]
+        places = self.order[self.sorted.searchsorted(a[at], "left") : self.sorted.searchsorted(a[at], "right")]
+        left, known, first = places, False, None
+        for s2, e2 in failed:
+            left = left[(left < s2) | (left >= e2)]
+        while True:
+            if not known and not (len(left) and left[0] == places[0]):
+                first, known = self.exact(at, places), True
+                left = left if first is None else left[left <= first]
+            if not len(left):
+                return None if first is None else _run(a, b, at, first, rules.least)
+            s2, e2 = _segment(score, int(left[0]))
+            if e2 - s2 >= rules.least:
+                theirs = _distinct(b[s2:e2])
+                both = int(_among(theirs, mine).sum())
+                every = len(mine) + len(theirs) - both
+                if 100 * both >= rules.percent * every:
+                    return s, e, s2, e2, both / every
+            failed.append((s2, e2))
+            left = left[(left < s2) | (left >= e2)]
 
 
 _FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double, failed array<long>"
@@ -263,30 +351,30 @@ def _verified(pairs: DataFrame, sequences: DataFrame, firsts: DataFrame, rules:
                 key, place = (anchors.field(k).to_numpy() for k in range(2))
                 at = place >> 2 * _NEAR
                 if not couples[i] and not _overlap(key & 7, at - (place >> _NEAR & far), at + (place & far), rules.least):
-                    failed.append(np.unique(key))
+                    failed.append(key)
                     continue
                 order = np.argsort(at, kind="stable")
                 order = order[at[order] < len(a)]  # others are of another text under this doc_id
                 pair = _Pair(a, b, rules)
                 # Around an anchor in a passage at least half as many shingles are shared as it must have.
-                hits = np.r_[0, np.cumsum(pair.hit)]
+                hits = np.zeros(len(a) + 1, np.int64)
+                np.cumsum(pair.hit, out=hits[1:])
                 x = at[order]
                 near = hits[np.minimum(x + rules.least, len(a))] - hits[np.maximum(x - rules.least + 1, 0)] >= rules.least // 2
-                reached, lost = -1, list(key[order[~near]])
-                for k in order[near]:
-                    x = int(at[k])
-                    if x < reached:  # inside the passage before
-                        continue
-                    got = pair.passage(x)
+                failed.append(key[order[~near]])
+                order, x, k = order[near], x[near], 0
+                while k < len(x):
+                    got = pair.passage(int(x[k]))
                     if got is None:
-                        lost.append(key[k])
+                        past = k + int(np.searchsorted(x[k:], x[k], side="right"))
+                        failed.append(key[order[k:past]])
+                        k = past
                     else:
                         s, e, s2, e2, similarity = got
-                        reached = e
+                        k += int(np.searchsorted(x[k:], e))  # others are inside this passage
                         out.append((ids[i], s, e + width - 1, others[i], s2, e2 + width - 1, similarity, None))
-                failed.append(np.array(lost, np.int64))
             if failed:
-                out.append((None, None, None, None, None, None, None, np.unique(np.concatenate(failed))))
+                out.append((None, None, None, None, None, None, None, _distinct(np.concatenate(failed))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if k == 6 else pa.list_(pa.int64()) if k == 7 else pa.int64()) for k in range(8)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     return map_batches(joined.select("doc_id", "other_id", "anchors", "shingles", "other", "couple"), check, _FOUND)
@@ -301,23 +389,23 @@ def _again(members: DataFrame, sequences: DataFrame, rules: PassageRules) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                value = mix(_list_of(batch.column(2), i).astype(np.uint64))
-                at = np.unique(batch.column(1)[i].values.to_numpy()).astype(np.int64)
-                n, at = len(value), at[at < len(value)]
-                keys, places = [], []
-                for f, halves in enumerate(BESIDE):
-                    size = halves * half
-                    for side, ok in ((-size, at >= size), (1, at + size < n)):
-                        span = at[ok][:, None] + side + np.arange(size)
-                        least = _hashed(value[span], f + 8).min(axis=1) if ok.any() else np.zeros(0, np.uint64)
-                        keys.append(mix(mix(value[at[ok]] + np.uint64(f + 1)) ^ least))
-                        places.append(at[ok])
-                key, place = np.concatenate(keys).view(np.int64), np.concatenate(places)
-                for k in range(0, len(key), _WINDOWS):
-                    part = slice(k, k + _WINDOWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), ids[i], np.int64)), pa.array(place[part] << 2 * _NEAR)], names=_WINDOW_NAMES)
+            ids, ats, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            begins, ends = np.cumsum(size := pc.list_value_length(lists).to_numpy()) - size, np.cumsum(size)
+            value = mix(lists.flatten().to_numpy().view(np.uint32).astype(np.uint64))
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ats).to_numpy())
+            at = ats.flatten().to_numpy().astype(np.int64)
+            inside = at < size[owner]  # others are of another text under this doc_id
+            owner, at = owner[inside], at[inside]
+            x = begins[owner] + at
+            for f, halves in enumerate(BESIDE):
+                span = halves * half
+                least = _least(_hashed(value, f + 8), span)
+                for start, ok in ((x - span, at >= span), (x + 1, x + span < ends[owner])):
+                    key = mix(mix(value[x[ok]] + np.uint64(f + 1)) ^ least[start[ok]]).view(np.int64)
+                    whose, place = ids[owner[ok]], at[ok] << 2 * _NEAR
+                    for k in range(0, len(key), _WINDOWS):
+                        part = slice(k, k + _WINDOWS)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(whose[part]), pa.array(place[part])], names=_WINDOW_NAMES)
 
     return map_batches(members.join(sequences, "doc_id").select("doc_id", "ats", "shingles"), cut, _WINDOW)
 
@@ -343,10 +431,20 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     ready = pairs.filter("now").select("doc_id", "other_id", "anchors", "couple")
     waiting = pairs.filter("not now").select(F.inline("anchors")).select("key")
 
-    ids = met.select("doc_id", F.lit(False).alias("first")).union(met.select("other_id", F.lit(True))).groupBy("doc_id").agg(F.bool_or("first").alias("first"))
+    # A bit for each part of the pairs in which a document is one of them, or the representative.
+    part = F.pmod(F.xxhash64("other_id"), F.lit(PARTS)).cast("int")
+    bit, none = F.when(F.col("now"), F.expr("shiftleft(1, part)")).otherwise(0), F.lit(0)
+    sides = pairs.select("doc_id", "other_id", "now", part.alias("part")).select("doc_id", "other_id", bit.alias("bit"))
+    sides = sides.select("doc_id", F.col("bit").alias("mine"), none.alias("theirs")).union(sides.select("other_id", none, "bit"))
+    ids = sides.groupBy("doc_id").agg(F.bit_or("mine").alias("mine"), F.bit_or("theirs").alias("theirs"))
     sequences = keep.saved(_sequences(docs, keep.saved(ids, "ids"), rules), "sequences", merge=False)
+    told = None
+    for k in range(PARTS):
+        keep.forget()
+        mine, theirs = (sequences.filter(F.col(side).bitwiseAND(1 << k) != 0) for side in ("mine", "theirs"))
+        more = keep.saved(_verified(ready.filter(part == k), mine, theirs, rules), "told")
+        told = more if told is None else told.union(more)
     keep.forget()
-    told = keep.saved(_verified(ready, sequences, sequences.filter("first"), rules), "told")
     # All members of groups with an unverified one, verified or not, meet again.
     failed = told.filter("start is null").select(F.explode("failed").alias("key")).union(waiting).distinct()
     failed = keep.saved(failed, "failed")
@@ -359,8 +457,10 @@ def repeated_passages(docs: DataFrame, rules: PassageRules | None = None) -> Dat
     again = keep.saved(_met(rows, keep), "met")
     keep.drop(but=("sequences", "told", "met"))
     more = again.filter("doc_id != other_id").groupBy("doc_id", "other_id").agg(F.collect_set(F.struct(F.lit(0).cast("long").alias("key"), "place")).alias("anchors"), F.lit(True).alias("couple"))
-    firsts = again.select(F.col("other_id").alias("doc_id")).distinct()
-    more = keep.saved(_verified(keep.saved(more, "more"), sequences, sequences.join(firsts, "doc_id", "left_semi"), rules), "told")
+    more = keep.saved(more, "more")
+    keep.drop(but=("sequences", "told", "more"))
+    firsts = more.select(F.col("other_id").alias("doc_id")).distinct()
+    more = keep.saved(_verified(more, sequences, sequences.join(firsts, "doc_id", "left_semi"), rules), "told")
     found = told.union(more).filter("start is not null").select(*columns).distinct()
     keep.drop(but=("told",))
     return found
