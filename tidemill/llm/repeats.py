@@ -8,13 +8,18 @@
 2. Tasks settle what repeats among their own documents and send packed key, content
    hash and place of the rest to buckets of keys. A key with one content needs no
    search: the first document keeps it. Of a key with several contents each content
-   is kept once, with its first document, and its text is fetched.
+   is kept once, with its first document. Two of them can share a window only if they
+   also agree in one of a few stretches around the key's gram, of which any window with
+   it holds one; hashes of these tell which contents need a search, and their text is
+   fetched. So pieces that share a gram by chance, whose number grows with the square of
+   the text, are not searched.
 3. Each bucket of such pieces becomes a run-length index (``runindex``), through which
    matching statistics of pieces of later documents are streamed.
 4. The spans of a document come together with its text.
 
 No group of copies meets in one task: a task sends a content once at most. A key
-with very many contents is dealt out again by the windows' own hashes.
+with very many contents is dealt out again by the windows' own hashes; equal windows
+are merged before they get to an index.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ from tidemill.llm.common import _BYTE, _STEP, CHUNK_BYTES, Scratch, byte_column,
 from tidemill.llm.runindex import WORD, Strings, repeats_of_earlier
 
 _TOP = np.uint64(1 << 63)
+#: Hashes of a piece's stretches: 0 if one is not whole, _OPEN if the gram is there twice.
+_OPEN = np.uint16((1 << 16) - 1)
+#: Stretches of a piece.
+STRETCHES = 4
 
 
 @dataclass(frozen=True)
@@ -64,6 +73,13 @@ class RepeatRules:
         """Grams, and so windows of a piece at most."""
         return self.least - self.gram + 1
 
+    @property
+    def stretches(self) -> list[tuple[int, int]]:
+        """Bytes to the left and right of a gram, such that any window with the gram has
+        those of a pair at least."""
+        edges = [k * self.reach // STRETCHES for k in range(STRETCHES + 1)]
+        return [(a, self.reach - b) for a, b in zip(edges, edges[1:])]
+
 
 @lru_cache(maxsize=4)
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -93,44 +109,79 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         part, width = part[:n] + part[width:] * power(width), 2 * width
 
 
-def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+def sliding_least(values: np.ndarray, size: int, least=np.minimum) -> np.ndarray:
     width = 1
     while 2 * width <= size:
-        values, width = np.minimum(values[:-width], values[width:]), 2 * width
-    return np.minimum(values[: len(values) - size + width], values[size - width :]) if width < size else values
+        values, width = least(values[:-width], values[width:]), 2 * width
+    return least(values[: len(values) - size + width], values[size - width :]) if width < size else values
+
+
+def _gram_places(grams: np.ndarray, keys: np.ndarray, reach: int, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece the first and the last place of its key's gram; ``keys`` are those
+    of all windows."""
+    none = np.zeros(reach - 1, np.uint64)
+    hit = sliding_least(np.concatenate([none, keys, none]), reach, np.maximum) == grams
+    places, before = np.flatnonzero(hit), np.concatenate([[0], np.cumsum(hit)])
+    low = before[start]
+    many = before[start + windows + reach - 1] - low
+    piece = np.repeat(np.arange(len(start)), many)
+    at = places[np.arange(len(piece)) + np.repeat(low - np.cumsum(many) + many, many)]
+    own = np.flatnonzero(grams[at] == keys[start][piece])
+    at, piece = at[own], piece[own]
+    edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True])
+    return at[edge[:-1]], at[edge[1:] - 1]
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules, common: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of some texts: ``(text, start, windows, key, content hash)``."""
+    """Pieces of some texts: ``(text, start, windows, key, content hash, hashes of the
+    stretches around the key's gram)``."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, *(none.astype(np.uint64) for _ in range(2 + STRETCHES))
     if len(data) < rules.least:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = gram_hashes(data, rules.gram) >> np.uint64(1)
+        return nothing
+    room = 1 << int(len(data)).bit_length()
+    back = _power_table(pow(_STEP, -1, 1 << 64), room)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power_table(_STEP, room)[: len(data)], out=total[1:])
+    # As gram_hashes.
+    grams = mix((total[rules.gram :] - total[: -rules.gram]) * back[: len(data) - rules.gram + 1]) >> np.uint64(1)
     if len(common):
         known = np.zeros(1 << 20, bool)
         known[common >> np.uint64(43)] = True
         may = np.flatnonzero(known[grams >> np.uint64(43)])
         at = np.minimum(np.searchsorted(common, grams[may]), len(common) - 1)
         grams[may[common[at] == grams[may]]] |= _TOP
-    key = sliding_least(grams, rules.reach)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(key)]
-    start = np.flatnonzero(np.arange(len(key)) + rules.least <= offsets[text + 1])
-    key, text = key[start], text[start]
+    keys = sliding_least(grams, rules.reach)
+    # Runs of one key, cut where texts begin and where their last windows have begun.
+    tail = np.maximum(offsets[1:] - rules.least + 1, offsets[:-1])
+    edge = np.ones(len(keys), bool)
+    edge[1:] = keys[1:] != keys[:-1]
+    for places in (offsets[:-1], tail):
+        edge[places[places < len(keys)]] = True
+    start = np.flatnonzero(edge)
+    windows = np.diff(np.r_[start, len(keys)])
+    text = np.searchsorted(offsets, start, side="right") - 1
+    whole = start < tail[text]
+    start, windows, text = start[whole], windows[whole], text[whole]
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    new = np.ones(len(start), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(new)
-    inside = np.arange(len(start)) - np.repeat(begin, np.diff(np.r_[begin, len(start)]))
-    begin = np.flatnonzero(inside % rules.reach == 0)
-    windows = np.diff(np.r_[begin, len(start)])
-    start, key, text = start[begin], key[begin], text[begin]
-    end = start + windows + rules.least - 1
-    room = 1 << int(len(data)).bit_length()
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(_STEP, room)[: len(data)], out=total[1:])
-    content = mix((total[end] - total[start]) * _power_table(pow(_STEP, -1, 1 << 64), room)[start] + windows.astype(np.uint64))
-    return text, start - offsets[text], windows, mix(key), content
+        return nothing
+    parts = -(-windows // rules.reach)
+    part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, text = np.repeat(start, parts) + part * rules.reach, np.repeat(text, parts)
+    windows = np.minimum(np.repeat(windows, parts) - part * rules.reach, rules.reach)
+    key, end = keys[start], start + windows + rules.least - 1
+    content = mix((total[end] - total[start]) * back[start] + windows.astype(np.uint64))
+    first, last = _gram_places(grams, keys, rules.reach, start, windows)
+
+    sides = []
+    for left, right in rules.stretches:
+        a, b = first - left, first + rules.gram + right
+        whole = np.flatnonzero((a >= start) & (b <= end))
+        side = np.zeros(len(start), np.uint16)
+        side[whole] = np.clip(mix((total[b[whole]] - total[a[whole]]) * back[a[whole]]) >> np.uint64(48), 1, _OPEN - 1)
+        side[first < last] = _OPEN
+        sides.append(side)
+    return text, start - offsets[text], windows, mix(key), content, *sides
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -162,7 +213,7 @@ def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
 
 def _bytes_of(x: np.ndarray, n: int) -> np.ndarray:
     """The lower ``n`` bytes of each value, all lowest bytes first."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
 
 
 def _values_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -228,9 +279,9 @@ def _sender(rules: RepeatRules, common: np.ndarray, buckets: int):
     """Cuts texts; settles what repeats among the texts gathered, sends the rest."""
 
     def send(parts):
-        doc, mark, start, windows, key, content = (np.concatenate(x) for x in zip(*parts))
+        doc, mark, start, windows, key, content, *sides = (np.concatenate(x) for x in zip(*parts))
         both = key ^ (content * np.uint64(_STEP))
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         begin = np.flatnonzero(np.r_[True, both[by][1:] != both[by][:-1]])
         least = np.minimum.reduceat(doc[by], begin)
         later = np.empty(len(doc), bool)
@@ -239,29 +290,32 @@ def _sender(rules: RepeatRules, common: np.ndarray, buckets: int):
         gone_to = (mix(gone[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         kept = np.flatnonzero(~later)
         to = ((key[kept] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        by = np.lexsort((start[kept], mark[kept], doc[kept], to))
+        by = np.argsort(to, kind="stable")  # documents stay together, as they were read
         kept, to = kept[by], to[by]
-        edges, gone_by = np.searchsorted(to, np.arange(buckets + 1)), np.argsort(gone_to, kind="stable")
-        gone_edges = np.searchsorted(gone_to[gone_by], np.arange(buckets + 1))
-        used, blobs = [], []
-        for b in range(buckets):
-            i, j = kept[edges[b] : edges[b + 1]], gone_by[gone_edges[b] : gone_edges[b + 1]]
-            if not len(i) and not len(j):
-                continue
-            new = np.ones(len(i), bool)
-            new[1:] = (doc[i][1:] != doc[i][:-1]) | (mark[i][1:] != mark[i][:-1])
-            at = np.flatnonzero(new)
-            counts = np.diff(np.r_[at, len(i)]).astype(np.uint32)
-            used.append(b)
-            blobs.append(_packed(doc[i][at], mark[i][at], counts, _bytes_of(key[i], 6), _bytes_of(content[i], 6), _bytes_of(start[i], 4), windows[i].astype(np.uint8), *(x[j] for x in gone)))
+        gone_by = np.argsort(gone_to, kind="stable")
+        gone = [x[gone_by] for x in gone]
+        buckets_up = np.arange(buckets + 1)
+        edges, gone_edges = np.searchsorted(to, buckets_up), np.searchsorted(gone_to[gone_by], buckets_up)
+        doc, mark = doc[kept], mark[kept]
+        new = np.ones(len(kept), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (to[1:] != to[:-1])
+        at = np.flatnonzero(new)
+        of_doc = doc[at], mark[at], np.diff(np.r_[at, len(kept)]).astype(np.uint32)
+        doc_edges = np.searchsorted(at, edges)
+        pieces = _bytes_of(key[kept], 6), _bytes_of(content[kept], 6), _bytes_of(start[kept], 4), windows[kept].astype(np.uint8), *(x[kept] for x in sides)
+        used = np.flatnonzero((np.diff(edges) > 0) | (np.diff(gone_edges) > 0))
+        blobs = []
+        for b in used.tolist():
+            d, i, g = (slice(x[b], x[b + 1]) for x in (doc_edges, edges, gone_edges))
+            blobs.append(_packed(*(x[d] for x in of_doc), *(x[..., i] for x in pieces), *(x[g] for x in gone)))
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pieces"])
 
     def run(batches):
         parts, held = [], 0
         for doc, mark, data, offsets, base in _texts(batches):
-            text, start, windows, key, content = cut(data, offsets, rules, common)
+            text, start, *rest = cut(data, offsets, rules, common)
             if len(text):
-                parts.append((doc[text], mark[text], start + base, windows, key, content))
+                parts.append((doc[text], mark[text], start + base, *rest))
                 held += len(data)
             if held >= rules.gather_bytes:
                 yield send(parts)
@@ -272,19 +326,40 @@ def _sender(rules: RepeatRules, common: np.ndarray, buckets: int):
     return run
 
 
+def _linked(key: np.ndarray, doc: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Whether a content of another document under the key has a stretch of the content
+    too. Where any piece of a key holds the gram twice, all of the key are linked."""
+    out = np.isin(key, np.unique(key[sides[0] == _OPEN]))
+    for side in sides:
+        has = np.flatnonzero(side)
+        if len(has):
+            both = key[has] | (side[has].astype(np.uint64) << np.uint64(48))
+            by = np.argsort(both)
+            begin = np.flatnonzero(np.r_[True, both[by][1:] != both[by][:-1]])
+            docs = doc[has][by]
+            shared = np.minimum.reduceat(docs, begin) < np.maximum.reduceat(docs, begin)
+            out[has[by]] |= np.repeat(shared, np.diff(np.r_[begin, len(has)]))
+    return out
+
+
 def _resolver(rules: RepeatRules):
     """Of a bucket: spans that are settled, and the pieces whose text is needed."""
 
     def resolve(bucket: pa.Table) -> pa.Table:
         parts, gone = [], []
         for blob in bucket.column("pieces").to_pylist():
-            doc, mark, counts, key, content, start, windows, *spans = _unpacked(blob, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.int64)
-            parts.append((np.repeat(doc, counts), np.repeat(mark, counts), _values_of(start, 4).astype(np.int64), windows.astype(np.int64), _values_of(key, 6), _values_of(content, 6)))
-            gone.append(spans)
-        doc, mark, start, windows, key, content = (np.concatenate(x) for x in zip(*parts))
+            doc, mark, counts, key, content, start, windows, *rest = _unpacked(blob, np.int64, np.int64, np.uint32, *[np.uint8] * 4, *[np.uint16] * STRETCHES, *[np.int64] * 4)
+            parts.append((np.repeat(doc, counts), np.repeat(mark, counts), _values_of(start, 4).astype(np.int64), windows.astype(np.int64), _values_of(key, 6), _values_of(content, 6), *rest[:STRETCHES]))
+            gone.append(rest[STRETCHES:])
+        columns = [np.concatenate(x) for x in zip(*parts)]
         gone = [np.concatenate(x) for x in zip(*gone)]
-        by = np.lexsort((start, mark, doc, content, key))
-        doc, mark, start, windows, key, content = (x[by] for x in (doc, mark, start, windows, key, content))
+        by = np.argsort(columns[4])
+        same = columns[4][by][1:] == columns[4][by][:-1]
+        # Of a key that comes once nothing is to be told.
+        by = by[np.r_[False, same] | np.r_[same, False]] if len(by) else by
+        columns = [x[by] for x in columns]
+        by = np.lexsort((*columns[2::-1], columns[5], columns[4]))
+        doc, mark, start, windows, key, content, *sides = (x[by] for x in columns)
         of_key = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         of_content = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])][: len(key)])
         if not len(key):
@@ -296,13 +371,16 @@ def _resolver(rules: RepeatRules):
         later = doc > first
         gone = [np.concatenate([x, y[later]]) for x, y in zip(gone, (doc, mark, start, start + windows + rules.least - 1))]
         ask = np.flatnonzero(each(spread & (contents > 1), of_key) & ~later)
+        ask = ask[_linked(key[ask], doc[ask], [x[ask] for x in sides])]
         out = [_span_rows(*gone)]
         if len(ask):
             new = np.ones(len(ask), bool)
             new[1:] = (key[ask][1:] != key[ask][:-1]) | (content[ask][1:] != content[ask][:-1]) | (mark[ask][1:] != mark[ask][:-1])
             at = np.flatnonzero(new)
             i = ask[at]
-            many = each(contents > rules.split, of_key)[i]
+            own = np.flatnonzero(np.r_[True, key[i][1:] != key[i][:-1]])
+            contents = np.diff(np.r_[own, len(i)])
+            many = np.repeat(contents > rules.split, contents)
             wide = key[i] | (np.uint64(int(bucket.column("bucket")[0].as_py()) & 0x7FFF) << np.uint64(48))
             out.append(pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(mark[i]), _lists(at, start[ask]), pa.nulls(len(i), pa.list_(pa.int64())), pa.array(wide.astype(np.int64)), pa.array(windows[i].astype(np.int32)), pa.array(many)], schema=_FOUND_ARROW))
         return pa.Table.from_batches(out)
@@ -351,30 +429,60 @@ def _fetcher(rules: RepeatRules):
     return fetch
 
 
+def _later_windows(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Strings of one window that equal one of an earlier document under their key."""
+    one = np.flatnonzero(np.diff(offsets) == least)
+    if not len(one):
+        return one
+    one = one[np.lexsort((doc[one], key[one]))]
+    begin = np.flatnonzero(np.r_[True, key[one][1:] != key[one][:-1]])
+    first = np.repeat(one[begin], np.diff(np.r_[begin, len(one)]))
+    later = doc[one] > doc[first]
+    one, first = one[later], first[later]
+    window = np.lib.stride_tricks.sliding_window_view(data, least)
+    return one[(window[offsets[one]] == window[offsets[first]]).all(axis=1)]
+
+
 def _matcher(rules: RepeatRules):
-    """Spans of a bucket's pieces that earlier documents hold under the same key."""
+    """Spans of a bucket's pieces that earlier documents hold under the same key. Equal
+    windows of a split key are told by comparing them with the first; the index gets
+    that one, and nothing of a key that is left with one document."""
 
     def match(bucket: pa.Table) -> pa.Table:
         bucket = bucket.combine_chunks()
         texts = bucket.column("text")
         data, offsets = byte_column(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
         key, doc, mark = (bucket.column(x).to_numpy() for x in ("key", "doc", "mark"))
-        by = np.lexsort((doc, key))
+        lists = bucket.column("starts").combine_chunks()
+        many, places = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        begin = np.cumsum(many) - many
+
+        def spans(string: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
+            owner = np.repeat(string, many[string])
+            total = np.cumsum(many[string])
+            inner = np.arange(len(owner)) - np.repeat(total - many[string], many[string])
+            start = places[np.repeat(begin[string], many[string]) + inner] + np.repeat(window, many[string])
+            return doc[owner], mark[owner], start, start + rules.least
+
+        later = _later_windows(data, offsets, key, doc, rules.least)
+        left = np.ones(len(key), bool)
+        left[later] = False
+        by = np.flatnonzero(left)
+        by = by[np.lexsort((doc[by], key[by]))]
         k, d = key[by], doc[by]
         new_key = np.r_[True, k[1:] != k[:-1]]
         step = np.r_[True, d[1:] != d[:-1]] & ~new_key
         run = np.cumsum(step)
-        group, rank = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-        group[by], rank[by] = np.cumsum(new_key) - 1, run - np.repeat(run[new_key], np.diff(np.r_[np.flatnonzero(new_key), len(k)]))
-        string, window = repeats_of_earlier(Strings(data, offsets), group, rank, rules.least)
-        lists = bucket.column("starts").combine_chunks()
-        many, places = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()
-        begin = np.cumsum(many) - many
-        total = np.cumsum(many[string])
-        inner = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - many[string], many[string])
-        start = places[np.repeat(begin[string], many[string]) + inner] + np.repeat(window, many[string])
-        owner = np.repeat(string, many[string])
-        return pa.Table.from_batches([_span_rows(doc[owner], mark[owner], start, start + rules.least)])
+        size = np.diff(np.r_[np.flatnonzero(new_key), len(k)])
+        group, rank = np.cumsum(new_key) - 1, run - np.repeat(run[new_key], size)
+        several = (np.maximum.reduceat(rank, np.flatnonzero(new_key)) > 0)[group]
+        by, group, rank = by[several], group[several], rank[several]
+        size = np.diff(offsets)[by]
+        ends = np.cumsum(size)
+        body = data[np.repeat(offsets[by] - ends + size, size) + np.arange(int(size.sum()))]
+        string, window = repeats_of_earlier(Strings(body, np.r_[0, ends]), group, rank, rules.least)
+        found = zip(spans(later, np.zeros(len(later), np.int64)), spans(by[string], window))
+        return pa.Table.from_batches([_span_rows(*(np.concatenate(x) for x in found))])
 
     return match
 

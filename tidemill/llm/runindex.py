@@ -70,11 +70,12 @@ class RunIndex:
     another: for each run its first row, symbol, collection, and the text places of
     its first and last row. Nothing else of the order is kept."""
 
-    def __init__(self, strings: Strings, collection: np.ndarray):
-        """``collection``: of each string, from 0 without gaps; -1: not indexed."""
+    def __init__(self, strings: Strings, collection: np.ndarray, order: np.ndarray):
+        """``collection``: of each string, from 0 without gaps; -1: not indexed.
+        ``order``: the suffix order, at least of the strings indexed."""
         self.strings = strings
-        of_row = collection[strings.owner[strings.order]]
-        rows = strings.order[of_row >= 0]
+        of_row = collection[strings.owner[order]]
+        rows = order[of_row >= 0]
         of_row = of_row[of_row >= 0]
         by = np.argsort(of_row, kind="stable")
         rows, of_row = rows[by], of_row[by]
@@ -172,7 +173,12 @@ def repeats_of_earlier(strings: Strings, group: np.ndarray, rank: np.ndarray, le
     upper streamed through the index, so each two ranks of a group meet once."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     bits = int(rank.max()).bit_length() if len(rank) else 0
+    most = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
+    np.maximum.at(most, group, rank)
+    order = strings.order
     for b in range(bits):
+        # Groups whose ranks all have fewer bits have met.
+        order = order[(most[group] >> b > 0)[strings.owner[order]]]
         node = group * ((int(rank.max()) >> (b + 1)) + 1) + (rank >> (b + 1))
         upper = (rank >> b) & 1 == 1
         dense = np.intersect1d(node[upper], node[~upper])
@@ -180,7 +186,7 @@ def repeats_of_earlier(strings: Strings, group: np.ndarray, rank: np.ndarray, le
             continue
         k = np.minimum(np.searchsorted(dense, node), len(dense) - 1)
         in_play = dense[k] == node
-        index = RunIndex(strings, np.where(in_play & ~upper, k, -1))
+        index = RunIndex(strings, np.where(in_play & ~upper, k, -1), order)
         queries = np.flatnonzero(in_play & upper)
         out.append(long_matches(strings, index.stream(queries, k), queries, least))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
