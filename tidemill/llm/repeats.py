@@ -280,6 +280,7 @@ def _sender(rules: RepeatRules, common: np.ndarray, buckets: int):
 
     def send(parts):
         doc, mark, start, windows, key, content, *sides = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         both = key ^ (content * np.uint64(_STEP))
         by = np.argsort(both)
         begin = np.flatnonzero(np.r_[True, both[by][1:] != both[by][:-1]])
@@ -352,6 +353,7 @@ def _resolver(rules: RepeatRules):
             parts.append((np.repeat(doc, counts), np.repeat(mark, counts), _values_of(start, 4).astype(np.int64), windows.astype(np.int64), _values_of(key, 6), _values_of(content, 6), *rest[:STRETCHES]))
             gone.append(rest[STRETCHES:])
         columns = [np.concatenate(x) for x in zip(*parts)]
+        parts.clear()
         gone = [np.concatenate(x) for x in zip(*gone)]
         by = np.argsort(columns[4])
         same = columns[4][by][1:] == columns[4][by][:-1]
