@@ -11,8 +11,7 @@
    is kept once, with its first document. Two of them can share a window only if they
    also agree in one of a few stretches around the key's gram, of which any window with
    it holds one; hashes of these tell which contents need a search, and their text is
-   fetched. So pieces that share a gram by chance, whose number grows with the square of
-   the text, are not searched.
+   fetched. So pieces that share little more than a gram are not searched.
 3. Each bucket of such pieces becomes a run-length index (``runindex``), through which
    matching statistics of pieces of later documents are streamed.
 4. The spans of a document come together with its text.
